@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from loomspan.llm import minhash
+from loomspan.llm import minhash, quality, secrets
 
-QUERIES = {"op8_minhash_near_dedup": minhash.op8_minhash_near_dedup}
+QUERIES = {
+    "op6_secret_scans": secrets.op6_secret_scans,
+    "op7_quality_rules": quality.op7_quality_rules,
+    "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
+}
 
-ORACLES = {"op8_minhash_near_dedup": minhash.ORACLE}
+ORACLES = {
+    "op6_secret_scans": secrets.ORACLE,
+    "op8_minhash_near_dedup": minhash.ORACLE,
+}
