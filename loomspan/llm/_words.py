@@ -12,6 +12,7 @@ import numpy as np
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
+LENGTH = U(0xD6E8FEB86659FD93)
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
@@ -60,7 +61,7 @@ class Prefix:
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.acc[end] - self.acc[start]) * self.down[start]
-        return mix(raw + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        return mix(raw + (end - start).astype(U) * LENGTH)
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from loomspan.llm import minhash, quality, secrets
+from loomspan.llm import minhash, mixing, quality, secrets, sentencepiece
 
 QUERIES = {
+    "op2_sentencepiece": sentencepiece.op2_sentencepiece,
+    "op5_source_mixing": mixing.op5_source_mixing,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
 }
 
 ORACLES = {
+    "op5_source_mixing": mixing.ORACLE,
     "op6_secret_scans": secrets.ORACLE,
     "op8_minhash_near_dedup": minhash.ORACLE,
 }
