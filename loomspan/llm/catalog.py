@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from loomspan.llm import minhash, mixing, quality, secrets, sentencepiece
+from loomspan.llm import html_paths, minhash, mixing, quality, secrets, sentencepiece, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op10_html_extraction": html_paths.op10_html_extraction,
     "op2_sentencepiece": sentencepiece.op2_sentencepiece,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_secret_scans": secrets.op6_secret_scans,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op6_secret_scans": secrets.ORACLE,
     "op8_minhash_near_dedup": minhash.ORACLE,
