@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from loomspan.plans.views import ORACLES, QUERIES
+
+GROUPS = ("intervals",)
+
+
+def _load() -> None:
+    for name in GROUPS:
+        importlib.import_module(f"loomspan.plans.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    _load()
+    return dict(ORACLES)
