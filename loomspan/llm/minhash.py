@@ -125,8 +125,54 @@ def _sides(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
 
+def _rest(at: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links between members of one bucket that have other labels, by full sets.
+
+    Every member outside the bucket's smallest label meets all members of the bucket, in
+    tasks of ``block`` of either side at most; no pair is a row."""
+    strays = at.where("label <> main").groupBy("band", "key").agg(F.count(F.lit(1)).alias("strays"))
+    rows = at.join(strays, ["band", "key"]).select(
+        "band", "key", "id", "label", F.col("label") != F.col("main"),
+        F.ceil(F.col("strays") / block).cast("int").alias("left"), F.ceil(F.col("n") / block).cast("int").alias("right"),
+    ).toDF("band", "key", "id", "label", "stray", "left", "right")
+    own = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
+    to = lambda side, cell: F.transform(F.sequence(F.lit(0), F.col(side) - 1), cell)
+    everyone = to("left", lambda i: F.struct(i.alias("i"), (own % F.col("right")).alias("j"), F.lit(False).alias("asks")))
+    asking = to("right", lambda j: F.struct((own % F.col("left")).alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    cells = rows.select("band", "key", "id", "label", F.explode(F.when(F.col("stray"), F.concat(everyone, asking)).otherwise(everyone)).alias("cell"))
+    cells = cells.select("band", "key", "id", "label", "cell.*").join(sets, "id")
+    return cells.groupBy("band", "key", "i", "j").applyInPandas(_meet(percent), "a long, b long").distinct()
+
+
+def _meet(percent: int):
+    def run(rows):
+        import pandas as pd
+
+        out = []
+        ask, all_ = rows[rows.asks], rows[~rows.asks]
+        if len(ask) and len(all_):
+            grams = [np.frombuffer(x, U) for x in all_.grams]
+            sizes = np.array([len(g) for g in grams])
+            owner = np.repeat(np.arange(len(grams)), sizes)
+            flat = np.concatenate(grams)
+            order = np.argsort(flat)
+            flat, owner, labels, ids = flat[order], owner[order], all_.label.to_numpy(), all_.id.to_numpy()
+            for id_, label, mine in zip(ask.id, ask.label, ask.grams):
+                mine = np.frombuffer(mine, U)
+                low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                ends = np.cumsum(high - low)
+                hit = np.arange(ends[-1]) + np.repeat(low - (ends - (high - low)), high - low)
+                shared = np.bincount(owner[hit], minlength=len(grams))
+                good = (100 * shared >= percent * (len(mine) + sizes - shared)) & (labels != label)
+                _, first = np.unique(labels[good], return_index=True)  # one link to each group does
+                out += [(min(id_, x), max(id_, x)) for x in ids[good][first]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def minhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85, hub_rounds: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85, hub_rounds: int = 2
 ) -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles, component_id, kept.
 
@@ -138,8 +184,9 @@ def minhash_components(
 
     Equal sets form one class first, which its smallest id stands for. A bucket's
     members are then tested against a hub of the bucket, a new one each round; pairs
-    whose members are already connected need no test. What is left unconnected after
-    ``hub_rounds`` is tested pair by pair, so that no link of the buckets is lost.
+    whose members are already connected need no test. Members still outside their bucket's
+    main group after ``hub_rounds`` meet all its members in bounded blocks, so that no link
+    of the buckets is lost.
 
     Null, empty and word-less texts have no shingles and stand alone
     (component_id = own id, kept). Repeated rows share a component; rows that repeat
@@ -165,24 +212,23 @@ def minhash_components(
     least = percent / 100 - 0.15  # over four standard errors below the threshold
     links, labels = None, None
     for turn in range(hub_rounds + 1):
-        at = buckets
+        at = buckets.withColumn("label", F.col("id"))
         if labels is not None:
             at = buckets.join(labels, "id", "left").select("id", "band", "key", F.coalesce("component", "id").alias("label"))
-            open_keys = at.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band", "key")
-            at = stored(at.join(open_keys, ["band", "key"], "left_semi"), "open")
+            torn = at.groupBy("band", "key").agg(F.min("label").alias("main"), F.max("label").alias("other"), F.count(F.lit(1)).alias("n"))
+            at = stored(at.join(torn.where("main < other").drop("other"), ["band", "key"]), "torn")
             if at.isEmpty():
                 break
-        else:
-            at = at.withColumn("label", F.col("id"))
         if turn < hub_rounds:
-            hub = at.groupBy("band", "key").agg(F.min_by(F.struct("id", "label"), F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"), "id")).alias("hub"))
-            pairs = at.join(hub, ["band", "key"]).where("id <> hub.id AND label <> hub.label").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
+            first = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"), "id")
+            hub = at.groupBy("band", "key").agg(F.min_by(F.struct("id", "label"), first).alias("hub"))
+            pairs = at.join(hub, ["band", "key"]).where("id <> hub.id AND label <> hub.label")
+            pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+            pairs = stored(_sides(pairs, signatures, "signature").mapInArrow(_agree(least), "a long, b long"), "candidates")
+            found = _sides(pairs, sets, "grams").mapInArrow(_confirm(percent), "a long, b long")
         else:
-            x, y = at.select("band", "key", F.col("id").alias("a"), F.col("label").alias("la")), at.select("band", "key", F.col("id").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, ["band", "key"]).where("a < b AND la <> lb").select("a", "b")
-        pairs = pairs.distinct()
-        pairs = stored(_sides(pairs, signatures, "signature").mapInArrow(_agree(least), "a long, b long"), "candidates")
-        found = stored(_sides(pairs, sets, "grams").mapInArrow(_confirm(percent), "a long, b long"), "links")
+            found = _rest(at, sets, percent)
+        found = stored(found, "links")
         links = found if links is None else links.union(found)
         labels = components(links)
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
