@@ -6,7 +6,7 @@ import importlib
 
 from loomspan.plans.views import ORACLES, QUERIES
 
-GROUPS = ("intervals",)
+GROUPS = ("intervals", "sequences", "reads", "features", "comparative", "popgen", "alignments", "ontology")
 
 
 def _load() -> None:
