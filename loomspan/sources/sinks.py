@@ -49,9 +49,10 @@ def write_bedgraph(df: DataFrame, path: str, value: str = "depth", mode: str = "
 
 
 def write_wig(df: DataFrame, path: str, step: int, value: str = "mean", mode: str = "error") -> None:
-    """Bins (seqid, bin, value) as variableStep blocks, one per sequence and part, so that gaps need no rows."""
-    d = df.repartition("seqid").sortWithinPartitions("seqid", "bin")
-    first = F.lag("seqid").over(W.partitionBy("seqid").orderBy("bin")).isNull()
+    """Bins (seqid, bin, value) as variableStep blocks of 10,000 bins at most, so that gaps need no rows
+    and a long sequence is written by many tasks."""
+    d = df.withColumn("block", F.floor(F.col("bin") / 10_000)).repartition("seqid", "block").sortWithinPartitions("seqid", "bin")
+    first = F.lag("bin").over(W.partitionBy("seqid", "block").orderBy("bin")).isNull()
     head = F.concat(F.lit("variableStep chrom="), F.col("seqid").cast("string"), F.lit(f" span={step}\n"))
     row = F.concat_ws(" ", (F.col("bin") * step + 1).cast("string"), F.col(value).cast("string"))
     d.select(F.when(first, F.concat(head, row)).otherwise(row).alias("value")).write.mode(mode).text(path)
