@@ -54,7 +54,7 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def pieces(batch: pa.RecordBatch, column: int, limit: int = 2_000_000):
+def pieces(batch: pa.RecordBatch, column: int, limit: int = 1_000_000):
     """Slices of a record batch with about ``limit`` bytes of text each (one row at
     least), as (slice, bytes as uint8, row offsets into them). Nulls count as empty."""
     array = batch.column(column)

@@ -75,7 +75,7 @@ def _absolute(numbers: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
 
 def _count(batches):
     for batch in batches:
-        for part, data, off in pieces(batch, 1, 4_000_000):
+        for part, data, off in pieces(batch, 1, 2_000_000):
             codes, cut = symbols(data, off)
             if not len(codes):
                 continue
@@ -138,7 +138,7 @@ class Profiles:
 def _predict(known: Profiles):
     def run(batches):
         for batch in batches:
-            for part, data, off in pieces(batch, 1, 4_000_000):
+            for part, data, off in pieces(batch, 1, 2_000_000):
                 langs, scores = ["und"] * (len(off) - 1), [0.0] * (len(off) - 1)
                 codes, cut = symbols(data, off)
                 if len(codes) and known.langs:

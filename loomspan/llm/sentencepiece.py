@@ -333,7 +333,7 @@ def _encode(vocabulary: Vocabulary, check: bool):
     def run(batches):
         known = Known()
         for batch in batches:
-            for part, data, off in pieces(batch, 1, 4_000_000):
+            for part, data, off in pieces(batch, 1, 2_000_000):
                 ids, edge = encode_rows(vocabulary, data, off, known)
                 columns = [part.column(0), pa.array(np.diff(edge)), pa.ListArray.from_arrays(edge.astype(np.int32), pa.array(ids, pa.int32()))]
                 names = ["id", "n_tokens", "token_ids"]
