@@ -103,7 +103,7 @@ def project_to_blocks(features: DataFrame, blocks: DataFrame, on: str = "seqid",
     return p.select("block_b", *(c for c in features.columns if c not in ("start", "stop")), (F.col("start") - F.col("start_b") + 1).alias("start"), (F.least("stop", "stop_b") - F.col("start_b") + 1).alias("stop")).withColumnRenamed("block_b", "block")
 
 
-def _before(df: DataFrame, keys: list[str], order: list[Column | str], value: Column, kind: str, tile: Column, inclusive: bool = False) -> DataFrame:
+def earlier(df: DataFrame, keys: list[str], order: list[Column | str], value: Column, kind: str, tile: Column, inclusive: bool = False) -> DataFrame:
     """``df`` with __before: sum or maximum of ``value`` over the rows of the same keys that come earlier."""
     agg = {"sum": F.sum, "max": F.max}[kind]
     df = df.withColumn("__tile", tile).withColumn("__value", value)
@@ -149,7 +149,7 @@ def complement(df: DataFrame, genome: DataFrame, on: str = "seqid", tile: int =
     """What intervals leave free of each sequence of ``genome`` (seqid, length), sequences without intervals whole."""
     ends = genome.select(on, (F.col("length") + 1).cast("long").alias("start"), (F.col("length") + 1).cast("long").alias("stop"))
     isles = merge_intervals(df, on, 1, tile).select(on, "start", "stop").join(genome.select(on), on, "left_semi").unionByName(ends)
-    out = _before(isles, [on], ["start", "stop"], F.col("stop"), "max", F.floor(F.col("start") / tile))
+    out = earlier(isles, [on], ["start", "stop"], F.col("stop"), "max", F.floor(F.col("start") / tile))
     out = out.select(on, (F.coalesce("__before", F.lit(0)) + 1).alias("start"), (F.col("start") - 1).alias("stop"))
     limits = genome.select(F.col(on), F.col("length"))
     return out.join(limits, on).withColumn("stop", F.least("stop", "length")).drop("length").where("start <= stop")
@@ -166,7 +166,7 @@ def depth(reads: DataFrame, on: str = "seqid", weight: str | None = None, tile:
     w = F.col(weight) if weight else F.lit(1)
     steps = reads.select(on, F.col("start").alias("pos"), w.cast("long").alias("d")).unionByName(reads.select(on, (F.col("stop") + 1).alias("pos"), (-w).cast("long").alias("d")))
     steps = steps.groupBy(on, "pos").agg(F.sum("d").alias("d")).where("d <> 0")
-    runs = _before(steps, [on], ["pos"], F.col("d"), "sum", F.floor(F.col("pos") / tile), inclusive=True).withColumn("t", F.floor(F.col("pos") / tile))
+    runs = earlier(steps, [on], ["pos"], F.col("d"), "sum", F.floor(F.col("pos") / tile), inclusive=True).withColumn("t", F.floor(F.col("pos") / tile))
     w_in, w_out = W.partitionBy(on, "t").orderBy("pos"), W.partitionBy(on).orderBy("t")
     tiles = runs.groupBy(on, "t").agg(F.min("pos").alias("first")).withColumn("next_first", F.lead("first").over(w_out)).drop("first")
     runs = runs.withColumn("next", F.lead("pos").over(w_in)).join(tiles, [on, "t"]).withColumn("stop", F.coalesce("next", "next_first") - 1)

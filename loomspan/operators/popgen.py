@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import iupac
+from loomspan.operators.intervals import earlier
 
 
 def _lfact(n):
@@ -188,8 +189,12 @@ def ks_two_sample(df: DataFrame, value: str, group: str, one: str, two: str) ->
     a, b = (F.sum(F.when(F.col(group) == g, 1).otherwise(0)) for g in (one, two))
     v = d.groupBy(F.col(value).cast("double").alias("v")).agg(a.alias("a"), b.alias("b"))
     n = v.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    w = W.orderBy("v")
-    c = v.withColumns({"ca": F.sum("a").over(w), "cb": F.sum("b").over(w)}).join(F.broadcast(n), how="cross")
+    bounds = F.array(*map(F.lit, v.approxQuantile("v", [i / 256 for i in range(1, 256)], 0.001) or [0.0]))  # 255 numbers
+    tile = F.size(F.filter(bounds, lambda x: x < F.col("v")))
+    v = v.withColumn("__k", F.lit(0))
+    for c in ("a", "b"):
+        v = earlier(v, ["__k"], ["v"], F.col(c), "sum", tile, inclusive=True).withColumnRenamed("__before", f"c{c}")
+    c = v.join(F.broadcast(n), how="cross")
     mean_rank = F.col("ca") + F.col("cb") - (F.col("a") + F.col("b") - 1) / 2
     t = c.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), F.sum(mean_rank * F.col("a")).alias("rank_sum"), F.max("na").alias("n_one"), F.max("nb").alias("n_two"))
     stat = lambda f, g: f(F.when(F.col(group) == g, F.col(value).cast("double")))
