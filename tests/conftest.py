@@ -2,6 +2,7 @@ import os
 import sys
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -34,7 +35,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value is pd.NaT or value != value:
         return "null"
     return f"{value:.9g}" if isinstance(value, float) else str(value)
 
