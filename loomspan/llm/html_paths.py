@@ -39,6 +39,10 @@ SIGNS = frozenset(
     "subscription nav navbar navigation menu breadcrumb breadcrumbs sidebar rail widget widgets footer header masthead toolbar share sharing social related recommended "
     "comment comments disqus reply replies respond login signup search pagination pager complementary contentinfo skip".split()
 )
+#: words that begin a sign, as in commentlist
+STEMS = ("comment", "advert", "sponsor", "breadcrumb", "newsletter", "cookie", "sidebar", "navbar")
+#: signs that don't count inside an article, where they frame its title
+TITLES = frozenset("header masthead".split())
 CONTAINER = frozenset("article main".split())
 #: an open tag that a new one ends
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "option": {"option"}}
@@ -59,7 +63,8 @@ class Node:
                 roles += f" {value}" if name.lower() in ("role", "itemprop") else ""
         up_inside, up_hidden = (above.inside, above.hidden) if above else (False, False)
         own = tag in CONTAINER or " main" in roles or "articlebody" in roles
-        signed = bool(words & SIGNS) and tag not in ("html", "body") and not own
+        signed = bool(words & (SIGNS - TITLES if up_inside else SIGNS)) or any(w.startswith(STEMS) for w in words)
+        signed = signed and tag not in ("html", "body") and not own
         # the header of an article has its title; that of a page is not content
         self.hidden = up_hidden or tag in BLOCKED or signed or tag == "header" and not up_inside
         self.inside = (up_inside or own) and not self.hidden
