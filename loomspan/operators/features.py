@@ -108,14 +108,18 @@ def dedupe_overlaps(models: DataFrame, minlen: int = 50, keys: tuple[str, ...] =
     m = m.withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).withColumn("__isle", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
 
     def greedy(pdf):
-        pdf = pdf.assign(__n=pdf.start - pdf.stop).sort_values(["__n", "start", "stop"], kind="stable").drop(columns="__n")
-        kept = []
-        for row in pdf.itertuples():
-            if all(row.start > pdf.at[i, "stop"] or row.stop < pdf.at[i, "start"] for i in kept):
-                kept.append(row.Index)
-        return pdf.loc[kept]
-
-    out = m.groupBy(*keys, "__isle").applyInPandas(greedy, m.schema).drop("__isle")
+        pdf = pdf.assign(__n=pdf.start - pdf.stop).sort_values(["__isle", "__n", "start", "stop"], kind="stable").drop(columns="__n")
+        chosen, isle, kept = [], None, []
+        for i, (k, a, b) in enumerate(zip(pdf["__isle"], pdf.start, pdf.stop)):
+            if k != isle:
+                isle, kept = k, []
+            if all(a > y or b < x for x, y in kept):
+                kept.append((a, b))
+                chosen.append(i)
+        return pdf.iloc[chosen]
+
+    m = m.withColumn("__group", F.floor(F.col("__isle") / 64))  # some islands a call
+    out = m.groupBy(*keys, "__group").applyInPandas(greedy, m.schema).drop("__isle", "__group")
     return out.withColumn("copy", F.row_number().over(w))
 
 

@@ -197,7 +197,7 @@ def polya_windows(v):
 
 def _sliding(size, step, value, where="TRUE"):
     bins = f"unnest([start // {step}])" if size == step else f"unnest(range(greatest(start // {step} - {size // step}, 0), start // {step} + 2))"
-    return f"""WITH b AS (SELECT seqid, {value} AS v, {bins} AS bin FROM features WHERE {where}), g AS (SELECT seqid, bin, round(sum(v), 4) AS total, count(*) AS n, round(sum(v) / count(*), 4) AS average FROM b GROUP BY ALL)
+    return f"""WITH b AS (SELECT seqid, {value} AS v, {bins} AS bin FROM features WHERE {where}), g AS (SELECT seqid, bin, round(sum(v), 8) AS total, count(*) AS n, round(sum(v) / count(*), 8) AS average FROM b GROUP BY ALL)
 SELECT *, max(total) OVER (PARTITION BY seqid) AS max_total, max(average) OVER (PARTITION BY seqid) AS max_average FROM g"""
 
 
@@ -206,12 +206,12 @@ SLIDE = ("total", "average", "max_total", "max_average")
 
 @query("sliding_windows", _sliding(2000, 500, "score"))
 def sliding_windows(v):
-    return rounded(N.sliding_windows(v.features, value="score", size=2000, step=500), *SLIDE, digits=4)
+    return rounded(N.sliding_windows(v.features, value="score", size=2000, step=500), *SLIDE, digits=8)
 
 
 @query("sliding_windows_where", _sliding(1000, 1000, "score", "score > 20000"))
 def sliding_windows_where(v):
-    return rounded(N.sliding_windows(v.features, value="score", size=1000, step=1000, where=F.col("score") > 20000), *SLIDE, digits=4)
+    return rounded(N.sliding_windows(v.features, value="score", size=1000, step=1000, where=F.col("score") > 20000), *SLIDE, digits=8)
 
 
 @query("binned_method", "SELECT seqid, start // 1000 AS bin, round(avg(score), 6) AS average FROM features GROUP BY ALL")
@@ -250,9 +250,9 @@ def snps_per_contig(v):
     return rounded(N.snps_per_contig(v.features.select("seqid", F.col("start").alias("pos")), v.genome), "per_kb", digits=9)
 
 
-@query("bin_mean", """WITH k AS (SELECT seqid, start, stop, score, unnest(range((start - 1) // 100, (stop - 1) // 100 + 1)) AS bin FROM features), n AS (SELECT *, least(stop, (bin + 1) * 100) - greatest(start, bin * 100 + 1) + 1 AS n FROM k) SELECT seqid, bin, round(sum(n * score) / sum(n), 4) AS mean FROM n GROUP BY ALL""")
+@query("bin_mean", """WITH k AS (SELECT seqid, start, stop, score, unnest(range((start - 1) // 100, (stop - 1) // 100 + 1)) AS bin FROM features), n AS (SELECT *, least(stop, (bin + 1) * 100) - greatest(start, bin * 100 + 1) + 1 AS n FROM k) SELECT seqid, bin, round(sum(n * score) / sum(n), 8) AS mean FROM n GROUP BY ALL""")
 def bin_mean(v):
-    return rounded(N.bin_mean(v.features.select("seqid", "start", "stop", F.col("score").alias("value")), 100), "mean", digits=4)
+    return rounded(N.bin_mean(v.features.select("seqid", "start", "stop", F.col("score").alias("value")), 100), "mean", digits=8)
 
 
 @query("window_density", 'SELECT seqid, start, stop, weight AS count, weight::DOUBLE / abs(stop - start) AS density FROM reads')
