@@ -49,10 +49,11 @@ def write_captures(
     raw = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_or_empty(body_col).alias("body"))
     rows = raw.withColumn("size", F.octet_length("body")).withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
     first = rows.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(first.hint("shuffle_hash"), "digest", "left").withColumn("again", F.coalesce(F.col("first") != F.col("id"), F.lit(False)))
+    # a written table has a known size: without many copies Spark moves it to the pages, not the pages to it
+    rows = rows.join(stored(first, "copies"), "digest", "left").withColumn("again", F.coalesce(F.col("first") != F.col("id"), F.lit(False)))
     key, clean = F.coalesce(F.col("id").cast("string"), F.lit("null")), F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     mine = _urn("capture", key)
-    host, target = F.coalesce(F.parse_url(clean, F.lit("HOST")), F.lit("unknown")), F.coalesce(F.regexp_extract(clean, r"^[^:]+://[^/]*(/.*)$", 1), F.lit(""))
+    host, target = F.coalesce(F.try_parse_url(clean, F.lit("HOST")), F.lit("unknown")), F.coalesce(F.regexp_extract(clean, r"^[^:]+://[^/]*(/.*)$", 1), F.lit(""))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "), F.col("size").cast("string"), F.lit(BREAK * 2))
     common = [("WARC-Date", date), ("WARC-Target-URI", clean)]
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
@@ -168,16 +169,18 @@ def transactions(records: DataFrame, hops: int = 2) -> DataFrame:
     in a row of their own without one. Records without an id are left out, repeated
     records count once. An empty table gives none.
     """
-    records = records.where("record_id IS NOT NULL").dropDuplicates(["record_id"])
-    is_capture = F.col("type").isin("response", "revisit")
-    captures, others = records.where(is_capture), records.where(~is_capture | F.col("type").isNull())
+    records = stored(records.where("record_id IS NOT NULL").dropDuplicates(["record_id"]), "records")
+    is_capture = F.coalesce(F.col("type").isin("response", "revisit"), F.lit(False))
+    captures, others = records.where(is_capture), records.where(~is_capture)
     named = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
-    links = named.union(named.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    reach = captures.select(F.col("record_id").alias("b"), F.col("record_id").alias("capture_id"))
-    owned = None
+    links = stored(named.union(named.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    reach, owned = captures.select(F.col("record_id").alias("b"), F.col("record_id").alias("capture_id")), None
     for _ in range(hops):
         found = links.join(reach, "b").groupBy(F.col("a").alias("record_id")).agg(F.min("capture_id").alias("capture_id"))
-        owned = found if owned is None else owned.union(found.join(owned, "record_id", "left_anti"))
+        found = stored(found if owned is None else found.join(owned, "record_id", "left_anti"), "owned")
+        owned = found if owned is None else owned.union(found)
+        if found.isEmpty() or others.count() == owned.join(captures.select("record_id"), "record_id", "left_anti").count():
+            break  # nothing is left to find
         reach = found.withColumnRenamed("record_id", "b")
     others = others.join(owned, "record_id", "left").withColumn("capture_id", F.coalesce("capture_id", "record_id"))
     whole = F.struct(*others.drop("capture_id").columns)
@@ -193,7 +196,7 @@ def transactions(records: DataFrame, hops: int = 2) -> DataFrame:
 def op1_warc(spark, sf_dir):
     path = new_path(spark, "warc")
     write_captures(table(spark, sf_dir, "pages"), path)
-    rows = transactions(stored(read_records(spark, path).drop("payload"), "records")).where("capture IS NOT NULL").select(
+    rows = transactions(read_records(spark, path).drop("payload")).where("capture IS NOT NULL").select(
         "capture_id", "capture.refers_to", "capture.type", F.coalesce("capture.http_length", "capture.payload_bytes").alias("payload_bytes"),
         F.coalesce("capture.payload_sha256", F.substring_index("capture.digest", ":", -1)).alias("payload_digest"),
         F.expr("try_cast(metadata[0].fields['page-id'] AS long)").alias("page_id"),
