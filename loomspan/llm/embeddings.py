@@ -265,8 +265,8 @@ def near_vectors(
         found = _shard_links(shards, cosine, most_rows)
         counted = stored(found.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("root")), "counted")
         edges = stored(found.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")), "edges")
-        mine = shards.join(F.broadcast(sample[["id"]].head(audited).pipe(vectors.sparkSession.createDataFrame)) if len(sample) else shards.select("id"), "id", "left_semi")
-        got = {r[0]: r[1] + r[2] for r in counted.join(mine.select("id", "copies"), "id").select("id", "links", "copies").collect()} if len(sample) else {}
+        mine = counted.where(F.col("id").isin(list(truth))).join(reps.select("id", "copies"), "id")
+        got = {r[0]: r[1] + r[2] for r in mine.select("id", "links", "copies").collect()} if truth else {}
         true = sum(truth.get(i, 0) for i in got)
         if overlap >= 6 or sum(min(got[i], truth.get(i, 0)) for i in got) >= least_recall * true:
             break
