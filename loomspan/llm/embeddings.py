@@ -9,6 +9,7 @@ queries is audited against brute force.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -20,6 +21,7 @@ from loomspan.llm._base import stored, table
 from loomspan.llm._components import components
 from loomspan.llm._words import U, mix
 
+LOG = logging.getLogger(__name__)
 DEGREE, CANDIDATES, FAR, BEAM, ALPHA = 24, 64, 24, 24, 1.2
 
 
@@ -209,23 +211,45 @@ def _assign(centres: dict[int, np.ndarray], overlap: int):
     return run
 
 
-def _count_true(queries: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float):
+def _count_true(queries: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float, tile: int = 512):
+    """Links of each query with other classes, by brute force."""
+
     def run(batches):
         for batch in batches:
             vecs, dims, copies = batch.column(2).to_pylist(), batch.column(3).to_numpy(), batch.column(1).to_numpy()
-            ids, found = [], []
+            own, ids, found = batch.column(0).to_numpy(), [], []
             for d in np.unique(dims):
                 if int(d) in queries:
                     at = np.flatnonzero(dims == d)
                     q_ids, q = queries[int(d)]
-                    ids.append(q_ids)
-                    found.append((q @ _unit([vecs[i] for i in at]).T >= cosine) @ copies[at])
+                    x = _unit([vecs[i] for i in at])
+                    for low in range(0, len(q), tile):
+                        ask = q_ids[low : low + tile]
+                        near = (q[low : low + tile] @ x.T >= cosine) & (ask[:, None] != own[at][None, :])
+                        ids.append(ask)
+                        found.append(near @ copies[at])
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).astype(np.int64))], ["id", "n"])
 
     return run
 
 
+def _audit(reps: DataFrame, sample, cosine: float, audited: int, most: int = 4096) -> dict[int, int]:
+    """The links with other classes of at least ``audited`` classes that have any, as far as ``sample`` holds so many."""
+    truth, low, step = {}, 0, audited
+    while low < len(sample) and len(truth) < audited:
+        queries = {int(dim): (rows.id.to_numpy(), _unit(rows.vec)) for dim, rows in sample.iloc[low : low + step].groupby("dim")}
+        counts = reps.mapInArrow(_count_true(queries, cosine), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        truth |= {r[0]: r[1] for r in counts.where("n > 0").collect()}  # the audited classes only
+        low, step = low + step, min(4 * step, most)
+    return truth
+
+
+def recall(truth: dict[int, int], got: dict[int, int]) -> float:
+    """The mean over the audited classes of the share of their links that was found."""
+    return sum(min(got.get(i, 0), n) / n for i, n in truth.items()) / len(truth) if truth else 1.0
+
+
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, overlap: int = 2,
     shard_rows: int = 500, most_shards: int = 4096, most_rows: int = 2048, sample_rows: int = 20_000, audited: int = 256, least_recall: float = 0.95,
@@ -237,9 +261,11 @@ def near_vectors(
     class goes to its ``overlap`` nearest shards. A shard over ``most_rows`` is cut into
     blocks, and each pair of blocks is a shard of its own, so that a large group of near
     copies is neither gathered in one task nor searched in part. Links are counted where they
-    are found, and shards pass on one edge per vector, so pairs are never rows. ``audited``
-    classes are compared with all others by brute force; as long as their links are found
-    in a share below ``least_recall``, all is done again with one more shard per class.
+    are found, and shards pass on one edge per vector, so pairs are never rows. Classes of the
+    sample are compared with all others by brute force until ``audited`` of them have links
+    with other classes; as long as the mean share of these links that is found is below
+    ``least_recall``, all is done again with one more shard per class. The log tells how many
+    links were audited.
 
     Vectors that are null, empty, zero or hold nulls or non-finite numbers link with nothing, nor
     do vectors of different lengths. Repeated rows are copies of each other and link. Null ids
@@ -252,23 +278,21 @@ def near_vectors(
     reps = stored(classes.mapInArrow(_packed, "id long, copies long, vec binary, dim int"), "vectors")
     by_dim = {int(r[0]): int(r[1]) for r in reps.groupBy("dim").count().collect()}  # one row per vector length
     sample = reps.orderBy(F.xxhash64("id")).limit(sample_rows).select("id", "vec", "dim").toPandas()
-    centres, queries = {}, {}
+    centres = {}
     for dim, rows in sample.groupby("dim"):
         x = _unit(rows.vec)
         k = max(1, min(math.ceil(by_dim[int(dim)] / shard_rows), most_shards, len(x)))
         centres[int(dim)] = centroids(x, k)
-        queries[int(dim)] = (rows.id.to_numpy()[:audited], x[:audited])
-    truth = reps.mapInArrow(_count_true(queries, cosine), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    truth = {r[0]: r[1] for r in truth.collect()}  # the audited classes only
+    truth = _audit(reps, sample, cosine, audited)
     while True:
         shards = stored(reps.mapInArrow(_assign(centres, overlap), "id long, copies long, vec binary, dim int, homes array<long>"), "assigned")
         found = _shard_links(shards, cosine, most_rows)
         counted = stored(found.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("root")), "counted")
         edges = stored(found.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")), "edges")
-        mine = counted.where(F.col("id").isin(list(truth))).join(reps.select("id", "copies"), "id")
-        got = {r[0]: r[1] + r[2] for r in mine.select("id", "links", "copies").collect()} if truth else {}
-        true = sum(truth.get(i, 0) for i in got)
-        if overlap >= 6 or sum(min(got[i], truth.get(i, 0)) for i in got) >= least_recall * true:
+        got = {r[0]: r[1] for r in counted.where(F.col("id").isin(list(truth))).select("id", "links").collect()} if truth else {}
+        found_share = recall(truth, got)
+        LOG.info("recall %.4f over %d links of %d audited vectors, %d shards each", found_share, sum(truth.values()), len(truth), overlap)
+        if overlap >= 6 or found_share >= least_recall:
             break
         overlap += 1
     named = counted.select("id", "links").join(components(edges).withColumnRenamed("component", "c"), "id", "left").join(reps.select("id", "copies"), "id")

@@ -306,6 +306,18 @@ def test_vectors_brute(spark):
     assert embeddings.near_vectors(table.limit(0)).count() == 0
 
 
+def test_audit_counts_links_with_other_classes_only(spark, caplog):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 32))
+    x[388:] = x[:12] + rng.normal(size=(12, 32)) * 0.02  # 12 links; the other vectors have none
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] * 2, "vec_id long, embedding array<double>")
+    with caplog.at_level("INFO", "loomspan.llm.embeddings"):
+        embeddings.near_vectors(table, audited=24)
+    assert "over 48 links of 24 audited vectors" in caplog.text
+    # a lost link of one small group shows beside a large group whose links are all found
+    assert embeddings.recall({1: 1000, 2: 1}, {1: 1000}) == 0.5 and embeddings.recall({}, {}) == 1
+
+
 def test_graph_is_connected_and_pruned():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8))
