@@ -83,7 +83,7 @@ def search(x: np.ndarray, lists: list[np.ndarray], medoid: int, cosine: float) -
     """Which of the vectors lie within ``cosine`` of which, as far as searches find them: each
     vector walks greedily from the medoid with a beam, then expands over all found in range."""
     n = len(x)
-    width = max(len(y) for y in lists)
+    width = max(1, *(len(y) for y in lists))
     table_ = np.full((n, width), -1, np.int64)
     for i, y in enumerate(lists):
         table_[i, : len(y)] = y
@@ -321,7 +321,9 @@ def _shard_links(shards: DataFrame, cosine: float, most_rows: int) -> DataFrame:
     lists = stored(rows.groupBy(*key).applyInPandas(lambda key, pdf: _lists(pdf).assign(dim=key[0], shard=key[1], i=key[2], j=key[3]), "id long, near array<long>, medoid boolean, dim int, shard long, i int, j int"), "lists")
     union = lists.select("id", F.explode("near").alias("x")).groupBy("id").agg(F.collect_set("x").alias("near"))  # DEGREE per shard, both ways
     medoids = lists.where("medoid").select("id", *key, "medoid")
-    full = rows.join(union, "id").join(medoids, ["id", *key], "left").withColumn("medoid", F.coalesce("medoid", F.lit(False)))
+    # a cell of one class has no neighbours
+    full = rows.join(union, "id", "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
+    full = full.join(medoids, ["id", *key], "left").withColumn("medoid", F.coalesce("medoid", F.lit(False)))
     return stored(full.groupBy(*key).applyInPandas(_links(cosine), "id long, links long, root long"), "shard-links")
 
 

@@ -306,6 +306,13 @@ def test_vectors_brute(spark):
     assert embeddings.near_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_that_all_repeat_one(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in (4, 3, 9)] + [(i, [1.0, 2.0]) for i in (7, 6)]
+    for some in (rows, rows[:3]):
+        got = {tuple(r) for r in embeddings.near_vectors(spark.createDataFrame(some, "vec_id long, embedding array<double>")).collect()}
+        assert got == {(3, 2, 3, True), (4, 2, 3, False), (9, 2, 3, False), (6, 1, 6, True), (7, 1, 6, False)} - ({(6, 1, 6, True), (7, 1, 6, False)} if len(some) == 3 else set())
+
+
 def test_audit_counts_links_with_other_classes_only(spark, caplog):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 32))
