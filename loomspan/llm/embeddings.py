@@ -4,7 +4,8 @@ Vectors go to the shards of their nearest centroids, more than one each. In ever
 shard a graph is built by robust pruning; the adjacency lists of all shards are
 joined; greedy searches from each shard's medoid walk the graph and then expand over
 all that lies within range. Pairs are verified in double precision, and a sample of
-queries is audited against brute force.
+queries is audited against brute force; where it falls short, products of all blocks
+of vectors finish the job.
 """
 
 from __future__ import annotations
@@ -116,12 +117,16 @@ def search(x: np.ndarray, lists: list[np.ndarray], medoid: int, cosine: float) -
             ids[live], score[live], done[live] = (np.take_along_axis(v, top, 1) for v in (all_ids, all_score, all_done))
         a, b = np.nonzero(inside[ask])
         a = ask[a]
-        while len(a):  # range expansion
-            next_ = table_[b]
-            keep = (next_ >= 0) & ~seen[a[:, None], next_]
-            pair = np.unique(np.repeat(a, keep.sum(axis=1)) * n + next_[keep])
+        while len(a):  # range expansion, at most some four million neighbours at a time
+            pairs, step = [], max(1, (1 << 22) // width)
+            for i in range(0, len(a), step):
+                next_ = table_[b[i : i + step]]
+                keep = (next_ >= 0) & ~seen[a[i : i + step, None], next_]
+                pair = np.unique(np.repeat(a[i : i + step], keep.sum(axis=1)) * n + next_[keep])
+                seen[pair // n, pair % n] = True
+                pairs.append(pair)
+            pair = np.concatenate(pairs)
             a, b = pair // n, pair % n
-            seen[a, b] = True
             good = np.concatenate([np.einsum("pd,pd->p", f[a[i : i + 65536]], f[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]) >= cosine - 1e-3
             a, b = a[good], b[good]
             inside[a, b] = True
@@ -192,19 +197,36 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return at
 
 
-def _assign(centres: dict[int, np.ndarray], overlap: int):
+def merged(centres: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shards of centroids: those within ``cosine`` of each other, directly or over others, are one
+    shard, as noise alone divides a group that they lie in. Gives the centroids shard by shard, where each shard
+    begins, and the shards' numbers."""
+    near = centres @ centres.T >= cosine
+    np.fill_diagonal(near, True)
+    root = np.arange(len(centres), dtype=np.int32)
+    while True:
+        new = np.where(near, root[None, :], np.int32(len(root))).min(axis=1)
+        if (new == root).all():
+            break
+        root = new
+    order = np.argsort(root, kind="stable")
+    numbers, starts = np.unique(root[order], return_index=True)
+    return centres[order], starts, numbers.astype(np.int64)
+
+
+def _assign(centres: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], overlap: int):
     def run(batches):
         for batch in batches:
             vecs, dims = batch.column(2).to_pylist(), batch.column(3).to_numpy()
             homes = np.zeros((len(vecs), overlap), np.int64)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                c = centres.get(int(d))
-                if c is None or not len(c):
+                if int(d) not in centres:
                     continue
+                c, starts, numbers = centres[int(d)]
                 x = _unit([vecs[i] for i in at])
-                order = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
-                homes[at] = order[:, [min(i, order.shape[1] - 1) for i in range(overlap)]]
+                order = np.argsort(-np.maximum.reduceat(x @ c.T, starts, axis=1), axis=1, kind="stable")[:, :overlap]
+                homes[at] = numbers[order[:, [min(i, order.shape[1] - 1) for i in range(overlap)]]]
             lists = pa.ListArray.from_arrays(np.arange(len(vecs) + 1, dtype=np.int32) * overlap, pa.array(homes.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "copies", "vec", "dim", "homes"])
 
@@ -252,7 +274,7 @@ def recall(truth: dict[int, int], got: dict[int, int]) -> float:
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, overlap: int = 2,
-    shard_rows: int = 500, most_shards: int = 4096, most_rows: int = 2048, sample_rows: int = 20_000, audited: int = 256, least_recall: float = 0.95,
+    shard_rows: int = 500, most_shards: int = 4096, most_rows: int = 2048, sample_rows: int = 20_000, audited: int = 256, least_recall: float = 0.95, exact_rows: int = 200_000,
 ) -> DataFrame:
     """One row per row of ``vectors``: its id, n_links, component_id, kept.
 
@@ -263,9 +285,11 @@ def near_vectors(
     copies is neither gathered in one task nor searched in part. Links are counted where they
     are found, and shards pass on one edge per vector, so pairs are never rows. Classes of the
     sample are compared with all others by brute force until ``audited`` of them have links
-    with other classes; as long as the mean share of these links that is found is below
-    ``least_recall``, all is done again with one more shard per class. The log tells how many
-    links were audited.
+    with other classes. If the mean share of these links that is found is below
+    ``least_recall``, all is done again: with one more shard per class up to six in tables of
+    over ``exact_rows`` classes, and then, or at once in smaller ones, by products of all blocks
+    of classes, which miss no link and cost the square of the table. The log tells how many
+    links were audited. Shards whose centroids lie within ``cosine`` are one.
 
     Vectors that are null, empty, zero or hold nulls or non-finite numbers link with nothing, nor
     do vectors of different lengths. Repeated rows are copies of each other and link. Null ids
@@ -282,18 +306,25 @@ def near_vectors(
     for dim, rows in sample.groupby("dim"):
         x = _unit(rows.vec)
         k = max(1, min(math.ceil(by_dim[int(dim)] / shard_rows), most_shards, len(x)))
-        centres[int(dim)] = centroids(x, k)
+        centres[int(dim)] = merged(centroids(x, k), cosine)
     truth = _audit(reps, sample, cosine, audited)
+    exact = False
     while True:
-        shards = stored(reps.mapInArrow(_assign(centres, overlap), "id long, copies long, vec binary, dim int, homes array<long>"), "assigned")
-        found = _shard_links(shards, cosine, most_rows)
+        if exact:
+            found = _all_links(reps, cosine)
+        else:
+            shards = stored(reps.mapInArrow(_assign(centres, overlap), "id long, copies long, vec binary, dim int, homes array<long>"), "assigned")
+            found = _shard_links(shards, cosine, most_rows)
         counted = stored(found.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("root")), "counted")
         edges = stored(found.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")), "edges")
         got = {r[0]: r[1] for r in counted.where(F.col("id").isin(list(truth))).select("id", "links").collect()} if truth else {}
         found_share = recall(truth, got)
-        LOG.info("recall %.4f over %d links of %d audited vectors, %d shards each", found_share, sum(truth.values()), len(truth), overlap)
-        if overlap >= 6 or found_share >= least_recall:
+        LOG.info("recall %.4f over %d links of %d audited vectors, %s", found_share, sum(truth.values()), len(truth), "all blocks" if exact else f"{overlap} shards each")
+        if found_share >= least_recall:
             break
+        if exact:
+            raise RuntimeError(f"recall {found_share:.4f} of the audited links is below {least_recall}")
+        exact = overlap >= 6 or sum(by_dim.values()) <= exact_rows
         overlap += 1
     named = counted.select("id", "links").join(components(edges).withColumnRenamed("component", "c"), "id", "left").join(reps.select("id", "copies"), "id")
     named = classes.select("v", "id").join(named.select("id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("c", "id").alias("component_id")), "id").drop("id")
@@ -327,6 +358,44 @@ def _shard_links(shards: DataFrame, cosine: float, most_rows: int) -> DataFrame:
     return stored(full.groupBy(*key).applyInPandas(_links(cosine), "id long, links long, root long"), "shard-links")
 
 
+def _products(cosine: float, tile: int = 256):
+    def run(key, rows):
+        import pandas as pd
+
+        _, i, j = key
+        rows = rows.sort_values("id")
+        x, ids, copies, block = _unit(rows.vec), rows.id.to_numpy(np.int64), rows.copies.to_numpy(np.int64), rows.block.to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        y, links, label = x[right], np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for low in range(0, len(left), tile):
+            at = left[low : low + tile]
+            near = x[at] @ y.T >= cosine
+            if i == j:
+                near[np.arange(len(at)), low + np.arange(len(at))] = False
+            some = near.any(axis=1)
+            at, near = at[some], near[some]
+            links[at] += near @ copies[right]
+            if i != j:
+                links[right] += copies[at] @ near
+            for a, row in zip(at, near):
+                to = label[right[row]]
+                if (to != label[a]).any():
+                    both = np.unique(np.append(to, label[a]))
+                    label[np.isin(label, both)] = both[0]
+        return pd.DataFrame({"id": ids, "links": links, "root": ids[label]})
+
+    return run
+
+
+def _all_links(reps: DataFrame, cosine: float, block_bytes: int = 1 << 23) -> DataFrame:
+    """Links of all classes without shards: every pair of blocks of ``block_bytes`` of vectors is a task."""
+    sizes = reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", F.ceil(F.col("n") * F.col("dim") * 8 / block_bytes).cast("int").alias("blocks"))
+    rows = reps.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
+    rows = rows.withColumn("cell", F.explode(cell)).select("id", "copies", "vec", "dim", "block", "cell.*")
+    return stored(rows.groupBy("dim", "i", "j").applyInPandas(_products(cosine), "id long, links long, root long"), "all-links")
+
+
 def op3_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 

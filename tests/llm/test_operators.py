@@ -313,6 +313,38 @@ def test_vectors_that_all_repeat_one(spark):
         assert got == {(3, 2, 3, True), (4, 2, 3, False), (9, 2, 3, False), (6, 1, 6, True), (7, 1, 6, False)} - ({(6, 1, 6, True), (7, 1, 6, False)} if len(some) == 3 else set())
 
 
+def test_shards_that_lose_links_are_finished_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 12))
+    x[300:] = x[:300] + rng.normal(size=(300, 12)) * 0.25  # pairs about the threshold, all over the space
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = embeddings._all_links
+    monkeypatch.setattr(embeddings, "_all_links", lambda reps, cosine: whole(reps, cosine, 1 << 14))  # four blocks
+    got = {r.vec_id: r for r in embeddings.near_vectors(table, shard_rows=2, overlap=6, least_recall=1.0).collect()}
+    assert [got[i].n_links for i in range(600)] == list(near.sum(axis=1) - 1) and near.sum() > 700
+    root = np.arange(600)
+    while (new := np.where(near, root, 600).min(axis=1)).tolist() != root.tolist():
+        root = new
+    assert [got[i].component_id for i in range(600)] == root.tolist()
+
+
+def test_shards_of_one_group_are_merged():
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=32)
+    x = np.concatenate([centre + rng.normal(size=(900, 32)) * 0.15, rng.normal(size=(900, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vecs = [v.tobytes() for v in x]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1800)), pa.array([1] * 1800), pa.array(vecs), pa.array([32] * 1800, pa.int32())], ["id", "copies", "vec", "dim"])
+    out = next(embeddings._assign({32: embeddings.merged(embeddings.centroids(x, 36), 0.95)}, 2)([batch]))
+    first = {h[0] for h in out.column(4).to_pylist()[:900]}
+    assert len(first) == 1
+
+
 def test_audit_counts_links_with_other_classes_only(spark, caplog):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 32))
