@@ -79,7 +79,7 @@ def text_nodes(page: str):
     def spoken(text: str):
         top = stack[-1]
         if text and not top.hidden:
-            path = "/".join(n.step for n in stack if n.tag not in INLINE or n.tag == "a")
+            path = "/".join(n.step for n in stack if n.tag not in INLINE)
             return path, block, html.unescape(text), link > 0, top.inside
         return None
 
@@ -122,19 +122,19 @@ def text_nodes(page: str):
 
 def content_paths(nodes: list, share: float = 0.35) -> set[str]:
     """The paths that carry content. Inside an article they all do. Elsewhere a path's ratios
-    are its text length and its punctuation per node, less link text; they are smoothed over the
-    neighbouring nodes, and fused as their geometric mean, which must reach ``share`` of the
-    length-weighted mean over the page."""
+    are its text length and its punctuation per node; they are smoothed over the
+    neighbouring nodes, and fused as their geometric mean less the share of link text, which must
+    reach ``share`` of the length-weighted mean over the page."""
     if any(inside and text.strip() for _, _, text, _, inside in nodes):
         return {path for path, _, _, _, inside in nodes if inside}
-    count, length, marks = defaultdict(int), defaultdict(float), defaultdict(float)
+    count, length, linked, marks = defaultdict(int), defaultdict(float), defaultdict(float), defaultdict(float)
     for path, _, text, link, _ in nodes:
         size = len(text.strip())
         if size:
             count[path] += 1
-            if not link:
-                length[path] += size
-                marks[path] += len(PUNCTUATION.findall(text))
+            length[path] += size
+            linked[path] += size * link
+            marks[path] += len(PUNCTUATION.findall(text))
     rows = [n[0] for n in nodes if n[2].strip()]
     ratio = [(length[p] / count[p], marks[p] / count[p]) for p in rows]
     kernel = [math.exp(-d * d / 2) for d in range(-2, 3)]
@@ -146,12 +146,12 @@ def content_paths(nodes: list, share: float = 0.35) -> set[str]:
         own = ratio[i]
         smooth[path] += math.sqrt((a + own[0]) * (b + own[1] + 0.1)) / 2
         weight[path] += 1
-    score = {p: smooth[p] / weight[p] for p in smooth}
+    score = {p: smooth[p] / weight[p] * (1 - linked[p] / length[p]) for p in smooth}
     whole = sum(length.values())
     if not whole:
         return set()
     bar = share * sum(score[p] * length[p] for p in score) / whole
-    return {p for p in score if score[p] >= bar and length[p]}
+    return {p for p in score if score[p] >= bar and score[p] > 0}
 
 
 def main_text(page: str) -> str:

@@ -440,3 +440,14 @@ def test_extract_table(spark):
     got = sorted(map(tuple, html_paths.extract(pages).collect()))
     assert got[0] == (1, "u", "", 0) and got[1][3] == 50_000 * 2 - 1 and got[2] == got[3] == (3, "u", "é", 1)
     assert html_paths.extract(pages.limit(0)).count() == 0
+
+
+LINKED = {
+    "<div><p>See <a href=x>the long report</a>, which is out, and good.</p><p>More text, here, too.</p></div><ul><li><a>x</a></li></ul>": "See the long report, which is out, and good.\nMore text, here, too.",
+    "<div><p>It ends, as it should, in <b><a>a link</a></b></p><p><a>All of this, one of many, is a link.</a></p><p>Plain text, and more.</p></div>": "It ends, as it should, in a link\nAll of this, one of many, is a link.\nPlain text, and more.",
+}
+
+
+@pytest.mark.parametrize("page", LINKED)
+def test_links_stay_in_their_paragraphs(page):
+    assert html_paths.main_text(page) == LINKED[page]
