@@ -1,9 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node has a path of tags from the root. A page's nodes are grouped by
-path: length of text, punctuation and share of link text per node. These ratios are
-smoothed along the page, fused with what the tags themselves say (an article, a
-menu, an advert), and paths above a threshold are the content. As a path is kept or
+path: length of text and punctuation per block, and share of link text. These ratios are
+smoothed along the page, fused with what the tags themselves say (an article, an
+advert), and paths above a threshold are the content. As a path is kept or
 dropped whole, a short paragraph stands or falls with the long ones like it.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,9 +50,9 @@ SCOPES = frozenset("ul ol dl table div article section main body blockquote".spl
 
 
 class Node:
-    """An open element: its step in a path, whether it hides text, whether it holds an article."""
+    """An open element: its step in a path, whether it hides text, has a sign against it, holds an article."""
 
-    __slots__ = ("tag", "step", "hidden", "inside")
+    __slots__ = ("tag", "step", "hidden", "signed", "inside")
 
     def __init__(self, tag: str, attributes: str, above: Node | None):
         self.tag, words, roles = tag, set(), ""
@@ -61,26 +61,27 @@ class Node:
                 value = "".join(values).lower()
                 words |= set(WORD.findall(value))
                 roles += f" {value}" if name.lower() in ("role", "itemprop") else ""
-        up_inside, up_hidden = (above.inside, above.hidden) if above else (False, False)
+        up_inside, up_hidden, up_signed = (above.inside, above.hidden, above.signed) if above else (False, False, False)
         own = tag in CONTAINER or " main" in roles or "articlebody" in roles
         signed = bool(words & (SIGNS - TITLES if up_inside else SIGNS)) or any(w.startswith(STEMS) for w in words)
-        signed = signed and tag not in ("html", "body") and not own
+        self.signed = up_signed or signed and tag not in ("html", "body") and not own
         # the header of an article has its title; that of a page is not content
-        self.hidden = up_hidden or tag in BLOCKED or signed or tag == "header" and not up_inside
-        self.inside = (up_inside or own) and not self.hidden
+        self.hidden = up_hidden or tag in BLOCKED or tag == "header" and not up_inside
+        self.inside = (up_inside or own) and not self.hidden and not self.signed
         self.step = tag
 
 
 def text_nodes(page: str):
-    """(path, block number, text, under a link, inside an article) for each shown text node, in page order."""
+    """(path, block number, text, under a link) for each shown text node, in page order. A path is
+    its block-level steps, whether they are inside an article and whether there is a sign against them."""
     stack = [Node("html", "", None)]
     block, at, link = 0, 0, 0
 
     def spoken(text: str):
         top = stack[-1]
         if text and not top.hidden:
-            path = "/".join(n.step for n in stack if n.tag not in INLINE)
-            return path, block, html.unescape(text), link > 0, top.inside
+            path = "/".join(n.step for n in stack if n.tag not in INLINE), top.inside, top.signed
+            return path, block, html.unescape(text), link > 0
         return None
 
     for m in TOKEN.finditer(page):
@@ -120,47 +121,48 @@ def text_nodes(page: str):
         yield found
 
 
-def content_paths(nodes: list, share: float = 0.35) -> set[str]:
-    """The paths that carry content. Inside an article they all do. Elsewhere a path's ratios
-    are its text length and its punctuation per node; they are smoothed over the
-    neighbouring nodes, and fused as their geometric mean less the share of link text, which must
-    reach ``share`` of the length-weighted mean over the page."""
-    if any(inside and text.strip() for _, _, text, _, inside in nodes):
-        return {path for path, _, _, _, inside in nodes if inside}
-    count, length, linked, marks = defaultdict(int), defaultdict(float), defaultdict(float), defaultdict(float)
-    for path, _, text, link, _ in nodes:
+def content_paths(nodes: list, share: float = 0.35, inside: float = 256.0, outside: float = 0.375, signed: float = 0.125) -> set[tuple]:
+    """The paths that carry content. A path's ratios are its text length and its punctuation per
+    block; they are smoothed over the neighbouring blocks, and fused as their geometric mean less
+    the share of link text. Times the weights of what the tags say (``inside`` an article,
+    ``outside`` of it on a page that has one, where only a path at the mean passes, ``signed`` by a class or role), it must reach
+    ``share`` of the length-weighted mean over the page."""
+    length, linked, marks = defaultdict(float), defaultdict(float), defaultdict(float)
+    blocks: dict[tuple, None] = {}
+    for path, block, text, link in nodes:
         size = len(text.strip())
         if size:
-            count[path] += 1
+            blocks[block, path] = None
             length[path] += size
-            linked[path] += size * link
             marks[path] += len(PUNCTUATION.findall(text))
-    rows = [n[0] for n in nodes if n[2].strip()]
+            linked[path] += size * link
+    rows = [path for _, path in blocks]
+    if not rows:
+        return set()
+    count = Counter(rows)
     ratio = [(length[p] / count[p], marks[p] / count[p]) for p in rows]
     kernel = [math.exp(-d * d / 2) for d in range(-2, 3)]
-    smooth, weight = defaultdict(float), defaultdict(int)
+    smooth = defaultdict(float)
     for i, path in enumerate(rows):
         near = [(kernel[j - i + 2], ratio[j]) for j in range(max(0, i - 2), min(len(rows), i + 3))]
         total = sum(k for k, _ in near)
         a, b = (sum(k * r[x] for k, r in near) / total for x in (0, 1))
         own = ratio[i]
         smooth[path] += math.sqrt((a + own[0]) * (b + own[1] + 0.1)) / 2
-        weight[path] += 1
-    score = {p: smooth[p] / weight[p] * (1 - linked[p] / length[p]) for p in smooth}
-    whole = sum(length.values())
-    if not whole:
-        return set()
-    bar = share * sum(score[p] * length[p] for p in score) / whole
-    return {p for p in score if score[p] >= bar and score[p] > 0}
+    # links are no reason against a path of an article alone
+    score = {p: smooth[p] / count[p] * (1 - linked[p] / length[p] * (0.75 if p[1] else 1)) for p in smooth}
+    bar = share * sum(score[p] * length[p] for p in score) / sum(length.values())
+    article = any(p[1] for p in score)
+    weight = {p: (inside if p[1] else outside if article else 1.0) * (signed if p[2] else 1.0) for p in score}
+    return {p for p in score if score[p] > 0 and score[p] * weight[p] >= bar}
 
 
 def main_text(page: str) -> str:
     nodes = list(text_nodes(page))
     kept = content_paths(nodes)
-    article = any(inside and text.strip() for _, _, text, _, inside in nodes)
     blocks: dict[int, list[str]] = {}
-    for path, block, text, _, inside in nodes:
-        if path in kept and inside == article:
+    for path, block, text, _ in nodes:
+        if path in kept:
             blocks.setdefault(block, []).append(text)
     lines = (SPACES.sub(" ", "".join(x)).strip(" ") for x in blocks.values())
     return "\n".join(x for x in lines if x)

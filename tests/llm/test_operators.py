@@ -451,3 +451,13 @@ LINKED = {
 @pytest.mark.parametrize("page", LINKED)
 def test_links_stay_in_their_paragraphs(page):
     assert html_paths.main_text(page) == LINKED[page]
+
+
+def test_ratios_decide_beside_article_elements():
+    long = "A long paragraph, with commas, and stops. It goes on, and on, and on. " * 6
+    story = "".join(f"<div class=story><p>{long}</p></div>" for _ in range(8))
+    # the text is outside the cards that are marked as articles
+    assert html_paths.main_text(f"<article><p>Card</p></article>{story}").count("A long paragraph") == 48
+    # and what stands beside an article is not its text, but its short lists are
+    page = f"<div><span>Other news</span></div><article><h1>Title</h1><p>{long}</p><p>{long}</p><ul>{'<li>two' * 9}</ul><p>{long}</p></article><div class=comments><p>Nice, I think.</p></div>"
+    assert html_paths.main_text(page).split("\n") == ["Title", long.strip(), long.strip(), *["two"] * 9, long.strip()]
