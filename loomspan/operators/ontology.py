@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators.intervals import earlier
+
 
 def ancestors(edges: DataFrame, most: int = 100) -> DataFrame:
     """All (term, ancestor, distance) of a graph (child, parent), the shortest distance; a term is its own at 0.
@@ -112,7 +114,10 @@ def go_enrichment(genes: DataFrame, assoc: DataFrame, edges: DataFrame, side: st
     """``enrichment_counts`` with hypergeometric p and Benjamini-Hochberg q; rows with p of ``p_max`` at most."""
     c = enrichment_counts(genes, assoc, edges).where("in_list > 0" if side == "over" else "in_universe > 0")
     c = c.withColumn("p", _hypergeometric(side == "over")("in_list", "in_universe", "listed", "universe"))
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    c = c.withColumns({"m": n, "r": F.rank().over(W.orderBy("p"))}).withColumn("q0", F.col("p") * F.col("m") / F.col("r"))
-    q = F.least(F.lit(1.0), F.min("q0").over(W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)))
-    return c.withColumn("q", q).where(F.col("p") <= p_max).select("term", "in_list", "in_universe", "listed", "universe", "p", "q")
+    v = c.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    bounds = F.array(*map(F.lit, v.approxQuantile("p", [i / 256 for i in range(1, 256)], 0.001) or [0.0]))  # 255 numbers
+    tile = F.size(F.filter(bounds, lambda x: x < F.col("p")))
+    v = earlier(v.withColumn("__k", F.lit(0)), ["__k"], ["p"], F.col("n"), "sum", tile).withColumn("r", F.col("__before") + 1).drop("__before")
+    v = v.join(F.broadcast(v.agg(F.sum("n").alias("m"))), how="cross").withColumn("q0", F.col("p") * F.col("m") / F.col("r"))  # one row
+    v = earlier(v, ["__k"], [F.desc("p")], -F.col("q0"), "max", -tile, inclusive=True)
+    return c.join(v.select("p", F.least(F.lit(1.0), -F.col("__before")).alias("q")), "p").where(F.col("p") <= p_max).select("term", "in_list", "in_universe", "listed", "universe", "p", "q")
