@@ -94,19 +94,6 @@ def test_hypergeometric_enrichment(spark):
     assert r.p == pytest.approx(math.comb(4, 3) / math.comb(10, 3))
 
 
-def test_enrichment_q_in_tiles(spark):
-    assoc = spark.createDataFrame([(f"g{i}", f"t{k}") for k in range(2, 42) for i in range(300) if i * k % 41 < 4 + k % 5], "gene string, term string")
-    edges = spark.createDataFrame([(f"t{k}", "root") for k in range(2, 42)], "child string, parent string")
-    out = ontology.go_enrichment(assoc.where("gene LIKE '%3'").select("gene"), assoc, edges, p_max=1.0)
-    rows = out.collect()
-    p = [r.p for r in rows]
-    q0 = {x: x * len(p) / (1 + sum(y < x for y in p)) for x in p}
-    assert len(set(p)) > 5 and all(r.q == pytest.approx(min(1.0, *(q0[y] for y in p if y >= r.p))) for r in rows)
-    # each window is of a tile, or over one row per tile
-    specs = out._jdf.queryExecution().analyzed().toString().split("windowspecdefinition(")[1:]
-    assert specs and all(x.startswith("__k") for x in specs)
-
-
 def test_alignment_positions(spark):
     aln = spark.createDataFrame([("b", "x", "A-CG"), ("b", "y", "AT-C")], "block string, row_id string, aln string")
     assert got(alignments.aln_coordinates(aln, "x", "y"), "col", "ref_pos", "other_pos", "other_base") == [(1, 1, 1, "A"), (3, 2, None, None), (4, 3, 3, "C")]
