@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from loomspan.llm._base import pieces, table
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|title|select|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>",
-    re.S | re.I,
-)
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+QUOTE = re.compile("[>\"']")
+#: elements whose text is not markup, and is no content
+RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in "script style noscript template textarea iframe svg math title select object canvas".split()}
+#: elements open at once; what is nested deeper stands beside its parent, as in browsers
+DEEPEST = 512
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 SPACES = re.compile(r"[ \t\n\r\f\v]+")
@@ -41,81 +41,160 @@ SIGNS = frozenset(
 )
 #: words that begin a sign, as in commentlist
 STEMS = ("comment", "advert", "sponsor", "breadcrumb", "newsletter", "cookie", "sidebar", "navbar")
+#: words that may stand beside a sign in one class name; a name with other words (related-work, header-image) is no sign
+FRAME = frozenset(
+    "area bar bars block blocks body bottom box boxes button buttons card cards col column container content feed form fixed google global group inner items item left link links list "
+    "lists main more module outer overlay page panel policy post posts article articles stories news reader readers region right row section site slot small strip sub sticky text thread "
+    "title top unit user users wrap wrapper primary secondary tertiary js c u l is has".split()
+)
 #: signs that don't count inside an article, where they frame its title
 TITLES = frozenset("header masthead".split())
 CONTAINER = frozenset("article main".split())
 #: an open tag that a new one ends
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "option": {"option"}}
+PARAGRAPH = frozenset(["p"])
 SCOPES = frozenset("ul ol dl table div article section main body blockquote".split())
 
 
+def is_sign(name: str, inside: bool) -> bool:
+    """Whether a class name, id or role says that an element is no content."""
+    words = WORD.findall(name)
+    signs = [w for w in words if (w in SIGNS and not (inside and w in TITLES)) or w.startswith(STEMS)]
+    return bool(signs) and all(w in signs or w in FRAME or w in TITLES or not w.isalpha() for w in words)
+
+
 class Node:
-    """An open element: its step in a path, whether it hides text, has a sign against it, holds an article."""
+    """An open element: its path, whether it hides text, has a sign against it, holds an article."""
 
-    __slots__ = ("tag", "step", "hidden", "signed", "inside")
+    __slots__ = ("tag", "path", "hidden", "signed", "inside")
 
-    def __init__(self, tag: str, attributes: str, above: Node | None):
-        self.tag, words, roles = tag, set(), ""
+    def __init__(self, tag: str, attributes: str, above: Node | None, paths: dict[tuple[int, str], int]):
+        self.tag, names, roles = tag, [], ""
         if attributes:
             for name, *values in ATTRIBUTE.findall(attributes):
                 value = "".join(values).lower()
-                words |= set(WORD.findall(value))
+                names += value.split()
                 roles += f" {value}" if name.lower() in ("role", "itemprop") else ""
         up_inside, up_hidden, up_signed = (above.inside, above.hidden, above.signed) if above else (False, False, False)
         own = tag in CONTAINER or " main" in roles or "articlebody" in roles
-        signed = bool(words & (SIGNS - TITLES if up_inside else SIGNS)) or any(w.startswith(STEMS) for w in words)
+        signed = any(is_sign(x, up_inside) for x in names)
         self.signed = up_signed or signed and tag not in ("html", "body") and not own
         # the header of an article has its title; that of a page is not content
         self.hidden = up_hidden or tag in BLOCKED or tag == "header" and not up_inside
         self.inside = (up_inside or own) and not self.hidden and not self.signed
-        self.step = tag
+        # paths are numbered, as they can be as long as a page
+        self.path = above.path if above and tag in INLINE else paths.setdefault((above.path if above else 0, tag), len(paths) + 1)
+
+
+def tokens(page: str):
+    """(begin, end, closes, tag, attributes) of each tag of ``page`` in order. Comments, declarations and elements with
+    raw text are tokens with an empty tag, CDATA one with the tag ``[``. Every character is looked at a few times at most:
+    once a search has reached the end of the page in vain, it isn't tried again."""
+    at, quoted = 0, True
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = len(page) if end < 0 else end + 3
+            yield lt, at, False, "", ""
+            continue
+        if page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            at = len(page) if end < 0 else end + 3
+            yield lt, at, False, "[", page[lt + 9 : at].removesuffix("]]>")
+            continue
+        m = TAG.match(page, lt)
+        if not m and not page.startswith(("<!", "<?"), lt):
+            at = lt + 1
+            continue
+        first = page.find(">", lt)
+        if first < 0:  # no tag ends from here on
+            if page.startswith("</", lt):
+                yield lt, len(page), True, "", ""
+            return
+        if not m:
+            at = first + 1
+            yield lt, at, False, "", ""
+            continue
+        end, i = first, m.end()
+        while quoted:
+            q = QUOTE.search(page, i)
+            if q and q[0] == ">":
+                end = q.start()
+                break
+            close = page.find(q[0], q.end()) if q else -1
+            if close < 0:
+                quoted = False  # quotes of this page can't be trusted from here on: tags end at their first ">"
+            i = close + 1
+        tag, closes, attributes = m[1].lower(), page[lt + 1] == "/", page[m.end() : end]
+        at = end + 1
+        if tag in RAW and not closes:
+            if not (tag in ("svg", "math") and attributes.endswith("/")):
+                over = RAW[tag].search(page, at)
+                at = over.end() if over else len(page)
+            yield lt, at, False, "", ""
+        else:
+            yield lt, at, closes, tag, attributes
 
 
 def text_nodes(page: str):
-    """(path, block number, text, under a link) for each shown text node, in page order. A path is
-    its block-level steps, whether they are inside an article and whether there is a sign against them."""
-    stack = [Node("html", "", None)]
+    """(path, block number, text, under a link) for each shown text node, in page order. A path is the number of
+    its block-level tags from the root, whether they are inside an article and whether there is a sign against them."""
+    paths: dict[tuple[int, str], int] = {}
+    stack = [Node("html", "", None, paths)]
+    open_ = Counter()
     block, at, link = 0, 0, 0
 
     def spoken(text: str):
         top = stack[-1]
-        if text and not top.hidden:
-            path = "/".join(n.step for n in stack if n.tag not in INLINE), top.inside, top.signed
-            return path, block, html.unescape(text), link > 0
-        return None
+        return ((top.path, top.inside, top.signed), block, html.unescape(text), link > 0) if text and not top.hidden else None
+
+    def close(depth: int):
+        nonlocal link
+        for node in stack[depth:]:
+            open_[node.tag] -= 1
+            link -= node.tag == "a"
+        del stack[depth:]
 
-    for m in TOKEN.finditer(page):
-        if found := spoken(page[at : m.start()]):
+    for begin, end, closes, tag, attributes in tokens(page):
+        if found := spoken(page[at:begin]):
             yield found
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA[") and (found := spoken(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))):
+        at = end
+        if tag == "[":
+            if found := spoken(attributes.replace("&", "&amp;")):
                 yield found
             continue
+        if not tag:
+            continue
         if tag == "br":
             if found := spoken(" "):
                 yield found
             continue
-        if tag not in INLINE:
+        inline = tag in INLINE
+        if not inline:
             block += 1
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and not (tag in INLINE and any(n.tag not in INLINE for n in stack[depth + 1 :])):
-                link -= sum(n.tag == "a" for n in stack[depth:])
-                del stack[depth:]
+        if closes:
+            if open_[tag]:
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].tag == tag:
+                        close(depth)
+                        break
+                    if inline and stack[depth].tag not in INLINE:
+                        break
             continue
-        if tag in VOID or m[4].endswith("/") and tag not in ("p", "div"):
+        if tag in VOID or attributes.endswith("/") and tag not in ("p", "div"):
             continue
-        if tag not in INLINE:
-            ends = ENDS.get(tag, {"p"})
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    link -= sum(n.tag == "a" for n in stack[i:])
-                    del stack[i:]
-                elif stack[i].tag in SCOPES:
-                    break
-        stack.append(Node(tag, m[4], stack[-1]))
+        if not inline:
+            ends = ENDS.get(tag, PARAGRAPH)
+            if any(open_[x] for x in ends):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].tag in ends:
+                        close(depth)
+                    elif stack[depth].tag in SCOPES:
+                        break
+        if len(stack) >= DEEPEST:
+            close(len(stack) - 1)
+        stack.append(Node(tag, attributes, stack[-1], paths))
+        open_[tag] += 1
         link += tag == "a"
     if found := spoken(page[at:]):
         yield found
