@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._base import stored, table
+from loomspan.llm._base import dropped, stored, table
 from loomspan.llm._components import components
 from loomspan.llm._words import U, mix
 
@@ -47,9 +47,23 @@ def robust_prune(near: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha
     return out
 
 
+def _pruned(x: np.ndarray, i: int, near: np.ndarray, degree: int, alpha: float = ALPHA) -> np.ndarray:
+    """``robust_prune`` of one node with many candidates, the closest first; those pruned fill what is left of ``degree``."""
+    away = np.sqrt(np.maximum(2 - 2 * (x[near] @ x[i]), 0))
+    live, chosen = np.ones(len(near), bool), []
+    while live.any() and len(chosen) < degree:
+        at = int(np.argmax(live))
+        chosen.append(at)
+        live &= alpha * np.sqrt(np.maximum(2 - 2 * (x[near] @ x[near[at]]), 0)) > away
+        live[at] = False
+    left = np.setdiff1d(np.arange(len(near)), chosen)[: degree - len(chosen)]
+    return near[np.concatenate([chosen, left]).astype(np.int64)]
+
+
 def build(x: np.ndarray, seed: np.ndarray) -> tuple[list[np.ndarray], int]:
     """Adjacency lists of unit vectors ``x`` and their medoid. Candidates are the nearest vectors
-    and some far ones, which keep the graph in one piece; edges go both ways."""
+    and some far ones, which keep the graph in one piece. Edges go both ways; a node that these
+    leave with more than twice ``DEGREE`` neighbours is pruned again."""
     n = len(x)
     sims = x @ x.T
     medoid = int(np.argmax(x @ x.mean(axis=0)))
@@ -62,6 +76,15 @@ def build(x: np.ndarray, seed: np.ndarray) -> tuple[list[np.ndarray], int]:
     a, k = np.nonzero(chosen >= 0)
     b = chosen[a, k]
     pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
+    count = np.bincount(pairs // n, minlength=n)
+    edge, heavy = np.concatenate([[0], np.cumsum(count)]), np.flatnonzero(count > 2 * DEGREE)
+    if len(heavy):
+        thin = [pairs[np.isin(pairs // n, heavy, invert=True)]]
+        for i in heavy:
+            to = pairs[edge[i] : edge[i + 1]] % n
+            to = to[np.argsort(-sims[i, to], kind="stable")]
+            thin.append(i * n + _pruned(x, i, to, 2 * DEGREE))
+        pairs = np.unique(np.concatenate(thin))
     seen = np.zeros(n, bool)
     while True:  # what the medoid doesn't lead to is tied to its nearest node that it does
         src, dst = pairs // n, pairs % n
@@ -158,8 +181,10 @@ def _links(cosine: float):
         lists = [np.array([place[v] for v in y if v in place], np.int64) for y in rows.near]
         inside = search(x, lists, int(np.flatnonzero(rows.medoid)[0]), cosine)
         a, b = np.nonzero(inside)
-        good = np.einsum("pd,pd->p", x[a], x[b]) >= cosine if len(a) else np.zeros(0, bool)
-        inside[a[~good], b[~good]] = False
+        for low in range(0, len(a), 1 << 15):  # in double precision, a few megabytes of pairs at a time
+            p, q = a[low : low + (1 << 15)], b[low : low + (1 << 15)]
+            bad = np.einsum("pd,pd->p", x[p], x[q]) < cosine
+            inside[p[bad], q[bad]] = False
         # a pair that several shards or cells hold is counted by one of them
         homes = np.array(rows.homes.tolist())
         mine, first = int(key[1]), np.full((len(ids), len(ids)), True)
@@ -317,6 +342,9 @@ def near_vectors(
             found = _shard_links(shards, cosine, most_rows)
         counted = stored(found.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("root")), "counted")
         edges = stored(found.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")), "edges")
+        dropped(raw.sparkSession, found)
+        if not exact:
+            dropped(raw.sparkSession, shards)
         got = {r[0]: r[1] for r in counted.where(F.col("id").isin(list(truth))).select("id", "links").collect()} if truth else {}
         found_share = recall(truth, got)
         LOG.info("recall %.4f over %d links of %d audited vectors, %s", found_share, sum(truth.values()), len(truth), "all blocks" if exact else f"{overlap} shards each")
@@ -350,12 +378,18 @@ def _shard_links(shards: DataFrame, cosine: float, most_rows: int) -> DataFrame:
     rows = stored(rows.withColumn("cell", F.explode(cell)).select("id", "copies", "vec", "dim", "homes", "shard", "block", "cell.*"), "cells")
     key = ["dim", "shard", "i", "j"]
     lists = stored(rows.groupBy(*key).applyInPandas(lambda key, pdf: _lists(pdf).assign(dim=key[0], shard=key[1], i=key[2], j=key[3]), "id long, near array<long>, medoid boolean, dim int, shard long, i int, j int"), "lists")
-    union = lists.select("id", F.explode("near").alias("x")).groupBy("id").agg(F.collect_set("x").alias("near"))  # DEGREE per shard, both ways
-    medoids = lists.where("medoid").select("id", *key, "medoid")
-    # a cell of one class has no neighbours
-    full = rows.join(union, "id", "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
-    full = full.join(medoids, ["id", *key], "left").withColumn("medoid", F.coalesce("medoid", F.lit(False)))
-    return stored(full.groupBy(*key).applyInPandas(_links(cosine), "id long, links long, root long"), "shard-links")
+    # the lists of other shards join a shard's own where both ends are in it; of a shard in
+    # blocks only the lists inside a block go out, so that an edge goes to overlap - 1 cells at most
+    places = rows.where("i = j").select("id", "shard", "block")
+    edges = lists.where("i = j").select(F.col("id").alias("a"), F.col("shard").alias("origin"), F.explode("near").alias("b"))
+    edges = edges.join(places.toDF("a", "shard", "x"), "a").where("shard <> origin").join(places.toDF("b", "shard", "y"), ["b", "shard"])
+    more = edges.groupBy(F.col("a").alias("id"), "shard", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).agg(F.collect_set("b").alias("more"))
+    full = rows.join(lists, ["id", *key]).join(more, ["id", "shard", "i", "j"], "left")
+    full = full.withColumn("near", F.when(F.col("more").isNull(), F.col("near")).otherwise(F.array_union("near", "more"))).drop("more")
+    links = stored(full.groupBy(*key).applyInPandas(_links(cosine), "id long, links long, root long"), "shard-links")
+    dropped(rows.sparkSession, rows)
+    dropped(rows.sparkSession, lists)
+    return links
 
 
 def _products(cosine: float, tile: int = 256):
