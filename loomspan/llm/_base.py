@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors reach.
 
-    It is what the session names in ``spark.checkpoint.dir``. Only a session
+    It is what the session names in ``spark.checkpoint.dir``. Only a local session
     without one, as in tests, gets a temporary folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", "")
     if not named:
         named = spark.sparkContext.getCheckpointDir() or ""
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         named = "file://" + tempfile.mkdtemp(prefix="spark-loomspan-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
