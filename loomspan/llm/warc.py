@@ -10,13 +10,14 @@ their Content-Length alone.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm._base import new_path, stored, table, text_or_empty
+from loomspan.llm._base import dropped, new_path, stored, table, text_or_empty
 
 BREAK = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,21 +38,43 @@ def _record(headers: list[tuple[str, F.Column | str]], block) -> F.Column:
 
 def write_captures(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
-    least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 6000,
+    least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 6000, run: str | None = None,
 ) -> None:
-    """Write a request, a response or revisit, and a metadata record for each page to
-    gzip-compressed archives under ``path``.
+    """Write a request, a response or revisit, and a metadata record for each row of ``pages`` to
+    gzip-compressed archives in folders under ``path``.
 
-    Of pages with equal payloads of ``least_bytes`` or more, the one with the smallest id
-    is stored as response and the others as revisits that refer to it. Null payloads are
-    empty, null URLs give no Target-URI; control characters in URLs become %-codes.
+    Of pages with equal payloads of ``least_bytes`` or more, one with the smallest id (null
+    after all others) is stored as response and the others as revisits that refer to it. A record's
+    id comes from the row and ``run`` (a random name if none is given), so that rows that share an id,
+    or have none, stay apart. Null payloads are empty, null URLs give no Target-URI; control characters
+    in URLs become %-codes; other columns are ignored; an empty table gives no archive with records.
+
+    An archive holds ``records_per_file`` records of payloads of 64 KB at most, an eighth as
+    many where payloads have up to eight times that, and so on: its bytes are bounded.
     """
+    spark = pages.sparkSession
     raw = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_or_empty(body_col).alias("body"))
-    rows = raw.withColumn("size", F.octet_length("body")).withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
-    first = rows.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    # a written table has a known size: without many copies Spark moves it to the pages, not the pages to it
-    rows = rows.join(stored(first, "copies"), "digest", "left").withColumn("again", F.coalesce(F.col("first") != F.col("id"), F.lit(False)))
-    key, clean = F.coalesce(F.col("id").cast("string"), F.lit("null")), F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
+    # written, so that a row has one number however often it is read
+    rows = stored(raw.withColumn("size", F.octet_length("body")).withColumn("digest", F.sha2(F.col("body").cast("binary"), 256)).withColumn("row", F.monotonically_increasing_id()), "captures")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"]
+    first = rows.where(F.col("size") >= least_bytes).groupBy("digest").agg(least.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    copies = stored(first, "copies")
+    most = rows.agg(F.max("size")).first()[0] or 0
+    low, bound = -1, 1 << 16
+    run = run or uuid.uuid4().hex
+    while low < most or low < 0:
+        # a written table has a known size: without many copies Spark moves it to the pages, not the pages to it
+        part = rows.where((F.col("size") > low) & (F.col("size") <= bound)).join(copies, "digest", "left").withColumn("again", F.coalesce(F.col("first") != F.col("row"), F.lit(False)))
+        records = _records(part, run, date)
+        records.write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, records_per_file)).text(f"{path}/upto-{bound}")
+        low, bound, records_per_file = bound, bound * 8, records_per_file // 8
+    dropped(spark, copies)
+    dropped(spark, rows)
+
+
+def _records(rows: DataFrame, run: str, date: str) -> DataFrame:
+    """The three records of each row, as texts."""
+    key, clean = F.concat(F.lit(f"{run}:"), F.col("row").cast("string")), F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     mine = _urn("capture", key)
     host, target = F.coalesce(F.try_parse_url(clean, F.lit("HOST")), F.lit("unknown")), F.coalesce(F.regexp_extract(clean, r"^[^:]+://[^/]*(/.*)$", 1), F.lit(""))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "), F.col("size").cast("string"), F.lit(BREAK * 2))
@@ -59,15 +82,14 @@ def write_captures(
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
     response = _record([("WARC-Type", "response"), ("WARC-Record-ID", mine), *common, digest, ("Content-Type", "application/http; msgtype=response")], F.concat(http, F.col("body")))
     revisit = _record(
-        [("WARC-Type", "revisit"), ("WARC-Record-ID", mine), *common, digest, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn("capture", F.col("first"))), ("Content-Type", "application/http; msgtype=response")],
+        [("WARC-Type", "revisit"), ("WARC-Record-ID", mine), *common, digest, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn("capture", F.concat(F.lit(f"{run}:"), F.col("first").cast("string")))), ("Content-Type", "application/http; msgtype=response")],
         http,
     )
     ask = F.concat(F.lit("GET "), F.when(target == "", F.lit("/")).otherwise(target), F.lit(f" HTTP/1.1{BREAK}Host: "), host, F.lit(BREAK * 2))
     request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _urn("request", key)), *common, ("WARC-Concurrent-To", mine), ("Content-Type", "application/http; msgtype=request")], ask)
     note = F.concat_ws(BREAK, F.concat(F.lit("page-id: "), F.col("id").cast("string")), F.lit("via: table"), F.lit(""))
     metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _urn("metadata", key)), *common, ("WARC-Concurrent-To", mine), ("Content-Type", "application/warc-fields")], note)
-    records = rows.select(F.explode(F.array(request, F.when(F.col("again"), revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    return rows.select(F.explode(F.array(request, F.when(F.col("again"), revisit).otherwise(response), metadata)).alias("value"))
 
 
 RECORD = (
@@ -159,29 +181,29 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = False) ->
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(_read(keep_payload), RECORD)
 
 
-def transactions(records: DataFrame, hops: int = 2) -> DataFrame:
+def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, capture (its response or revisit), request
     (the one with the smallest id if there are several) and metadata (an array by id).
 
     Records belong to the capture that their WARC-Concurrent-To names, in either
-    direction, or to that of a record they name, up to ``hops`` away; of several captures
-    to the one with the smallest id. Requests and metadata that lead to no capture come
-    in a row of their own without one. Records without an id are left out, repeated
-    records count once. An empty table gives none.
+    direction, or to that of a record they name, however far away (a round of joins for each
+    step); of the nearest captures to the one with the smallest id. Requests and metadata that lead
+    to no capture come in a row of their own without one. Records without an id are left out, records
+    that repeat an id count once. A capture's metadata are one nested value, as long as there are such
+    records of it. An empty table gives none.
     """
     records = stored(records.where("record_id IS NOT NULL").dropDuplicates(["record_id"]), "records")
     is_capture = F.coalesce(F.col("type").isin("response", "revisit"), F.lit(False))
     captures, others = records.where(is_capture), records.where(~is_capture)
     named = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
     links = stored(named.union(named.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    reach, owned = captures.select(F.col("record_id").alias("b"), F.col("record_id").alias("capture_id")), None
-    for _ in range(hops):
-        found = links.join(reach, "b").groupBy(F.col("a").alias("record_id")).agg(F.min("capture_id").alias("capture_id"))
-        found = stored(found if owned is None else found.join(owned, "record_id", "left_anti"), "owned")
-        owned = found if owned is None else owned.union(found)
-        if found.isEmpty() or others.count() == owned.join(captures.select("record_id"), "record_id", "left_anti").count():
-            break  # nothing is left to find
-        reach = found.withColumnRenamed("record_id", "b")
+    owned = captures.select("record_id", F.col("record_id").alias("capture_id"))
+    reach = owned
+    while not reach.isEmpty():
+        found = links.join(reach.withColumnRenamed("record_id", "b"), "b").groupBy(F.col("a").alias("record_id")).agg(F.min("capture_id").alias("capture_id"))
+        # names of records that the archives don't hold lead nowhere, but may join others
+        reach = stored(found.join(owned, "record_id", "left_anti"), "owned")
+        owned = owned.union(reach)
     others = others.join(owned, "record_id", "left").withColumn("capture_id", F.coalesce("capture_id", "record_id"))
     whole = F.struct(*others.drop("capture_id").columns)
     parts = others.groupBy("capture_id").agg(
@@ -194,15 +216,21 @@ def transactions(records: DataFrame, hops: int = 2) -> DataFrame:
 
 
 def op1_warc(spark, sf_dir):
+    """A row per row of ``pages``, also where page_ids repeat or are null: each is a capture of its own. Of equal
+    payloads of 100 bytes or more exactly one is the response, with the smallest page_id, nulls last."""
     path = new_path(spark, "warc")
     write_captures(table(spark, sf_dir, "pages"), path)
     rows = transactions(read_records(spark, path).drop("payload")).where("capture IS NOT NULL").select(
-        "capture_id", "capture.refers_to", "capture.type", F.coalesce("capture.http_length", "capture.payload_bytes").alias("payload_bytes"),
+        "capture_id", "capture.refers_to", "capture.type",
+        F.when(F.col("capture.type") == "response", F.col("capture.payload_bytes")).otherwise(F.col("capture.http_length")).alias("payload_bytes"),
         F.coalesce("capture.payload_sha256", F.substring_index("capture.digest", ":", -1)).alias("payload_digest"),
         F.expr("try_cast(metadata[0].fields['page-id'] AS long)").alias("page_id"),
     )
-    origin = rows.where("type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("origin"))
-    return rows.join(origin, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("origin").alias("refers_to"))
+    rows = stored(rows, "transactions")
+    first, again = rows.where("type = 'response'"), rows.where("type = 'revisit'")
+    origin = first.select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("origin"))
+    out = first.withColumn("origin", F.lit(None).cast("long")).unionByName(again.join(origin, "refers_to", "left"))
+    return out.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("origin").alias("refers_to"))
 
 
 ORACLE = """
