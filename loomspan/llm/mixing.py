@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def dice(*parts: Column | str) -> Column:
     """60 pseudo-random bits of some values, the same in every engine that has MD5."""
-    text = F.concat_ws(":", *(F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("~")).cast("string") for p in parts))
+    text = F.concat_ws(":", *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("~")) for p in parts))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -98,21 +98,27 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     A document's tokens are its words, one at least, so that each can be drawn. A source's
     draws hold as many tokens as its weight's share of the budget, less than one document
     short; sources repeat in whole epochs before the last one. Rows that repeat a document
-    are drawn on their own. A null id, text or source is a value like others; an empty table
-    gives no draws. Other columns are ignored.
+    are drawn on their own. A null id, text or source is a value like others; rows without an id
+    are dealt by their texts. An empty table gives no draws. Other columns are ignored.
     """
+    return _dealt(docs, id_col, text_col, source_col, mix).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "tokens", "epoch", "position")
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, mix: Mix, row: str | None = None) -> DataFrame:
+    """The draws, each with ``row``, which tells rows of ``docs`` apart."""
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), (F.col(row) if row else F.lit(0)).cast("long").alias("row"),
+        F.coalesce(F.col(id_col).cast("string"), F.md5(F.concat(F.lit("~"), F.coalesce(text_col, F.lit(""))).cast("binary"))).alias("name"),
         F.greatest(F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)), F.lit(1)).cast("long").alias("tokens"),
     )
-    rows = stored(rows.withColumn("dice", dice(F.lit(mix.seed), "id")), "draw-rows")
+    rows = stored(rows.withColumn("dice", dice(F.lit(mix.seed), "name")), "draw-rows")
     sources = stored(source_tokens(rows), "sources")
     plan = weighted(sources, fit_exponent(sources, mix), mix)
     n_blocks = mix.blocks or min(65536, max(16, math.ceil(math.sqrt(sources.agg(F.max("docs")).first()[0] or 1))))
     rows = rows.withColumn("block", F.col("dice") % n_blocks)
     blocks = rows.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))
     plan = plan.where("target > 0").select(F.col("source").alias("s"), F.col("tokens").alias("source_tokens"), "target", F.explode(F.sequence(F.lit(0), F.col("full").cast("int"))).alias("epoch"))
-    schedule = blocks.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).drop("s")  # sources times most_repeats rows
+    schedule = blocks.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")  # by size: a table of blocks and one of sources
     order = W.partitionBy("source", "epoch").orderBy(dice(F.lit(mix.seed), "source", "epoch", "block"), "block").rowsBetween(W.unboundedPreceding, -1)
     schedule = (
         schedule.withColumn("before", F.coalesce(F.sum("block_tokens").over(order), F.lit(0)) + F.col("epoch") * F.col("source_tokens"))
@@ -120,22 +126,26 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
     keys = schedule.select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "before", "target", "whole")
     dealt = rows.join(keys, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-    dealt = dealt.withColumn("order", dice(F.lit(mix.seed), "id", "epoch"))
+    dealt = dealt.withColumn("order", dice(F.lit(mix.seed), "name", "epoch"))
     whole = dealt.where("whole").withColumn("upto", F.lit(0).cast("long"))
     # one block of a source is cut; its rows are in order by themselves
-    inside = W.partitionBy("source", "epoch").orderBy("order", "id", "tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "epoch").orderBy("order", "id", "tokens", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
     cut = dealt.where("NOT whole").withColumn("upto", F.sum("tokens").over(inside)).where("before + upto <= target")
     fraction = (F.col("before") + F.col("order") / F.lit(float(1 << 60))) / F.col("target")
-    return whole.unionByName(cut).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "tokens", F.col("epoch").cast("long").alias("epoch"), F.least(fraction, F.lit(1.0)).alias("position")
-    )
+    return whole.unionByName(cut).select("id", "row", "source", "tokens", F.col("epoch").cast("long").alias("epoch"), F.least(fraction, F.lit(1.0)).alias("position"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix()) -> DataFrame:
-    """The documents as drawn, a row per draw, all columns unchanged. ``docs`` has one row per id."""
-    times = drawn(docs, id_col, text_col, source_col, mix).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).cast("int").alias("__times"))
-    out = docs.join(times.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.withColumn("__draw", F.explode(F.sequence(F.lit(1), "__times"))).select(docs.columns)
+    """The documents as drawn, a row per draw, all columns unchanged. Rows are told apart by their
+    place in a written copy of ``docs``, so ids may repeat or be null."""
+    keyed = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    deal = _dealt(keyed.select("doc.*", F.col("row").alias(_ROW)), id_col, text_col, source_col, mix, _ROW)
+    times = deal.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    out = keyed.join(times.hint("shuffle_hash"), "row").select("doc", F.explode(F.sequence(F.lit(1), "times")))
+    return out.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+
+
+_ROW = "__row of the written copy"
 
 
 def op5_source_mixing(spark, sf_dir):
@@ -146,7 +156,7 @@ _DICE = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
 
 ORACLE = rf"""
 WITH RECURSIVE r AS (
-  SELECT doc_id, source, greatest(len(regexp_extract_all(coalesce(text, ''), '{WORD}')), 1) AS tokens, {_DICE.format("'17:' || coalesce(CAST(doc_id AS VARCHAR), '~')")} AS dice FROM documents
+  SELECT doc_id, name, source, greatest(len(regexp_extract_all(coalesce(text, ''), '{WORD}')), 1) AS tokens, {_DICE.format("'17:' || name")} AS dice FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), md5('~' || coalesce(text, ''))) AS name FROM documents)
 ), src AS (SELECT source, sum(tokens)::BIGINT AS tokens, count(*) AS docs FROM r GROUP BY source),
 tot AS (SELECT sum(tokens)::DOUBLE AS t, count(*) AS n, min(tokens)::DOUBLE AS least FROM src),
 nat AS (SELECT -sum(tokens / t * ln(tokens / t)) AS h FROM src, tot),
@@ -171,7 +181,7 @@ sched AS (
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM b JOIN e ON b.source IS NOT DISTINCT FROM e.source
 ), deal AS (
-  SELECT doc_id, d.source, tokens, epoch, before, target, before + bt <= target AS whole, {_DICE.format("'17:' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || epoch")} AS ord
+  SELECT doc_id, d.source, tokens, epoch, before, target, before + bt <= target AS whole, {_DICE.format("'17:' || name || ':' || epoch")} AS ord
   FROM d JOIN sched s ON d.source IS NOT DISTINCT FROM s.source AND d.block = s.block WHERE before < target
 ), cut AS (
   SELECT *, sum(tokens) OVER (PARTITION BY source, epoch, whole ORDER BY ord, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM deal
