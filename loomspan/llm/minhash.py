@@ -210,7 +210,7 @@ def minhash_components(
     signatures = some.join(wanted, "id", "left_semi").select("id", "signature").dropDuplicates(["id"])
 
     least = percent / 100 - 0.15  # over four standard errors below the threshold
-    links, labels = None, None
+    labels = None
     for turn in range(hub_rounds + 1):
         at = buckets.withColumn("label", F.col("id"))
         if labels is not None:
@@ -229,8 +229,8 @@ def minhash_components(
         else:
             found = _rest(at, sets, percent)
         found = stored(found, "links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        # the labels so far stand for the links that gave them
+        labels = components(found if labels is None else found.union(labels.where("id <> component").toDF("a", "b")))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     alone = F.col("n_shingles") == 0
     return (
@@ -242,9 +242,16 @@ def minhash_components(
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that their group keeps, all columns unchanged; one row for each kept id."""
-    kept = minhash_components(docs, id_col, text_col, **options).where("kept").select(id_col)
-    return docs.join(kept.hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
+    """One row of each group of ``docs``, all columns unchanged: that with the smallest id, null after
+    all others. Rows are told apart by their place in a written copy of ``docs``, so that ids may repeat
+    or be null; rows without words stay, each by itself."""
+    keyed = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "dedup-rows")
+    ids = keyed.select("row", F.col("doc")[id_col].alias("id"))
+    groups = minhash_components(keyed.select("row", F.col("doc")[text_col].alias("text")), "row", "text", **options).select("row", "component_id")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"]
+    kept = groups.join(ids, "row").groupBy("component_id").agg(least.alias("row")).select("row")
+    out = keyed.join(kept.hint("shuffle_hash"), "row", "left_semi")
+    return out.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def op8_minhash_near_dedup(spark, sf_dir):

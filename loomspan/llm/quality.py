@@ -47,7 +47,23 @@ def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _statistics(batches):
     for batch in batches:
-        for part, data, off in pieces(batch, 1):
+        for part, columns in _counted(batch, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", *STATS])
+
+
+def _with_statistics(text: int):
+    def run(batches):
+        for batch in batches:
+            for part, columns in _counted(batch, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *STATS])
+
+    return run
+
+
+def _counted(batch, text: int):
+    """Slices of a record batch with the STATS of their texts."""
+    if len(batch):
+        for part, data, off in pieces(batch, text):
             n = len(off) - 1
 
             def per_row(mask):
@@ -78,7 +94,7 @@ def _statistics(batches):
                 per_row(DIGIT[data]), per_row(MARK[data]), np.bincount(owner, minlength=n), np.bincount(owner[twice], minlength=n),
                 np.bincount(row[marked[: len(row)]], minlength=n),
             )
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.astype(np.int64)) for x in columns)], ["id", *STATS])
+            yield part, [pa.array(x.astype(np.int64)) for x in columns]
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,12 +197,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _sample(labels: DataFrame, id_col: str, most: int) -> DataFrame:
+    rows = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "quality").orderBy(F.xxhash64(id_col), id_col).limit(most)
+    return rows.groupBy(id_col).agg(F.min("quality").alias("quality"))
+
+
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", most_labelled: int = 20_000, **options) -> DecisionList:
     """Learn from at most ``most_labelled`` labelled documents (the first by a hash of
     their id) that pass the base rules; label 0 means reject. Of a document's several
     labels the smallest counts; null labels don't. No labels give an empty list."""
-    sample = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "quality").orderBy(F.xxhash64(id_col), id_col).limit(most_labelled)
-    sample = sample.groupBy(id_col).agg(F.min("quality").alias("quality"))
+    sample = _sample(labels, id_col, most_labelled)
     names = list(FEATURES)
     rows = (
         stats.where(~base_failed()).join(F.broadcast(sample), id_col)  # most_labelled rows of two numbers
@@ -205,11 +225,17 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return stats.withColumn("base_failed", base_failed()).withColumn("rule", rules.verdict()).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged. Rows with the id
-    of a kept row stay; a row without an id can't be told from others and goes."""
-    kept = judged(docs, labels, id_col, text_col, **options).where("kept").select(id_col)
-    return docs.join(kept.hint("shuffle_hash"), id_col, "left_semi").select(docs.columns)
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20_000, **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns unchanged. Each row is judged by its own
+    text, also where its id repeats or is null. Only labelled documents are read to learn the rules."""
+    some = docs.select(id_col, text_col).join(F.broadcast(_sample(labels, id_col, most_labelled)), id_col, "left_semi")  # most_labelled ids
+    rules = fit(statistics(some, id_col, text_col), labels, id_col, most_labelled, **options)
+    # columns go by their numbers, so that none clashes with a statistic
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    schema = ", ".join([*(f"{n} {kind}" for n, (_, kind) in zip(names, docs.dtypes)), *(f"{x} long" for x in STATS)])
+    rows = docs.toDF(*names).mapInArrow(_with_statistics(docs.columns.index(text_col)), schema)
+    kept = rows.where(~base_failed() & (rules.verdict() == 0))
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
 
 
 def op7_quality_rules(spark, sf_dir):
