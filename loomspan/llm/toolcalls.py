@@ -1,8 +1,9 @@
 """Tool-call linking for chat transcripts.
 
-Calls and results are joined by identifier, arguments are validated against the
-tools' schemas, and every message is placed so that a result follows its call and
-else turns keep their order. DataFrame functions only.
+Calls and results are hash-joined by identifier, arguments are validated against the
+tools' schemas, and the graph of calls, their results and the calls that use these is put in
+topological order by peeling off, round after round, what waits for nothing any more.
+Where the graph doesn't say otherwise turns keep their order. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.llm._base import table
+from loomspan.llm._base import stored, table
 
 MESSAGES = "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string>>, call_id string"
 KINDS = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID$"}
@@ -60,6 +61,41 @@ def canonical(args: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(args)), F.when(args.isNotNull(), F.substr(quoted, F.lit(6), F.length(quoted) - 6)))
 
 
+def references(args: Column) -> Column:
+    """The ids of results that a call's arguments use: ``{"$result": id}`` in place of a value, at any depth."""
+    found = F.regexp_extract_all(F.to_json(F.try_parse_json(args)), F.lit(r'\{"\$result":"((?:[^"\\]|\\.)*)"\}'), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.get_json_object(F.concat(F.lit('{"x":"'), x, F.lit('"}')), "$.x")))
+
+
+def peeled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(levels, stuck) of a graph, given as rows (k, a, b) where node b of conversation k waits for node a.
+
+    ``a`` and ``b`` are structs that begin with turn and pos. Each round peels the nodes that wait for none
+    that is left. levels has rows (k, node, level, anchor): the round, and the latest (turn, pos) of the node's
+    own and those that it waits for, directly or not. stuck has rows (k, node): those on a cycle or
+    behind one. There are as many rounds, each of three joins, as the longest chain has nodes; conversations share rounds.
+    """
+    at = lambda node: F.struct(F.col(node)["turn"].alias("turn"), F.col(node)["pos"].alias("pos"))
+    open_ = stored(edges.distinct(), "edges")
+    names = lambda side: open_.select("k", F.col(side).alias("node")).distinct()
+    now = stored(names("a").join(names("b").hint("shuffle_hash"), ["k", "node"], "left_anti").select("k", "node", F.lit(0).alias("level"), at("node").alias("anchor")), "level")
+    levels, waiting, level = now, None, 0
+    while not open_.isEmpty():
+        done = now.select("k", F.col("node").alias("a"), "anchor").hint("shuffle_hash")
+        reached = open_.join(done, ["k", "a"]).select("k", F.col("b").alias("node"), "anchor")
+        reached = reached if waiting is None else reached.unionByName(waiting)
+        reached = reached.groupBy("k", "node").agg(F.max("anchor").alias("anchor"))
+        open_ = stored(open_.join(done.select("k", "a"), ["k", "a"], "left_anti"), "edges")
+        left = names("b").hint("shuffle_hash")
+        level += 1
+        now = stored(reached.join(left, ["k", "node"], "left_anti").select("k", "node", F.lit(level).alias("level"), F.greatest("anchor", at("node")).alias("anchor")), "level")
+        if now.isEmpty():
+            break
+        waiting = stored(reached.join(left, ["k", "node"], "left_semi"), "waiting")
+        levels = levels.unionByName(now)
+    return levels, open_.select("k", F.col("b").alias("node")).distinct()
+
+
 def linked(messages: DataFrame, tools: dict[str, dict], block: int = 64) -> DataFrame:
     """One row per plain message, call and result of ``messages`` (columns by MESSAGES; others
     are ignored): conv_id, turn, kind, call_id, status, errors, position, json.
@@ -67,53 +103,82 @@ def linked(messages: DataFrame, tools: dict[str, dict], block: int = 64) -> Data
     A message with calls gives a row per call, and one for itself if it has content. A
     call's status is answered, unanswered, or duplicate (its id was called before in the
     conversation); a result's is linked, orphan (no such call) or duplicate (not the
-    first result by turn). position counts the messages that come before: results stand
-    right after their call, later if the log has them earlier; rows that tie, repeated
-    ones among them, share a position. errors are joined by "; ". Null conversations are
-    one conversation; null turns come first; null ids link with nothing. A conversation
-    is ranked in blocks of turns, so that none is ever sorted in one task.
+    first result by turn). position counts the messages that come before in the topological order: a
+    result stands after its call, right behind it where no other call has the same place, later
+    than in the log if the log has them earlier; a call that uses results (see ``references``) stands
+    after them, and moves back behind them if the log has it earlier. Rows that tie, repeated
+    ones among them, share a position. errors are joined by "; "; among them are uses of results that
+    no call of the conversation gives, and that a call is on a cycle of uses or waits for one: such calls keep
+    their place. Null conversations are one conversation; null turns come first; null ids link with nothing. A
+    conversation is ranked in blocks of turns, so that none is ever sorted in one task. An empty table gives no rows.
     """
     m = messages.select(*[x.split(" ")[0] for x in MESSAGES.split(", ")])
-    calls = m.select("conv_id", "turn", F.posexplode("calls").alias("pos", "c")).select("conv_id", "turn", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
-    results = m.where("call_id IS NOT NULL").select("conv_id", "turn", "call_id", "content")
-    plain = m.where("call_id IS NULL AND (calls IS NULL OR size(calls) = 0 OR content IS NOT NULL)").select("conv_id", "turn", "role", "content")
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("~"))
+    calls = m.select("conv_id", "turn", F.posexplode("calls").alias("pos", "c")).select(
+        "conv_id", "turn", (F.col("pos") + 1).cast("long").alias("pos"), F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), conv.alias("k")
+    )
+    results = m.where("call_id IS NOT NULL").select("conv_id", "turn", "call_id", "content", conv.alias("k"))
+    plain = m.where("call_id IS NULL AND (calls IS NULL OR size(calls) = 0 OR content IS NOT NULL)").select("conv_id", "turn", "role", "content")
 
     def firsts(df: DataFrame, order: list[str], name: str) -> DataFrame:
-        return df.where("call_id IS NOT NULL").groupBy(conv.alias("k"), F.col("call_id").alias("i")).agg(F.min(F.struct(*order)).alias(name))
+        return df.where("call_id IS NOT NULL").groupBy("k", "call_id").agg(F.min(F.struct(*order)).alias(name))
 
-    first_call, first_result = firsts(calls, ["turn", "pos"], "call"), firsts(results, ["turn"], "result")
-    both = first_call.join(first_result, ["k", "i"], "full")  # by identifier: no conversation is a key by itself
-    on = lambda df: df.withColumn("k0", conv).join(both, (F.col("k0") == F.col("k")) & (F.col("call_id") == F.col("i")), "left").drop("k0", "k", "i")
-    order = lambda turn, after, pos, then: F.struct(turn.alias("turn"), after.alias("after"), pos.alias("pos"), then.alias("then"))
+    # by identifier: no conversation is a key by itself
+    both = firsts(calls, ["turn", "pos"], "call").join(firsts(results, ["turn"], "result").hint("shuffle_hash"), ["k", "call_id"], "full")
+    both = stored(both, "calls-and-results").hint("shuffle_hash")
     zero = F.lit(0).cast("long")
-    pos = F.col("pos").cast("long")
+    node = lambda turn, pos, result: F.struct(turn.alias("turn"), pos.alias("pos"), result.alias("result"))
+    own, given = node(F.col("turn"), F.col("pos"), F.lit(False)), node(F.col("call.turn"), F.col("call.pos"), F.lit(True))
+
+    uses = calls.select("k", own.alias("b"), F.explode(references(F.col("arguments"))).alias("call_id")).join(both, ["k", "call_id"], "left")
+    uses = stored(uses.select("k", "b", "call_id", F.when(F.col("call").isNotNull() & F.col("result").isNotNull(), given).alias("a")), "uses")
+    answers = both.where("call IS NOT NULL AND result IS NOT NULL").select("k", node(F.col("call.turn"), F.col("call.pos"), F.lit(False)).alias("a"), given.alias("b"))
+    levels, stuck = peeled(answers.unionByName(uses.where("a IS NOT NULL").select("k", "a", "b")))
+    unknown = uses.where("a IS NULL").groupBy("k", "b").agg(F.array_sort(F.collect_set("call_id")).alias("unknown"))  # of one call
+    # what is known of a node; calls and results without edges have nothing here
+    notes = levels.select("k", "node", "level", "anchor", F.lit(False).alias("stuck")).unionByName(stuck.select("k", "node", F.lit(True).alias("stuck")), allowMissingColumns=True)
+    notes = notes.join(unknown.withColumnRenamed("b", "node"), ["k", "node"], "full").hint("shuffle_hash")
+
+    def place(turn: Column, pos: Column) -> Column:
+        """The key of the order: where the graph puts the row, its round there, and its place in the log."""
+        start = F.coalesce("anchor", F.struct(F.col("node")["turn"].alias("turn"), F.col("node")["pos"].alias("pos")))
+        level = F.coalesce("level", F.col("node")["result"].cast("int"), F.lit(0))
+        return F.struct(start["turn"].alias("turn"), F.coalesce(start["pos"], zero).alias("pos"), level.alias("level"), turn.alias("own"), pos.alias("then"))
+
     repeated = F.col("call").isNotNull() & ~((F.col("call.turn").eqNullSafe(F.col("turn"))) & (F.col("call.pos") == F.col("pos")))
-    call_rows = on(calls).select(
+    wrong = F.concat(
+        argument_errors(F.col("name"), F.col("arguments"), tools), F.transform(F.coalesce("unknown", F.array().cast("array<string>")), lambda x: F.concat(F.lit("no result: "), x)),
+        F.when(F.coalesce("stuck", F.lit(False)), F.array(F.lit("cycle of results"))).otherwise(F.array().cast("array<string>")),
+    )
+    on = lambda df: df.join(both, ["k", "call_id"], "left")
+    noted = lambda df: df.join(notes, (df.k.eqNullSafe(notes.k)) & df.node.eqNullSafe(notes.node), "left").drop(notes.k).drop(notes.node)
+    call_rows = noted(on(calls).withColumn("node", own)).select(
         "conv_id", "turn", F.lit("call").alias("kind"), "call_id",
         F.when(repeated, "duplicate").when(F.col("result").isNotNull(), "answered").otherwise("unanswered").alias("status"),
-        argument_errors(F.col("name"), F.col("arguments"), tools).alias("errors"),
+        wrong.alias("errors"),
         F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("null")), F.lit(","), F.substring(F.to_json(F.struct(F.col("call_id").alias("id"), "name", F.lit("call").alias("type"))), F.lit(2), F.lit(1 << 30))).alias("json"),
-        order(F.col("turn"), zero, pos + 1, zero).alias("key"),
+        place(F.col("turn"), F.col("pos")).alias("key"),
     )
     late = F.col("call").isNotNull()
-    result_rows = on(results).select(
+    result_rows = noted(on(results).withColumn("node", F.when(late, given).otherwise(node(F.col("turn"), zero, F.lit(False))))).select(
         "conv_id", "turn", F.lit("result").alias("kind"), "call_id",
         F.when(~late, "orphan").when(F.col("result.turn").eqNullSafe(F.col("turn")), "linked").otherwise("duplicate").alias("status"),
         F.array().cast("array<string>").alias("errors"),
         F.to_json(F.struct("content", F.col("call_id").alias("id"), F.lit("result").alias("type"))).alias("json"),
-        F.when(late, order(F.col("call.turn"), zero, F.col("call.pos").cast("long") + 1, F.coalesce(F.col("turn"), zero) + 1)).otherwise(order(F.col("turn"), zero, zero, zero)).alias("key"),
+        place(F.col("turn"), zero).alias("key"),
     )
-    plain_rows = plain.select(
+    plain_rows = plain.withColumn("node", node(F.col("turn"), zero, F.lit(False))).select(
         "conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("message").alias("status"), F.array().cast("array<string>").alias("errors"),
-        F.to_json(F.struct("content", "role", F.lit("message").alias("type"))).alias("json"), order(F.col("turn"), zero, zero, zero).alias("key"),
+        F.to_json(F.struct("content", "role", F.lit("message").alias("type"))).alias("json"),
+        F.struct(F.col("turn").alias("turn"), zero.alias("pos"), F.lit(0).alias("level"), F.col("turn").alias("own"), zero.alias("then")).alias("key"),
     )
     rows = plain_rows.unionByName(call_rows).unionByName(result_rows).withColumn("conv", conv).withColumn("block", F.floor(F.coalesce("key.turn", F.lit(-1)) / block))
     keys = rows.groupBy("conv", "block", "key").agg(F.count(F.lit(1)).alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = keys.groupBy("conv", "block").agg(F.sum("n").alias("n")).withColumn("base", before(W.partitionBy("conv").orderBy("block"))).drop("n")
     places = keys.withColumn("inner", before(W.partitionBy("conv", "block").orderBy("key"))).join(blocks, ["conv", "block"])
-    out = rows.join(places.select("conv", "block", "key", (F.col("base") + F.col("inner")).alias("position")), (rows.conv == places.conv) & (rows.block == places.block) & rows.key.eqNullSafe(places.key))
+    places = places.select("conv", "block", "key", (F.col("base") + F.col("inner")).alias("position")).hint("shuffle_hash")
+    out = rows.join(places, (rows.conv == places.conv) & (rows.block == places.block) & rows.key.eqNullSafe(places.key))
     return out.select("conv_id", "turn", "kind", "call_id", "status", F.array_join("errors", "; ").alias("errors"), "position", "json")
 
 
