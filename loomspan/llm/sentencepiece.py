@@ -21,6 +21,8 @@ from loomspan.llm._words import LENGTH, Prefix, U, mix, powers
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
+#: characters from which on a word is cut where no piece spans
+LONG_WORD = 256
 
 
 def _fields(data: bytes):
@@ -75,6 +77,9 @@ class Vocabulary:
     byte_ids: np.ndarray | None
     dummy_prefix: bool
     merges: bool
+    #: by rank: the pieces' texts, and their ranks
+    texts: list[str]
+    by_name: dict[str, int]
 
     def rank_of(self, key: np.ndarray) -> np.ndarray:
         """The rank of the piece with each hash, -1 where there is none."""
@@ -151,7 +156,7 @@ def parse(model: bytes) -> Vocabulary:
         [bytes([int(n[3:5], 16)]) if k == BYTE else n.replace("▁", " ").encode() for n, k in zip(names, kinds)],
         keys[order], order.astype(np.int32), likely, np.array(match, np.int32), s[match], left, right, sizes.astype(np.int64),
         (prefix.acc[end] - prefix.acc[end - sizes]) * prefix.down[end - sizes], np.unique(text),
-        int(np.flatnonzero(kinds == UNKNOWN)[0]), float(s[match].min()) - 10.0, byte_ids, bool(spec[3]), merges,
+        int(np.flatnonzero(kinds == UNKNOWN)[0]), float(s[match].min()) - 10.0, byte_ids, bool(spec[3]), merges, [names[i] for i in match], rank,
     )
 
 
@@ -230,6 +235,86 @@ def _viterbi(v: Vocabulary, prefix: Prefix, start: np.ndarray, length: int) -> t
     return np.where(ranks >= 0, v.ids[ranks], v.unknown)[order].astype(np.int32), np.bincount(row, minlength=n)
 
 
+def _hits(v: Vocabulary, prefix: Prefix, start: int, stop: int, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size of a piece: where from ``low`` to ``high`` such pieces of the word start:stop end, and their ranks."""
+    out = []
+    for size in range(1, int(v.sizes.max()) + 1):
+        end = np.arange(max(low, start + size), min(high, stop + 1))
+        rank = v.rank_of(prefix.hashes(end - size, end))
+        out.append((end[rank >= 0], rank[rank >= 0]))
+    return out
+
+
+def _borders(v: Vocabulary, prefix: Prefix, start: np.ndarray, end: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Places in long words that no piece of the model spans: what stands before and after is encoded by itself."""
+    out = [np.zeros(0, np.int64)]
+    for a, b in zip(*(x[end - start > LONG_WORD] for x in (start, end))):
+        spans = np.zeros(b - a + 2, np.int32)  # sums to how many pieces span the place before each character
+        for low in range(a + 1, b + 1, step):
+            for size, (ends, _) in enumerate(_hits(v, prefix, a, b, low, low + step), 1):
+                if size > 1:
+                    np.add.at(spans, ends - size + 1 - a, 1)
+                    np.add.at(spans, ends - a, -1)
+        place = np.flatnonzero(np.cumsum(spans[: b - a]) == 0) + a
+        out.append(place[place > a])
+    return np.concatenate(out)
+
+
+def _one_by_one(v: Vocabulary, prefix: Prefix, start: np.ndarray, length: int, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_viterbi`` gives, for a few long words: all probes of some thousands of positions at once, then a
+    walk over the positions that keeps what it learned of pairs of pieces."""
+    found, counts, stay = [], np.zeros(len(start), np.int64), {}
+    for w, a in enumerate(start):
+        piece, back, best = [-1] * (length + 1), [0] * (length + 1), [0.0] + [-np.inf] * length
+        for low in range(1, length + 1, step):
+            high = min(low + step, length + 1)
+            options: list[list] = [[] for _ in range(low, high)]
+            for size, (ends, ranks) in reversed(list(enumerate(_hits(v, prefix, a, a + length, a + low, a + high), 1))):
+                for end, rank in zip((ends - a - low).tolist(), ranks.tolist()):
+                    options[end].append((size, rank))
+            for end, some in enumerate(options, low):
+                if v.merges:
+                    for size, rank in some:
+                        pair = piece[end - size], rank
+                        if end > size and pair not in stay:
+                            stay[pair] = pair[0] >= 0 and _stay(v, *pair)
+                        if end == size or stay[pair]:
+                            piece[end], back[end] = rank, size
+                            break
+                    continue
+                if not any(size == 1 for size, _ in some):
+                    some = [*some, (1, -1)]
+                for size, rank in some:
+                    total = best[end - size] + (v.scores[rank] if rank >= 0 else v.unknown_score)
+                    if total > best[end]:
+                        best[end], back[end], piece[end] = total, size, rank
+            if len(stay) > 1 << 20:
+                stay.clear()
+        at, ids = length, []
+        while at > 0:
+            ids.append(int(v.ids[piece[at]]) if piece[at] >= 0 else v.unknown)
+            at -= back[at] or 1
+        found += ids[::-1]
+        counts[w] = len(ids)
+    return np.array(found, np.int32), counts
+
+
+def _stay(v: Vocabulary, a: int, b: int) -> bool:
+    """``_side_by_side`` of one pair."""
+    bound = 1 << 30
+    while True:
+        joined = v.by_name.get(v.texts[a] + v.texts[b], -1)
+        if 0 <= joined < bound:
+            return False
+        one_whole, two_whole = v.left[a] == a, v.left[b] == b
+        if not one_whole and (a > b or two_whole):
+            bound, a = a, int(v.right[a])
+        elif not two_whole:
+            bound, b = b + 1, int(v.left[b])
+        else:
+            return True
+
+
 class Known:
     """Encoded words that a worker has met, up to ``most``: the usual ones need no second look."""
 
@@ -278,10 +363,12 @@ def encode_rows(v: Vocabulary, data: np.ndarray, off: np.ndarray, known: Known |
     strange = v.single[at] != codes  # in no piece: a word of its own
     begins[:-1] |= strange
     begins[1:] |= strange
+    prefix = Prefix(_symbols(codes))
     start = np.flatnonzero(begins[:-1])
+    borders = _borders(v, prefix, start, np.append(start[1:], len(codes)).astype(np.int64))
+    start = np.union1d(start, borders) if len(borders) else start
     end = np.append(start[1:], len(codes)).astype(np.int64)
     row = np.searchsorted(cut[1:], start, side="right")
-    prefix = Prefix(_symbols(codes))
     keys, first, which = np.unique(prefix.hashes(start, end), return_index=True, return_inverse=True)
     known = known or Known()
     fresh = np.flatnonzero(known.find(keys) < 0)
@@ -292,7 +379,9 @@ def encode_rows(v: Vocabulary, data: np.ndarray, off: np.ndarray, known: Known |
         group = np.flatnonzero((w_size == size) & ~odd)
         for block in np.array_split(group, max(1, len(group) * int(size) // 2_000_000)):
             if len(block):
-                ids, counts[block] = _viterbi(v, prefix, w_start[block], int(size))
+                # the batch costs a fixed time a position, the walk one a word and a shorter one a character
+                few = size > 32 and len(block) * (60 + size) < 340 * size
+                ids, counts[block] = _one_by_one(v, prefix, w_start[block], int(size)) if few else _viterbi(v, prefix, w_start[block], int(size))
                 parts.append(ids)
                 owners.append(block)
     for i in np.flatnonzero(odd):
