@@ -172,14 +172,15 @@ def _lists(rows):
 
 
 def _links(cosine: float):
-    def run(key, rows):
+    def run(key, rows, graph):
         import pandas as pd
 
         _, _, i, j = key
         x, ids = _unit(rows.vec), rows.id.to_numpy(np.int64)
         place = {v: k for k, v in enumerate(ids)}
-        lists = [np.array([place[v] for v in y if v in place], np.int64) for y in rows.near]
-        inside = search(x, lists, int(np.flatnonzero(rows.medoid)[0]), cosine)
+        graph = graph.set_index("id").loc[ids]
+        lists = [np.array([place[v] for v in y if v in place], np.int64) for y in graph.near]
+        inside = search(x, lists, int(np.flatnonzero(graph.medoid)[0]), cosine)
         a, b = np.nonzero(inside)
         for low in range(0, len(a), 1 << 15):  # in double precision, a few megabytes of pairs at a time
             p, q = a[low : low + (1 << 15)], b[low : low + (1 << 15)]
@@ -338,13 +339,11 @@ def near_vectors(
         if exact:
             found = _all_links(reps, cosine)
         else:
-            shards = stored(reps.mapInArrow(_assign(centres, overlap), "id long, copies long, vec binary, dim int, homes array<long>"), "assigned")
+            shards = reps.mapInArrow(_assign(centres, overlap), "id long, copies long, vec binary, dim int, homes array<long>")
             found = _shard_links(shards, cosine, most_rows)
         counted = stored(found.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("root")), "counted")
         edges = stored(found.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")), "edges")
         dropped(raw.sparkSession, found)
-        if not exact:
-            dropped(raw.sparkSession, shards)
         got = {r[0]: r[1] for r in counted.where(F.col("id").isin(list(truth))).select("id", "links").collect()} if truth else {}
         found_share = recall(truth, got)
         LOG.info("recall %.4f over %d links of %d audited vectors, %s", found_share, sum(truth.values()), len(truth), "all blocks" if exact else f"{overlap} shards each")
@@ -373,7 +372,7 @@ def _shard_links(shards: DataFrame, cosine: float, most_rows: int) -> DataFrame:
     rows = shards.withColumn("shard", F.explode(F.array_distinct("homes")))
     sizes = rows.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) * 2 / most_rows).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("blocks", F.when(F.col("n") <= most_rows, 1).otherwise(F.col("blocks"))).drop("n")
-    rows = rows.join(sizes, ["dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    rows = rows.join(stored(sizes, "sizes"), ["dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
     rows = stored(rows.withColumn("cell", F.explode(cell)).select("id", "copies", "vec", "dim", "homes", "shard", "block", "cell.*"), "cells")
     key = ["dim", "shard", "i", "j"]
@@ -381,12 +380,12 @@ def _shard_links(shards: DataFrame, cosine: float, most_rows: int) -> DataFrame:
     # the lists of other shards join a shard's own where both ends are in it; of a shard in
     # blocks only the lists inside a block go out, so that an edge goes to overlap - 1 cells at most
     places = rows.where("i = j").select("id", "shard", "block")
-    edges = lists.where("i = j").select(F.col("id").alias("a"), F.col("shard").alias("origin"), F.explode("near").alias("b"))
-    edges = edges.join(places.toDF("a", "shard", "x"), "a").where("shard <> origin").join(places.toDF("b", "shard", "y"), ["b", "shard"])
+    edges = lists.where("i = j").select(F.col("id").alias("a"), F.col("shard").alias("origin"), "near").join(places.toDF("a", "shard", "x"), "a").where("shard <> origin")
+    edges = edges.select("a", "shard", "x", F.explode("near").alias("b")).join(places.toDF("b", "shard", "y"), ["b", "shard"])
     more = edges.groupBy(F.col("a").alias("id"), "shard", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).agg(F.collect_set("b").alias("more"))
-    full = rows.join(lists, ["id", *key]).join(more, ["id", "shard", "i", "j"], "left")
-    full = full.withColumn("near", F.when(F.col("more").isNull(), F.col("near")).otherwise(F.array_union("near", "more"))).drop("more")
-    links = stored(full.groupBy(*key).applyInPandas(_links(cosine), "id long, links long, root long"), "shard-links")
+    graph = lists.join(more, ["id", "shard", "i", "j"], "left")
+    graph = graph.withColumn("near", F.when(F.col("more").isNull(), F.col("near")).otherwise(F.array_union("near", "more"))).drop("more")
+    links = stored(rows.groupBy(*key).cogroup(graph.groupBy(*key)).applyInPandas(_links(cosine), "id long, links long, root long"), "shard-links")
     dropped(rows.sparkSession, rows)
     dropped(rows.sparkSession, lists)
     return links
