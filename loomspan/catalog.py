@@ -6,7 +6,7 @@ import importlib
 
 from loomspan.plans.views import ORACLES, QUERIES
 
-GROUPS = ("intervals", "sequences", "reads", "features", "comparative", "popgen", "alignments", "ontology", "variants", "records")
+GROUPS = ("intervals", "sequences", "reads", "features", "comparative", "popgen", "alignments", "ontology", "variants", "records", "formats")
 
 
 def _load() -> None:

@@ -51,9 +51,7 @@ def subseq(seq: Column | str, start: Column | str, stop: Column | str) -> Column
 
 def codons(seq: Column | str) -> Column:
     """Array of whole codons in frame 0."""
-    s = _col(seq)
-    n = F.floor(F.length(s) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.upper(F.substr(s, i * 3 - 2, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(F.upper(_col(seq)), F.lit("(?s).{3}"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def translate_cds(seq: Column | str, table: int = 1) -> Column:

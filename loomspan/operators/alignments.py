@@ -7,39 +7,51 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import codons
+from loomspan.operators.intervals import collapse_runs, earlier, overlap_join
 
 TRANSITIONS = ("AG", "GA", "CT", "TC")
+CHUNK = 256
 
 
-def columns(aln: DataFrame) -> DataFrame:
-    """One row per cell: block, row_id, col (from 1), base in upper case."""
-    return aln.select("block", "row_id", F.posexplode(F.filter(F.split(F.upper("aln"), ""), lambda c: c != "")).alias("p", "base")).select("block", "row_id", (F.col("p") + 1).alias("col"), "base")
+def _chunks(text: Column | str) -> Column:
+    """A row's text in pieces of CHUNK characters: cells are cut from short strings, not from rows as long as a chromosome."""
+    return F.regexp_extract_all(text if isinstance(text, Column) else F.col(text), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
 
+def _bases(text: Column) -> Column:
+    return F.length(F.replace(text, F.lit("-"), F.lit("")))
 
-def _letter(aln: Column | str, i: Column) -> Column:
-    return F.substr(aln if isinstance(aln, Column) else F.col(aln), i, F.lit(1))
+
+def columns(aln: DataFrame) -> DataFrame:
+    """One row per cell: block, row_id, col (from 1), base in upper case."""
+    c = aln.select("block", "row_id", F.posexplode(_chunks(F.upper("aln"))).alias("p", "c")).select("*", F.explode(F.sequence(F.lit(1), F.length("c"))).alias("i"))
+    return c.select("block", "row_id", (F.col("p") * CHUNK + F.col("i")).alias("col"), F.substr("c", F.col("i"), F.lit(1)).alias("base"))
 
 
-def side_by_side(aln: DataFrame, ref: str, others: list[str]) -> DataFrame:
-    """One row per column with the bases of chosen rows (ref and o1, o2, ...); blocks that lack one are left out.
+def side_by_side(aln: DataFrame, ref: str, others: list[str] = ()) -> DataFrame:
+    """One row per column with the bases of chosen rows (ref and o1, o2, ...) and how many bases each row has so far
+    (ref_pos, o1_pos, ...); blocks that lack one of the rows are left out.
 
     Whole rows are pivoted before they are cut into columns, so that the shuffle moves strings, not cells."""
     names = [ref, *others]
     p = aln.where(F.col("row_id").isin(*names)).groupBy("block").pivot("row_id", names).agg(F.first(F.upper("aln"))).dropna(subset=names)
-    p = p.select("block", *(F.col(n).alias("ref" if i == 0 else f"o{i}") for i, n in enumerate(names)))
-    cells = [c for c in p.columns if c != "block"]
-    p = p.select("*", F.explode(F.sequence(F.lit(1), F.length("ref"))).alias("col")).where("length(ref) > 0")
-    return p.select("block", "col", *(_letter(c, F.col("col")).alias(c) for c in cells))
+    cells = ["ref" if i == 0 else f"o{i}" for i in range(len(names))]
+    p = p.select("block", *(F.col(n).alias(c) for n, c in zip(names, cells)))
+    p = p.select("block", F.posexplode(F.arrays_zip(*(_chunks(c).alias(c) for c in cells))).alias("p", "z"))
+    w = W.partitionBy("block").orderBy("p").rowsBetween(W.unboundedPreceding, -1)  # over the pieces of one row each
+    piece = lambda c: F.coalesce(F.col("z")[c], F.lit(""))
+    p = p.select("block", "p", *(piece(c).alias(c) for c in cells), *(F.coalesce(F.sum(_bases(piece(c))).over(w), F.lit(0)).alias(f"{c}_base") for c in cells))
+    p = p.select("*", F.explode(F.sequence(F.lit(1), F.length("ref"))).alias("i"))
+    at = lambda c: F.substr(c, F.col("i"), F.lit(1)).alias(c)
+    pos = lambda c: (F.col(f"{c}_base") + _bases(F.substr(c, F.lit(1), F.col("i")))).alias(f"{c}_pos")
+    return p.select("block", (F.col("p") * CHUNK + F.col("i")).alias("col"), *map(at, cells), *map(pos, cells))
 
 
 def aln_coordinates(aln: DataFrame, ref: str, other: str) -> DataFrame:
     """Columns in which the reference has a base: its position and base, and the other row's (null at its gaps)."""
-    s = side_by_side(aln, ref, [other])
-    w = W.partitionBy("block").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
-    run = lambda c: F.sum((F.col(c) != "-").cast("int")).over(w)
-    s = s.withColumns({"ref_pos": run("ref"), "n": run("o1")}).where("ref <> '-'")
+    s = side_by_side(aln, ref, [other]).where("ref <> '-'")
     gap = F.col("o1") == "-"
-    return s.select("block", "col", "ref_pos", F.col("ref").alias("ref_base"), F.when(~gap, F.col("n")).alias("other_pos"), F.when(~gap, F.col("o1")).alias("other_base"))
+    return s.select("block", "col", "ref_pos", F.col("ref").alias("ref_base"), F.when(~gap, F.col("o1_pos")).alias("other_pos"), F.when(~gap, F.col("o1")).alias("other_base"))
 
 
 def complete_alignments(aln: DataFrame, ratio: float = 0.75, least: int = 0) -> DataFrame:
@@ -51,8 +63,9 @@ def complete_alignments(aln: DataFrame, ratio: float = 0.75, least: int = 0) ->
 
 def aln_column_classes(aln: DataFrame, target: str) -> DataFrame:
     """Columns as invariant, target_unique (the others agree, the target differs) or mixed."""
-    g = columns(aln).groupBy("block", "col").agg(F.count_distinct("base").alias("kinds"), F.count_distinct(F.when(F.col("row_id") != target, F.col("base"))).alias("others"))
-    return g.select("block", "col", F.when(F.col("kinds") == 1, "invariant").when(F.col("others") == 1, "target_unique").otherwise("mixed").alias("class"))
+    other = F.when(F.col("row_id") != target, F.col("base"))
+    g = columns(aln).groupBy("block", "col").agg((F.min("base") == F.max("base")).alias("same"), (F.min(other) == F.max(other)).alias("others"))
+    return g.select("block", "col", F.when(F.col("same"), "invariant").when(F.col("others"), "target_unique").otherwise("mixed").alias("class"))
 
 
 def mutation_counts(aln: DataFrame, one: str, two: str, outgroup: str) -> DataFrame:
@@ -77,8 +90,7 @@ def site_scores(aln: DataFrame, ref: str, weights: dict[str, float]) -> DataFram
     """Weighted identity and gap share of each reference base over the other rows of its block; rows that are
     not there count in neither, and without any the scores are 1 and 0."""
     c = columns(aln)
-    w = W.partitionBy("block").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
-    r = c.where(F.col("row_id") == ref).withColumn("ref_pos", F.sum((F.col("base") != "-").cast("int")).over(w)).where("base <> '-'").select("block", "col", "ref_pos", F.col("base").alias("ref_base"))
+    r = side_by_side(aln, ref).where("ref <> '-'").select("block", "col", "ref_pos", F.col("ref").alias("ref_base"))
     weight = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
     o = c.where(F.col("row_id").isin(*weights)).withColumn("w", F.element_at(weight, F.col("row_id")))
     g = r.join(o, ["block", "col"], "left").groupBy("block", "ref_pos", "ref_base").agg(
@@ -90,9 +102,7 @@ def site_scores(aln: DataFrame, ref: str, weights: dict[str, float]) -> DataFram
 def window_identity(aln: DataFrame, blocks: DataFrame, ref: str, other: str, window: int = 10) -> DataFrame:
     """Percent identity (floor) per window of the reference, the best over the blocks that cover it. Columns with N
     are skipped, gaps in either row count in the total; reference gaps count at the base before them."""
-    s = side_by_side(aln, ref, [other])
-    w = W.partitionBy("block").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
-    s = s.withColumn("p", F.greatest(F.sum((F.col("ref") != "-").cast("int")).over(w), F.lit(1))).where("ref <> 'N' AND o1 <> 'N'").join(blocks, "block")
+    s = side_by_side(aln, ref, [other]).withColumn("p", F.greatest("ref_pos", F.lit(1))).where("ref <> 'N' AND o1 <> 'N'").join(blocks, "block")
     g = s.groupBy("block", "seqid", F.floor((F.col("start") + F.col("p") - 2) / window).alias("window")).agg(F.floor(100 * F.avg(((F.col("ref") == F.col("o1")) & (F.col("ref") != "-")).cast("double"))).alias("pc"))
     return g.groupBy("seqid", "window").agg(F.max("pc").alias("identity"))
 
@@ -120,31 +130,51 @@ def column_rates(states: DataFrame) -> DataFrame:
     return r.join(top, "block").select("block", "col", "rate", F.try_divide("rate", "top").alias("scaled"))
 
 
-def concat_alignments(aln: DataFrame, expected: list[str]) -> DataFrame:
-    """One long row per expected taxon: all blocks in order, gaps where it has no row."""
+def concat_alignments(aln: DataFrame, expected: list[str], tile: Column | None = None) -> DataFrame:
+    """The blocks of each expected taxon in the order of all: row_id, block, start (its first column in the whole,
+    from 1) and aln, gaps where the taxon has no row. A taxon's row of the whole is these pieces by start; it is never
+    one value. ``tile`` grows with the block and cuts the sum of the lengths before it into tasks."""
     size = aln.groupBy("block").agg(F.max(F.length("aln")).alias("n"))
+    size = earlier(size, [], ["block"], F.col("n"), "sum", F.floor(F.col("block") / 1000) if tile is None else tile)
     taxa = F.array(*map(F.lit, expected))
-    cells = size.select("block", "n", F.explode(taxa).alias("row_id")).join(aln, ["block", "row_id"], "left")
-    cells = cells.select("row_id", "block", F.rpad(F.coalesce("aln", F.lit("")), F.col("n"), F.lit("-")).alias("s"))
-    return cells.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "s"))), lambda x: x["s"]), "").alias("aln"))
+    cells = size.select("block", "n", (F.col("__before") + 1).alias("start"), F.explode(taxa).alias("row_id")).join(aln, ["block", "row_id"], "left")
+    return cells.select("row_id", "block", "start", F.rpad(F.coalesce("aln", F.lit("")), F.col("n"), F.lit("-")).alias("aln"))
 
 
 def gap_runs(aln: DataFrame, ref: str, lo: int = 40, hi: int = 10_000, least_rows: int = 1) -> DataFrame:
     """Runs of lo to hi columns in which ``least_rows`` or more rows have gaps where the reference has bases."""
+    runs = collapse_runs(_gap_columns(aln, ref, least_rows), "col", "block")
+    return runs.where((F.col("stop") - F.col("start") + 1).between(lo, hi)).select("block", "start", "stop")
+
+
+def _gap_columns(aln: DataFrame, ref: str, least_rows: int) -> DataFrame:
     c = columns(aln)
-    r = c.where((F.col("row_id") == ref) & (F.col("base") != "-")).select("block", "col")
-    g = c.where((F.col("row_id") != ref) & (F.col("base") == "-")).groupBy("block", "col").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least_rows).join(r, ["block", "col"])
-    k = g.withColumn("isle", F.col("col") - F.row_number().over(W.partitionBy("block").orderBy("col")))
-    return k.groupBy("block", "isle").agg(F.min("col").alias("start"), F.max("col").alias("stop")).where((F.col("stop") - F.col("start") + 1).between(lo, hi)).select("block", "start", "stop")
+    r = side_by_side(aln, ref).where("ref <> '-'").select("block", "col", "ref", "ref_pos")
+    gaps = c.where((F.col("row_id") != ref) & (F.col("base") == "-")).groupBy("block", "col").agg(F.count(F.lit(1)).alias("k"))
+    return gaps.where(F.col("k") >= least_rows).drop("k").join(r, ["block", "col"])
+
+
+def scan_indels(aln: DataFrame, blocks: DataFrame, ref: str, lo: int = 40, hi: int = 10_000, least_rows: int = 2, most_n: float = 0.5) -> DataFrame:
+    """``gap_runs`` in the reference's coordinates (blocks: block, seqid, start): block, col_start, col_stop, seqid, start,
+    stop and size; those of which more than ``most_n`` are N are left out."""
+    cells = _gap_columns(aln, ref, least_rows)
+    runs = collapse_runs(cells, "col", "block").where((F.col("stop") - F.col("start") + 1).between(lo, hi)).select("block", "start", "stop")
+    inside = overlap_join(cells.withColumns({"start": F.col("col"), "stop": F.col("col")}), runs, "block")
+    g = inside.groupBy("block", F.col("start_r").alias("col_start"), F.col("stop_r").alias("col_stop")).agg(
+        F.min("ref_pos").alias("first"), F.max("ref_pos").alias("last"), F.count(F.lit(1)).alias("size"), F.sum((F.col("ref") == "N").cast("int")).alias("n")
+    )
+    at = lambda c: F.col("start") + F.col(c) - 1
+    return g.where(F.col("n") <= most_n * F.col("size")).join(blocks, "block").select("block", "col_start", "col_stop", "seqid", at("first").alias("start"), at("last").alias("stop"), "size")
 
 
 def codon_alignment(pep: DataFrame, cds: DataFrame) -> DataFrame:
     """Peptide alignment rows (id, aln) as codons of their coding sequences (id, seq); gaps are three wide."""
-    j = pep.join(cds, "id").withColumn("c", codons("seq"))
-    cells = F.filter(F.split("aln", ""), lambda x: x != "")
-    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("out"))
-    step = lambda a, x: F.struct((a["i"] + (x != "-").cast("int")).alias("i"), F.concat(a["out"], F.when(x == "-", "---").otherwise(F.coalesce(F.get("c", a["i"]), F.lit("---")))).alias("out"))
-    return j.select("id", F.aggregate(cells, start, step, lambda a: a["out"]).alias("aln"))
+    j = pep.join(cds, "id").select("id", codons("seq").alias("c"), F.filter(F.split("aln", ""), lambda x: x != "").alias("cells"))
+    numbered = F.transform("cells", lambda x, i: F.struct(i.alias("i"), (x != "-").alias("base")))
+    j = j.select("id", "c", F.filter(numbered, lambda x: x["base"]).alias("bases"), F.filter(numbered, lambda x: ~x["base"]).alias("gaps"))
+    piece = lambda i, text: F.struct(i.alias("i"), text.alias("text"))
+    out = F.concat(F.transform("bases", lambda x, k: piece(x["i"], F.coalesce(F.get("c", k), F.lit("---")))), F.transform("gaps", lambda x: piece(x["i"], F.lit("---"))))
+    return j.select("id", F.array_join(F.transform(F.array_sort(out), lambda x: x["text"]), "").alias("aln"))
 
 
 def ancestral_allele(points: DataFrame, aln: DataFrame, blocks: DataFrame, ref: str, outgroup: str) -> DataFrame:

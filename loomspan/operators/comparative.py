@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.functions import scaled_evalue, two_digits
 from loomspan.operators.intervals import BIN, overlap_join
 
 
@@ -69,6 +71,18 @@ def phylo_profile(hits: DataFrame, species: list[str], evalue: float = 1e-3) ->
     return h.groupBy("query").pivot("species", species).agg(F.countDistinct("hit")).fillna(0, species)
 
 
+def hit_scores(hits: DataFrame, score: str = "evalue", dbsize: float = 1e6) -> DataFrame:
+    """Hits with the chosen score: evalue, bits, bits_per_residue (of the query's aligned span) or scaled_evalue
+    (dbsize * qlen / 2 ** bits, two digits); rank numbers a query's hits, the best first, ties by hit."""
+    kinds = {
+        "evalue": lambda: F.col("evalue"), "bits": lambda: F.col("bits"), "bits_per_residue": lambda: F.try_divide("bits", F.abs(F.col("qstop") - F.col("qstart"))),
+        "scaled_evalue": lambda: two_digits(scaled_evalue("bits", "qlen", dbsize)),
+    }
+    s = hits.withColumn("score", kinds[score]().cast("double"))
+    best = F.desc("score") if score in ("bits", "bits_per_residue") else F.asc("score")
+    return s.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(best, "hit")))
+
+
 def species_genes(hits: DataFrame) -> DataFrame:
     """Number and digest of the genes that hit pairs name, per species."""
     g = hits.select(F.col("query").alias("g")).union(hits.select("hit")).distinct()

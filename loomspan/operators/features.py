@@ -187,6 +187,27 @@ def to_gff2(df: DataFrame, names: DataFrame, tag: str = "GenePrediction") -> Dat
     return n.select("seqid", "type", "start", "stop", "strand", F.format_string(f"{tag} %s ; exonNumber %d", F.coalesce("name", "parent"), "k").alias("grp"))
 
 
+def to_jgi(df: DataFrame) -> DataFrame:
+    """Exon and CDS rows with a group of gene, transcript and exon number, which counts CDS along the strand; the gene is
+    the transcript without ``.tN``."""
+    w = W.partitionBy("parent").orderBy(*_along(), F.desc("type")).rowsBetween(W.unboundedPreceding, -1)
+    n = df.where(F.col("type").isin("exon", "CDS")).withColumn("n", F.coalesce(F.sum((F.col("type") == "CDS").cast("int")).over(w), F.lit(0)) + 1)
+    grp = F.format_string("gene_id %s transcript_id %s exon_number %d", F.regexp_replace("parent", r"\.t\d+$", ""), "parent", "n")
+    return n.select("seqid", "type", "start", "stop", "strand", grp.alias("grp"))
+
+
+def prediction_to_features(df: DataFrame, prefix: str = "augustus") -> DataFrame:
+    """Gene-prediction rows as plain features: genes, transcripts (as mRNA) and CDS are kept, IDs and parents get the
+    prefix, all but CDS a Name, and CDS lose their ID."""
+    d = df.where(F.col("type").isin("gene", "transcript", "CDS"))
+    cds = F.col("type") == "CDS"
+    value = lambda k, v: F.when(k.isin("ID", "Parent"), F.concat(F.lit(f"{prefix}-"), v)).otherwise(v)
+    attrs = F.map_filter(F.transform_values("attrs", value), lambda k, v: ~(cds & (k == "ID")))
+    named = F.map_filter(F.create_map(F.lit("Name"), F.try_element_at(attrs, F.lit("ID"))), lambda k, v: v.isNotNull())
+    rest = F.map_filter(attrs, lambda k, v: cds | (k != "Name"))
+    return d.withColumns({"attrs": F.map_concat(rest, F.when(cds, F.create_map().cast("map<string,string>")).otherwise(named)), "type": F.when(F.col("type") == "transcript", "mRNA").otherwise(F.col("type"))})
+
+
 def add_variant_id(df: DataFrame) -> DataFrame:
     return df.withColumn("id", F.concat_ws(".", "chrom", "pos"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspan.functions import translate_cds
 from loomspan.operators import alignments as A
 from loomspan.plans.reads import rounded
 from loomspan.plans.views import query
@@ -32,7 +33,7 @@ def aln_column_classes(v):
     return A.aln_column_classes(v.aln, "r1")
 
 
-@query("mutation_counts", "WITH " + CELLS + """, t AS (SELECT x.base AS a, y.base AS b, z.base AS o FROM c x JOIN c y ON x.block = y.block AND x.col = y.col JOIN c z ON x.block = z.block AND x.col = z.col WHERE x.row_id = 'r0' AND y.row_id = 'r1' AND z.row_id = 'r2' AND z.base <> '-'),
+@query("mutation_counts", "WITH " + CELLS + """, t AS (SELECT x.base AS a, y.base AS b, z.base AS o FROM c x JOIN c y ON x.block = y.block AND x.col = y.col JOIN c z ON x.block = z.block AND x.col = z.col WHERE x.row_id = 'r0' AND y.row_id = 'r1' AND z.row_id = 'r2' AND x.base <> '-' AND y.base <> '-' AND z.base <> '-'),
 k AS (SELECT a, b, o, CASE WHEN a = b AND b = o THEN 'IDENTICAL' WHEN b = o THEN 'r0' WHEN a = o THEN 'r1' WHEN a = b THEN 'r2' ELSE 'ALL_DIFFERENT' END AS class FROM t), m AS (SELECT class, CASE class WHEN 'r0' THEN o WHEN 'r1' THEN o WHEN 'r2' THEN a END AS anc, CASE class WHEN 'r0' THEN a WHEN 'r1' THEN b WHEN 'r2' THEN o END AS obs FROM k)
 SELECT class, anc, obs, count(*) AS n FROM m WHERE anc IS NOT NULL GROUP BY ALL UNION ALL SELECT class, NULL, NULL, count(*) FROM m GROUP BY class""")
 def mutation_counts(v):
@@ -45,7 +46,7 @@ def aln_snps(v):
 
 
 @query("site_scores", "WITH " + CELLS + """ SELECT a.block, CAST(a.col AS BIGINT) AS ref_pos, round(sum(CASE WHEN b.base = a.base THEN w ELSE 0 END) / sum(w), 9) AS identity, round(sum(CASE WHEN b.base = '-' THEN w ELSE 0 END) / sum(w), 9) AS gap
-FROM c a JOIN (SELECT *, CASE row_id WHEN 'r1' THEN 0.7::DOUBLE ELSE 0.3 END AS w FROM c WHERE row_id IN ('r1', 'r2')) b ON a.block = b.block AND a.col = b.col WHERE a.row_id = 'r0' GROUP BY a.block, a.col""")
+FROM c a JOIN (SELECT *, CASE row_id WHEN 'r1' THEN 0.7::DOUBLE ELSE 0.3 END AS w FROM c WHERE row_id IN ('r1', 'r2')) b ON a.block = b.block AND a.col = b.col WHERE a.row_id = 'r0' AND a.base <> '-' GROUP BY a.block, a.col""")
 def site_scores(v):
     return rounded(A.site_scores(v.aln, "r0", {"r1": 0.7, "r2": 0.3}), "identity", "gap", digits=9)
 
@@ -56,7 +57,7 @@ def window_identity(v):
 
 
 @query("aln_stats", "WITH " + SIDE.format("r0", "r2") + """, g AS (SELECT block, count(*) AS length, count(*) FILTER (r <> '-') AS ungapped, count(*) FILTER (r <> '-' AND o <> '-')::DOUBLE AS n, count(*) FILTER (r = o AND r <> '-')::DOUBLE AS same, count(*) FILTER (r || o IN ('AG', 'GA', 'CT', 'TC'))::DOUBLE AS ts FROM s GROUP BY 1),
-h AS (SELECT *, 1 - 2 * ts / n - (n - same - ts) / n AS x, 1 - 2 * (n - same - ts) / n AS y FROM g WHERE n > 0) SELECT g.block, g.length, g.ungapped, round(g.same / nullif(g.n, 0), 9) AS identity, CASE WHEN x > 1e-12 AND y > 1e-12 THEN round(-0.5 * ln(x) - 0.25 * ln(y), 6) END AS k80 FROM g LEFT JOIN h ON g.block = h.block""")
+h AS (SELECT *, 1 - 2 * ts / n - (n - same - ts) / n AS x, 1 - 2 * (n - same - ts) / n AS y FROM g WHERE n > 0) SELECT g.block, g.length, g.ungapped, round(g.same / nullif(g.n, 0), 9) AS identity, CASE WHEN x > 1e-12 AND y > 1e-12 THEN round(-0.5 * ln(x) - 0.25 * ln(y), 6) + 0.0 END AS k80 FROM g LEFT JOIN h ON g.block = h.block""")
 def aln_stats(v):
     s = A.aln_stats(v.aln, "r0", "r2")
     return s.withColumns({"identity": F.round("identity", 9), "k80": F.when(F.col("k80") < 12, F.round("k80", 6))})
@@ -68,7 +69,8 @@ def column_rates(v):
     return A.column_rates(c).select("block", "col", F.round("rate", 6).alias("rate"), F.round("scaled", 9).alias("scaled"))
 
 
-@query("concat_alignments", """SELECT row_id, string_agg(s, '' ORDER BY block) AS aln FROM (SELECT b.block, t.row_id, rpad(coalesce(aln, ''), 60, '-') AS s FROM (SELECT DISTINCT block FROM aln) b CROSS JOIN (VALUES ('r0'), ('r1'), ('r9')) t(row_id) LEFT JOIN aln ON aln.block = b.block AND aln.row_id = t.row_id) x GROUP BY row_id""")
+@query("concat_alignments", """WITH b AS (SELECT block, max(length(aln)) AS n FROM aln GROUP BY 1), s AS (SELECT *, 1 + coalesce(sum(n) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM b)
+SELECT t.row_id, s.block, CAST(start AS BIGINT) AS start, rpad(coalesce(aln, ''), CAST(n AS INT), '-') AS aln FROM s CROSS JOIN (VALUES ('r0'), ('r1'), ('r9')) t(row_id) LEFT JOIN aln ON aln.block = s.block AND aln.row_id = t.row_id""")
 def concat_alignments(v):
     return A.concat_alignments(v.aln, ["r0", "r1", "r9"])
 
@@ -79,10 +81,19 @@ def gap_runs(v):
     return A.gap_runs(v.aln, "r0", 2, 50)
 
 
-@query("codon_alignment", """WITH p AS (SELECT id, seq FROM seqs WHERE length(seq) >= 12) SELECT id, substr(seq, 1, 3) || '---' || substr(seq, 4, 6) AS aln FROM p""")
+@query("scan_indels", "WITH " + CELLS + """, p AS (SELECT block, col, base, sum(CASE WHEN base <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY block ORDER BY col) AS rp FROM c WHERE row_id = 'r0'),
+g AS (SELECT p.block, p.col, p.base, rp, p.col - row_number() OVER (PARTITION BY p.block ORDER BY p.col) AS isle FROM p WHERE base <> '-' AND EXISTS (SELECT 1 FROM c WHERE c.block = p.block AND c.col = p.col AND c.row_id <> 'r0' AND c.base = '-')),
+r AS (SELECT block, min(col) AS col_start, max(col) AS col_stop, min(rp)::BIGINT AS a, max(rp)::BIGINT AS b, count(*) AS size, count(*) FILTER (base IN ('C', 'A')) AS n FROM g GROUP BY block, isle)
+SELECT block, col_start, col_stop, block % 7 AS seqid, block * 100 + a AS start, block * 100 + b AS stop, size FROM r WHERE size BETWEEN 2 AND 500 AND n <= 0.5 * size""")
+def scan_indels(v):
+    masked = F.when(F.col("row_id") == "r0", F.translate("aln", "AC", "NN")).otherwise(F.col("aln"))
+    return A.scan_indels(v.aln.withColumn("aln", masked), _blocks(v), "r0", 2, 500, least_rows=1)
+
+
+@query("codon_alignment", r"""SELECT id, regexp_replace(substr(seq, 1, length(seq) // 3 * 3), '(.{6})', '\1---', 'g') AS aln FROM seqs WHERE length(seq) >= 3""")
 def codon_alignment(v):
-    s = v.seqs.where("length(seq) >= 12")
-    return A.codon_alignment(s.select("id", F.lit("M-KL").alias("aln")), s)
+    s = v.seqs.where("length(seq) >= 3")
+    return A.codon_alignment(s.select("id", F.regexp_replace(translate_cds("seq"), "(.{2})", "$1-").alias("aln")), s)
 
 
 @query("ancestral_allele", "WITH " + SIDE.format("r0", "r2") + ", a AS (SELECT block % 7 AS seqid, block * 100 + rp::BIGINT AS pos, min(CASE WHEN o <> '-' THEN o END) AS b FROM s WHERE r <> '-' GROUP BY ALL), p AS (SELECT DISTINCT block % 7 AS seqid, block * 100 + 5 AS pos FROM aln UNION SELECT 99, 1) SELECT p.seqid, p.pos, coalesce(b, '-') AS ancestral FROM p LEFT JOIN a ON p.seqid = a.seqid AND p.pos = a.pos")

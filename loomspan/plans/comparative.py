@@ -103,11 +103,11 @@ def acc_to_taxid(v):
     return C.acc_to_taxid(o.select(F.col("o_orderkey").alias("acc")), o.select(F.col("o_orderkey").alias("acc"), F.col("o_custkey").alias("gi")), gi)
 
 
-@query("merge_pairwise", """WITH a AS (SELECT gene, species || group_id AS ortholog, count(*) OVER (PARTITION BY gene) AS n FROM orthogroups WHERE group_id % 40 = 0), b AS (SELECT gene, species || group_id AS ortholog, count(*) OVER (PARTITION BY gene) AS n FROM orthogroups WHERE group_id % 30 = 0)
-SELECT a.gene, a.ortholog AS ortholog_1, b.ortholog AS ortholog_2 FROM a JOIN b ON a.gene = b.gene WHERE a.n <= 1000 AND b.n <= 1000 AND {}""".format("(SELECT count(*) FROM a x WHERE x.gene = a.gene) = 1 AND (SELECT count(*) FROM b y WHERE y.gene = b.gene) = 1"))
+@query("merge_pairwise", """WITH t AS (SELECT gene, species, species || group_id AS ortholog, count(*) OVER (PARTITION BY gene, species) AS n FROM orthogroups)
+SELECT a.gene, a.ortholog AS ortholog_1, b.ortholog AS ortholog_2 FROM t a JOIN t b ON a.gene = b.gene WHERE a.species = 'S1' AND b.species = 'S2' AND a.n = 1 AND b.n = 1""")
 def merge_pairwise(v):
-    t = lambda k: v.orthogroups.where(f"group_id % {k} = 0").select("gene", F.concat("species", F.col("group_id").cast("string")).alias("ortholog"))
-    return C.merge_pairwise([t(40), t(30)])
+    t = lambda k: v.orthogroups.where(F.col("species") == k).select("gene", F.concat("species", F.col("group_id").cast("string")).alias("ortholog"))
+    return C.merge_pairwise([t("S1"), t("S2")])
 
 
 @query("phylome_table", f"SELECT 'p' || p_partkey AS gene, {EACH(chr(99) + 'ount(DISTINCT group_id) FILTER (species = ' + chr(39) + '{s}' + chr(39) + ') AS {s}')} FROM part LEFT JOIN orthogroups o ON 'p' || p_partkey = o.gene GROUP BY 1")
@@ -135,13 +135,14 @@ def _synteny(v):
 
 
 def _two(v):
-    f = v.features.where("type = 'gene'").groupBy("seqid", "parent").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    f = f.select(F.concat_ws(":", "seqid", "parent").alias("gene"), "seqid", "start", F.least("stop", F.col("start") + 80).alias("stop"))
-    return f.where("start % 2 = 0"), f.where("start % 4 = 1")
+    """The genes of two genomes: what the features of the types gene and CDS span."""
+    f = v.features.groupBy("type", "seqid", "parent").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    f = f.select("type", F.concat_ws(":", "seqid", "parent").alias("gene"), "seqid", "start", F.least("stop", F.col("start") + 80).alias("stop"))
+    return f.where("type = 'gene'").drop("type"), f.where("type = 'CDS'").drop("type")
 
 
-SYN = """g0 AS (SELECT seqid || ':' || parent AS gene, seqid, min(start) AS start, least(max(stop), min(start) + 80) AS stop FROM features WHERE type = 'gene' GROUP BY seqid, parent),
-ga AS (SELECT * FROM g0 WHERE start % 2 = 0), gb AS (SELECT * FROM g0 WHERE start % 4 = 1), s AS (SELECT seqid, k, k * 1000 + 1 AS a1, k * 1000 + 1000 AS a2, k * 1000 + 501 AS b1, k * 1000 + 1500 AS b2, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS st FROM genome, unnest(range(0, length // 1000 + 1)) t(k) WHERE k % 3 <> 2),
+SYN = """g0 AS (SELECT type, seqid || ':' || parent AS gene, seqid, min(start) AS start, least(max(stop), min(start) + 80) AS stop FROM features GROUP BY type, seqid, parent),
+ga AS (SELECT gene, seqid, start, stop FROM g0 WHERE type = 'gene'), gb AS (SELECT gene, seqid, start, stop FROM g0 WHERE type = 'CDS'), s AS (SELECT seqid, k, k * 1000 + 1 AS a1, k * 1000 + 1000 AS a2, k * 1000 + 501 AS b1, k * 1000 + 1500 AS b2, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS st FROM genome, unnest(range(0, length // 1000 + 1)) t(k) WHERE k % 3 <> 2),
 p AS (SELECT ga.gene, s.seqid, CASE WHEN st <> '-' THEN b1 + greatest(start, a1) - a1 ELSE b2 - (least(stop, a2) - a1) END AS start, CASE WHEN st <> '-' THEN b1 + least(stop, a2) - a1 ELSE b2 - (greatest(start, a1) - a1) END AS stop FROM ga JOIN s ON ga.seqid = s.seqid AND ga.start <= a2 AND a1 <= ga.stop),
 m AS (SELECT p.gene, gb.gene AS match FROM p LEFT JOIN gb ON p.seqid = gb.seqid AND p.start <= gb.stop AND gb.start <= p.stop),
 tr AS (SELECT DISTINCT gene, coalesce(match, 'NO_GENES_IN_INTERVAL') AS match FROM m WHERE match IS NOT NULL OR gene NOT IN (SELECT gene FROM m WHERE match IS NOT NULL) UNION ALL SELECT gene, 'NO_SYNTENIC_ALIGNMENT' FROM ga WHERE gene NOT IN (SELECT gene FROM p))"""

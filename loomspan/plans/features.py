@@ -179,13 +179,13 @@ def gene_order_map(v):
 
 
 @query("promoter_windows", """
-WITH g AS (SELECT seqid || ':' || min(parent) AS gene, seqid, strand, start, max(stop) AS stop FROM features WHERE start % 400 = 3 GROUP BY seqid, strand, start), k AS (SELECT gene, g.seqid, strand, step, g.start AS gs, CASE WHEN strand <> '-' THEN g.start - step * 100 ELSE g.stop + (step - 1) * 100 + 1 END AS a, length FROM g JOIN genome ON genome.seqid = g.seqid, range(1, 5) t(step)),
+WITH g AS (SELECT seqid || ':' || min(parent) || strand || start AS gene, seqid, strand, start, max(stop) AS stop FROM features WHERE type = 'gene' GROUP BY seqid, strand, start), k AS (SELECT gene, g.seqid, strand, step, g.start AS gs, CASE WHEN strand <> '-' THEN g.start - step * 100 ELSE g.stop + (step - 1) * 100 + 1 END AS a, length FROM g JOIN genome ON genome.seqid = g.seqid, range(1, 5) t(step)),
 w AS (SELECT gene, seqid, strand, CAST(step AS INT) AS step, gs, greatest(a, 1) AS start, least(a + 99, length) AS stop FROM k WHERE greatest(a, 1) <= least(a + 99, length)),
 f AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.seqid = w.seqid AND g.start <= w.stop AND w.start <= g.stop)), r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY step) AS u FROM f), q AS (SELECT * FROM r WHERE u = step),
 o AS (SELECT *, row_number() OVER (PARTITION BY seqid, start, stop ORDER BY gs, gene) AS first FROM q) SELECT gene, seqid, strand, step, start, stop FROM o WHERE first = 1""")
 def promoter_windows(v):
-    g = v.features.where("start % 400 = 3").groupBy("seqid", "strand", "start").agg(F.max("stop").alias("stop"), F.min("parent").alias("p"))
-    g = g.withColumn("gene", F.concat(F.col("seqid").cast("string"), F.lit(":"), "p")).drop("p")
+    g = v.features.where("type = 'gene'").groupBy("seqid", "strand", "start").agg(F.max("stop").alias("stop"), F.min("parent").alias("p"))
+    g = g.withColumn("gene", F.concat(F.col("seqid").cast("string"), F.lit(":"), "p", "strand", F.col("start").cast("string"))).drop("p")
     return G.promoter_windows(g, v.genome, size=100, bin_size=200)
 
 

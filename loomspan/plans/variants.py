@@ -14,36 +14,39 @@ CODE = "map([" + ", ".join(f"'{c}'" for c in codon_table()) + "], [" + ", ".join
 
 
 def _models(v):
-    """Two coding exons on each long enough sequence: 11-40 and 61-90, on '-' for odd ids."""
-    s = v.seqs.where("length(seq) >= 120")
-    e = s.select(F.concat(F.lit("G"), F.col("id").cast("string")).alias("gene"), F.col("id").alias("seqid"), F.when(F.col("id") % 2 == 1, "-").otherwise("+").alias("strand"), F.inline(F.array(F.struct(F.lit(11).cast("long").alias("start"), F.lit(40).cast("long").alias("stop")), F.struct(F.lit(61).cast("long").alias("start"), F.lit(90).cast("long").alias("stop")))))
-    return e, s.select(F.col("id").alias("seqid"), "seq")
+    """Coding exons of 30 bases all along each sequence, from 11 on every 50 bases, on '-' for odd ids."""
+    s = v.seqs.where("length(seq) >= 40")
+    e = s.select(F.concat(F.lit("G"), F.col("id").cast("string")).alias("gene"), F.col("id").alias("seqid"), F.when(F.col("id") % 2 == 1, "-").otherwise("+").alias("strand"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("seq") - 40) / 50))).alias("k"))
+    return e.select("gene", "seqid", "strand", (F.col("k") * 50 + 11).alias("start"), (F.col("k") * 50 + 40).alias("stop")), v.seqs.select(F.col("id").alias("seqid"), "seq")
 
 
 def _variants(v):
-    s = v.seqs.where("length(seq) >= 120").select(F.col("id").alias("seqid"), "seq", F.explode(F.array(*(F.lit(p).cast("long") for p in (5, 12, 30, 50, 75, 88)))).alias("pos"))
-    ref = F.substr("seq", F.col("pos").cast("int"), F.lit(1))
-    return s.select("seqid", "pos", ref.alias("ref"), F.when(F.col("pos") == 30, F.concat(ref, F.lit("A"))).otherwise(F.translate(ref, "ACGT", "CGTA")).alias("alt"))
+    """A variant every 17 bases from 5 on; every third is an insertion."""
+    some = F.filter(F.split("seq", ""), lambda c, i: (c != "") & (i % 17 == 4))
+    s = v.seqs.select(F.col("id").alias("seqid"), F.posexplode(some).alias("i", "ref"))
+    return s.select("seqid", (F.col("i") * 17 + 5).cast("long").alias("pos"), "ref", F.when(F.col("i") % 3 == 1, F.concat("ref", F.lit("A"))).otherwise(F.translate("ref", "ACGT", "CGTA")).alias("alt"))
 
 
-CDS = """m AS (SELECT id AS seqid, 'G' || id AS gene, id % 2 = 1 AS minus, seq, CASE WHEN id % 2 = 1 THEN reverse(translate(substr(seq, 61, 30), 'ACGT', 'TGCA')) || reverse(translate(substr(seq, 11, 30), 'ACGT', 'TGCA')) ELSE substr(seq, 11, 30) || substr(seq, 61, 30) END AS cds FROM seqs WHERE length(seq) >= 120),
-v AS (SELECT *, substr(seq, pos, 1) AS ref FROM m, (VALUES (5), (12), (30), (50), (75), (88)) t(pos)), a AS (SELECT *, CASE WHEN pos = 30 THEN ref || 'A' ELSE translate(ref, 'ACGT', 'CGTA') END AS alt,
-  CASE WHEN pos BETWEEN 11 AND 40 THEN CASE WHEN minus THEN 30 + 40 - pos + 1 ELSE pos - 10 END WHEN pos BETWEEN 61 AND 90 THEN CASE WHEN minus THEN 90 - pos + 1 ELSE 30 + pos - 60 END END AS cp FROM v)"""
+CDS = """m0 AS (SELECT id AS seqid, 'G' || id AS gene, id % 2 = 1 AS minus, seq, CASE WHEN length(seq) >= 40 THEN (length(seq) - 40) // 50 + 1 ELSE 0 END AS exons FROM seqs),
+m1 AS (SELECT *, array_to_string(list_transform(range(0, exons), lambda k: substr(seq, k * 50 + 11, 30)), '') AS plus FROM m0), m AS (SELECT *, CASE WHEN minus THEN reverse(translate(plus, 'ACGT', 'TGCA')) ELSE plus END AS cds FROM m1),
+v AS (SELECT *, substr(seq, pos, 1) AS ref, (pos - 11) // 50 AS k, pos - 10 - (pos - 11) // 50 * 50 AS off FROM (SELECT *, unnest(range(5, length(seq) + 1, 17)) AS pos FROM m) x), a AS (SELECT *, (pos - 5) // 17 % 3 = 1 AS ins, CASE WHEN (pos - 5) // 17 % 3 = 1 THEN ref || 'A' ELSE translate(ref, 'ACGT', 'CGTA') END AS alt,
+  CASE WHEN pos >= 11 AND off <= 30 AND k < exons THEN CASE WHEN minus THEN 30 * exons - (30 * k + off) + 1 ELSE 30 * k + off END END AS cp FROM v)"""
 
 
-@query("variant_effects", f"""WITH {CDS}, b AS (SELECT *, cp IS NOT NULL AND pos <> 30 AS sub, substr(cds, CAST((cp - 1) // 3 * 3 + 1 AS BIGINT), 3) AS old, CASE WHEN minus THEN translate(alt, 'ACGT', 'TGCA') ELSE alt END AS al FROM a),
+@query("variant_effects", f"""WITH {CDS}, b AS (SELECT *, cp IS NOT NULL AND NOT ins AS sub, pos BETWEEN 11 AND 50 * exons - 10 AS within, substr(cds, CAST((cp - 1) // 3 * 3 + 1 AS BIGINT), 3) AS old, CASE WHEN minus THEN translate(alt, 'ACGT', 'TGCA') ELSE alt END AS al FROM a),
 c AS (SELECT *, substr(old, 1, CAST((cp - 1) % 3 AS BIGINT)) || al || substr(old, CAST((cp - 1) % 3 + 2 AS BIGINT)) AS new FROM b)
-SELECT seqid, CAST(pos AS BIGINT) AS pos, ref, alt, CASE WHEN pos BETWEEN 11 AND 90 THEN gene END AS gene, CASE WHEN pos NOT BETWEEN 11 AND 90 THEN 'intergenic' WHEN cp IS NULL THEN 'intron' WHEN NOT sub THEN 'frameshift' WHEN {CODE}[old] = {CODE}[new] THEN 'synonymous' WHEN {CODE}[new] = '*' THEN 'nonsense' ELSE 'missense' END AS class,
+SELECT seqid, CAST(pos AS BIGINT) AS pos, ref, alt, CASE WHEN within THEN gene END AS gene, CASE WHEN NOT within THEN 'intergenic' WHEN cp IS NULL THEN 'intron' WHEN NOT sub THEN 'frameshift' WHEN {CODE}[old] = {CODE}[new] THEN 'synonymous' WHEN {CODE}[new] = '*' THEN 'nonsense' ELSE 'missense' END AS class,
   CAST(cp AS BIGINT) AS cds_pos, CASE WHEN sub THEN old END AS old, CASE WHEN sub THEN new END AS new, CASE WHEN sub THEN {CODE}[old] END AS old_aa, CASE WHEN sub THEN {CODE}[new] END AS new_aa FROM c""")
 def variant_effects(v):
     models, genome = _models(v)
-    return V.variant_effects(_variants(v), models, genome, 200, 64)
+    return V.variant_effects(_variants(v), models, genome, 200, 1000)
 
 
-@query("strain_cds", f"WITH {CDS}, s AS (SELECT seqid, gene, substr(cds, 1, 1) || 'A' || substr(cds, 3, 7) || 'C' || substr(cds, 11) AS cds FROM m) SELECT gene, 1 AS sample, cds, array_to_string(list_transform(range(1, length(cds) // 3 + 1), lambda i: coalesce({CODE}[substr(cds, CAST(i * 3 - 2 AS BIGINT), 3)], 'X')), '') AS pep FROM s")
+@query("strain_cds", f"WITH {CDS}, s AS (SELECT seqid, gene, array_to_string(list_transform(range(1, length(cds) + 1), lambda i: CASE i % 90 WHEN 2 THEN 'A' WHEN 10 THEN 'C' ELSE substr(cds, i, 1) END), '') AS cds FROM m WHERE exons > 0) SELECT gene, 1 AS sample, cds, array_to_string(list_transform(range(1, length(cds) // 3 + 1), lambda i: coalesce({CODE}[substr(cds, CAST(i * 3 - 2 AS BIGINT), 3)], 'X')), '') AS pep FROM s")
 def strain_cds(v):
-    cds = V.coding_sequences(*_models(v), 64)
-    snps = cds.select("gene", F.lit(1).alias("sample"), F.inline(F.array(F.struct(F.lit(10).alias("cds_pos"), F.lit("C").alias("allele")), F.struct(F.lit(2).alias("cds_pos"), F.lit("A").alias("allele")))))
+    cds = V.coding_sequences(*_models(v), 1000)
+    at = F.filter(F.sequence(F.lit(1), F.length("cds")), lambda i: (i % 90).isin(2, 10))
+    snps = cds.select("gene", F.lit(1).alias("sample"), F.explode(at).alias("cds_pos")).withColumn("allele", F.when(F.col("cds_pos") % 90 == 2, "A").otherwise("C"))
     return V.strain_cds(cds, snps)
 
 

@@ -41,9 +41,9 @@ SELECT 'S' || CAST(l_orderkey % 7 AS STRING) || '_' || CAST(l_orderkey AS STRING
   100 * (1 - l_discount) AS pid, l_quantity AS aln_len, l_tax AS evalue, l_extendedprice AS bits, l_linenumber AS line_no, l_suppkey * 50 + l_partkey % 900 AS qstart
 FROM lineitem""",
     "aln": """
-SELECT b.block, 'r' || CAST(b.r AS STRING) AS row_id, CASE WHEN b.r = 2 THEN REPLACE(b.s, 'T', '-') ELSE b.s END AS aln
-FROM (SELECT CAST(FLOOR(doc_id / 3.0) AS BIGINT) AS block, doc_id % 3 AS r, SUBSTR(UPPER(REGEXP_REPLACE(LOWER(text), '[^acgt]', ''{G})), 1, 60) AS s FROM documents) b
-JOIN (SELECT block FROM (SELECT CAST(FLOOR(doc_id / 3.0) AS BIGINT) AS block, LENGTH(REGEXP_REPLACE(LOWER(text), '[^acgt]', ''{G})) AS n FROM documents) GROUP BY block HAVING COUNT(*) = 3 AND MIN(n) >= 60) k
+SELECT b.block, 'r' || CAST(b.r AS STRING) AS row_id, RPAD(CASE WHEN b.r = 2 THEN REPLACE(b.s, 'T', '-') ELSE b.s END, CAST(k.n AS INT), '-') AS aln
+FROM (SELECT CAST(FLOOR(doc_id / 3.0) AS BIGINT) AS block, doc_id % 3 AS r, UPPER(REGEXP_REPLACE(LOWER(COALESCE(text, '')), '[^acgt]', ''{G})) AS s FROM documents) b
+JOIN (SELECT block, MAX(n) AS n FROM (SELECT CAST(FLOOR(doc_id / 3.0) AS BIGINT) AS block, LENGTH(REGEXP_REPLACE(LOWER(text), '[^acgt]', ''{G})) AS n FROM documents) x GROUP BY block HAVING COUNT(*) = 3 AND MAX(n) > 0) k
 ON b.block = k.block""",
 }
 

@@ -182,10 +182,34 @@ def read_synteny_map(spark: SparkSession, path: str, genomes: list[str]) -> Data
     return _tabbed(spark, path).select(f(0).cast("long").alias("block"), F.inline(rows)).where("seqid <> 'NA'")
 
 
-def read_mummer(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Tab rows below a banner that ends with a line of column titles in brackets."""
-    t = spark.read.text(path).where(F.col("value").rlike(r"^\s*-?\d")).select(F.split(F.trim("value"), r"\t|\s*\|\s*|\s+").alias("f"))
-    return t.select(*(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)))
+#: columns of the two MUMmer tables in tab form, with their types
+SHOW_SNPS = {"pos": "long", "ref_base": "string", "query_base": "string", "query_pos": "long", "buff": "long", "dist": "long", "ref_frame": "int", "query_frame": "int", "ref_seqid": "string", "query_seqid": "string"}
+SHOW_COORDS = {"start": "long", "stop": "long", "query_start": "long", "query_stop": "long", "length": "long", "query_length": "long", "pid": "double", "ref_seqid": "string", "query_seqid": "string"}
+
+
+def read_mummer(spark: SparkSession, path: str, names: dict[str, str] | list[str], program: str = "NUCMER") -> DataFrame:
+    """Rows below a banner (a line of input files, the program's name, column titles in brackets); ``names`` are the
+    columns, with their types or as strings. Every file must have the banner."""
+    kinds = names if isinstance(names, dict) else dict.fromkeys(names, "string")
+    t = spark.read.text(path).withColumn("file", F.input_file_name())
+    flawed = t.groupBy("file").agg(F.max((F.trim("value") == program).cast("int")).alias("named"), F.max(F.trim("value").startswith("[").cast("int")).alias("titled"))
+    flawed = flawed.where("named = 0 OR titled = 0").agg(F.first("file").alias("flawed"))  # one row
+    row = F.col("value").rlike(r"^\s*-?\d")
+    rows = t.where(row).select("value").join(F.broadcast(flawed), how="cross")
+    f = F.when(F.col("flawed").isNull(), F.split(F.trim("value"), r"\t|\s*\|\s*|\s+")).otherwise(F.raise_error(F.concat(F.lit("no banner: "), "flawed")))
+    return rows.select(f.alias("f")).select(*(F.get("f", F.lit(i)).cast(k).alias(n) for i, (n, k) in enumerate(kinds.items())))
+
+
+def read_show_snps(spark: SparkSession, path: str) -> DataFrame:
+    """Substitutions and indels between two genomes; a base of an indel is null."""
+    d = read_mummer(spark, path, SHOW_SNPS)
+    return d.withColumns({c: _known(F.col(c)) for c in ("ref_base", "query_base")})
+
+
+def read_show_coords(spark: SparkSession, path: str) -> DataFrame:
+    """Aligned regions with start <= stop on both sides and the strand of the query."""
+    d = read_mummer(spark, path, SHOW_COORDS)
+    return d.withColumns({"strand": F.when(F.col("query_start") > F.col("query_stop"), "-").otherwise("+"), "query_start": F.least("query_start", "query_stop"), "query_stop": F.greatest("query_start", "query_stop")})
 
 
 def read_table(spark: SparkSession, path: str, require: list[str] = (), sep: str = "\t") -> DataFrame:
@@ -229,12 +253,21 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rnaz(spark: SparkSession, path: str) -> DataFrame:
-    """The better strand of each RNAz report that is classed as RNA, one row per file."""
-    t = spark.read.option("lineSep", "############################  RNAz").text(path).withColumn("file", F.input_file_name())
+    """The better strand of each window of RNAz reports that is classed as RNA: seqid, start, stop, strand, p, z (mean z-score).
+
+    A window is a sequence of the report's first alignment row, ``>name start length strand size``; start counts from 0, from
+    the other end on the reverse strand. Both reading directions of a window are reports of their own."""
+    t = spark.read.option("lineSep", "############################  RNAz").text(path)
     one = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
-    r = t.select("file", one(r"Reading direction:\s*(\w+)").alias("direction"), one(r"SVM RNA-class probability:\s*([\d.eE+-]+)").cast("double").alias("p"), one(r"Prediction:\s*(\w+)").alias("prediction")).where("p IS NOT NULL")
-    best = r.groupBy("file").agg(F.max_by(F.struct("direction", "p", "prediction"), "p").alias("b")).select("file", "b.*")
-    return best.where("prediction = 'RNA'").select("file", F.when(F.col("direction") == "reverse", "-").otherwise("+").alias("strand"), "p")
+    head = lambda i: F.regexp_extract("value", r"(?m)^>(\S+)\s+(\d+)\s+(\d+)\s+([+-])\s+(\d+)", i)
+    at, size, total = (F.nullif(head(i), F.lit("")).cast("long") for i in (2, 3, 5))
+    first = F.when(head(4) == "-", total - at - size).otherwise(at) + 1
+    r = t.select(
+        head(1).alias("seqid"), first.alias("start"), (first + size - 1).alias("stop"), (head(4) == "-").alias("minus"), (one(r"Reading direction:\s*(\w+)") == "reverse").alias("reverse"),
+        one(r"SVM RNA-class probability:\s*([\d.eE+-]+)").cast("double").alias("p"), one(r"Mean z-score:\s*([\d.eE+-]+)").cast("double").alias("z"), one(r"Prediction:\s*(\w+)").alias("prediction"),
+    ).where("p IS NOT NULL AND start IS NOT NULL")
+    best = r.groupBy("seqid", "start", "stop").agg(F.max_by(F.struct("minus", "reverse", "p", "z", "prediction"), F.struct("p", ~F.col("reverse"))).alias("b")).select("seqid", "start", "stop", "b.*")
+    return best.where("prediction = 'RNA'").select("seqid", "start", "stop", F.when(F.col("minus") != F.col("reverse"), "-").otherwise("+").alias("strand"), "p", "z")
 
 
 def read_exonerate(spark: SparkSession, path: str) -> DataFrame:
@@ -248,19 +281,45 @@ def read_exonerate(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", f(0).alias("seqid"), f(1).alias("source"), f(2).alias("type"), f(3).cast("long").alias("start"), f(4).cast("long").alias("stop"), _known(f(5)).cast("double").alias("score"), F.when(f(6).isin("+", "-"), f(6)).alias("strand"), attrs.alias("attrs")).where("start IS NOT NULL")
 
 
-def flagstat_table(spark: SparkSession, path: str) -> DataFrame:
-    """One row per flagstat file: sample, total, mapped, duplicates, kept."""
-    t = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^/]*$", 1).alias("sample"), F.regexp_extract("value", r"^(\d+)", 1).cast("long").alias("n"), "value")
+def read_exonerate_hits(spark: SparkSession, path: str) -> DataFrame:
+    """The ``vulgar`` lines of Exonerate reports: both intervals (1-based, start <= stop) and strands, score, aligned
+    lengths (of query and target) in matches, codons and split codons, and the number of gaps, introns and frameshifts."""
+    t = spark.read.text(path).where(F.col("value").startswith("vulgar: ")).select(F.split(F.trim("value"), r"\s+").alias("f"))
+    f = lambda i: F.get("f", F.lit(i))
+    n = F.floor((F.size("f") - 10) / 3)
+    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("f", (10 + 3 * i).cast("int")).alias("op"), F.get("f", (11 + 3 * i).cast("int")).cast("long").alias("q"), F.get("f", (12 + 3 * i).cast("int")).cast("long").alias("t")))).otherwise(F.array().cast("array<struct<op:string,q:bigint,t:bigint>>"))
+    t = t.withColumn("ops", parts)
+    total = lambda side: F.aggregate(F.filter("ops", lambda x: x["op"].isin("M", "C", "S")), F.lit(0).cast("long"), lambda a, x: a + x[side])
+    count = lambda *ops: F.size(F.filter("ops", lambda x: x["op"].isin(*ops)))
+    span = lambda i: [F.least(f(i).cast("long"), f(i + 1).cast("long")) + 1, F.greatest(f(i).cast("long"), f(i + 1).cast("long"))]
+    return t.select(
+        f(1).alias("query"), span(2)[0].alias("qstart"), span(2)[1].alias("qstop"), f(4).alias("qstrand"), f(5).alias("seqid"), span(6)[0].alias("start"), span(6)[1].alias("stop"), f(8).alias("strand"),
+        f(9).cast("long").alias("score"), total("q").alias("query_aligned"), total("t").alias("target_aligned"), count("G").alias("gaps"), count("I").alias("introns"), count("F").alias("frameshifts"),
+    )
+
+
+def read_gene_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of gene-prediction reports: genes and transcripts, whose last field is a bare id, and parts with
+    ``transcript_id "t"; gene_id "g";``, as features with attributes. Comments and embedded sequences are skipped."""
+    f = lambda i: F.get("f", F.lit(i))
+    named = lambda k: F.nullif(F.regexp_extract(f(8), rf'{k} "([^"]*)"', 1), F.lit(""))
+    bare = F.when(~F.contains(f(8), F.lit('"')), F.trim(f(8)))
+    pairs = F.array(F.struct(F.lit("ID").alias("k"), bare.alias("v")), F.struct(F.lit("gene_id").alias("k"), named("gene_id").alias("v")), F.struct(F.lit("transcript_id").alias("k"), named("transcript_id").alias("v")))
+    return _gff(_tabbed(spark, path).where(F.size("f") == 9), F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull())))
+
+
+def flagstat_table(spark: SparkSession, path: str, name: str = r"([^/]+?)\.[^/]*$") -> DataFrame:
+    """One row per flagstat file: sample, total, mapped, duplicates, kept; ``name`` finds the sample in a file's path."""
+    t = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), name, 1).alias("sample"), F.regexp_extract("value", r"^(\d+)", 1).cast("long").alias("n"), "value")
     at = lambda p: F.max(F.when(F.col("value").rlike(p), F.col("n")))
     g = t.groupBy("sample").agg(at(r"in total").alias("total"), at(r"\+ \d+ mapped|^\d+ mapped").alias("mapped"), at(r"duplicates").alias("duplicates"))
     return g.withColumn("kept", F.col("mapped") - F.col("duplicates"))
 
 
-def training_summary(spark: SparkSession, bits: str, coverage: str) -> DataFrame:
-    """Bits and coverage of training runs by the two parameters in their file names (``..._a_b.txt``)."""
+def training_summary(spark: SparkSession, bits: str, coverage: str, p: str = r"_([\d.]+)_([\d.]+?)\.[A-Za-z]+$") -> DataFrame:
+    """Bits and coverage of training runs by the two parameters in their file names (``..._a_b.txt``), which ``p`` finds in a path."""
 
     def read(path, name):
-        p = r"_([\d.]+)_([\d.]+?)\.[A-Za-z]+$"
         t = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), p, 1).cast("double").alias("a"), F.regexp_extract(F.input_file_name(), p, 2).cast("double").alias("b"), F.regexp_extract("value", r"([\d.eE+-]+)\s*$", 1).try_cast("double").alias("v"))
         return t.groupBy("a", "b").agg(F.max("v").alias(name))
 

@@ -58,6 +58,21 @@ def write_wig(df: DataFrame, path: str, step: int, value: str = "mean", mode: st
     d.select(F.when(first, F.concat(head, row)).otherwise(row).alias("value")).write.mode(mode).text(path)
 
 
+def load_table(df: DataFrame, name: str, keys: list[str], order: list[str], buckets: int = 64, mode: str = "error") -> None:
+    """``df`` as a catalog table in buckets of ``keys``, sorted by ``order`` inside: joins and windows on the keys, and
+    reading a key's rows in order, need no shuffle."""
+    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*order).format("parquet").saveAsTable(name)
+
+
+def load_jdbc(df: DataFrame, url: str, name: str, batch: int = 10_000, mode: str = "append", **options) -> None:
+    """``df`` into a database table over JDBC, a connection per partition."""
+    df.write.mode(mode).format("jdbc").options(url=url, dbtable=name, batchsize=batch, **options).save()
+
+
+def read_jdbc(spark, url: str, query: str, **options) -> DataFrame:
+    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+
+
 def write_by_key(df: DataFrame, keys: list[str], path: str, format: str = "parquet", mode: str = "error") -> None:
     df.write.mode(mode).partitionBy(*keys).format(format).save(path)
 
