@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.operators.intervals import BIN, overlap_anti
+from loomspan.operators.intervals import BIN, TILE, beside, earlier, merge_intervals, overlap_anti, overlap_join, tile_of
 
 
 def of_type(df: DataFrame, *types: str, column: str = "type") -> DataFrame:
@@ -74,17 +76,19 @@ def gene_models(rows: DataFrame) -> DataFrame:
 
 
 def fill_down(df: DataFrame, column: str, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Nulls become the last value above them in order; name the file in ``by``, so that files fill on their own."""
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(W.partitionBy(*(by or [])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    """Nulls become the last value above them in order; name the file in ``by``, so that files fill on their own. A
+    long file is filled in tiles of the first column of ``order``."""
+    above = beside(df, by or [], order, F.col(column), tile_of(df, order[0]))
+    return above.withColumn(column, F.coalesce(column, "__beside")).drop("__beside").select(df.columns)
 
 
 def chain_hits(hits: DataFrame, max_intron: int = 800, window: int = 1500, keys: tuple[str, ...] = ("query", "seqid", "strand")) -> DataFrame:
     """Hits (start, stop, score) of the same keys as chains with gaps of ``max_intron`` at most: extent,
     extent with ``window`` around it (not below 1), number of hits and summed score."""
-    w = W.partitionBy(*keys).orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    h = hits.withColumn("new", F.when(reach.isNull() | (F.col("start") - reach > max_intron), 1).otherwise(0)).withColumn("chain", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    c = h.groupBy(*keys, "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
+    chains = merge_intervals(hits, list(keys), max_intron).withColumnRenamed("n", "n_chain")
+    first = overlap_join(hits, chains, list(keys))  # a hit lies in one chain
+    c = first.groupBy(*keys, F.col("start_r").alias("start"), F.col("stop_r").alias("stop")).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
+    c = earlier(c, list(keys), ["start"], F.lit(1), "sum", F.floor(F.col("start") / TILE)).withColumn("chain", F.col("__before") + 1).drop("__before")
     return c.withColumns({"from_": F.greatest(F.col("start") - window, F.lit(1)), "to_": F.col("stop") + window})
 
 
@@ -113,8 +117,9 @@ def dedupe_overlaps(models: DataFrame, minlen: int = 50, keys: tuple[str, ...] =
         for i, (k, a, b) in enumerate(zip(pdf["__isle"], pdf.start, pdf.stop)):
             if k != isle:
                 isle, kept = k, []
-            if all(a > y or b < x for x, y in kept):
-                kept.append((a, b))
+            at = bisect(kept, (a,))  # what is kept doesn't overlap: only the two beside can
+            if (at == 0 or kept[at - 1][1] < a) and (at == len(kept) or kept[at][0] > b):
+                kept.insert(at, (a, b))
                 chosen.append(i)
         return pdf.iloc[chosen]
 
@@ -126,10 +131,11 @@ def dedupe_overlaps(models: DataFrame, minlen: int = 50, keys: tuple[str, ...] =
 def missing_regions(transfer: DataFrame) -> DataFrame:
     """Genes without a counterpart (status NO_GENES_IN_INTERVAL) whose two neighbours have one on the same
     target sequence: the region between those. Columns chrom, start, gene, status, target, t_start, t_stop."""
-    w = W.partitionBy("chrom").orderBy("start", "gene")
-    t = transfer.select("*", *(f(c).over(w).alias(f"{n}_{c}") for f, n in ((F.lag, "prev"), (F.lead, "next")) for c in ("target", "t_start", "t_stop")))
-    t = t.where((F.col("status") == "NO_GENES_IN_INTERVAL") & (F.col("prev_target") == F.col("next_target")))
-    return t.select("chrom", "gene", F.col("prev_target").alias("target"), (F.least("prev_t_stop", "next_t_stop") + 1).alias("from_"), (F.greatest("prev_t_start", "next_t_start") - 1).alias("to_"))
+    own, tile = F.struct("target", "t_start", "t_stop"), F.floor(F.col("start") / TILE)
+    t = beside(transfer, ["chrom"], ["start", "gene"], own, tile).withColumnRenamed("__beside", "prev")
+    t = beside(t, ["chrom"], ["start", "gene"], own, tile, ahead=True).withColumnRenamed("__beside", "next")
+    t = t.where((F.col("status") == "NO_GENES_IN_INTERVAL") & (F.col("prev.target") == F.col("next.target")))
+    return t.select("chrom", "gene", F.col("prev.target").alias("target"), (F.least("prev.t_stop", "next.t_stop") + 1).alias("from_"), (F.greatest("prev.t_start", "next.t_start") - 1).alias("to_"))
 
 
 def length_stats(features: DataFrame, by: str = "type", unit: str | None = None, genome_len: int | None = None) -> DataFrame:
@@ -178,7 +184,9 @@ def scaffolds(genome: DataFrame, kind: str = "scaffold") -> DataFrame:
 def karyotype(genome: DataFrame, min_len: int = 20_000) -> DataFrame:
     """Sequences of ``min_len`` or more by length with a colour number, the running index modulo 360."""
     g = genome.where(F.col("length") >= min_len)
-    return g.withColumn("colour", (F.row_number().over(W.orderBy(F.desc("length"), "seqid")) - 1) % 360)
+    g = g.withColumns({"__one": F.lit(1), "__down": -F.col("length")})
+    g = earlier(g, [], ["__down", "seqid"], F.col("__one"), "sum", -F.floor(F.log2("length") * 256))
+    return g.withColumn("colour", (F.col("__before") % 360).cast("int")).drop("__one", "__down", "__before")
 
 
 def to_gff2(df: DataFrame, names: DataFrame, tag: str = "GenePrediction") -> DataFrame:
@@ -216,7 +224,8 @@ def gene_order_map(genes: DataFrame, go: DataFrame) -> DataFrame:
     """Genes by sequence and position with their order and sorted GO terms."""
     terms = go.groupBy("gene").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
     g = genes.groupBy("gene", "seqid").agg(F.min("start").alias("start"))
-    return g.withColumn("place", F.row_number().over(W.partitionBy("seqid").orderBy("start", "gene"))).join(terms, "gene", "left")
+    g = earlier(g, ["seqid"], ["start", "gene"], F.lit(1), "sum", F.floor(F.col("start") / TILE))
+    return g.withColumn("place", (F.col("__before") + 1).cast("int")).drop("__before").join(terms, "gene", "left")
 
 
 def promoter_windows(genes: DataFrame, genome: DataFrame, steps: int = 4, size: int = 1000, bin_size: int = BIN) -> DataFrame:

@@ -115,6 +115,25 @@ def earlier(df: DataFrame, keys: list[str], order: list[Column | str], value: Co
     return out.withColumn("__before", both).drop("__tile", "__value", "__inner", "__base")
 
 
+def beside(df: DataFrame, keys: list[str], order: list[str], value: Column, tile: Column, ahead: bool = False) -> DataFrame:
+    """``df`` with __beside: the last ``value`` that isn't null in the rows of the same keys that come earlier or, with
+    ``ahead``, the first in those that come later. ``tile`` grows with the first column of ``order``."""
+    df = df.withColumn("__tile", tile).withColumn("__value", value)
+    sort = [F.col(c).desc() if ahead else F.col(c).asc() for c in [*order, "__tile"]]
+    inner = W.partitionBy(*keys, "__tile").orderBy(*sort[:-1]).rowsBetween(W.unboundedPreceding, -1)
+    outer = W.partitionBy(*keys).orderBy(sort[-1]).rowsBetween(W.unboundedPreceding, -1)
+    pick = F.min_by if ahead else F.max_by
+    edge = pick(F.col("__value"), F.when(F.col("__value").isNotNull(), F.struct(*order)))
+    tiles = df.groupBy(*keys, "__tile").agg(edge.alias("__edge")).withColumn("__base", F.last("__edge", ignorenulls=True).over(outer)).drop("__edge")
+    out = df.withColumn("__inner", F.last("__value", ignorenulls=True).over(inner)).join(tiles, [*keys, "__tile"])
+    return out.withColumn("__beside", F.coalesce("__inner", "__base")).drop("__tile", "__value", "__inner", "__base")
+
+
+def tile_of(df: DataFrame, column: str, size: int = TILE, letters: int = 12) -> Column:
+    """A tile that grows with a column: ``size`` numbers each for numbers, the first ``letters`` for texts."""
+    return F.substring(column, 1, letters) if dict(df.dtypes)[column] == "string" else F.floor(F.col(column) / size)
+
+
 def merge_intervals(df: DataFrame, on: str | list[str] = "seqid", gap: int = 0, tile: int = TILE) -> DataFrame:
     """Islands of intervals with at most ``gap`` between start and the end so far (1 joins neighbours),
     as keys, start, stop and n, the number of intervals in each. ``gap`` is less than ``tile``."""
@@ -129,8 +148,7 @@ def merge_intervals(df: DataFrame, on: str | list[str] = "seqid", gap: int = 0,
     reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
     bits = bits.withColumn("new", F.when(reach.isNull() | (F.col("s") > reach + gap), 1).otherwise(0)).withColumn("k", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     isles = bits.groupBy(*keys, "t", "k").agg(F.min("s").alias("start"), F.max("e").alias("stop"), F.sum("n").alias("n"), F.max("right").alias("right"), F.max("left").alias("left"))
-    ends = isles.groupBy(*keys, "t").agg(F.max("k").alias("last"))
-    isles = isles.join(ends, [*keys, "t"])
+    isles = isles.withColumn("last", F.max("k").over(W.partitionBy(*keys, "t")))
     edge = isles.where("k = 1 OR k = last")  # two of a tile at most
     w = W.partitionBy(*keys).orderBy("t", "k")
     ties = (F.lag("right").over(w) & F.col("left")) | (F.col("start") <= F.lag("stop").over(w) + gap)

@@ -10,21 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators.intervals import earlier
+from loomspan.sources.scratch import kept
 
-def ancestors(edges: DataFrame, most: int = 100) -> DataFrame:
+
+def ancestors(edges: DataFrame, most: int = 1000) -> DataFrame:
     """All (term, ancestor, distance) of a graph (child, parent), the shortest distance; a term is its own at 0.
-    Each step joins the newest pairs alone; cycles end, as known pairs are dropped."""
+    Each step joins the newest pairs alone; cycles end, as known pairs are dropped. A graph of over ``most`` steps is an error."""
     nodes = edges.select("child").union(edges.select("parent")).distinct()
     known = nodes.select(F.col("child").alias("term"), F.col("child").alias("ancestor"), F.lit(0).alias("distance"))
     newest, steps = known, edges.select("child", "parent").distinct()
     for step in range(1, most + 1):
         next_ = newest.join(steps, newest.ancestor == steps.child).select("term", F.col("parent").alias("ancestor")).distinct()
         fresh = next_.join(known, ["term", "ancestor"], "left_anti").withColumn("distance", F.lit(step))
-        newest = fresh.checkpoint() if fresh.sparkSession.sparkContext.getCheckpointDir() else fresh.persist()
+        newest = kept(fresh, "ancestors")
         if newest.isEmpty():
-            break
+            return known
         known = known.union(newest)
-    return known
+    raise RuntimeError(f"the graph has paths of over {most} steps")
 
 
 def lineage(edges: DataFrame, root: str) -> DataFrame:
@@ -112,7 +115,11 @@ def go_enrichment(genes: DataFrame, assoc: DataFrame, edges: DataFrame, side: st
     """``enrichment_counts`` with hypergeometric p and Benjamini-Hochberg q; rows with p of ``p_max`` at most."""
     c = enrichment_counts(genes, assoc, edges).where("in_list > 0" if side == "over" else "in_universe > 0")
     c = c.withColumn("p", _hypergeometric(side == "over")("in_list", "in_universe", "listed", "universe"))
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    c = c.withColumns({"m": n, "r": F.rank().over(W.orderBy("p"))}).withColumn("q0", F.col("p") * F.col("m") / F.col("r"))
-    q = F.least(F.lit(1.0), F.min("q0").over(W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)))
-    return c.withColumn("q", q).where(F.col("p") <= p_max).select("term", "in_list", "in_universe", "listed", "universe", "p", "q")
+    c = kept(c, "enrichment")  # read several times below
+    v = c.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    tile = F.floor(F.log10(F.greatest("p", F.lit(1e-300))) * 64)
+    v = earlier(v, [], ["p"], F.col("n"), "sum", tile).withColumn("r", F.col("__before") + 1).drop("__before")
+    v = v.join(F.broadcast(c.agg(F.count(F.lit(1)).alias("m"))), how="cross").withColumn("q0", F.col("p") * F.col("m") / F.col("r"))  # one row
+    v = earlier(v, [], [F.desc("p")], -F.col("q0"), "max", -tile, inclusive=True)
+    out = c.join(v.select("p", F.least(F.lit(1.0), -F.col("__before")).alias("q")), "p").where(F.col("p") <= p_max)
+    return out.select("term", "in_list", "in_universe", "listed", "universe", "p", "q")

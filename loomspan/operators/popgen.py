@@ -89,27 +89,28 @@ def allele_freqs(alleles: DataFrame) -> DataFrame:
     return n.groupBy("chrom", "pos", "pop").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("allele", "n"))), lambda x: F.concat(x["allele"], F.lit(":"), x["n"].cast("string"))), ",").alias("freqs"))
 
 
-def snp_alignment(alleles: DataFrame, least_called: float = 0.9, invariant: bool = False) -> DataFrame:
+def snp_alignment(alleles: DataFrame, least_called: float = 0.9, invariant: bool = False, size: int = 100_000) -> DataFrame:
     """The alleles of each sample in order of the sites, '-' where not called; sites called in fewer than
-    ``least_called`` of the samples, and without ``invariant`` those that don't vary, are left out."""
+    ``least_called`` of the samples, and without ``invariant`` those that don't vary, are left out. A sample's row is
+    its pieces by chrom and chunk, one for each ``size`` positions; it is never one value."""
     s = alleles.groupBy("chrom", "pos").agg(F.avg(F.col("allele").isNotNull().cast("double")).alias("called"), F.countDistinct("allele").alias("kinds"))
     s = s.where((F.col("called") >= least_called) & ((F.col("kinds") > 1) | F.lit(invariant)))
-    rows = alleles.join(s.select("chrom", "pos"), ["chrom", "pos"]).select("sample", "chrom", "pos", F.coalesce("allele", F.lit("-")).alias("a"))
-    return rows.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chrom", "pos", "a"))), lambda x: x["a"]), "").alias("seq"))
+    rows = alleles.join(s.select("chrom", "pos"), ["chrom", "pos"]).select("sample", "chrom", F.floor(F.col("pos") / size).alias("chunk"), "pos", F.coalesce("allele", F.lit("-")).alias("a"))
+    return rows.groupBy("sample", "chrom", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "a"))), lambda x: x["a"]), "").alias("seq"))
 
 
 def index_of_association(alleles: DataFrame, pop: str, n_loci: int = 50, seed: int = 3) -> DataFrame:
     """I_A = V_O / V_E - 1 of one population over ``n_loci`` sites by a seeded hash at which all samples are called:
     V_O is the variance of the pairwise numbers of differing loci, V_E the sum over loci of h (1 - h)."""
     a = alleles.where(F.col("pop") == pop)
-    n = a.select("sample").distinct().count()
-    loci = a.groupBy("chrom", "pos").agg(F.count("allele").alias("c"), F.countDistinct("allele").alias("kinds")).where((F.col("c") == n) & (F.col("kinds") > 1))
+    n = F.broadcast(a.agg(F.countDistinct("sample").alias("n")))  # one row
+    loci = a.groupBy("chrom", "pos").agg(F.count("allele").alias("c"), F.countDistinct("allele").alias("kinds")).join(n, how="cross").where("c = n AND kinds > 1")
     loci = loci.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("chrom").cast("string"), F.col("pos").cast("string")).cast("binary")), "chrom", "pos").limit(n_loci)
     g = a.join(F.broadcast(loci.select("chrom", "pos")), ["chrom", "pos"]).select("chrom", "pos", "sample", "allele")  # n_loci rows
     b = g.select("chrom", "pos", F.col("sample").alias("s2"), F.col("allele").alias("a2"))
     pairs = g.join(b, ["chrom", "pos"]).where("sample < s2")
     vo = pairs.groupBy("sample", "s2").agg(F.sum((F.col("allele") != F.col("a2")).cast("int")).alias("d")).agg(F.var_samp("d").alias("vo"))
-    h = g.groupBy("chrom", "pos", "allele").agg(F.count(F.lit(1)).alias("k")).groupBy("chrom", "pos").agg((F.lit(1.0) - F.sum(F.pow(F.col("k") / n, F.lit(2.0)))).alias("h"))
+    h = g.groupBy("chrom", "pos", "allele").agg(F.count(F.lit(1)).alias("k")).join(n, how="cross").groupBy("chrom", "pos").agg((F.lit(1.0) - F.sum(F.pow(F.col("k") / F.col("n"), F.lit(2.0)))).alias("h"))
     ve = h.agg(F.sum(F.col("h") * (1 - F.col("h"))).alias("ve"), F.count(F.lit(1)).alias("loci"))
     return vo.join(F.broadcast(ve), how="cross").select("loci", "vo", "ve", (F.col("vo") / F.col("ve") - 1).alias("ia"))
 
@@ -143,11 +144,17 @@ def pairwise_alleles(alleles: DataFrame) -> DataFrame:
     return p.groupBy(F.col("sample").alias("sample_a"), "sample_b").agg(F.sum(F.when(same, 1).otherwise(0)).alias("shared"), F.sum(F.when(~same, 1).otherwise(0)).alias("different"))
 
 
-def indel_matrix(calls: DataFrame) -> DataFrame:
-    """A 0/1 string per sample over all sites in order (chrom, pos, sample, present), 0 where it has no row."""
-    sites, samples = calls.select("chrom", "pos").distinct(), calls.select("sample").distinct()
-    full = sites.join(samples, how="cross").join(calls.groupBy("chrom", "pos", "sample").agg(F.max(F.col("present").cast("int")).alias("p")), ["chrom", "pos", "sample"], "left")  # the matrix itself
-    return full.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chrom", "pos", F.coalesce("p", F.lit(0)).alias("p")))), lambda x: x["p"].cast("string")), "").alias("states"))
+def indel_matrix(calls: DataFrame, size: int = 100_000) -> DataFrame:
+    """A 0/1 string per sample, chrom and chunk of ``size`` positions over all sites in order (chrom, pos, sample,
+    present), 0 where it has no row. Each chunk's sites are one sorted array, which the samples' own positions are looked up in."""
+    at = calls.withColumn("chunk", F.floor(F.col("pos") / size))
+    sites = at.groupBy("chrom", "chunk").agg(F.array_sort(F.collect_set("pos")).alias("sites"))  # size positions at most
+    own = at.where("present").groupBy("chrom", "chunk", "sample").agg(F.collect_set("pos").alias("own"))
+    # the matrix itself, a row for each sample and chunk
+    full = sites.join(calls.select("sample").distinct(), how="cross").join(own, ["chrom", "chunk", "sample"], "left")
+    mine = F.map_from_entries(F.transform(F.coalesce("own", F.array().cast("array<bigint>")), lambda p: F.struct(p, F.lit("1"))))
+    states = F.array_join(F.transform("sites", lambda p: F.coalesce(F.try_element_at("mine", p), F.lit("0"))), "")
+    return full.withColumn("mine", mine).select("sample", "chrom", "chunk", states.alias("states"))
 
 
 def pn_ps(counts: DataFrame, non: list[str], syn: list[str]) -> DataFrame:

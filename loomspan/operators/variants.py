@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import codon_change, revcomp, translate_cds
-from loomspan.operators.intervals import BIN, merge_intervals, overlap_join
+from loomspan.operators.intervals import BIN, earlier, merge_intervals, overlap_join, tile_of
 from loomspan.operators.sequences import fetch_seq
 
 
@@ -86,7 +87,7 @@ def polya_est_sites(trimmed: DataFrame, alignments: DataFrame) -> DataFrame:
 
 def gene_summary(cds: DataFrame, genome: DataFrame) -> DataFrame:
     """Genes with strand as 1 or -1, spliced length, exons, and position counted over all sequences in order of their names."""
-    offset = genome.select("seqid", F.coalesce(F.sum("length").over(W.orderBy("seqid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # a row per sequence
+    offset = earlier(genome.select("seqid", "length"), [], ["seqid"], F.col("length"), "sum", tile_of(genome, "seqid", 1000)).select("seqid", F.col("__before").alias("offset"))
     g = cds.groupBy("gene", "seqid", "strand").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum(F.col("stop") - F.col("start") + 1).alias("spliced"), F.count(F.lit(1)).alias("exons"))
     return g.join(offset, "seqid").select("gene", "seqid", F.when(F.col("strand") == "-", -1).otherwise(1).alias("strand"), "start", "stop", "spliced", "exons", (F.col("offset") + F.col("start")).alias("genome_start"))
 
@@ -124,11 +125,11 @@ def _branches(newick: str) -> Iterator[tuple[str, str, float]]:
 def branch_means(trees: DataFrame) -> DataFrame:
     """Mean length and number of each branch over many trees (column newick), by its leaves and its parent's."""
 
-    @F.udtf(returnType="branch string, parent string, length double")
-    class Branches:
-        def eval(self, newick: str):
-            if newick:
-                yield from _branches(newick)
+    def run(batches):
+        for batch in batches:
+            rows = [b for tree in batch.column(0).to_pylist() if tree for b in _branches(tree)]
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64()))], ["branch", "parent", "length"])
 
-    rows = trees.select("newick").lateralJoin(Branches(F.col("newick").outer()))
+    rows = trees.select("newick").mapInArrow(run, "branch string, parent string, length double")
     return rows.groupBy("branch", "parent").agg(F.avg("length").alias("mean"), F.count(F.lit(1)).alias("n"))

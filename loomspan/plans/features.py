@@ -96,7 +96,11 @@ def chain_est(v):
     return G.chain_est(h, min_cov=0.05)
 
 
-@query("dedupe_overlaps")
+@query("dedupe_overlaps", """WITH RECURSIVE m AS (SELECT type AS gene, seqid, start, stop, row_number() OVER (PARTITION BY type, seqid ORDER BY start - stop, start, stop) AS r FROM features WHERE stop - start + 1 >= 20),
+s(gene, seqid, r, kept) AS (SELECT gene, seqid, 1::BIGINT, [{'a': start, 'b': stop}] FROM m WHERE r = 1
+  UNION ALL SELECT s.gene, s.seqid, m.r, CASE WHEN len(list_filter(kept, lambda k: m.start <= k.b AND k.a <= m.stop)) = 0 THEN list_append(kept, {'a': m.start, 'b': m.stop}) ELSE kept END FROM s JOIN m ON m.gene = s.gene AND m.seqid = s.seqid AND m.r = s.r + 1),
+z AS (SELECT gene, seqid, unnest(arg_max(kept, r)) AS k FROM s GROUP BY gene, seqid)
+SELECT gene, seqid, k.a AS start, k.b AS stop, row_number() OVER (PARTITION BY gene, seqid ORDER BY k.a, k.b) AS copy FROM z""")
 def dedupe_overlaps(v):
     return G.dedupe_overlaps(v.features.select(F.col("type").alias("gene"), "seqid", "start", "stop"), 20)
 

@@ -259,9 +259,9 @@ def read_exonerate_hits(v):
     return R.read_exonerate_hits(v.spark, written(v, v.table("lineitem"), row, "Command line: [x]"))
 
 
-@query("read_rnaz", "SELECT DISTINCT 'c' || l_suppkey || 'n' || l_orderkey || '.' || l_linenumber AS seqid, l_partkey + 1 AS start, l_partkey + 120 AS stop, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, 0.9::DOUBLE AS p, -3.5::DOUBLE AS z FROM lineitem WHERE l_linestatus = 'F'")
+@query("read_rnaz", "SELECT DISTINCT 'c' || l_suppkey || l_linestatus || 'n' || l_orderkey || '.' || l_linenumber AS seqid, l_partkey + 1 AS start, l_partkey + 120 AS stop, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, 0.9::DOUBLE AS p, -3.5::DOUBLE AS z FROM lineitem WHERE l_linestatus = 'F'")
 def read_rnaz(v):
-    name = F.concat(F.lit("c"), text("l_suppkey"), F.lit("n"), text("l_orderkey"), F.lit("."), text("l_linenumber"))
+    name = F.concat(F.lit("c"), text("l_suppkey"), "l_linestatus", F.lit("n"), text("l_orderkey"), F.lit("."), text("l_linenumber"))
 
     def report(direction, p):
         rna = (F.col("l_linestatus") == "F") & (p > 0.5)

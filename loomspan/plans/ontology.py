@@ -67,6 +67,11 @@ def enrichment_counts(v):
     return O.enrichment_counts(v.assoc.where("gene LIKE '%7'").select("gene"), v.assoc, v.edges)
 
 
-@query("go_enrichment")
+LF = "lgamma(({})::DOUBLE + 1)".format
+
+
+@query("go_enrichment", CLOSE + f""", f AS (SELECT DISTINCT gene, ancestor AS term FROM assoc JOIN a ON assoc.term = a.term), c AS (SELECT term, count(*) AS in_universe, count(*) FILTER (gene LIKE '%7') AS in_list, (SELECT count(DISTINCT gene) FROM f) AS universe, (SELECT count(DISTINCT gene) FROM f WHERE gene LIKE '%7') AS listed FROM f GROUP BY term HAVING count(*) FILTER (gene LIKE '%7') > 0),
+x AS (SELECT *, unnest(range(in_list, least(in_universe, listed) + 1)) AS i FROM c), e AS (SELECT term, in_list, in_universe, listed, universe, least(1.0::DOUBLE, sum(exp({LF("in_universe")} - {LF("i")} - {LF("in_universe - i")} + {LF("universe - in_universe")} - {LF("listed - i")} - {LF("universe - in_universe - listed + i")} - ({LF("universe")} - {LF("listed")} - {LF("universe - listed")})))) AS p FROM x GROUP BY ALL),
+ranked AS (SELECT *, round(p, 12) * count(*) OVER () / rank() OVER (ORDER BY round(p, 12)) AS q0 FROM e) SELECT term, in_list, in_universe, listed, universe, round(p, 8) AS p, round(least(1.0, min(q0) OVER (ORDER BY round(p, 12) DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) AS q FROM ranked""")
 def go_enrichment(v):
-    return O.go_enrichment(v.assoc.where("gene LIKE '%7'").select("gene"), v.assoc, v.edges, p_max=1.0)
+    return rounded(O.go_enrichment(v.assoc.where("gene LIKE '%7'").select("gene"), v.assoc, v.edges, p_max=1.0), "p", "q", digits=8)

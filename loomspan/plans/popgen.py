@@ -45,9 +45,15 @@ def mk_counts(v):
     return P.mk_counts(v.alleles)
 
 
-@query("mk_test")
+LFACT = "lgamma(({})::DOUBLE + 1)"
+TABLE_P = "exp({} + {} + {} + {} - {}".format(*(LFACT.format(x) for x in ("r", "n - r", "k", "n - k", "n"))) + " - {} - {} - {} - {})".format(*(LFACT.format(x) for x in ("i", "r - i", "k - i", "n - r - k + i")))
+
+
+@query("mk_test", f"""WITH c AS ({MK}), m AS (SELECT *, fixed_non + fixed_syn AS r, fixed_non + poly_non AS k, fixed_non + fixed_syn + poly_non + poly_syn AS n FROM c),
+x AS (SELECT *, unnest(range(greatest(0, r + k - n), least(r, k) + 1)) AS i FROM m), p AS (SELECT *, {TABLE_P} AS p FROM x), h AS (SELECT gene, p AS here FROM p WHERE i = fixed_non)
+SELECT gene, fixed_syn, fixed_non, poly_syn, poly_non, ambiguous, round(least(1, sum(p) FILTER (i <= fixed_non)), 8) AS "left", round(least(1, sum(p) FILTER (i >= fixed_non)), 8) AS "right", round(least(1, sum(p) FILTER (p <= here * (1 + 1e-7))), 8) AS two_sided FROM p JOIN h USING (gene) GROUP BY ALL""")
 def mk_test(v):
-    return P.mk_test(v.alleles)
+    return rounded(P.mk_test(v.alleles), "left", "right", "two_sided", digits=8)
 
 
 @query("snp_classes", """WITH s AS (SELECT chrom, pos, count(DISTINCT allele) AS kinds, count(DISTINCT allele) FILTER (pop = 'CI') AS ci, count(DISTINCT allele) FILTER (pop = 'CP') AS cp FROM alleles WHERE allele IS NOT NULL GROUP BY ALL)
@@ -62,9 +68,9 @@ def allele_freqs(v):
 
 
 @query("snp_alignment", """WITH s AS (SELECT chrom, pos FROM alleles GROUP BY ALL HAVING avg(CASE WHEN allele IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) >= 0.9 AND count(DISTINCT allele) > 1)
-SELECT sample, string_agg(coalesce(allele, '-'), '' ORDER BY a.chrom, a.pos) AS seq FROM alleles a JOIN s ON a.chrom = s.chrom AND a.pos = s.pos GROUP BY sample""")
+SELECT sample, a.chrom, a.pos // 10000 AS chunk, string_agg(coalesce(allele, '-'), '' ORDER BY a.pos) AS seq FROM alleles a JOIN s ON a.chrom = s.chrom AND a.pos = s.pos GROUP BY ALL""")
 def snp_alignment(v):
-    return P.snp_alignment(v.alleles)
+    return P.snp_alignment(v.alleles, size=10_000)
 
 
 @query("index_of_association", """WITH a AS (SELECT * FROM alleles WHERE pop = 'CI'), n AS (SELECT count(DISTINCT sample) AS n FROM a),
@@ -105,9 +111,9 @@ def pairwise_alleles(v):
     return P.pairwise_alleles(v.alleles.where("pop = 'CI'"))
 
 
-@query("indel_matrix", "SELECT sample, string_agg(CASE WHEN allele <> ref THEN '1' ELSE '0' END, '' ORDER BY chrom, pos) AS states FROM alleles GROUP BY sample")
+@query("indel_matrix", "SELECT sample, chrom, pos // 10000 AS chunk, string_agg(CASE WHEN allele <> ref THEN '1' ELSE '0' END, '' ORDER BY pos) AS states FROM alleles GROUP BY ALL")
 def indel_matrix(v):
-    return P.indel_matrix(v.alleles.where("allele <> ref").select("chrom", "pos", "sample", F.lit(True).alias("present")).unionByName(v.alleles.where("sample = 0").select("chrom", "pos", "sample", (F.coalesce(F.col("allele") != F.col("ref"), F.lit(False))).alias("present"))))
+    return P.indel_matrix(v.alleles.where("allele <> ref").select("chrom", "pos", "sample", F.lit(True).alias("present")).unionByName(v.alleles.where("sample = 0").select("chrom", "pos", "sample", (F.coalesce(F.col("allele") != F.col("ref"), F.lit(False))).alias("present"))), 10_000)
 
 
 @query("pn_ps", """WITH c AS (SELECT gene, count(*) FILTER (snptype <> 'Synonymous') AS a, count(*) FILTER (snptype = 'Synonymous') AS b FROM (SELECT DISTINCT gene, chrom, pos, snptype FROM alleles) s GROUP BY 1) SELECT gene, a AS pn, b AS ps, round(a::DOUBLE / nullif(b, 0), 6) AS ratio FROM c""")

@@ -76,7 +76,10 @@ def gene_summary(v):
     return V.gene_summary(v.features.where("type = 'CDS'").withColumnRenamed("parent", "gene"), v.genome)
 
 
-@query("branch_means", """WITH t AS (SELECT o_orderkey % 10 AS a, o_orderkey % 7 AS b FROM orders) SELECT 'x' AS branch, 'x|y' AS parent, round(avg(a), 6) AS mean, count(*) AS n FROM t UNION ALL SELECT 'y', 'x|y', round(avg(b), 6), count(*) FROM t UNION ALL SELECT 'x|y', 'x|y|z', 0.5, count(*) FROM t UNION ALL SELECT 'z', 'x|y|z', 2.0, count(*) FROM t""")
+@query("branch_means", """WITH t AS (SELECT o_orderkey % 10 AS a, o_orderkey % 7 AS b, o_orderkey % 3 = 0 AS other FROM orders),
+u AS (SELECT unnest(CASE WHEN other THEN ['x', 'y', 'z', 'y|z'] ELSE ['x', 'y', 'x|y', 'z'] END) AS branch, unnest(CASE WHEN other THEN ['x|y|z', 'y|z', 'y|z', 'x|y|z'] ELSE ['x|y', 'x|y', 'x|y|z', 'x|y|z'] END) AS parent, unnest(CASE WHEN other THEN [a, b, 2.0, 0.25] ELSE [a, b, 0.5, 2.0] END)::DOUBLE AS length FROM t)
+SELECT branch, parent, round(avg(length), 6) AS mean, count(*) AS n FROM u GROUP BY ALL""")
 def branch_means(v):
-    o = v.table("orders").select(F.format_string("((x:%d,y:%d)0.9:0.5,z:2);", F.col("o_orderkey") % 10, F.col("o_orderkey") % 7).alias("newick"))
+    a, b = F.col("o_orderkey") % 10, F.col("o_orderkey") % 7
+    o = v.table("orders").select(F.when(F.col("o_orderkey") % 3 == 0, F.format_string("(x:%d,(z:2,y:%d)1:0.25);", a, b)).otherwise(F.format_string("((x:%d,y:%d)0.9:0.5,z:2);", a, b)).alias("newick"))
     return rounded(V.branch_means(o), "mean")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators.features import fill_down
+
 
 def _known(c: Column, *missing: str) -> Column:
     return F.when(~c.isin("", ".", *missing), c)
@@ -122,7 +124,7 @@ def read_blast_tab(spark: SparkSession, path: str) -> DataFrame:
     """Twelve-column hits with file, line_no and, where ``# Query:`` comments name a length, qlen."""
     t = lines(spark, path)
     length = F.nullif(F.regexp_extract("value", r"^#\s*Query:.*?(\d+)\s*(?:nt|aa|letters)?\)?\s*$", 1), F.lit("")).cast("long")
-    t = t.withColumn("qlen", F.last(F.when(F.col("value").startswith("#"), length), ignorenulls=True).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)))
+    t = fill_down(t.withColumn("qlen", F.when(F.col("value").startswith("#"), length)), "qlen", ["line_no"], ["file"])
     t = t.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split("value", "\t"))
     kinds = ["string", "string", "double", "long", "long", "long", "long", "long", "long", "long", "double", "double"]
     return t.select("file", "line_no", "qlen", *(F.get("f", F.lit(i)).cast(k).alias(n) for i, (n, k) in enumerate(zip(HIT, kinds))))
@@ -132,7 +134,7 @@ def read_named_fields(spark: SparkSession, path: str, marker: str = "# Fields:")
     """Rows of tables that name their columns in a comment, as (file, line_no, fields map)."""
     t = lines(spark, path)
     names = F.when(F.col("value").startswith(marker), F.transform(F.split(F.substr("value", F.lit(len(marker) + 1)), r"\t|,"), lambda x: F.trim(x)))
-    t = t.withColumn("names", F.last(names, ignorenulls=True).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)))
+    t = fill_down(t.withColumn("names", names), "names", ["line_no"], ["file"])
     t = t.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     values = F.split("value", "\t")
     return t.select("file", "line_no", F.map_from_entries(F.filter(F.transform(F.arrays_zip(F.col("names").alias("k"), values.alias("v")), lambda x: F.struct(x["k"], x["v"])), lambda x: x["k"].isNotNull())).alias("fields"))

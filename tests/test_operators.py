@@ -99,3 +99,44 @@ def test_alignment_positions(spark):
     assert got(alignments.aln_coordinates(aln, "x", "y"), "col", "ref_pos", "other_pos", "other_base") == [(1, 1, 1, "A"), (3, 2, None, None), (4, 3, 3, "C")]
     cds = spark.createDataFrame([("p", "ATGAAACTG")], "id string, seq string")
     assert alignments.codon_alignment(spark.createDataFrame([("p", "M-KL")], "id string, aln string"), cds).first().aln == "ATG---AAACTG"
+
+
+@pytest.mark.parametrize("ahead", [False, True])
+def test_beside_across_tiles(spark, ahead):
+    rng = random.Random(3)
+    rows = [(k, p, rng.choice([None, p * 10])) for k in "ab" for p in rng.sample(range(1, 400), 60)]
+    df = spark.createDataFrame(rows, "k string, p long, v long")
+    out = {(r.k, r.p): r["__beside"] for r in intervals.beside(df, ["k"], ["p"], F.col("v"), F.floor(F.col("p") / 50), ahead).collect()}
+    for k, p, _ in rows:
+        side = [(q, v) for j, q, v in rows if j == k and v is not None and (q > p if ahead else q < p)]
+        assert out[k, p] == ((min(side) if ahead else max(side))[1] if side else None)
+
+
+def test_long_chains_of_terms_are_not_cut(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "child string, parent string")
+    assert ontology.ancestors(edges).where("term = 'n0'").count() == 13
+    with pytest.raises(RuntimeError, match="over 5 steps"):
+        ontology.ancestors(edges, most=5)
+
+
+def test_enrichment_q(spark):
+    assoc = spark.createDataFrame([(f"g{i}", f"t{k}") for k in range(2, 42) for i in range(300) if i * k % 41 < 4 + k % 5], "gene string, term string")
+    edges = spark.createDataFrame([(f"t{k}", "root") for k in range(2, 42)], "child string, parent string")
+    rows = ontology.go_enrichment(assoc.where("gene LIKE '%3'").select("gene"), assoc, edges, p_max=1.0).collect()
+    p = [r.p for r in rows]
+    q0 = {x: x * len(p) / (1 + sum(y < x for y in p)) for x in p}
+    assert len(set(p)) > 5 and all(r.q == pytest.approx(min(1.0, *(q0[y] for y in p if y >= r.p))) for r in rows)
+
+
+def test_scan_indels(spark):
+    aln = spark.createDataFrame([("b", "x", "AC-GNNTTACG"), ("b", "y", "A---NN--A-G"), ("b", "z", "ACCG----A-G")], "block string, row_id string, aln string")
+    blocks = spark.createDataFrame([("b", "chr", 101)], "block string, seqid string, start long")
+    run = lambda **k: got(alignments.scan_indels(aln, blocks, "x", 2, 50, **k), "col_start", "col_stop", "start", "stop", "size")
+    assert run(least_rows=2) == [(7, 8, 106, 107, 2)]
+    assert run(least_rows=1) == [(4, 8, 103, 107, 5)]
+    assert run(least_rows=1, most_n=0.3) == []
+
+
+def test_predictions_and_gene_lists(spark):
+    exons = spark.createDataFrame([("c", "exon", 1, 9, "-", "g.t1"), ("c", "CDS", 2, 9, "-", "g.t1"), ("c", "exon", 20, 29, "-", "g.t1"), ("c", "CDS", 20, 25, "-", "g.t1")], "seqid string, type string, start long, stop long, strand string, parent string")
+    assert got(features.to_jgi(exons), "start", "type", "grp") == [(1, "exon", "gene_id g transcript_id g.t1 exon_number 3"), (2, "CDS", "gene_id g transcript_id g.t1 exon_number 2"), (20, "CDS", "gene_id g transcript_id g.t1 exon_number 1"), (20, "exon", "gene_id g transcript_id g.t1 exon_number 1")]

@@ -95,3 +95,80 @@ def test_stream(spark, tmp_path):
         run_available(stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), lambda df: df.where("id >= 0"))
         assert spark.read.parquet(str(tmp_path / "out")).count() == expected
         spark.range(3).write.mode("append").parquet(str(tmp_path / "in"))
+
+
+def test_reports_of_aligners(spark, tmp_path):
+    banner = "/d/ref.fa /d/query.fa\nNUCMER\n\n[P1]\t[SUB]\t[SUB]\t[P2]\t[BUFF]\t[DIST]\t[FRM]\t[TAGS]\n"
+    path = put(tmp_path, "a.snps", banner + "7\tA\t.\t9\t3\t7\t1\t-1\tr1\tq1\n")
+    r = readers.read_show_snps(spark, path).first()
+    assert (r.pos, r.ref_base, r.query_base, r.query_pos, r.query_frame, r.ref_seqid) == (7, "A", None, 9, -1, "r1")
+    path = put(tmp_path, "a.coords", banner + "==========\n       1      100  |      90        1  |      100       90  |    98.50  | r1\tq1\n")
+    r = readers.read_show_coords(spark, path).first()
+    assert (r.start, r.stop, r.query_start, r.query_stop, r.pid, r.query_seqid, r.strand) == (1, 100, 1, 90, 98.5, "q1", "-")
+    with pytest.raises(Exception, match="no banner"):
+        readers.read_show_snps(spark, put(tmp_path, "b.snps", "7\tA\tG\t9\t3\t7\t1\t-1\tr1\tq1\n")).collect()
+
+
+EXONERATE = """Command line: [exonerate --model est2genome]
+C4 Alignment:
+------------
+  1 : ACGT : 4
+vulgar: est1 0 30 + chr2 500 350 - 120 M 20 20 5 0 2 I 0 98 3 0 2 M 10 10
+# --- START OF GFF DUMP ---
+#
+##gff-version 2
+chr2\texonerate:est2genome\tgene\t351\t500\t120\t-\t.\tgene_id 1 ; sequence est1 ; gene_orientation +
+chr2\texonerate:est2genome\texon\t481\t500\t.\t-\t.\tinsertions 0 ; deletions 0
+# --- END OF GFF DUMP ---
+-- completed exonerate analysis
+"""
+
+RNAZ = """############################  RNAz 2.1  ##############################
+
+ Sequences: 3
+ Reading direction: {0}
+ Mean z-score:  -2.11
+ SVM RNA-class probability: {1}
+ Prediction: {2}
+
+######################################################################
+
+>chr2 {3} 120 {4} 1000
+ACGUACGU
+(((...))) ( -10.0)
+>other 7 118 + 900
+ACGUACGA
+"""
+
+
+def test_reports_of_gene_finders(spark, tmp_path):
+    path = put(tmp_path, "a.exo", EXONERATE)
+    r = readers.read_exonerate(spark, path).orderBy("start").collect()
+    assert [(x.seqid, x.type, x.start, x.score, x.strand) for x in r] == [("chr2", "gene", 351, 120.0, "-"), ("chr2", "exon", 481, None, "-")] and r[0].attrs["sequence"].strip() == "est1"
+    h = readers.read_exonerate_hits(spark, path).first()
+    assert (h["query"], h.qstart, h.qstop, h.seqid, h.start, h.stop, h.strand, h.query_aligned, h.target_aligned, h.introns, h.gaps) == ("est1", 1, 30, "chr2", 351, 500, "-", 30, 30, 1, 0)
+    text = "".join(RNAZ.format(*x) for x in (("forward", 0.2, "OTHER", 10, "+"), ("reverse", 0.97, "RNA", 10, "+"), ("forward", 0.8, "RNA", 300, "-"), ("forward", 0.4, "OTHER", 500, "+")))
+    assert sorted(map(tuple, readers.read_rnaz(spark, put(tmp_path, "a.rnaz", text)).collect())) == [("chr2", 11, 130, "-", 0.97, -2.11), ("chr2", 581, 700, "-", 0.8, -2.11)]
+    aug = "# start gene g1\nc1\tAUGUSTUS\tgene\t1\t90\t0.5\t+\t.\tg1\nc1\tAUGUSTUS\ttranscript\t1\t90\t0.5\t+\t.\tg1.t1\nc1\tAUGUSTUS\tCDS\t1\t60\t.\t+\t0\ttranscript_id \"g1.t1\"; gene_id \"g1\";\n# protein sequence = [MA]\n"
+    from loomspan.operators.features import prediction_to_features
+
+    r = prediction_to_features(readers.read_gene_predictions(spark, put(tmp_path, "a.aug", aug)), "x").orderBy("type").collect()
+    assert [(x.type, x.attrs) for x in r] == [("CDS", {"gene_id": "g1", "transcript_id": "g1.t1"}), ("gene", {"ID": "x-g1", "Name": "x-g1"}), ("mRNA", {"ID": "x-g1.t1", "Name": "x-g1.t1"})]
+
+
+def test_small_reports(spark, tmp_path):
+    text = "# WU\n# Fields: qid\tsid\tE\nq1\ts1\t1e-5\n# Fields: sid\tqid\ns2\tq2\n"
+    m9 = readers.to_m9(readers.read_named_fields(spark, put(tmp_path, "a.wu", text)), {"query": "qid", "hit": "sid", "evalue": "E"})
+    assert sorted((x["query"], x.hit, x.evalue) for x in m9.collect()) == [("q1", "s1", "1e-5"), ("q2", "s2", None)]
+    put(tmp_path, "s1.flagstat", "10 + 0 in total (QC-passed reads + QC-failed reads)\n2 + 0 duplicates\n8 + 0 mapped (80.00%:nan%)\n4 + 0 paired in sequencing\n")
+    assert tuple(readers.flagstat_table(spark, str(tmp_path / "s1.flagstat")).first()) == ("s1", 10, 8, 2, 6)
+    for name, v in (("bits", 3.5), ("cov", 0.25)):
+        put(tmp_path, f"{name}/run_0.5_12.txt", f"Total {name} = {v}\n")
+    assert tuple(readers.training_summary(spark, str(tmp_path / "bits"), str(tmp_path / "cov")).first()) == (0.5, 12.0, 3.5, 0.25)
+    path = put(tmp_path, "a.hmm", "# target\nDom PF1.1 90 gene1 - 300 1e-20 50.0 0.1 1 2 1e-8 2e-8 40.5 0.1 1 88 10 99 9 100 0.95 Some long name\n")
+    r = readers.read_hmmer(spark, path).first()
+    assert (r.domain, r.gene, r.evalue, r.score, r.ali_from, r.ali_to, r.description) == ("Dom", "gene1", 2e-8, 40.5, 10, 99, "Some long name")
+    sinks.split_records(spark.createDataFrame([("HMM\nNAME A\nx",), ("HMM\nNAME B\ny",)], "value string"), r"NAME\s+(\S+)", str(tmp_path / "models"))
+    assert sorted(p.name for p in (tmp_path / "models").glob("name=*")) == ["name=A", "name=B"]
+    sinks.write_by_key(spark.range(4).selectExpr("id", "id % 2 AS k"), ["k"], str(tmp_path / "keys"))
+    assert spark.read.parquet(str(tmp_path / "keys" / "k=1")).count() == 2
