@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -33,19 +34,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomspan/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_lock, _holders, _before = threading.Lock(), 0, {}
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20):
     """While this holds, tasks hand Python at most so many rows, or bytes, at a time: texts and
-    shingle sets can be long. What the session had set before comes back afterwards."""
+    shingle sets can be long. Once nobody holds it any more, what the session had set before comes back."""
+    global _holders
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
-    before = {key: spark.conf.get(key, None) for key in wanted}
+    with _lock:
+        if not _holders:
+            _before.update({key: spark.conf.get(key, None) for key in wanted})
+            for key, value in wanted.items():
+                spark.conf.set(key, value)
+        _holders += 1
     try:
-        for key, value in wanted.items():
-            spark.conf.set(key, value)
         yield
     finally:
-        for key, value in before.items():
-            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+        with _lock:
+            _holders -= 1
+            for key, value in _before.items() if not _holders else ():
+                spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

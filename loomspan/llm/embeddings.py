@@ -430,6 +430,8 @@ def _all_links(reps: DataFrame, cosine: float, block_bytes: int = 1 << 23) -> Da
 
 
 def op3_embedding_near_dedup(spark, sf_dir):
+    """Links at cosine 0.95 or more among all rows of ``embeddings``, whatever their labels. Null, empty, zero and non-finite
+    vectors have none and stand alone; repeated vectors link with each other; an empty table gives no rows."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 

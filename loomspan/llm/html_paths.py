@@ -270,4 +270,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op10_html_extraction(spark, sf_dir):
+    """The main text of every row of ``pages``. Null and empty pages have an empty text; repeated rows get equal rows."""
     return extract(table(spark, sf_dir, "pages"))

@@ -183,6 +183,8 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def op9_language_id(spark, sf_dir):
+    """A prediction for every whole text of ``documents``, from profiles of those that aren't held out. Null texts and texts
+    without a letter are ``und``; a row without an id is predicted, but neither held out nor learned from (held_out is null)."""
     docs = table(spark, sf_dir, "documents")
     known = profiles(docs.where(~held_out()))
     return identify(docs, known).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._base import pieces, stored, table
+from loomspan.llm._base import dropped, pieces, stored, table
 from loomspan.llm._components import components
 from loomspan.llm._words import ORDER, U, mix, shingle_sets, stream
 
@@ -193,6 +193,7 @@ def minhash_components(
     the kept id are all marked kept. A null id never stands for a class with other ids.
     Other columns of ``docs`` are ignored. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = stored(
         docs.mapInArrow(_fingerprints(k), "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"),
@@ -230,7 +231,12 @@ def minhash_components(
             found = _rest(at, sets, percent)
         found = stored(found, "links")
         # the labels so far stand for the links that gave them
-        labels = components(found if labels is None else found.union(labels.where("id <> component").toDF("a", "b")))
+        old = labels
+        labels = components(found if old is None else found.union(old.where("id <> component").toDF("a", "b")))
+        for past in [found, *([pairs] if turn < hub_rounds else []), *([old, at] if old is not None else [])]:
+            dropped(spark, past)
+    for past in (sets, buckets):
+        dropped(spark, past)
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     alone = F.col("n_shingles") == 0
     return (
@@ -255,6 +261,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_minhash_near_dedup(spark, sf_dir):
+    """Near copies at 85 % in the whole of ``documents``. Null, empty and word-less texts stand alone; equal texts,
+    repeated rows among them, share a component; a row without an id joins those with its shingle set only."""
     return minhash_components(table(spark, sf_dir, "documents"))
 
 

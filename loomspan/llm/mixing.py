@@ -149,6 +149,8 @@ _ROW = "__row of the written copy"
 
 
 def op5_source_mixing(spark, sf_dir):
+    """A row per draw from the whole of ``documents``. Null ids, texts and sources are values like others, empty texts count
+    one token, repeated rows are drawn on their own; an empty table gives no rows."""
     return drawn(table(spark, sf_dir, "documents")).select("doc_id", "source", "tokens", "epoch", F.round("position", 9).alias("position"))
 
 

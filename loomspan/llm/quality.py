@@ -239,5 +239,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def op7_quality_rules(spark, sf_dir):
+    """Counts and verdict for every row of ``documents``, rules learned from ``labels``. Null, empty and word-less texts fail
+    the base rules; repeated rows get equal rows; rows without an id are judged but teach nothing."""
     out = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

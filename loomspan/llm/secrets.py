@@ -148,6 +148,8 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op6_secret_scans(spark, sf_dir):
+    """A row per row of ``documents``, with a ledger that begins empty: every distinct text is scanned once, whole. Null and
+    empty texts have no spans; repeated rows and equal texts get equal findings."""
     return secret_report(table(spark, sf_dir, "documents"))
 
 

@@ -473,4 +473,6 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids
 
 
 def op2_sentencepiece(spark, sf_dir):
+    """Ids and the check of their decoding for every whole text of ``documents``. Null and empty texts have no ids; repeated
+    rows get equal rows."""
     return encode(table(spark, sf_dir, "documents"), check=True)

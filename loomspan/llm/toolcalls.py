@@ -204,6 +204,8 @@ def from_turns(conversations: DataFrame) -> DataFrame:
 
 
 def op4_chat_tool_calls(spark, sf_dir):
+    """The calls, results and messages that ``from_turns`` derives from the whole of ``conversations``, linked and ordered.
+    Null texts are messages without content, turns without a partner are unanswered or orphans, repeated turns tie."""
     return linked(from_turns(table(spark, sf_dir, "conversations")), TOOLS)
 
 
