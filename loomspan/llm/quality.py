@@ -47,23 +47,7 @@ def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _statistics(batches):
     for batch in batches:
-        for part, columns in _counted(batch, 1):
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", *STATS])
-
-
-def _with_statistics(text: int):
-    def run(batches):
-        for batch in batches:
-            for part, columns in _counted(batch, text):
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *STATS])
-
-    return run
-
-
-def _counted(batch, text: int):
-    """Slices of a record batch with the STATS of their texts."""
-    if len(batch):
-        for part, data, off in pieces(batch, text):
+        for part, data, off in pieces(batch, 1):
             n = len(off) - 1
 
             def per_row(mask):
@@ -94,7 +78,7 @@ def _counted(batch, text: int):
                 per_row(DIGIT[data]), per_row(MARK[data]), np.bincount(owner, minlength=n), np.bincount(owner[twice], minlength=n),
                 np.bincount(row[marked[: len(row)]], minlength=n),
             )
-            yield part, [pa.array(x.astype(np.int64)) for x in columns]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.astype(np.int64)) for x in columns)], ["id", *STATS])
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,12 +214,10 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     text, also where its id repeats or is null. Only labelled documents are read to learn the rules."""
     some = docs.select(id_col, text_col).join(F.broadcast(_sample(labels, id_col, most_labelled)), id_col, "left_semi")  # most_labelled ids
     rules = fit(statistics(some, id_col, text_col), labels, id_col, most_labelled, **options)
-    # columns go by their numbers, so that none clashes with a statistic
-    names = [f"_{i}" for i in range(len(docs.columns))]
-    schema = ", ".join([*(f"{n} {kind}" for n, (_, kind) in zip(names, docs.dtypes)), *(f"{x} long" for x in STATS)])
-    rows = docs.toDF(*names).mapInArrow(_with_statistics(docs.columns.index(text_col)), schema)
-    kept = rows.where(~base_failed() & (rules.verdict() == 0))
-    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
+    # rows are told apart by id and text, as equal texts have one verdict; texts alone go to Python
+    keyed = docs.select(F.struct("*").alias("doc"), F.concat_ws(":", F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))).alias("key"))
+    kept = statistics(keyed.select("key", F.col("doc")[text_col].alias("text")), "key", "text").where(~base_failed() & (rules.verdict() == 0)).select("key")
+    return keyed.join(kept.hint("shuffle_hash"), "key", "left_semi").select(*(F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def op7_quality_rules(spark, sf_dir):
