@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.operators.intervals import BIN, TILE, beside, earlier, merge_intervals, overlap_anti, overlap_join, tile_of
+from loomspan.operators.intervals import BIN, TILE, beside, earlier, overlap_anti, tile_of
 
 
 def of_type(df: DataFrame, *types: str, column: str = "type") -> DataFrame:
@@ -85,10 +85,10 @@ def fill_down(df: DataFrame, column: str, order: list[str], by: list[str] | None
 def chain_hits(hits: DataFrame, max_intron: int = 800, window: int = 1500, keys: tuple[str, ...] = ("query", "seqid", "strand")) -> DataFrame:
     """Hits (start, stop, score) of the same keys as chains with gaps of ``max_intron`` at most: extent,
     extent with ``window`` around it (not below 1), number of hits and summed score."""
-    chains = merge_intervals(hits, list(keys), max_intron).withColumnRenamed("n", "n_chain")
-    first = overlap_join(hits, chains, list(keys))  # a hit lies in one chain
-    c = first.groupBy(*keys, F.col("start_r").alias("start"), F.col("stop_r").alias("stop")).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
-    c = earlier(c, list(keys), ["start"], F.lit(1), "sum", F.floor(F.col("start") / TILE)).withColumn("chain", F.col("__before") + 1).drop("__before")
+    w = W.partitionBy(*keys).orderBy("start", "stop")  # the hits of one query on one sequence
+    reach = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
+    h = hits.withColumn("new", F.when(reach.isNull() | (F.col("start") - reach > max_intron), 1).otherwise(0)).withColumn("chain", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    c = h.groupBy(*keys, "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
     return c.withColumns({"from_": F.greatest(F.col("start") - window, F.lit(1)), "to_": F.col("stop") + window})
 
 
