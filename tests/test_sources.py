@@ -172,3 +172,13 @@ def test_small_reports(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "models").glob("name=*")) == ["name=A", "name=B"]
     sinks.write_by_key(spark.range(4).selectExpr("id", "id % 2 AS k"), ["k"], str(tmp_path / "keys"))
     assert spark.read.parquet(str(tmp_path / "keys" / "k=1")).count() == 2
+
+
+def test_tables_of_hits(spark):
+    hits = spark.createDataFrame([("q2", "a", 3.0), ("q1", "b", 1.0), ("q1", "c", 2.0)], "query string, hit string, bits double")
+    url = "jdbc:derby:memory:hits;create=true"
+    sinks.load_jdbc(hits, url, "hits", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    back = sinks.read_jdbc(spark, url, 'SELECT "query", "hit" FROM hits WHERE "bits" > 1.5', driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert sorted(map(tuple, back.collect())) == [("q1", "c"), ("q2", "a")]
+    sinks.load_table(hits, "some_hits", ["query"], ["query", "bits"], 4)
+    assert [tuple(r) for r in spark.table("some_hits").orderBy("query", F.desc("bits")).collect()] == [("q1", "c", 2.0), ("q1", "b", 1.0), ("q2", "a", 3.0)]
