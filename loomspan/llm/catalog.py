@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import embeddings, html_paths, langid, minhash, mixing, quality, secrets, sentencepiece, toolcalls, warc
+from loomspan.llm import bitplanes, compression, embeddings, fim, html_paths, langid, minhash, mixing, quality, secrets, sentencepiece, toolcalls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_html_extraction": html_paths.op10_html_extraction,
+    "op11_compression_quality": compression.op11_compression_quality,
+    "op12_centroid_clusters": bitplanes.op12_centroid_clusters,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLES = {
@@ -24,4 +27,6 @@ ORACLES = {
     "op5_source_mixing": mixing.ORACLE,
     "op6_secret_scans": secrets.ORACLE,
     "op8_minhash_near_dedup": minhash.ORACLE,
+    "op12_centroid_clusters": bitplanes.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }
