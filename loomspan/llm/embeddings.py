@@ -214,7 +214,7 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means of unit vectors; begins with every (n/k)-th of them."""
     at = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        own = np.argmax(sample @ at.T, axis=1)
+        own = np.concatenate([np.argmax(sample[i : i + 4096] @ at.T, axis=1) for i in range(0, len(sample), 4096)])
         for c in range(k):
             total = sample[own == c].sum(axis=0)
             size = np.linalg.norm(total)
@@ -300,12 +300,13 @@ def recall(truth: dict[int, int], got: dict[int, int]) -> float:
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, overlap: int = 2,
-    shard_rows: int = 500, most_shards: int = 4096, most_rows: int = 2048, sample_rows: int = 20_000, audited: int = 256, least_recall: float = 0.95, exact_rows: int = 200_000,
+    shard_rows: int = 500, most_shards: int = 4096, most_rows: int = 2048, sample_rows: int = 20_000, sample_bytes: int = 128 << 20, audited: int = 256, least_recall: float = 0.95, exact_rows: int = 200_000,
 ) -> DataFrame:
     """One row per row of ``vectors``: its id, n_links, component_id, kept.
 
     Equal vectors form one class first. Centroids, one per ``shard_rows`` classes and
-    ``most_shards`` at most, are fitted on the ``sample_rows`` first classes by a hash; every
+    ``most_shards`` at most, are fitted on the ``sample_rows`` first classes by a hash, or as many as
+    ``sample_bytes`` hold; every
     class goes to its ``overlap`` nearest shards. A shard over ``most_rows`` is cut into
     blocks, and each pair of blocks is a shard of its own, so that a large group of near
     copies is neither gathered in one task nor searched in part. Links are counted where they
@@ -315,25 +316,32 @@ def near_vectors(
     ``least_recall``, all is done again: with one more shard per class up to six in tables of
     over ``exact_rows`` classes, and then, or at once in smaller ones, by products of all blocks
     of classes, which miss no link and cost the square of the table. The log tells how many
-    links were audited. Shards whose centroids lie within ``cosine`` are one.
+    links were audited, and warns where no class of the sample has any, so that the recall is
+    not measured. Shards whose centroids lie within ``cosine`` are one.
 
     Vectors that are null, empty, zero or hold nulls or non-finite numbers link with nothing, nor
-    do vectors of different lengths. Repeated rows are copies of each other and link. Null ids
+    do vectors of different lengths. Repeated rows are copies of each other and link; rows of one
+    id with different vectors are different vectors, each with its own links. Null ids
     stand for no class with other ids. Other columns are ignored; an empty table gives none.
     """
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     raw = raw.withColumn("v", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0))))
-    classes = raw.where("v IS NOT NULL AND id IS NOT NULL").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    reps = stored(classes.mapInArrow(_packed, "id long, copies long, vec binary, dim int"), "vectors")
+    classes = raw.where("v IS NOT NULL AND id IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # a class has a number of its own, as written: ids may repeat with different vectors
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    reps = stored(classes.select("v", "id", "copies").mapInArrow(_packed, "id long, copies long, vec binary, dim int"), "vectors")
     by_dim = {int(r[0]): int(r[1]) for r in reps.groupBy("dim").count().collect()}  # one row per vector length
-    sample = reps.orderBy(F.xxhash64("id")).limit(sample_rows).select("id", "vec", "dim").toPandas()
+    most_sample = max(1, min(sample_rows, sample_bytes // (8 * max(by_dim, default=1))))
+    sample = reps.orderBy(F.xxhash64("vec"), "id").limit(most_sample).select("id", "vec", "dim").toPandas()
     centres = {}
     for dim, rows in sample.groupby("dim"):
         x = _unit(rows.vec)
         k = max(1, min(math.ceil(by_dim[int(dim)] / shard_rows), most_shards, len(x)))
         centres[int(dim)] = merged(centroids(x, k), cosine)
     truth = _audit(reps, sample, cosine, audited)
+    if not truth:
+        LOG.warning("recall is not measured: none of %d sampled classes has links with another one", len(sample))
     exact = False
     while True:
         if exact:
@@ -353,8 +361,10 @@ def near_vectors(
             raise RuntimeError(f"recall {found_share:.4f} of the audited links is below {least_recall}")
         exact = overlap >= 6 or sum(by_dim.values()) <= exact_rows
         overlap += 1
-    named = counted.select("id", "links").join(components(edges).withColumnRenamed("component", "c"), "id", "left").join(reps.select("id", "copies"), "id")
-    named = classes.select("v", "id").join(named.select("id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("c", "id").alias("component_id")), "id").drop("id")
+    named = counted.select("id", "links").join(components(edges), "id", "left").join(classes, "id")
+    named = named.select("v", "rep", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least_id, "component").select("v", "n_links", "component_id")
     out = raw.join(named, "v", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 

@@ -54,6 +54,15 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return mix(keys + stream(bands, 7)[None, :]).view(np.int64)
 
 
+def _set_prints(grams: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
+    """128 bits of each set, in two arrays, that tell it from another."""
+    out, sizes = [], np.diff(edge).astype(U)
+    for seed in (3, 5):
+        acc = np.concatenate([np.zeros(1, U), np.cumsum(mix(grams ^ U(seed)), dtype=U)])
+        out.append(mix(acc[edge[1:]] - acc[edge[:-1]] + sizes).view(np.int64))
+    return out
+
+
 def _fingerprints(k: int):
     def run(batches):
         for batch in batches:
@@ -62,10 +71,7 @@ def _fingerprints(k: int):
                 sizes = np.diff(edge)
                 signatures = super_minhash(grams, edge)
                 keys = band_keys(signatures)
-                two = []
-                for seed in (3, 5):  # 128 bits that tell one set from another
-                    acc = np.concatenate([np.zeros(1, U), np.cumsum(mix(grams ^ U(seed)), dtype=U)])
-                    two.append(mix(acc[edge[1:]] - acc[edge[:-1]] + sizes.astype(U)).view(np.int64))
+                two = _set_prints(grams, edge)
                 short = (mix(signatures) & U(0xFFFF)).astype(np.uint16)
                 lists = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
@@ -81,8 +87,9 @@ def _sets(k: int):
         for batch in batches:
             for part, data, off in pieces(batch, 1):
                 grams, edge = shingle_sets(data, off, k)
+                two = _set_prints(grams, edge)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([grams[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())], ["id", "grams"]
+                    [pa.array(two[0]), pa.array(two[1]), pa.array([grams[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())], ["set_a", "set_b", "grams"]
                 )
 
     return run
@@ -182,33 +189,40 @@ def minhash_components(
     on full sets of 64-bit shingle hashes. 128 slots in 21 bands of 6 bring a pair
     at 0.85 together with probability 0.99995.
 
-    Equal sets form one class first, which its smallest id stands for. A bucket's
-    members are then tested against a hub of the bucket, a new one each round; pairs
-    whose members are already connected need no test. Members still outside their bucket's
-    main group after ``hub_rounds`` meet all its members in bounded blocks, so that no link
+    Equal sets form one class first, which has a number of its own: ids may repeat, and each row
+    goes by its own text. A bucket's members are then tested against a hub of the bucket, a new one
+    each round; pairs whose members are already connected need no test. Members still outside their
+    bucket's main group after ``hub_rounds`` meet all its members in bounded blocks, so that no link
     of the buckets is lost.
 
     Null, empty and word-less texts have no shingles and stand alone
     (component_id = own id, kept). Repeated rows share a component; rows that repeat
-    the kept id are all marked kept. A null id never stands for a class with other ids.
+    the kept id are all marked kept. Rows of one id with different texts are different documents:
+    each has the links of its text. A null id never stands for a class with other ids.
     Other columns of ``docs`` are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = stored(
-        docs.mapInArrow(_fingerprints(k), "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"),
+        docs.mapInArrow(_fingerprints(k), "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary")
+        .withColumn("row", F.monotonically_increasing_id()),
         "fingerprints",
-    )
+    )
     some = prints.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = some.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("id"))
-    buckets = some.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", F.posexplode("bands").alias("band", "key"))
+    # a class is numbered by the first of its rows, as written; "id" is that number from here on
+    classes = some.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.min("row").alias("class"))
+    firsts = classes.select(F.col("class").alias("row"))
+    buckets = some.join(firsts, "row", "left_semi").select(F.col("row").alias("id"), F.posexplode("bands").alias("band", "key"))
     several = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     # the only buckets that matter from here on, by far fewer than there are
     buckets = stored(buckets.join(several, ["band", "key"], "left_semi"), "buckets")
-    wanted = buckets.select("id").distinct()
-    sets = stored(docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets(k), "id long, grams binary").dropDuplicates(["id"]), "sets")
-    signatures = some.join(wanted, "id", "left_semi").select("id", "signature").dropDuplicates(["id"])
+    wanted = some.join(buckets.select(F.col("id").alias("row")).distinct(), "row", "left_semi").select("row", "id", "set_a", "set_b", "signature")
+    wanted = stored(wanted, "wanted")
+    # texts are found again by the id of the class's first row, and then by their set
+    texts = docs.join(wanted.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets(k), "set_a long, set_b long, grams binary")
+    sets = texts.join(wanted.select("set_a", "set_b", F.col("row").alias("id")), ["set_a", "set_b"]).groupBy("id").agg(F.first("grams").alias("grams"))
+    sets = stored(sets, "sets")
+    signatures = wanted.select(F.col("row").alias("id"), "signature")
 
     least = percent / 100 - 0.15  # over four standard errors below the threshold
     labels = None
@@ -235,9 +249,11 @@ def minhash_components(
         labels = components(found if old is None else found.union(old.where("id <> component").toDF("a", "b")))
         for past in [found, *([pairs] if turn < hub_rounds else []), *([old, at] if old is not None else [])]:
             dropped(spark, past)
-    for past in (sets, buckets):
+    for past in (sets, buckets, wanted):
         dropped(spark, past)
-    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
+    named = classes.join(labels.withColumnRenamed("id", "class"), "class", "left").select("set_a", "set_b", "rep", F.coalesce("component", "class").alias("component"))
+    least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least_id, "component").select("set_a", "set_b", "component_id")
     alone = F.col("n_shingles") == 0
     return (
         prints.select("id", "n_shingles", F.when(~alone, F.col("set_a")).alias("set_a"), F.when(~alone, F.col("set_b")).alias("set_b"))

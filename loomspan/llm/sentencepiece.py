@@ -7,7 +7,7 @@ hashes of the pieces, and the best predecessor becomes the position's backpointe
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,14 @@ class Vocabulary:
     #: by rank: the pieces' texts, and their ranks
     texts: list[str]
     by_name: dict[str, int]
+    #: pairs of ranks that were tried, one in each place, with the answer in the last bit
+    tried: np.ndarray = field(default_factory=lambda: np.full(1 << 21, -1, np.int64), repr=False)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "tried"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, tried=np.full(1 << 21, -1, np.int64))
 
     def rank_of(self, key: np.ndarray) -> np.ndarray:
         """The rank of the piece with each hash, -1 where there is none."""
@@ -160,18 +168,14 @@ def parse(model: bytes) -> Vocabulary:
     )
 
 
-#: Pairs of ranks that were tried, one in each place, with the answer in the last bit.
-_tried = np.full(1 << 21, -1, np.int64)
-
-
 def _side_by_side(v: Vocabulary, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Whether byte-pair merging leaves pieces ``one`` and ``two`` next to each other.
 
     Their merges are undone from the last: as long as a merge across the border would
     have come before the one that is undone, the two don't stay."""
     key = one.astype(np.int64) << 21 | two.astype(np.int64) << 1
-    place = (mix(key.view(U)) & U(len(_tried) - 1)).astype(np.int64)
-    kept = _tried[place]
+    place = (mix(key.view(U)) & U(len(v.tried) - 1)).astype(np.int64)
+    kept = v.tried[place]
     out = (kept & 1) == 1
     live = np.flatnonzero(kept >> 1 != key >> 1)
     asked = live
@@ -191,7 +195,7 @@ def _side_by_side(v: Vocabulary, one: np.ndarray, two: np.ndarray) -> np.ndarray
         a, b = np.where(undo_one, v.right[a], a), np.where(undo_two, v.left[b], b)
         more = undo_one | undo_two
         live, a, b, bound = live[more], a[more], b[more], bound[more]
-    _tried[place[asked]] = key[asked] | out[asked]
+    v.tried[place[asked]] = key[asked] | out[asked]
     return out
 
 
@@ -226,6 +230,8 @@ def _viterbi(v: Vocabulary, prefix: Prefix, start: np.ndarray, length: int) -> t
             better = total > best[:, end]
             best[better, end], back[better, end], piece[better, end] = total[better], size, rank[better]
     at, rows, found = np.full(n, length), np.arange(n), []
+    if not back[:, 1:].all():
+        raise RuntimeError("no path of pieces leads to some position")
     while len(rows):
         found.append((rows, piece[rows, at[rows]]))
         at[rows] -= back[rows, at[rows]]
@@ -293,7 +299,9 @@ def _one_by_one(v: Vocabulary, prefix: Prefix, start: np.ndarray, length: int, s
         at, ids = length, []
         while at > 0:
             ids.append(int(v.ids[piece[at]]) if piece[at] >= 0 else v.unknown)
-            at -= back[at] or 1
+            if not back[at]:
+                raise RuntimeError("no path of pieces leads to some position")
+            at -= back[at]
         found += ids[::-1]
         counts[w] = len(ids)
     return np.array(found, np.int32), counts
