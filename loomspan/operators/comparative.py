@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import scaled_evalue, two_digits
-from loomspan.operators.intervals import BIN, overlap_join
+from loomspan.operators.intervals import BIN, beside, overlap_join, tile_of
 
 
 def filter_hits(df: DataFrame, evalue: float = 1e-3, pid: float = 0.0, minlen: int = 0, self_hits: bool = False) -> DataFrame:
@@ -89,9 +89,15 @@ def species_genes(hits: DataFrame) -> DataFrame:
     return g.groupBy(F.split("g", "_", 2)[0].alias("species")).agg(F.count(F.lit(1)).alias("genes"), F.min("g").alias("first"), F.max("g").alias("last"))
 
 
-def best_hit(hits: DataFrame, order: list[str], pid: float = 60.0, minlen: int = 0) -> DataFrame:
-    """The first hit of each query by ``order`` that passes."""
+def best_hit(hits: DataFrame, order: list[str], pid: float = 60.0, minlen: int = 0, lens: DataFrame | None = None, cov: float = 60.0, dlen: float = 15.0) -> DataFrame:
+    """The first hit of each query by ``order`` that passes. With ``lens`` (id, length), the alignment (qstart, qend, tstart,
+    tend) must also span ``cov`` percent of the query and of the hit, and their lengths differ by ``dlen`` percent of
+    the query's at most; spans are end less start, and hits without a length of either side don't pass."""
     h = hits.where((F.col("pid") >= pid) & (F.col("aln_len") >= minlen))
+    if lens is not None:
+        for side, name in (("query", "__qlen"), ("hit", "__hlen")):
+            h = h.join(lens.select(F.col("id").alias(side), F.col("length").cast("double").alias(name)), side)
+        h = h.where((100 * F.abs(F.col("__hlen") - F.col("__qlen")) <= dlen * F.col("__qlen")) & (100 * (F.col("tend") - F.col("tstart")) >= cov * F.col("__hlen")) & (100 * (F.col("qend") - F.col("qstart")) >= cov * F.col("__qlen")))
     return h.groupBy("query").agg(F.min_by(F.struct(*(c for c in hits.columns if c != "query")), F.struct(*order)).alias("h")).select("query", "h.*")
 
 
@@ -218,8 +224,7 @@ def split_pairs(df: DataFrame) -> DataFrame:
 
 
 def dedupe_consecutive(df: DataFrame, by: str, order: list[str], part: list[str]) -> DataFrame:
-    """Rows whose ``by`` differs from that of the row before; name the file in ``part``."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*part).orderBy(*order)
-    return df.withColumn("__p", F.lag(by).over(w)).where(F.col("__p").isNull() | (F.col("__p") != F.col(by))).drop("__p")
+    """Rows whose ``by`` differs from that of the row before; name the file in ``part``. A long file is done in
+    tiles of the first column of ``order``."""
+    above = beside(df, part, order, F.struct(F.col(by).alias("v")), tile_of(df, order[0]))
+    return above.where(F.col("__beside").isNull() | (F.col("__beside.v") != F.col(by))).select(df.columns)

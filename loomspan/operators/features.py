@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.operators.intervals import BIN, TILE, beside, earlier, overlap_anti, tile_of
+from loomspan.operators.intervals import BIN, TILE, beside, earlier, greedy_disjoint, merge_intervals, overlap_anti, tile_of
 
 
 def of_type(df: DataFrame, *types: str, column: str = "type") -> DataFrame:
@@ -84,48 +83,80 @@ def fill_down(df: DataFrame, column: str, order: list[str], by: list[str] | None
 
 def chain_hits(hits: DataFrame, max_intron: int = 800, window: int = 1500, keys: tuple[str, ...] = ("query", "seqid", "strand")) -> DataFrame:
     """Hits (start, stop, score) of the same keys as chains with gaps of ``max_intron`` at most: extent,
-    extent with ``window`` around it (not below 1), number of hits and summed score."""
-    w = W.partitionBy(*keys).orderBy("start", "stop")  # the hits of one query on one sequence
-    reach = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    h = hits.withColumn("new", F.when(reach.isNull() | (F.col("start") - reach > max_intron), 1).otherwise(0)).withColumn("chain", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    c = h.groupBy(*keys, "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
+    extent with ``window`` around it (not below 1), number of hits and summed score. Chains are numbered by position."""
+    c = merge_intervals(hits, list(keys), max_intron, total="score")
+    c = earlier(c, list(keys), ["start"], F.lit(1), "sum", F.floor(F.col("start") / TILE), inclusive=True).withColumnRenamed("__before", "chain")
     return c.withColumns({"from_": F.greatest(F.col("start") - window, F.lit(1)), "to_": F.col("stop") + window})
 
 
+EST = ["query", "seqid", "strand", "isle"]
+
+
+def _fold_est(max_intron: int, overlap: int):
+    """Walks over exons in order, batch by batch, with the last one that counted: number of its transcript and repaired ends."""
+
+    def run(batches):
+        key, number, last = None, 0, None
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            columns = [batch.column(i).to_pylist() for i in range(4, 8)]
+            out = []
+            for here, qs, qe, hs, he in zip(names, *columns):
+                fresh = here != key
+                if fresh:
+                    key, number, last = here, 0, None
+                new, skip = fresh or qs < last[0], False
+                if not new:
+                    if here[2] != "-":
+                        gap = hs - last[2]
+                        if -overlap <= gap < 0:  # the later exon begins after the earlier one
+                            hs, gap = last[2] + 1, 1
+                        skip = gap < 0
+                    else:
+                        gap = last[1] - he
+                        if -overlap < gap < 0:
+                            he, gap = last[1] - 1, 1
+                        skip = gap < 0
+                    new = gap > max_intron
+                if not skip:
+                    number, last = number + new, (qs, hs, he)
+                out.append((None if skip else number, hs, he))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x[0] for x in out], pa.int64()), *batch.columns[4:6], *(pa.array([x[i] for x in out], pa.int64()) for i in (1, 2)), batch.column(8)], [*EST, "chain", "qstart", "qstop", "start", "stop", "qlen"])
+
+    return run
+
+
 def chain_est(hits: DataFrame, max_intron: int = 1000, min_cov: float = 0.0, overlap: int = 3) -> DataFrame:
-    """EST hits (query, seqid, strand, qstart, qstop, start, stop, qlen) chained while both query and target go on
-    without a gap over ``max_intron`` and without going back more than ``overlap``; chains of ``min_cov`` of the query."""
-    w = W.partitionBy("query", "seqid", "strand").orderBy("start", "stop", "qstart")
-    gap, step = F.col("start") - F.lag("stop").over(w), F.col("qstart") - F.lag("qstop").over(w)
-    step = F.when(F.col("strand") == "-", F.lag("qstart").over(w) - F.col("qstop")).otherwise(step)
-    h = hits.withColumn("new", F.when(gap.isNull() | (gap > max_intron) | (step < -overlap), 1).otherwise(0)).withColumn("chain", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    c = h.groupBy("query", "seqid", "strand", "chain", "qlen").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("exons"), F.sum(F.col("qstop") - F.col("qstart") + 1).alias("covered"))
-    return c.where(F.col("covered") >= min_cov * F.col("qlen"))
+    """EST hits (query, seqid, strand, qstart, qstop, start, stop, qlen) as transcripts, exons taken along the strand.
+
+    An exon begins a new transcript where its place in the EST goes back or the gap to the exon before is over
+    ``max_intron``. One that overlaps the exon before by ``overlap`` bases at most (on '-' by fewer) is cut to begin after it; one
+    that overlaps more is out of order and left out, and the next is compared with the exon before. Extents, number of
+    exons, the EST's extent in the transcript and that in percent of its length, rounded down; transcripts of ``min_cov``
+    percent or more. Exons further apart than ``max_intron`` from all before them never share a transcript, so each such
+    island is walked by itself, exon by exon in sorted order: a task holds one exon at a time, not an island."""
+    rows = hits.select("query", "seqid", "strand", *(F.col(c).cast("long").alias(c) for c in ("qstart", "qstop", "start", "stop", "qlen")))
+    keys, tile = EST[:3], F.floor(F.col("start") / TILE)
+    rows = earlier(rows, keys, ["start", "stop", "qstart"], F.col("stop"), "max", tile).withColumnRenamed("__before", "reach")
+    apart = F.when(F.col("start") - F.col("reach") > max_intron, 1).otherwise(0)
+    rows = earlier(rows.withColumn("apart", apart).drop("reach"), keys, ["start", "stop", "qstart"], F.col("apart"), "sum", tile, inclusive=True).withColumnRenamed("__before", "isle")
+    minus = F.col("strand") == "-"
+    order = [F.when(minus, -F.col("start")).otherwise(F.col("start")), "stop", "qstart"]
+    walk = rows.select(*EST, "qstart", "qstop", "start", "stop", "qlen").repartition(*EST).sortWithinPartitions(*EST, *order)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(*EST).dtypes)
+    walked = walk.mapInArrow(_fold_est(max_intron, overlap), f"{kinds}, chain long, qstart long, qstop long, start long, stop long, qlen long").where("chain IS NOT NULL")
+    c = walked.groupBy(*EST, "chain", "qlen").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("exons"), F.min("qstart").alias("qstart"), F.max("qstop").alias("qstop"))
+    c = c.withColumn("coverage", F.floor(100 * (F.col("qstop") - F.col("qstart")) / F.col("qlen")))
+    return c.where(F.col("coverage") >= min_cov).select(*keys, "start", "stop", "exons", "qstart", "qstop", "qlen", "coverage")
 
 
 def dedupe_overlaps(models: DataFrame, minlen: int = 50, keys: tuple[str, ...] = ("gene", "seqid")) -> DataFrame:
     """Of overlapping copies of a gene on a sequence the longest stays, greedily (ties by start, then stop);
-    copies are numbered by position. Islands of overlapping models are handled one by one."""
+    copies are numbered by position. Rounds over all islands at once (``greedy_disjoint``)."""
     m = models.where(F.col("stop") - F.col("start") + 1 >= minlen)
-    w = W.partitionBy(*keys).orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    m = m.withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).withColumn("__isle", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
-
-    def greedy(pdf):
-        pdf = pdf.assign(__n=pdf.start - pdf.stop).sort_values(["__isle", "__n", "start", "stop"], kind="stable").drop(columns="__n")
-        chosen, isle, kept = [], None, []
-        for i, (k, a, b) in enumerate(zip(pdf["__isle"], pdf.start, pdf.stop)):
-            if k != isle:
-                isle, kept = k, []
-            at = bisect(kept, (a,))  # what is kept doesn't overlap: only the two beside can
-            if (at == 0 or kept[at - 1][1] < a) and (at == len(kept) or kept[at][0] > b):
-                kept.insert(at, (a, b))
-                chosen.append(i)
-        return pdf.iloc[chosen]
-
-    m = m.withColumn("__group", F.floor(F.col("__isle") / 64))  # some islands a call
-    out = m.groupBy(*keys, "__group").applyInPandas(greedy, m.schema).drop("__isle", "__group")
-    return out.withColumn("copy", F.row_number().over(w))
+    out = greedy_disjoint(m, list(keys), [F.col("start") - F.col("stop"), F.col("start"), F.col("stop")])
+    out = earlier(out, list(keys), ["start"], F.lit(1), "sum", F.floor(F.col("start") / TILE), inclusive=True)
+    return out.withColumn("copy", F.col("__before").cast("int")).drop("__before")
 
 
 def missing_regions(transfer: DataFrame) -> DataFrame:
@@ -229,8 +260,8 @@ def gene_order_map(genes: DataFrame, go: DataFrame) -> DataFrame:
 
 
 def promoter_windows(genes: DataFrame, genome: DataFrame, steps: int = 4, size: int = 1000, bin_size: int = BIN) -> DataFrame:
-    """Windows upstream of each gene, ``size`` bases a step, cut at the sequence's ends; a gene's windows stop
-    at the first that touches another gene. Of equal windows the first gene by (start, gene) has it."""
+    """Windows upstream of each gene, ``size`` bases a step, cut at the sequence's ends. A gene's windows stop at the first
+    that touches a gene or a window that another gene has; genes have theirs in order of (start, gene)."""
     g = genes.select("gene", "seqid", "strand", "start", "stop").join(genome, "seqid")
     k = g.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     plus = F.col("strand") != "-"
@@ -239,8 +270,8 @@ def promoter_windows(genes: DataFrame, genome: DataFrame, steps: int = 4, size:
     k = k.select("gene", "seqid", "strand", "step", "g_start", F.col("w1").alias("start"), F.col("w2").alias("stop"))
     free = overlap_anti(k, genes.select("seqid", "start", "stop"), bin_size=bin_size)
     run = free.withColumn("upto", F.row_number().over(W.partitionBy("gene").orderBy("step"))).where("upto = step").drop("upto")
-    first = run.groupBy("seqid", "start", "stop").agg(F.min(F.struct("g_start", "gene")).alias("f"))
-    return run.join(first, ["seqid", "start", "stop"]).where("gene = f.gene").select("gene", "seqid", "strand", "step", "start", "stop")
+    own = greedy_disjoint(run, "seqid", [F.col("g_start"), F.col("gene"), F.col("step")], chain="gene")
+    return own.select("gene", "seqid", "strand", "step", "start", "stop")
 
 
 def polya_windows(sites: DataFrame, genome: DataFrame, w: int = 50, up: int = 200, down: int = 150) -> DataFrame:

@@ -1,18 +1,25 @@
 """Interval algebra on closed 1-based intervals (columns seqid, start, stop).
 
-Joins use bins: every interval is dealt to the bins that it touches, and a pair is
-kept in the bin of its later start alone. Ordered sweeps work in tiles: inside a
+Joins use nested bins: an interval is dealt to the few bins that it touches on the level
+of its length, and to those of the higher levels that the other side has intervals on. A
+pair meets on the higher of its two levels, in the bin of its later start alone. Ordered sweeps work in tiles: inside a
 tile by a window, between tiles over one row per tile, so that one long sequence
 with most of the rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.sources.scratch import kept
+
 BIN, TILE = 2_000, 100_000
+#: bins that an interval fills at most on its level, which is also how many bins one of the next level holds; levels
+FAN, LEVELS = 16, 5
 
 
 def _keys(on: str | list[str]) -> list[str]:
@@ -36,18 +43,42 @@ def pad(df: DataFrame, before: int, after: int | None = None) -> DataFrame:
     return df.withColumns({"start": F.greatest(F.col("start") - before, F.lit(1)), "stop": F.col("stop") + (before if after is None else after)})
 
 
-def _binned(df: DataFrame, size: int) -> DataFrame:
-    return df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("stop") / size))))
+def _level(size: int) -> Column:
+    """The lowest level on which an interval fills ``FAN`` bins at most (the last level has what is left)."""
+    length = F.col("stop") - F.col("start")
+    return sum(((length > FAN * size * FAN**k).cast("int") for k in range(LEVELS - 1)), F.lit(0))
+
+
+def _dealt(df: DataFrame, other: DataFrame, size: int, right: bool) -> DataFrame:
+    """``df`` with a row per bin: __level, __bin, and __meets, which tells whose levels meet there: 0 equal ones, 1 a left
+    interval and the bins above a shorter right one, 2 a right interval and the bins above a shorter left one."""
+    levels = other.agg(F.coalesce(F.bit_or(F.pow(F.lit(2), _level(size)).cast("int")), F.lit(0)).alias("__levels"))
+    df = df.withColumn("__own", _level(size)).join(F.broadcast(levels), how="cross")  # one row
+    own, there = F.col("__own"), F.col("__levels")
+    places = [
+        F.struct(own.alias("level"), F.lit(0).alias("meets")),
+        F.when(there % F.pow(F.lit(2), own).cast("int") > 0, F.struct(own.alias("level"), F.lit(2 if right else 1).alias("meets"))),
+        *(F.when((own < k) & (there.bitwiseAND(1 << k) > 0), F.struct(F.lit(k).alias("level"), F.lit(1 if right else 2).alias("meets"))) for k in range(1, LEVELS)),
+    ]
+    df = df.withColumn("__at", F.explode(F.array_compact(F.array(*places)))).withColumn("__wide", F.lit(size) * F.pow(F.lit(FAN), F.col("__at.level")).cast("long"))
+    df = df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / F.col("__wide")), F.floor(F.col("stop") / F.col("__wide")))))
+    return df.withColumns({"__level": F.col("__at.level"), "__meets": F.col("__at.meets")}).drop("__own", "__levels", "__at")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: str | list[str] = "seqid", how: str = "inner", bin_size: int = BIN, suffix: str = "_r") -> DataFrame:
     """Pairs of overlapping intervals of the same key; the right side's columns get ``suffix``.
-    With ``how='left'``, left rows without a partner have nulls there."""
+    With ``how='left'``, left rows without a partner have nulls there.
+
+    An interval is ``FAN`` + 1 rows at most on its own level, and for each higher level of the other side one or two
+    more. ``bin_size`` is that of the lowest level. A bin with most of one side's rows is split by adaptive execution."""
     keys = _keys(on)
-    r = _binned(right.where("start <= stop"), bin_size).select(*(F.col(c).alias(c + suffix if c != "__bin" else c) for c in [*right.columns, "__bin"]))
-    both = _binned(left.where("start <= stop"), bin_size).join(r.withColumnRenamed("__bin", "__bin_r"), [F.col(k) == F.col(k + suffix) for k in keys] + [F.col("__bin") == F.col("__bin_r")])
+    own, places = left.where("start <= stop"), ["__level", "__meets", "__bin"]
+    r = right.where("start <= stop")
+    l, r = _dealt(own, r, bin_size, False), _dealt(r, own, bin_size, True).drop("__wide").toDF(*(c + suffix for c in [*right.columns, "__bin", "__level", "__meets"]))
+    both = l.join(r, [F.col(k) == F.col(k + suffix) for k in [*keys, *places]])
     s, t = F.col("start" + suffix), F.col("stop" + suffix)
-    both = both.where((F.col("start") <= t) & (s <= F.col("stop")) & (F.col("__bin") == F.floor(F.greatest("start", s) / bin_size))).drop("__bin", "__bin_r")
+    both = both.where((F.col("start") <= t) & (s <= F.col("stop")) & (F.col("__bin") == F.floor(F.greatest("start", s) / F.col("__wide"))))
+    both = both.drop(*places, "__wide", *(c + suffix for c in places))
     if how == "inner":
         return both
     return both.unionByName(overlap_anti(left, right, on, bin_size), allowMissingColumns=True)
@@ -134,28 +165,76 @@ def tile_of(df: DataFrame, column: str, size: int = TILE, letters: int = 12) ->
     return F.substring(column, 1, letters) if dict(df.dtypes)[column] == "string" else F.floor(F.col(column) / size)
 
 
-def merge_intervals(df: DataFrame, on: str | list[str] = "seqid", gap: int = 0, tile: int = TILE) -> DataFrame:
+def merge_intervals(df: DataFrame, on: str | list[str] = "seqid", gap: int = 0, tile: int = TILE, total: str | None = None) -> DataFrame:
     """Islands of intervals with at most ``gap`` between start and the end so far (1 joins neighbours),
-    as keys, start, stop and n, the number of intervals in each. ``gap`` is less than ``tile``."""
-    keys = _keys(on)
-    spans = df.where("start <= stop").groupBy(*keys, "start", "stop").agg(F.count(F.lit(1)).alias("n"))
+    as keys, start, stop, n, the number of intervals in each, and the sum of a column ``total``. ``gap`` is less than ``tile``."""
+    keys, sums = _keys(on), ["n", *([total] if total else [])]
+    spans = df.where("start <= stop").groupBy(*keys, "start", "stop").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in sums[1:]))
     bits = spans.withColumn("t", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor(F.col("stop") / tile))))
     bits = bits.select(
         *keys, "t", F.greatest("start", F.col("t") * tile).alias("s"), F.least("stop", F.col("t") * tile + tile - 1).alias("e"),
-        (F.col("stop") >= (F.col("t") + 1) * tile).alias("right"), (F.col("start") < F.col("t") * tile).alias("left"), F.when(F.floor(F.col("start") / tile) == F.col("t"), F.col("n")).otherwise(0).alias("n"),
+        (F.col("stop") >= (F.col("t") + 1) * tile).alias("right"), (F.col("start") < F.col("t") * tile).alias("left"), *(F.when(F.floor(F.col("start") / tile) == F.col("t"), F.col(c)).otherwise(0).alias(c) for c in sums),
     )
     w = W.partitionBy(*keys, "t").orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
     bits = bits.withColumn("new", F.when(reach.isNull() | (F.col("s") > reach + gap), 1).otherwise(0)).withColumn("k", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    isles = bits.groupBy(*keys, "t", "k").agg(F.min("s").alias("start"), F.max("e").alias("stop"), F.sum("n").alias("n"), F.max("right").alias("right"), F.max("left").alias("left"))
+    isles = bits.groupBy(*keys, "t", "k").agg(F.min("s").alias("start"), F.max("e").alias("stop"), *(F.sum(c).alias(c) for c in sums), F.max("right").alias("right"), F.max("left").alias("left"))
     isles = isles.withColumn("last", F.max("k").over(W.partitionBy(*keys, "t")))
     edge = isles.where("k = 1 OR k = last")  # two of a tile at most
     w = W.partitionBy(*keys).orderBy("t", "k")
     ties = (F.lag("right").over(w) & F.col("left")) | (F.col("start") <= F.lag("stop").over(w) + gap)
     ties = F.coalesce(ties & (F.col("k") == 1) & (F.lag("k").over(w) == F.lag("last").over(w)), F.lit(False))
     edge = edge.withColumn("new", F.when(ties, 0).otherwise(1)).withColumn("g", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    edge = edge.groupBy(*keys, "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n")).drop("g")
-    return isles.where("k <> 1 AND k <> last").select(*keys, "start", "stop", "n").unionByName(edge)
+    edge = edge.groupBy(*keys, "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), *(F.sum(c).alias(c) for c in sums)).drop("g")
+    return isles.where("k <> 1 AND k <> last").select(*keys, "start", "stop", *sums).unionByName(edge)
+
+
+def greedy_disjoint(df: DataFrame, on: str | list[str], order: list[Column], chain: str | None = None) -> DataFrame:
+    """Rows that stay when they are taken one by one by ``order``, each unless it overlaps one of the same keys that
+    stays; with ``chain``, a row that doesn't stay ends the later ones of its chain.
+
+    Done in rounds, each for all rows at once: a row is taken when it is the first of all undecided ones that it may
+    overlap, and undecided rows that overlap a taken one go. What may overlap is seen in bins of about the rows' own
+    lengths: a bin holds the smallest rank of its rows, so that no pairs are formed and no island is gathered. As many
+    rounds as the longest chain of ever better rows that overlap; few, if the order isn't that of position. Rows of equal
+    rank are in any order. Writes intermediate tables."""
+    keys = _keys(on)
+    rows = df.where("start <= stop").withColumn("__row", F.monotonically_increasing_id())
+    rows = kept(rows.withColumns({"__rank": F.struct(*order, "__row"), "__level": F.when(F.col("start") == F.col("stop"), 0).otherwise(F.length(F.bin(F.col("stop") - F.col("start"))))}), "greedy")
+    levels = sorted(r[0] for r in rows.select("__level").distinct().collect())  # 64 numbers at most
+    open_ = rows.select(*keys, "start", "stop", "__row", "__rank", "__level", *([F.col(chain).alias("__chain")] if chain else []))
+    taken = []
+    while True:
+        at = open_.withColumn("__m", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda m: m >= F.col("__level"))))
+        at = kept(_power_bins(at).withColumn("__own", F.col("__m") == F.col("__level")), "greedy")
+        if at.isEmpty():
+            break
+        place = [*keys, "__m", "__bin"]
+        # rows meet on the higher of their levels: those at home there see all, the others those at home
+        firsts = at.groupBy(*place).agg(F.min("__rank").alias("__all"), F.min(F.when(F.col("__own"), F.col("__rank"))).alias("__home"))
+        ahead = at.join(firsts, place).groupBy("__row").agg(F.min(F.when(F.col("__own"), F.col("__all")).otherwise(F.col("__home"))).alias("__first"))
+        best = open_.join(ahead, "__row").where(F.col("__first").isNull() | (F.col("__rank") <= F.col("__first")))
+        if chain:  # the rows of a chain before it are taken or gone
+            best = best.join(open_.groupBy("__chain").agg(F.min("__rank").alias("__next")), "__chain").where(F.col("__rank") == F.col("__next"))
+        best = kept(best.select("__row"), "greedy")
+        taken.append(best)
+        new = at.join(best, "__row").select(*(F.col(k).alias(f"{k}__t") for k in keys), F.col("__m").alias("__mt"), F.col("__bin").alias("__bint"), F.col("start").alias("__from"), F.col("stop").alias("__to"), F.col("__own").alias("__ownt"))
+        hit = at.join(new, [F.col(k) == F.col(f"{k}__t") for k in keys] + [F.col("__m") == F.col("__mt"), F.col("__bin") == F.col("__bint")])
+        gone = hit.where("(__own OR __ownt) AND start <= __to AND __from <= stop").select("__row").distinct()
+        left = open_.join(gone, "__row", "left_anti")
+        if chain:
+            out = open_.join(gone, "__row").join(best, "__row", "left_anti").groupBy("__chain").agg(F.min("__rank").alias("__stopped"))
+            left = left.join(out, "__chain", "left").where(F.col("__stopped").isNull() | (F.col("__rank") < F.col("__stopped"))).drop("__stopped")
+        open_ = kept(left, "greedy")
+    if not taken:
+        return rows.select(df.columns)
+    return rows.join(reduce(DataFrame.union, taken), "__row", "left_semi").select(df.columns)
+
+
+def _power_bins(df: DataFrame) -> DataFrame:
+    """A row for each bin of 2 ** __m positions that an interval touches, two at most where its length is no greater."""
+    wide = F.pow(F.lit(2), F.col("__m")).cast("long")
+    return df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / wide), F.floor(F.col("stop") / wide))))
 
 
 def collapse_runs(df: DataFrame, value: str = "value", on: str | list[str] = "seqid", tile: int = TILE) -> DataFrame:

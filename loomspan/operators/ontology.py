@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,25 +31,59 @@ def ancestors(edges: DataFrame, most: int = 1000) -> DataFrame:
     raise RuntimeError(f"the graph has paths of over {most} steps")
 
 
-def lineage(edges: DataFrame, root: str) -> DataFrame:
-    """Path from the root to each node of a tree (child, parent), joined by ';'; nodes that don't lead there are left out.
-    A node with several parents takes the smallest."""
-    tree = edges.groupBy("child").agg(F.min("parent").alias("parent"))
-    a = ancestors(tree)
-    to_root = a.where(F.col("ancestor") == root).select("term")
-    path = a.join(to_root, "term", "left_semi").groupBy("term").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))), lambda x: x["ancestor"]), ";").alias("path"))
-    return path
+def lineage(edges: DataFrame, root: str, most: int = 1000) -> DataFrame:
+    """The longest path from the root to each term of an acyclic graph (child, parent), joined by ';' (term, path).
+    Of equally long ones that with the smaller parent, then grandparent, and so on; terms that don't lead to the root
+    are left out, dead ends beside a way to it do no harm. A cycle below the root is an error."""
+    longest = longest_paths(edges, root, most)
+    return longest.select("term", F.array_join("path", ";").alias("path"))
+
+
+def longest_paths(edges: DataFrame, root: str, most: int = 1000) -> DataFrame:
+    """``lineage`` with the path as an array. Round k has the terms that a path of k steps leads to, each with one such
+    path; the last round that has a term has its longest path, as its parent's is one shorter."""
+    steps = edges.where("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct()
+    newest = steps.where(F.col("parent") == root).select(F.col("parent").alias("term")).distinct().withColumn("up", F.array("term"))
+    rounds = []
+    for step in range(most + 1):
+        newest = kept(newest, "paths")
+        if newest.isEmpty():
+            break
+        rounds.append(newest.withColumn("step", F.lit(step)))
+        looped = F.raise_error(F.concat(F.lit("a cycle below the root leads to "), F.col("child").cast("string"))).cast("boolean")
+        next_ = newest.join(steps, newest.term == steps.parent).where(F.when(F.array_contains("up", F.col("child")), looped).otherwise(True))
+        newest = next_.groupBy(F.col("child").alias("term")).agg(F.min(F.concat(F.array("child"), F.col("up"))).alias("up"))
+    else:
+        raise RuntimeError(f"the graph has paths of over {most} steps")
+    if not rounds:
+        return newest.select("term", F.col("up").alias("path"))
+    both = reduce(DataFrame.unionByName, rounds)
+    return both.groupBy("term").agg(F.reverse(F.max_by("up", "step")).alias("path"))
+
+
+def ranked(paths: DataFrame, ranks: DataFrame, wanted: tuple[str, ...] = ("kingdom", "phylum", "genus")) -> DataFrame:
+    """Paths (term, path as an array) with a column per rank: the term of that rank (ranks: term, rank) nearest to the
+    end of the path, null where there is none."""
+    at = paths.select("term", F.posexplode("path").alias("place", "node")).join(ranks.select(F.col("term").alias("node"), "rank").where(F.col("rank").isin(*wanted)), "node")
+    found = at.groupBy("term").agg(*(F.max_by("node", F.when(F.col("rank") == w, F.col("place"))).alias(w) for w in wanted))
+    return paths.join(found, "term", "left")
 
 
 def map_to_slim(edges: DataFrame, slim: DataFrame) -> DataFrame:
-    """Each term's nearest slim terms along every upward path: itself if it is one, else what its parents map to
-    (slim: term)."""
-    s = slim.select(F.col("term").alias("s"))
-    # paths end at slim terms, so what is reached beyond one is reached past it
-    live = edges.join(s, edges.child == s.s, "left_anti").select("child", "parent")
-    nodes = edges.select("child").union(edges.select("parent")).distinct()
-    reach = ancestors(live).select("term", "ancestor").union(nodes.select("child", "child")).distinct()
-    return reach.join(s, reach.ancestor == s.s).select("term", F.col("ancestor").alias("slim"))
+    """Each term's nearest slim terms (slim: term) by is_a only, where edges have a column rel: itself if it is one;
+    else those of its parents that are; only if none is, what all its parents map to."""
+    e = (edges.where("rel = 'is_a'") if "rel" in edges.columns else edges).select("child", "parent").distinct()
+    s = slim.select(F.col("term").alias("parent")).distinct()
+    direct = e.join(s, "parent", "left_semi").select(F.col("child").alias("node"), F.col("parent").alias("slim"))
+    own = e.select("child").union(e.select("parent")).distinct().join(s, F.col("child") == s.parent, "left_semi").select(F.col("child").alias("node"))
+    # a term with a slim parent, or that is one, stops all its branches
+    stops = direct.select("node").union(own).distinct()
+    open_ = e.join(stops, e.child == stops.node, "left_anti").select("child", "parent")
+    reach = ancestors(open_).where("term <> ancestor").select("term", F.col("ancestor").alias("node"))
+    # what stops at a parent comes from it, and so does what began there
+    reach = reach.union(stops.select(F.col("node").alias("term"), "node"))
+    ends = direct.join(own, "node", "left_anti")
+    return reach.join(ends, "node").select("term", "slim").union(own.select(F.col("node").alias("term"), F.col("node").alias("slim"))).distinct()
 
 
 def go_summary(assoc: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -65,6 +100,27 @@ def taxon_counts(ids: DataFrame, paths: DataFrame, level: int) -> DataFrame:
     return p.groupBy("taxon").agg(F.count(F.lit(1)).alias("n"))
 
 
+def taxonomy_summary(ids: DataFrame, edges: DataFrame, root: str, ranks: DataFrame) -> DataFrame:
+    """Counts of a list of taxa (ids: term, as often as it comes; ranks: term, rank): rows (kind, taxon, n, phylum) of kind
+    rank (how many of each rank), genus (with its phylum, Unranked without one), phylum, and missing (not in the tree)."""
+    known = ranked(longest_paths(edges, root), ranks, ("phylum", "genus")).select("term", "phylum", "genus", F.lit(True).alias("found"))
+    rows = ids.select("term").groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(known, "term", "left").join(ranks.select("term", "rank"), "term", "left")
+    found, none = F.coalesce("found", F.lit(False)), F.lit(None).cast("string")
+    kinds = F.array(
+        F.struct(F.when(found, "rank").otherwise("missing").alias("kind"), F.when(found, F.coalesce("rank", F.lit("no rank"))).alias("taxon"), none.alias("phylum")),
+        F.when(found & F.col("genus").isNotNull(), F.struct(F.lit("genus").alias("kind"), F.col("genus").alias("taxon"), F.coalesce("phylum", F.lit("Unranked")).alias("phylum"))),
+        F.when(found & F.col("phylum").isNotNull(), F.struct(F.lit("phylum").alias("kind"), F.col("phylum").alias("taxon"), none.alias("phylum"))),
+    )
+    out = rows.select("n", F.explode(kinds).alias("k")).where("k IS NOT NULL")
+    return out.groupBy("k.kind", "k.taxon").agg(F.sum("n").alias("n"), F.min("k.phylum").alias("phylum"))
+
+
+def author_counts(records: DataFrame, edges: DataFrame, root: str, ranks: DataFrame, genus: str) -> DataFrame:
+    """How many records (term, authors) of the taxa of one genus each author list has."""
+    mine = ranked(longest_paths(edges, root), ranks, ("genus",)).where(F.col("genus") == genus).select("term")
+    return records.join(mine, "term", "left_semi").groupBy("authors").agg(F.count(F.lit(1)).alias("n"))
+
+
 def product_names(hits: DataFrame, rank: int = 2) -> DataFrame:
     """A product name per protein from domain hits (protein, name, start, stop): names by summed length, ties by
     name; the ``rank``-th where there are so many, else the last. Trailing "domain", "family" and signs go."""
@@ -82,9 +138,17 @@ def go_associations(rows: DataFrame, aspects: DataFrame) -> DataFrame:
 
 
 def go_paths(genes: DataFrame, edges: DataFrame, root: str, levels: int = 5) -> DataFrame:
-    """The first ``levels`` steps of the path from the root to each gene's terms, with how many genes have it."""
-    p = genes.join(lineage(edges, root), "term").select("gene", F.array_join(F.slice(F.split("path", ";"), 1, levels), ";").alias("path")).distinct()
-    return p.groupBy("path").agg(F.count(F.lit(1)).alias("genes"))
+    """A row per gene and distinct term (genes: gene, term) with the first ``levels`` steps below the root on the term's
+    longest path, joined by '; '; terms that don't lead to the root have none, and a gene without others is Unknown."""
+    p = longest_paths(edges, root).select("term", F.array_join(F.slice("path", 2, levels), "; ").alias("path"))
+    known = genes.select("gene", "term").distinct().join(p, "term").select("gene", "term", "path")
+    rest = genes.select("gene").distinct().join(known.select("gene"), "gene", "left_anti")
+    return known.union(rest.select("gene", F.lit(None).cast("string"), F.lit("Unknown")))
+
+
+def go_path_counts(paths: DataFrame) -> DataFrame:
+    """How many genes have each path of ``go_paths``."""
+    return paths.groupBy("path").agg(F.countDistinct("gene").alias("genes"))
 
 
 def _hypergeometric(over: bool):
@@ -101,25 +165,33 @@ def _hypergeometric(over: bool):
     return F.pandas_udf(run, "double")
 
 
-def enrichment_counts(genes: DataFrame, assoc: DataFrame, edges: DataFrame) -> DataFrame:
+def enrichment_counts(genes: DataFrame, assoc: DataFrame, edges: DataFrame, aspects: DataFrame | None = None) -> DataFrame:
     """Per term, with terms inherited upwards: genes of the list and of the universe (all associated genes) that have
-    it, and the sizes of both."""
-    full = assoc.join(ancestors(edges).select("term", "ancestor"), "term").select("gene", F.col("ancestor").alias("term")).distinct()
+    it, and the sizes of both. With ``aspects`` (term, aspect) each aspect is a test of its own: terms are inherited
+    inside it, and the sizes are of the genes that have a term of it."""
+    by = ["aspect"] if aspects is not None else []
+    up = ancestors(edges).select("term", "ancestor")
+    if by:
+        up = up.join(aspects.select("term", "aspect"), "term").join(aspects.select(F.col("term").alias("ancestor"), F.col("aspect").alias("a")), "ancestor").where("aspect = a")
+    full = assoc.join(up, "term").select("gene", F.col("ancestor").alias("term"), *by).distinct()
     marked = full.join(genes.select("gene", F.lit(1).alias("__in")).distinct(), "gene", "left")
-    size = marked.groupBy().agg(F.countDistinct("gene").alias("universe"), F.countDistinct(F.when(F.col("__in") == 1, F.col("gene"))).alias("listed"))
-    n = marked.groupBy("term").agg(F.count(F.lit(1)).alias("in_universe"), F.sum(F.coalesce("__in", F.lit(0))).alias("in_list"))
-    return n.join(F.broadcast(size), how="cross")
+    size = marked.groupBy(*by).agg(F.countDistinct("gene").alias("universe"), F.countDistinct(F.when(F.col("__in") == 1, F.col("gene"))).alias("listed"))
+    n = marked.groupBy("term", *by).agg(F.count(F.lit(1)).alias("in_universe"), F.sum(F.coalesce("__in", F.lit(0))).alias("in_list"))
+    return n.join(F.broadcast(size), by) if by else n.join(F.broadcast(size), how="cross")  # a row, or one per aspect
 
 
-def go_enrichment(genes: DataFrame, assoc: DataFrame, edges: DataFrame, side: str = "over", p_max: float = 0.05) -> DataFrame:
-    """``enrichment_counts`` with hypergeometric p and Benjamini-Hochberg q; rows with p of ``p_max`` at most."""
-    c = enrichment_counts(genes, assoc, edges).where("in_list > 0" if side == "over" else "in_universe > 0")
+def go_enrichment(genes: DataFrame, assoc: DataFrame, edges: DataFrame, side: str = "over", p_max: float = 0.05, aspects: DataFrame | None = None) -> DataFrame:
+    """``enrichment_counts`` with hypergeometric p and Benjamini-Hochberg q (per aspect, if these are given); rows with
+    p of ``p_max`` at most."""
+    by = ["aspect"] if aspects is not None else []
+    c = enrichment_counts(genes, assoc, edges, aspects).where("in_list > 0" if side == "over" else "in_universe > 0")
     c = c.withColumn("p", _hypergeometric(side == "over")("in_list", "in_universe", "listed", "universe"))
     c = kept(c, "enrichment")  # read several times below
-    v = c.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    v = c.groupBy("p", *by).agg(F.count(F.lit(1)).alias("n"))
     tile = F.floor(F.log10(F.greatest("p", F.lit(1e-300))) * 64)
-    v = earlier(v, [], ["p"], F.col("n"), "sum", tile).withColumn("r", F.col("__before") + 1).drop("__before")
-    v = v.join(F.broadcast(c.agg(F.count(F.lit(1)).alias("m"))), how="cross").withColumn("q0", F.col("p") * F.col("m") / F.col("r"))  # one row
-    v = earlier(v, [], [F.desc("p")], -F.col("q0"), "max", -tile, inclusive=True)
-    out = c.join(v.select("p", F.least(F.lit(1.0), -F.col("__before")).alias("q")), "p").where(F.col("p") <= p_max)
-    return out.select("term", "in_list", "in_universe", "listed", "universe", "p", "q")
+    v = earlier(v, by, ["p"], F.col("n"), "sum", tile).withColumn("r", F.col("__before") + 1).drop("__before")
+    tests = F.broadcast(c.groupBy(*by).agg(F.count(F.lit(1)).alias("m")))  # a row, or one per aspect
+    v = (v.join(tests, by) if by else v.join(tests, how="cross")).withColumn("q0", F.col("p") * F.col("m") / F.col("r"))
+    v = earlier(v, by, [F.desc("p")], -F.col("q0"), "max", -tile, inclusive=True)
+    out = c.join(v.select("p", *by, F.least(F.lit(1.0), -F.col("__before")).alias("q")), ["p", *by]).where(F.col("p") <= p_max)
+    return out.select("term", *by, "in_list", "in_universe", "listed", "universe", "p", "q")

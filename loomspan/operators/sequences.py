@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import codons, degeneracy, revcomp, translate_cds
+from loomspan.operators.intervals import earlier
 
 
 def min_length(df: DataFrame, n: int, strict: bool = False) -> DataFrame:
@@ -30,8 +30,10 @@ def assembly_stats(seqs: DataFrame, nlen: int = 50) -> DataFrame:
     s = seqs.select(F.length("seq").cast("long").alias("len"), F.regexp_count("seq", F.lit("[Nn]")).alias("ns"), F.size(runs).alias("runs"), F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("run_len"))
     sizes = s.groupBy("len").agg(F.count(F.lit(1)).alias("c"))
     totals = sizes.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("len")).alias("total"))
-    up, down = W.orderBy("len"), W.orderBy(F.desc("len"))
-    ranked = sizes.withColumn("upto", F.sum("c").over(up)).withColumn("covered", F.sum(F.col("c") * F.col("len")).over(down)).join(F.broadcast(totals), how="cross")
+    bases, tile = F.col("c") * F.col("len"), F.floor(F.log2(F.greatest("len", F.lit(1))) * 64)
+    ranked = earlier(sizes, [], ["len"], F.col("c"), "sum", tile, inclusive=True).withColumnRenamed("__before", "upto")
+    ranked = earlier(ranked, [], ["len"], bases, "sum", tile).join(F.broadcast(totals), how="cross")  # one row
+    ranked = ranked.withColumn("covered", F.col("total") - F.col("__before"))
     picked = ranked.agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("len"))).alias("median"), F.max(F.when(2 * F.col("covered") >= F.col("total"), F.col("len"))).alias("n50"))
     other = s.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"), F.avg("len").alias("mean"), F.sum("ns").alias("n_bases"), F.sum("runs").cast("long").alias("n_runs"), F.sum("run_len").alias("n_run_bases"))
     return other.join(F.broadcast(picked), how="cross").select("n", "total", "mean", "median", "n50", "n_bases", "n_runs", "n_run_bases")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.functions import codon_change, revcomp, translate_cds
+from loomspan.functions import revcomp, translate_cds
 from loomspan.operators.intervals import BIN, earlier, merge_intervals, overlap_join, tile_of
 from loomspan.operators.sequences import fetch_seq
 
@@ -26,27 +26,69 @@ def coding_sequences(models: DataFrame, genome: DataFrame, chunk: int = 100_000)
     return parts.groupBy("gene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "seq"))), lambda x: x["seq"]), "").alias("cds"))
 
 
+def _trimmed(variants: DataFrame) -> DataFrame:
+    """Variants with what their alleles share at the front, then at the end, cut off: ``r`` is replaced by ``a`` from ``p`` on."""
+    most = F.least(F.length("ref"), F.length("alt"))
+    longest = lambda ok, n: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), n), ok)), F.lit(0))
+    front = F.when(F.col("ref") == F.col("alt"), 0).otherwise(longest(lambda k: F.substr("ref", F.lit(1), k) == F.substr("alt", F.lit(1), k), most))
+    v = variants.withColumn("__front", front)
+    v = v.withColumns({"p": F.col("pos") + F.col("__front"), "r": F.substr("ref", F.col("__front") + 1), "a": F.substr("alt", F.col("__front") + 1)}).drop("__front")
+    back = longest(lambda k: (k == 0) | (F.right("r", k) == F.right("a", k)), F.least(F.length("r"), F.length("a")))
+    v = v.withColumn("__back", F.when(F.col("r") == F.col("a"), 0).otherwise(back))
+    cut = lambda c: F.substr(c, F.lit(1), F.length(c) - F.col("__back"))
+    return v.withColumns({"r": cut("r"), "a": cut("a")}).drop("__back")
+
+
 def variant_effects(variants: DataFrame, models: DataFrame, genome: DataFrame, bin_size: int = BIN, chunk: int = 100_000) -> DataFrame:
-    """Each variant (seqid, pos, ref, alt) with each gene that it lies in: class intergenic, intron, frameshift,
-    inframe_indel, synonymous, missense or nonsense, and for substitutions the codons and residues."""
-    v = variants.withColumns({"start": F.col("pos"), "stop": F.col("pos")})
+    """Each variant (seqid, pos, ref, alt) with each gene that it touches and what it does to it.
+
+    The span that changes is projected through the coding exons: bases of alt replace those of ref one by one, the rest of
+    ref is deleted, the rest of alt inserted after the last of them; what lies outside the exons doesn't count. The class is
+    intergenic, intron (in a gene, no coding base), frameshift, or from the codons that change and their translation
+    synonymous, nonsense (a stop that is new, or comes earlier), missense, or inframe_indel where their number changes.
+    old, new, old_aa and new_aa are the codons and residues that change; after a frameshift new_aa is read on in the edited
+    sequence through its first stop. stop_at is the residue of that new stop, crosses whether bases outside coding exons
+    change as well, cds_pos the first coding base that changes (of an insertion, the base before it on the sequence). Repeated
+    variants count once."""
+    v = _trimmed(variants.select("seqid", "pos", "ref", "alt").distinct())
+    insertion = F.length("r") == 0
+    v = v.withColumns({"start": F.col("p") - insertion.cast("int"), "stop": F.col("p") + F.greatest(F.length("r"), F.lit(1)) - 1 - insertion.cast("int")})
     spans = models.groupBy("gene", "seqid").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    hit = overlap_join(v, spans, how="left", bin_size=bin_size).select("seqid", "pos", "ref", "alt", F.col("gene_r").alias("gene"))
-    parts = coding_parts(models).withColumnRenamed("gene", "g")
-    inside = overlap_join(v, parts, bin_size=bin_size)
+    key = ["seqid", "pos", "ref", "alt"]
+    hit = overlap_join(v, spans, how="left", bin_size=bin_size).select(*key, "p", "r", "a", F.col("gene_r").alias("gene"))
+    parts = overlap_join(v, coding_parts(models), bin_size=bin_size)
     plus = F.col("strand_r") != "-"
-    at = F.col("offset_r") + F.when(plus, F.col("pos") - F.col("start_r")).otherwise(F.col("stop_r") - F.col("pos")) + 1
-    inside = inside.select("seqid", "pos", "ref", "alt", F.col("g_r").alias("gene"), F.col("strand_r").alias("strand"), at.alias("cds_pos"))
-    full = hit.join(inside, ["seqid", "pos", "ref", "alt", "gene"], "left").join(coding_sequences(models, genome, chunk), "gene", "left")
-    allele = F.when(F.col("strand") == "-", revcomp("alt")).otherwise(F.col("alt"))
-    sub = (F.length("ref") == 1) & (F.length("alt") == 1) & F.col("cds_pos").isNotNull()
-    full = full.withColumn("c", F.when(sub, codon_change("cds", "cds_pos", allele)))
+    f, t, same = F.greatest("start", "start_r"), F.least("stop", "stop_r"), F.least(F.length("r"), F.length("a"))
+    last = F.col("p") + same - 1  # the last base that is replaced
+    piece = F.when(f <= last, F.substr("a", (f - F.col("p") + 1).cast("int"), (F.least(t, last) - f + 1).cast("int"))).otherwise("")
+    piece = F.concat(piece, F.when((f <= last) & (last <= t), F.substr("a", same + 1)).otherwise(""))
+    low = F.col("offset_r") + F.when(plus, f - F.col("start_r")).otherwise(F.col("stop_r") - t) + 1
+    parts = parts.select(*key, F.col("gene_r").alias("gene"), F.col("strand_r").alias("strand"), low.alias("low"), (t - f + 1).alias("size"), F.struct(f.alias("f"), F.when(F.length("r") > 0, piece).otherwise(F.col("a")).alias("piece")).alias("bit"))
+    edits = parts.groupBy(*key, "gene", "strand").agg(F.min("low").alias("c1"), F.max(F.col("low") + F.col("size") - 1).alias("c2"), F.sum("size").alias("covered"), F.array_sort(F.collect_list("bit")).alias("bits"))
+    edits = edits.withColumn("put", F.array_join(F.transform("bits", lambda x: x["piece"]), "")).drop("bits")
+    full = hit.join(edits, [*key, "gene"], "left").join(coding_sequences(models, genome, chunk), "gene", "left")
+    minus = F.col("strand") == "-"
+    put = F.when(minus, revcomp("put")).otherwise(F.col("put"))
+    anchor = F.substr("cds", F.col("c1").cast("int"), F.lit(1))
+    put = F.when(~insertion, put).when(minus, F.concat(put, anchor)).otherwise(F.concat(anchor, put))
+    full = full.withColumns({"put": put, "w0": (F.floor((F.col("c1") - 1) / 3) * 3).cast("int"), "w1": (F.ceil(F.col("c2") / 3) * 3).cast("int")})
+    cds = lambda low, high: F.substr("cds", (low + 1).cast("int"), F.greatest((high - low).cast("int"), F.lit(0)))
+    before = cds(F.col("w0"), F.col("c1") - 1)
+    shift = (F.length("put") - (F.col("c2") - F.col("c1") + 1)) % 3 != 0
+    old, new = cds(F.col("w0"), F.col("w1")), F.concat(before, F.col("put"), cds(F.col("c2"), F.col("w1")))
+    full = full.withColumns({"shift": shift, "old": old, "new": F.when(~shift, new)})
+    beyond = F.when(F.col("shift"), translate_cds(F.concat(before, F.col("put"), cds(F.col("c2"), F.length("cds")))))
+    beyond = F.when(F.instr(beyond, "*") > 0, F.concat(F.substring_index(beyond, "*", 1), F.lit("*"))).otherwise(beyond)
+    full = full.withColumns({"old_aa": F.when(F.col("c1").isNotNull(), translate_cds("old")), "new_aa": F.when(F.col("shift"), beyond).when(F.col("c1").isNotNull(), translate_cds("new"))})
+    at, was = F.instr("new_aa", "*"), F.instr("old_aa", "*")
+    gain = (at > 0) & ((was == 0) | (at < was))
     kind = (
-        F.when(F.col("gene").isNull(), "intergenic").when(F.col("cds_pos").isNull(), "intron")
-        .when(~sub, F.when((F.length("alt") - F.length("ref")) % 3 == 0, "inframe_indel").otherwise("frameshift"))
-        .when(F.col("c.old_aa") == F.col("c.new_aa"), "synonymous").when(F.col("c.new_aa") == "*", "nonsense").otherwise("missense")
+        F.when(F.col("gene").isNull(), "intergenic").when(F.col("c1").isNull(), "intron").when(F.col("shift"), "frameshift").when(F.col("old_aa") == F.col("new_aa"), "synonymous")
+        .when(gain, "nonsense").when(F.length("old") == F.length("new"), "missense").otherwise("inframe_indel")
     )
-    return full.select("seqid", "pos", "ref", "alt", "gene", kind.alias("class"), "cds_pos", F.col("c.old").alias("old"), F.col("c.new").alias("new"), F.col("c.old_aa").alias("old_aa"), F.col("c.new_aa").alias("new_aa"))
+    stop_at = F.when((F.col("shift") & (at > 0)) | gain, F.floor(F.col("w0") / 3) + at)
+    crosses = F.when(F.col("c1").isNotNull(), ~insertion & (F.col("covered") < F.length("r")))
+    return full.select(*key, "gene", kind.alias("class"), F.col("c1").alias("cds_pos"), "old", "new", "old_aa", "new_aa", crosses.alias("crosses"), stop_at.cast("long").alias("stop_at"))
 
 
 def strain_cds(cds: DataFrame, snps: DataFrame) -> DataFrame:

@@ -79,6 +79,20 @@ def best_hit(v):
     return C.best_hit(v.hits.withColumn("neg", -F.col("bits")), ["line_no", "neg", "hit"], 95, 10).select("query", "hit", "bits", "line_no")
 
 
+#: the alignment spans and lengths that the view lacks
+SPANS = "SELECT *, CAST(qstart + aln_len * 2 AS DOUBLE) AS qend, 1 AS tstart, CAST(1 + aln_len * 2 AS DOUBLE) AS tend, 60 + CAST(split_part(query, '_', 2) AS BIGINT) % 41 AS ql, 60 + CAST(split_part(hit, '_', 2) AS BIGINT) % 41 AS hl FROM hits"
+
+
+@query("best_hit_by_coverage", f"""WITH s AS ({SPANS}), r AS (SELECT query, hit, bits, line_no, row_number() OVER (PARTITION BY query ORDER BY line_no, bits DESC, hit) AS n FROM s
+WHERE pid >= 95 AND abs(hl - ql) * 100.0 / ql <= 15 AND (tend - tstart) * 100.0 / hl >= 60 AND (qend - qstart) * 100.0 / ql >= 60) SELECT query, hit, bits, line_no FROM r WHERE n = 1""")
+def best_hit_by_coverage(v):
+    wide = F.col("aln_len") * 2
+    h = v.hits.withColumns({"neg": -F.col("bits"), "qend": F.col("qstart") + wide, "tstart": F.lit(1), "tend": 1 + wide})
+    ids = v.hits.select(F.col("query").alias("id")).union(v.hits.select("hit")).distinct()
+    lens = ids.withColumn("length", 60 + F.split("id", "_")[1].cast("long") % 41)
+    return C.best_hit(h, ["line_no", "neg", "hit"], 95, lens=lens).select("query", "hit", "bits", "line_no")
+
+
 @query("lookup", "SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey")
 def lookup(v):
     c = v.table("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")

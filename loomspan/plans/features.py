@@ -87,13 +87,25 @@ def chain_hits(v):
     return rounded(G.chain_hits(h, 100), "score", digits=2)
 
 
+#: exons one after the other along the strand, with the state that the reference's loop carries: transcript, last query start, last ends
 @query("chain_est", """
-WITH h AS (SELECT DISTINCT type AS query, seqid, strand, start, stop, start % 400 AS qstart, start % 400 + stop - start AS qstop, 400 AS qlen FROM features), w AS (SELECT *, lag(stop) OVER p AS ls, lag(qstop) OVER p AS lq, lag(qstart) OVER p AS la FROM h WINDOW p AS (PARTITION BY query, seqid, strand ORDER BY start, stop, qstart)),
-n AS (SELECT *, sum(CASE WHEN ls IS NULL OR start - ls > 1000 OR (CASE WHEN strand = '-' THEN la - qstop ELSE qstart - lq END) < -3 THEN 1 ELSE 0 END) OVER (PARTITION BY query, seqid, strand ORDER BY start, stop, qstart ROWS UNBOUNDED PRECEDING) AS chain FROM w)
-SELECT query, seqid, strand, CAST(chain AS BIGINT) AS chain, qlen, min(start) AS start, max(stop) AS stop, count(*) AS exons, CAST(sum(qstop - qstart + 1) AS BIGINT) AS covered FROM n GROUP BY ALL HAVING sum(qstop - qstart + 1) >= 0.05 * qlen""")
+WITH RECURSIVE h AS (SELECT DISTINCT type AS query, seqid, strand, start, stop, start % 400 // 2 * 2 AS qstart, start % 400 // 2 * 2 + stop - start AS qstop, 400 AS qlen FROM features),
+o AS (SELECT *, row_number() OVER (PARTITION BY query, seqid, strand ORDER BY CASE WHEN strand = '-' THEN -start ELSE start END, stop, qstart) AS r FROM h),
+w(query, seqid, strand, r, chain, lq, ls, le, skip, qstart, qstop, qlen) AS (
+  SELECT query, seqid, strand, r, 1::BIGINT, qstart, start, stop, FALSE, qstart, qstop, qlen FROM o WHERE r = 1
+  UNION ALL SELECT query, seqid, strand, r, CASE WHEN skip OR NOT new THEN chain ELSE chain + 1 END, CASE WHEN skip THEN lq ELSE qstart END, CASE WHEN skip THEN ls ELSE hs END, CASE WHEN skip THEN le ELSE he END, skip, qstart, qstop, qlen FROM (
+    SELECT x.*, NOT back AND gap < 0 AS skip, back OR gap > 60 AS new FROM (
+      SELECT o.query, o.seqid, o.strand, o.r, w.chain, w.lq, w.ls, w.le, o.qstart, o.qstop, o.qlen, o.qstart < w.lq AS back,
+        CASE WHEN o.qstart >= w.lq AND o.strand <> '-' AND o.start - w.le BETWEEN -3 AND -1 THEN w.le + 1 ELSE o.start END AS hs,
+        CASE WHEN o.qstart >= w.lq AND o.strand = '-' AND w.ls - o.stop BETWEEN -2 AND -1 THEN w.ls - 1 ELSE o.stop END AS he,
+        CASE WHEN o.strand <> '-' THEN CASE WHEN o.start - w.le BETWEEN -3 AND -1 THEN 1 ELSE o.start - w.le END ELSE CASE WHEN w.ls - o.stop BETWEEN -2 AND -1 THEN 1 ELSE w.ls - o.stop END END AS gap
+      FROM w JOIN o ON o.query = w.query AND o.seqid = w.seqid AND o.strand = w.strand AND o.r = w.r + 1) x) y),
+c AS (SELECT query, seqid, strand, chain, qlen, min(ls) AS start, max(le) AS stop, count(*) AS exons, min(qstart) AS qstart, max(qstop) AS qstop FROM w WHERE NOT skip GROUP BY ALL)
+SELECT query, seqid, strand, start, stop, exons, qstart, qstop, CAST(qlen AS BIGINT) AS qlen, CAST(100 * (qstop - qstart) // qlen AS BIGINT) AS coverage FROM c WHERE 100 * (qstop - qstart) // qlen >= 5""")
 def chain_est(v):
-    h = v.features.select(F.col("type").alias("query"), "seqid", "strand", "start", "stop", (F.col("start") % 400).alias("qstart"), (F.col("start") % 400 + F.col("stop") - F.col("start")).alias("qstop"), F.lit(400).alias("qlen")).distinct()
-    return G.chain_est(h, min_cov=0.05)
+    at = F.floor(F.col("start") % 400 / 2) * 2
+    h = v.features.select(F.col("type").alias("query"), "seqid", "strand", "start", "stop", at.alias("qstart"), (at + F.col("stop") - F.col("start")).alias("qstop"), F.lit(400).alias("qlen")).distinct()
+    return G.chain_est(h, 60, min_cov=5)
 
 
 @query("dedupe_overlaps", """WITH RECURSIVE m AS (SELECT type AS gene, seqid, start, stop, row_number() OVER (PARTITION BY type, seqid ORDER BY start - stop, start, stop) AS r FROM features WHERE stop - start + 1 >= 20),
@@ -182,11 +194,17 @@ def gene_order_map(v):
     return G.gene_order_map(v.features.select(F.col("parent").alias("gene"), "seqid", "start"), v.assoc.select(F.replace("gene", F.lit("P"), F.lit("g")).alias("gene"), "term"))
 
 
+#: windows one after the other by gene, each unless it touches one that is there; a gene ends with the first that does
 @query("promoter_windows", """
-WITH g AS (SELECT seqid || ':' || min(parent) || strand || start AS gene, seqid, strand, start, max(stop) AS stop FROM features WHERE type = 'gene' GROUP BY seqid, strand, start), k AS (SELECT gene, g.seqid, strand, step, g.start AS gs, CASE WHEN strand <> '-' THEN g.start - step * 100 ELSE g.stop + (step - 1) * 100 + 1 END AS a, length FROM g JOIN genome ON genome.seqid = g.seqid, range(1, 5) t(step)),
+WITH RECURSIVE g AS (SELECT seqid || ':' || min(parent) || strand || start AS gene, seqid, strand, start, max(stop) AS stop FROM features WHERE type = 'gene' GROUP BY seqid, strand, start), k AS (SELECT gene, g.seqid, strand, step, g.start AS gs, CASE WHEN strand <> '-' THEN g.start - step * 100 ELSE g.stop + (step - 1) * 100 + 1 END AS a, length FROM g JOIN genome ON genome.seqid = g.seqid, range(1, 5) t(step)),
 w AS (SELECT gene, seqid, strand, CAST(step AS INT) AS step, gs, greatest(a, 1) AS start, least(a + 99, length) AS stop FROM k WHERE greatest(a, 1) <= least(a + 99, length)),
-f AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.seqid = w.seqid AND g.start <= w.stop AND w.start <= g.stop)), r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY step) AS u FROM f), q AS (SELECT * FROM r WHERE u = step),
-o AS (SELECT *, row_number() OVER (PARTITION BY seqid, start, stop ORDER BY gs, gene) AS first FROM q) SELECT gene, seqid, strand, step, start, stop FROM o WHERE first = 1""")
+f AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.seqid = w.seqid AND g.start <= w.stop AND w.start <= g.stop)), r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY step) AS u FROM f),
+q AS (SELECT *, row_number() OVER (PARTITION BY seqid ORDER BY gs, gene, step) AS n FROM r WHERE u = step),
+s(seqid, n, ended, kept) AS (SELECT seqid, 1::BIGINT, ''::VARCHAR, [{'gene': gene, 'strand': strand, 'step': step, 'a': start, 'b': stop}] FROM q WHERE n = 1
+  UNION ALL SELECT q.seqid, q.n, CASE WHEN ok THEN ended ELSE q.gene END, CASE WHEN ok THEN list_append(kept, {'gene': q.gene, 'strand': q.strand, 'step': q.step, 'a': q.start, 'b': q.stop}) ELSE kept END
+  FROM (SELECT q.*, s.ended, s.kept, s.ended <> q.gene AND len(list_filter(s.kept, lambda x: x.a <= q.stop AND q.start <= x.b)) = 0 AS ok FROM s JOIN q ON q.seqid = s.seqid AND q.n = s.n + 1) q),
+z AS (SELECT seqid, unnest(arg_max(kept, n)) AS x FROM s GROUP BY seqid)
+SELECT x.gene AS gene, seqid, x.strand AS strand, x.step AS step, x.a AS start, x.b AS stop FROM z""")
 def promoter_windows(v):
     g = v.features.where("type = 'gene'").groupBy("seqid", "strand", "start").agg(F.max("stop").alias("stop"), F.min("parent").alias("p"))
     g = g.withColumn("gene", F.concat(F.col("seqid").cast("string"), F.lit(":"), "p", "strand", F.col("start").cast("string"))).drop("p")

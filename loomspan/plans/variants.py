@@ -20,23 +20,45 @@ def _models(v):
     return e.select("gene", "seqid", "strand", (F.col("k") * 50 + 11).alias("start"), (F.col("k") * 50 + 40).alias("stop")), v.seqs.select(F.col("id").alias("seqid"), "seq")
 
 
-def _variants(v):
-    """A variant every 17 bases from 5 on; every third is an insertion."""
-    some = F.filter(F.split("seq", ""), lambda c, i: (c != "") & (i % 17 == 4))
-    s = v.seqs.select(F.col("id").alias("seqid"), F.posexplode(some).alias("i", "ref"))
-    return s.select("seqid", (F.col("i") * 17 + 5).cast("long").alias("pos"), "ref", F.when(F.col("i") % 3 == 1, F.concat("ref", F.lit("A"))).otherwise(F.translate("ref", "ACGT", "CGTA")).alias("alt"))
+#: bases of ref of the five kinds in turn: substitution, insertion, deletion of 13 after an anchor, two bases by two, four by two
+WIDE = (1, 1, 14, 2, 4)
 
 
-CDS = """m0 AS (SELECT id AS seqid, 'G' || id AS gene, id % 2 = 1 AS minus, seq, CASE WHEN length(seq) >= 40 THEN (length(seq) - 40) // 50 + 1 ELSE 0 END AS exons FROM seqs),
-m1 AS (SELECT *, array_to_string(list_transform(range(0, exons), lambda k: substr(seq, k * 50 + 11, 30)), '') AS plus FROM m0), m AS (SELECT *, CASE WHEN minus THEN reverse(translate(plus, 'ACGT', 'TGCA')) ELSE plus END AS cds FROM m1),
-v AS (SELECT *, substr(seq, pos, 1) AS ref, (pos - 11) // 50 AS k, pos - 10 - (pos - 11) // 50 * 50 AS off FROM (SELECT *, unnest(range(5, length(seq) + 1, 17)) AS pos FROM m) x), a AS (SELECT *, (pos - 5) // 17 % 3 = 1 AS ins, CASE WHEN (pos - 5) // 17 % 3 = 1 THEN ref || 'A' ELSE translate(ref, 'ACGT', 'CGTA') END AS alt,
-  CASE WHEN pos >= 11 AND off <= 30 AND k < exons THEN CASE WHEN minus THEN 30 * exons - (30 * k + off) + 1 ELSE 30 * k + off END END AS cp FROM v)"""
+def _variants(v):
+    """A variant every 17 bases from 5 on, of five kinds in turn; those with equal last bases are left out."""
+    s = v.seqs.select(F.col("id").alias("seqid"), "seq", F.explode(F.sequence(F.lit(5).cast("long"), F.greatest(F.length("seq"), F.lit(5)).cast("long"), F.lit(17).cast("long"))).alias("pos")).where("pos <= length(seq)")
+    i = ((F.col("pos") - 5) / 17).cast("int") % 5
+    wide = F.element_at(F.array(*(F.lit(w) for w in WIDE)), i + 1)
+    s = s.select("seqid", "pos", i.alias("i"), F.substr("seq", F.col("pos").cast("int"), wide).alias("ref"))
+    turned = F.translate("ref", "ACGT", "CGTA")
+    alt = F.when(F.col("i") == 1, F.concat("ref", F.lit("A"))).when(F.col("i") == 2, F.left("ref", F.lit(1))).when(F.col("i") == 4, F.left(turned, F.lit(2))).otherwise(turned)
+    return s.withColumn("alt", alt).where("ref <> alt AND (i <> 4 OR right(ref, 1) <> right(alt, 1))").drop("i")
 
 
-@query("variant_effects", f"""WITH {CDS}, b AS (SELECT *, cp IS NOT NULL AND NOT ins AS sub, pos BETWEEN 11 AND 50 * exons - 10 AS within, substr(cds, CAST((cp - 1) // 3 * 3 + 1 AS BIGINT), 3) AS old, CASE WHEN minus THEN translate(alt, 'ACGT', 'TGCA') ELSE alt END AS al FROM a),
-c AS (SELECT *, substr(old, 1, CAST((cp - 1) % 3 AS BIGINT)) || al || substr(old, CAST((cp - 1) % 3 + 2 AS BIGINT)) AS new FROM b)
-SELECT seqid, CAST(pos AS BIGINT) AS pos, ref, alt, CASE WHEN within THEN gene END AS gene, CASE WHEN NOT within THEN 'intergenic' WHEN cp IS NULL THEN 'intron' WHEN NOT sub THEN 'frameshift' WHEN {CODE}[old] = {CODE}[new] THEN 'synonymous' WHEN {CODE}[new] = '*' THEN 'nonsense' ELSE 'missense' END AS class,
-  CAST(cp AS BIGINT) AS cds_pos, CASE WHEN sub THEN old END AS old, CASE WHEN sub THEN new END AS new, CASE WHEN sub THEN {CODE}[old] END AS old_aa, CASE WHEN sub THEN {CODE}[new] END AS new_aa FROM c""")
+#: coding sequences; then, base by base, which coding base each base of ref is and what takes its place there
+CDS = """m0 AS (SELECT id AS seqid, 'G' || id AS gene, id % 2 = 1 AS minus, seq, CASE WHEN length(seq) >= 40 THEN (length(seq) - 40) // 50 + 1 ELSE 0 END AS exons FROM seqs),
+m1 AS (SELECT *, array_to_string(list_transform(range(0, exons), lambda k: substr(seq, k * 50 + 11, 30)), '') AS plus FROM m0), m AS (SELECT *, CASE WHEN minus THEN reverse(translate(plus, 'ACGT', 'TGCA')) ELSE plus END AS cds FROM m1)"""
+EFFECTS = """v0 AS (SELECT *, (pos - 5) // 17 % 5 AS i FROM (SELECT *, unnest(range(5, length(seq) + 1, 17)) AS pos FROM m) x),
+v1 AS (SELECT *, substr(seq, pos, [1, 1, 14, 2, 4][i + 1]) AS ref FROM v0), v2 AS (SELECT *, CASE i WHEN 1 THEN ref || 'A' WHEN 2 THEN ref[1] WHEN 4 THEN translate(ref, 'ACGT', 'CGTA')[1:2] ELSE translate(ref, 'ACGT', 'CGTA') END AS alt FROM v1),
+v AS (SELECT * FROM v2 WHERE ref <> alt AND (i <> 4 OR right(ref, 1) <> right(alt, 1))),
+b0 AS (SELECT seqid, pos, unnest(range(length(ref))) AS j, exons, minus, ref, alt, i FROM v),
+b1 AS (SELECT *, pos + j AS g, least(length(ref), length(alt)) AS same FROM b0 WHERE i <> 2 OR j > 0),
+b2 AS (SELECT *, (g - 11) // 50 AS k, g - 10 - (g - 11) // 50 * 50 AS off, CASE WHEN j < same THEN alt[j + 1] ELSE '' END || CASE WHEN j = same - 1 THEN substr(alt, same + 1) ELSE '' END AS put FROM b1),
+b3 AS (SELECT *, CASE WHEN minus THEN 30 * exons - (30 * k + off) + 1 ELSE 30 * k + off END AS c FROM b2 WHERE g >= 11 AND off <= 30 AND k < exons),
+e AS (SELECT seqid, pos, CAST(min(c) AS BIGINT) AS c1, CAST(max(c) AS BIGINT) AS c2, count(*) AS covered, CASE WHEN minus THEN reverse(translate(string_agg(put, '' ORDER BY g), 'ACGT', 'TGCA')) ELSE string_agg(put, '' ORDER BY g) END AS put FROM b3 GROUP BY seqid, pos, minus),
+f0 AS (SELECT v.seqid, v.pos, v.ref, v.alt, v.i, gene, cds, pos + CASE WHEN i = 2 THEN 1 ELSE 0 END <= 50 * exons - 10 AND pos + length(ref) - 1 >= 11 AS within, c1, c2, covered, put, (c1 - 1) // 3 * 3 AS w0, (c2 + 2) // 3 * 3 AS w1 FROM v LEFT JOIN e USING (seqid, pos)),
+f1 AS (SELECT *, (length(put) - (c2 - c1 + 1)) % 3 <> 0 AS shift, substr(cds, w0 + 1, w1 - w0) AS old, substr(cds, w0 + 1, c1 - 1 - w0) || put AS head FROM f0),
+f2 AS (SELECT *, head || substr(cds, c2 + 1, CASE WHEN shift THEN length(cds) ELSE w1 - c2 END) AS new FROM f1)"""
+PEPTIDE = f"array_to_string(list_transform(range(0, length({{0}}) // 3), lambda q: coalesce({CODE}[substr({{0}}, q * 3 + 1, 3)], 'X')), '')".format
+
+
+@query("variant_effects", f"""WITH {CDS}, {EFFECTS}, f3 AS (SELECT *, {PEPTIDE("old")} AS old_aa, {PEPTIDE("new")} AS na FROM f2),
+f4 AS (SELECT *, CASE WHEN shift AND strpos(na, '*') > 0 THEN substr(na, 1, strpos(na, '*')) ELSE na END AS new_aa FROM f3),
+f5 AS (SELECT *, strpos(new_aa, '*') AS at_, strpos(new_aa, '*') > 0 AND (strpos(old_aa, '*') = 0 OR strpos(new_aa, '*') < strpos(old_aa, '*')) AS gain FROM f4)
+SELECT seqid, CAST(pos AS BIGINT) AS pos, ref, alt, CASE WHEN within THEN gene END AS gene,
+  CASE WHEN NOT within THEN 'intergenic' WHEN c1 IS NULL THEN 'intron' WHEN shift THEN 'frameshift' WHEN old_aa = new_aa THEN 'synonymous' WHEN gain THEN 'nonsense' WHEN length(old) = length(new) THEN 'missense' ELSE 'inframe_indel' END AS class,
+  c1 AS cds_pos, CASE WHEN within THEN old END AS old, CASE WHEN within AND NOT shift THEN new END AS new, CASE WHEN within THEN old_aa END AS old_aa, CASE WHEN within THEN new_aa END AS new_aa,
+  CASE WHEN c1 IS NOT NULL THEN covered < CASE i WHEN 2 THEN length(ref) - 1 ELSE length(ref) END END AS crosses, CAST(CASE WHEN (shift AND at_ > 0) OR gain THEN w0 // 3 + at_ END AS BIGINT) AS stop_at FROM f5""")
 def variant_effects(v):
     models, genome = _models(v)
     return V.variant_effects(_variants(v), models, genome, 200, 1000)
