@@ -3,8 +3,9 @@
 Every text node has a path of tags from the root. A page's nodes are grouped by
 path: length of text and punctuation per block, and share of link text. These ratios are
 smoothed along the page, fused with what the tags themselves say (an article, an
-advert), and paths above a threshold are the content. As a path is kept or
-dropped whole, a short paragraph stands or falls with the long ones like it.
+advert), and paths above a threshold are the content. Headings, lists, tables and
+quotations stand or fall with the container that they are in, by the mean ratio of all
+paths in it: a short heading or list item is content where the paragraphs around it are.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ BLOCKED = frozenset("head nav footer aside form button menu dialog fieldset".spl
 SIGNS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal newsletter subscribe "
     "subscription nav navbar navigation menu breadcrumb breadcrumbs sidebar rail widget widgets footer header masthead toolbar share sharing social related recommended "
-    "comment comments disqus reply replies respond login signup search pagination pager complementary contentinfo skip".split()
+    "comment comments discussion discuss disqus feedback guestbook reply replies respond responses login signup search pagination pager complementary contentinfo skip".split()
 )
 #: words that begin a sign, as in commentlist
 STEMS = ("comment", "advert", "sponsor", "breadcrumb", "newsletter", "cookie", "sidebar", "navbar")
@@ -50,9 +51,15 @@ FRAME = frozenset(
 #: signs that don't count inside an article, where they frame its title
 TITLES = frozenset("header masthead".split())
 CONTAINER = frozenset("article main".split())
+#: tags that are decided with the element around them
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header ul ol li dl dt dd table caption thead tbody tfoot tr th td blockquote pre figure figcaption address details summary".split())
+#: attributes of elements that are not shown
+UNSEEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 #: an open tag that a new one ends
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "option": {"option"}}
 PARAGRAPH = frozenset(["p"])
+#: of the page's mean score that a container must reach
+SHARE = 0.5
 SCOPES = frozenset("ul ol dl table div article section main body blockquote".split())
 
 
@@ -64,9 +71,9 @@ def is_sign(name: str, inside: bool) -> bool:
 
 
 class Node:
-    """An open element: its path, whether it hides text, has a sign against it, holds an article."""
+    """An open element: its path and that of its container, whether it hides text, has a sign against it, holds an article."""
 
-    __slots__ = ("tag", "path", "hidden", "signed", "inside")
+    __slots__ = ("tag", "path", "home", "hidden", "signed", "inside")
 
     def __init__(self, tag: str, attributes: str, above: Node | None, paths: dict[tuple[int, str], int]):
         self.tag, names, roles = tag, [], ""
@@ -80,10 +87,11 @@ class Node:
         signed = any(is_sign(x, up_inside) for x in names)
         self.signed = up_signed or signed and tag not in ("html", "body") and not own
         # the header of an article has its title; that of a page is not content
-        self.hidden = up_hidden or tag in BLOCKED or tag == "header" and not up_inside
+        self.hidden = up_hidden or tag in BLOCKED or tag == "header" and not up_inside or bool(attributes and UNSEEN.search(attributes))
         self.inside = (up_inside or own) and not self.hidden and not self.signed
         # paths are numbered, as they can be as long as a page
         self.path = above.path if above and tag in INLINE else paths.setdefault((above.path if above else 0, tag), len(paths) + 1)
+        self.home = above.home if above and (tag in INLINE or tag in LEAF) else self.path
 
 
 def tokens(page: str):
@@ -138,7 +146,8 @@ def tokens(page: str):
 
 def text_nodes(page: str):
     """(path, block number, text, under a link) for each shown text node, in page order. A path is the number of
-    its block-level tags from the root, whether they are inside an article and whether there is a sign against them."""
+    its block-level tags from the root, whether they are inside an article, whether there is a sign against them, and the
+    number of its container's path."""
     paths: dict[tuple[int, str], int] = {}
     stack = [Node("html", "", None, paths)]
     open_ = Counter()
@@ -146,7 +155,7 @@ def text_nodes(page: str):
 
     def spoken(text: str):
         top = stack[-1]
-        return ((top.path, top.inside, top.signed), block, html.unescape(text), link > 0) if text and not top.hidden else None
+        return ((top.path, top.inside, top.signed, top.home), block, html.unescape(text), link > 0) if text and not top.hidden else None
 
     def close(depth: int):
         nonlocal link
@@ -200,12 +209,9 @@ def text_nodes(page: str):
         yield found
 
 
-def content_paths(nodes: list, share: float = 0.35, inside: float = 256.0, outside: float = 0.375, signed: float = 0.125) -> set[tuple]:
-    """The paths that carry content. A path's ratios are its text length and its punctuation per
-    block; they are smoothed over the neighbouring blocks, and fused as their geometric mean less
-    the share of link text. Times the weights of what the tags say (``inside`` an article,
-    ``outside`` of it on a page that has one, where only a path at the mean passes, ``signed`` by a class or role), it must reach
-    ``share`` of the length-weighted mean over the page."""
+def path_scores(nodes: list) -> tuple[dict[tuple, float], dict[tuple, float], dict[tuple, float]]:
+    """Of each path its score, its length and the share of it under links. A path's ratios are its text length and its
+    punctuation per block; they are smoothed over the neighbouring blocks, and fused as their geometric mean."""
     length, linked, marks = defaultdict(float), defaultdict(float), defaultdict(float)
     blocks: dict[tuple, None] = {}
     for path, block, text, link in nodes:
@@ -216,8 +222,6 @@ def content_paths(nodes: list, share: float = 0.35, inside: float = 256.0, outsi
             marks[path] += len(PUNCTUATION.findall(text))
             linked[path] += size * link
     rows = [path for _, path in blocks]
-    if not rows:
-        return set()
     count = Counter(rows)
     ratio = [(length[p] / count[p], marks[p] / count[p]) for p in rows]
     kernel = [math.exp(-d * d / 2) for d in range(-2, 3)]
@@ -228,12 +232,30 @@ def content_paths(nodes: list, share: float = 0.35, inside: float = 256.0, outsi
         a, b = (sum(k * r[x] for k, r in near) / total for x in (0, 1))
         own = ratio[i]
         smooth[path] += math.sqrt((a + own[0]) * (b + own[1] + 0.1)) / 2
-    # links are no reason against a path of an article alone
-    score = {p: smooth[p] / count[p] * (1 - linked[p] / length[p] * (0.75 if p[1] else 1)) for p in smooth}
-    bar = share * sum(score[p] * length[p] for p in score) / sum(length.values())
-    article = any(p[1] for p in score)
+    return {p: smooth[p] / count[p] for p in smooth}, length, {p: linked[p] / length[p] for p in smooth}
+
+
+def content_paths(nodes: list, share: float = SHARE, inside: float = 4.0, outside: float = 0.375, signed: float = 0.125, most_linked: float = 0.75, least: float = 0.02) -> set[tuple]:
+    """The paths that carry content: those of containers whose mean score, by length and less the share of link text, times the
+    weights of what the tags say (``inside`` an article, ``outside`` of one that has ``least`` of the text without a sign, ``signed``
+    by a class or role) reaches ``share`` of the mean over the page's paths without a sign. Paths of links (over ``most_linked`` of the
+    text), menus and lists of further reading, are no part of their container and count by themselves."""
+    score, length, linked = path_scores(nodes)
+    if not score:
+        return set()
+    menus = {p for p in score if linked[p] > most_linked}
+    value = {p: score[p] * (1 - linked[p]) for p in score}
+    plain = [p for p in score if not p[2]] or list(score)
+    article = sum(length[p] for p in score if p[1]) >= least * sum(length[p] for p in plain)  # a card is no article
     weight = {p: (inside if p[1] else outside if article else 1.0) * (signed if p[2] else 1.0) for p in score}
-    return {p for p in score if score[p] > 0 and score[p] * weight[p] >= bar}
+    bar = share * sum(value[p] * length[p] for p in plain) / sum(length[p] for p in plain)
+    totals: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for p in score:
+        part = totals[p if p in menus else p[1:]]
+        part[0] += value[p] * length[p]
+        part[1] += length[p]
+    mean = {k: a / b for k, (a, b) in totals.items()}
+    return {p for p in score if (v := mean[p if p in menus else p[1:]]) > 0 and v * weight[p] >= bar}
 
 
 def main_text(page: str) -> str:

@@ -233,30 +233,63 @@ def test_megabyte_of_markup_takes_seconds(unit):
     assert time.time() - begin < 20
 
 
+def plain_paths(nodes, inside=4.0, outside=0.375, signed=0.125):
+    """The paths that a plain version of ratios, containers and weights keeps."""
+    shown = [(path, block, text, link) for path, block, text, link in nodes if text.strip()]
+    order = list(dict.fromkeys((block, path) for path, block, _, _ in shown))
+    total = lambda path, value: sum(value(t, k) for p, _, t, k in shown if p == path)
+    paths = {p for _, p in order}
+    n = {p: sum(q == p for _, q in order) for p in paths}
+    size = {p: total(p, lambda t, k: len(t.strip())) for p in paths}
+    links = {p: total(p, lambda t, k: len(t.strip()) * k) / size[p] for p in paths}
+    marks = {p: total(p, lambda t, k: sum(c in ".,;:!?…。，、！？" for c in t)) for p in paths}
+    score = defaultdict(float)
+    for i, (_, p) in enumerate(order):
+        near = [(math.exp(-((i - j) ** 2) / 2), order[j][1]) for j in range(len(order)) if abs(i - j) <= 2]
+        weight = sum(w for w, _ in near)
+        a, b = (sum(w * v[q] / n[q] for w, q in near) / weight for v in (size, marks))
+        score[p] += math.sqrt((a + size[p] / n[p]) * (b + marks[p] / n[p] + 0.1)) / 2 / n[p]
+    value = {p: score[p] * (1 - links[p]) for p in paths}
+    mean = lambda some: sum(value[p] * size[p] for p in some) / sum(size[p] for p in some)
+    plain = [p for p in paths if not p[2]] or paths
+    article = sum(size[p] for p in paths if p[1]) >= 0.02 * sum(size[p] for p in plain)
+    keep = set()
+    for p in paths:
+        home = [p] if links[p] > 0.75 else [q for q in paths if q[1:] == p[1:] and links[q] <= 0.75]
+        tags = (inside if p[1] else outside if article else 1) * (signed if p[2] else 1)
+        if mean(home) > 0 and mean(home) * tags >= 0.5 * mean(plain) * (1 - 1e-12):
+            keep.add(p)
+    return keep
+
+
 def test_content_paths_brute(spark):
-    """The kept paths of every page against a plain version of the ratios; every page is decided by them."""
-    decided = 0
+    """The kept paths of every page against a plain version, and how many pages the ratios alone get right: with all weights
+    1 they find the article and nothing else on at least three pages of four (on 2,112 of the 2,500 of sf0.1)."""
+    alone = n = 0
     for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
         nodes = list(html_paths.text_nodes(r.html))
-        shown = [(path, block, text, link) for path, block, text, link in nodes if text.strip()]
-        order = list(dict.fromkeys((block, path) for path, block, _, _ in shown))
-        total = lambda path, value: sum(value(t, k) for p, _, t, k in shown if p == path)
-        paths = {p for _, p in order}
-        n = {p: sum(q == p for _, q in order) for p in paths}
-        size = {p: total(p, lambda t, k: len(t.strip())) for p in paths}
-        links = {p: total(p, lambda t, k: len(t.strip()) * k) for p in paths}
-        marks = {p: total(p, lambda t, k: sum(c in ".,;:!?…。，、！？" for c in t)) for p in paths}
-        score = defaultdict(float)
-        for i, (_, p) in enumerate(order):
-            near = [(math.exp(-((i - j) ** 2) / 2), order[j][1]) for j in range(len(order)) if abs(i - j) <= 2]
-            weight = sum(w for w, _ in near)
-            a, b = (sum(w * v[q] / n[q] for w, q in near) / weight for v in (size, marks))
-            score[p] += math.sqrt((a + size[p] / n[p]) * (b + marks[p] / n[p] + 0.1)) / 2 / n[p]
-        for p in paths:
-            score[p] *= 1 - links[p] / size[p] * (0.75 if p[1] else 1)
-        bar = 0.35 * sum(score[p] * size[p] for p in paths) / max(1, sum(size.values()))
-        outside = 0.375 if any(p[1] for p in paths) else 1
-        keep = {p for p in paths if score[p] > 0 and score[p] * (256 if p[1] else outside) * (0.125 if p[2] else 1) >= bar * (1 - 1e-12)}
-        assert html_paths.content_paths(nodes) == keep
-        decided += bool(paths)
-    assert decided == 250
+        kept = html_paths.content_paths(nodes)
+        assert kept == plain_paths(nodes)
+        bare = html_paths.content_paths(nodes, inside=1.0, outside=1.0, signed=1.0)
+        assert bare == plain_paths(nodes, 1.0, 1.0, 1.0)
+        article = {p for p, _, text, _ in nodes if p[1] and text.strip()}
+        assert kept == article
+        alone += bare == article
+        n += 1
+    assert n == 250 and alone >= 0.75 * n
+
+
+WHOLE = {
+    f"<body><div><h1>Title here</h1><p>{LONG}</p><ul><li>first step<li>second step</ul><h2>Sub</h2><p>{LONG}</p><blockquote>Short quote</blockquote><table><tr><td>a<td>b</table></div><div class=sidebar><p>{LONG}</p></div></body>": f"Title here\n{LONG.strip()}\nfirst step\nsecond step\nSub\n{LONG.strip()}\nShort quote\na\nb",
+    f"<article><h1>T</h1><p>{LONG}</p><div id=discussion><p>{LONG}</p></div></article>": f"T\n{LONG.strip()}",
+    f"<article><h1>T</h1><p>{LONG}</p><ul class='read-next'><li><a href=x>Other story</a><li><a href=y>And one more</a></ul></article>": f"T\n{LONG.strip()}",
+    f"<article><p>{LONG}</p><p hidden>x</p><div style='display: none'><p>{LONG}</p></div><p aria-hidden=\"true\">y</p><p data-x=hidden>shown</p></article>": f"{LONG.strip()}\nshown",
+    f"<article><h1>T</h1><p>Short.</p></article><div class=ad>{LONG}</div>": "T\nShort.",
+    f"<article><header><h1>T</h1></header><p>{LONG}</p></article>": f"T\n{LONG.strip()}",
+    f"<body><div>Site name</div><div class=content><div>{LONG}</div><div>One more.</div></div></body>": f"{LONG.strip()}\nOne more.",
+}
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_containers_stay_whole(page):
+    assert html_paths.main_text(page) == WHOLE[page]
