@@ -8,11 +8,13 @@ Where the graph doesn't say otherwise turns keep their order. DataFrame function
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.llm._base import stored, table
+from loomspan.llm._base import dropped, stored, table
 
 MESSAGES = "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string>>, call_id string"
 KINDS = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID$"}
@@ -30,8 +32,9 @@ def _problems(schema: dict, args: Column, value: Column) -> list[Column]:
         if "type" in rule:
             out.append(F.when(here.isNotNull() & ~F.schema_of_variant(here).rlike(KINDS[rule["type"]]), F.lit(f"{name}: not {rule['type']}")))
         text, number = F.try_variant_get(value, path, "string"), F.try_variant_get(value, path, "double")
-        if "enum" in rule:
-            out.append(F.when(here.isNotNull() & ~F.coalesce(text, F.lit("")).isin(*map(str, rule["enum"])), F.lit(f"{name}: not in enum")))
+        if "enum" in rule:  # by value: true is not "true", and 1 is 1.0
+            allowed = [_plain_numbers(F.to_json(F.parse_json(F.lit(json.dumps(x))))) for x in rule["enum"]]
+            out.append(F.when(here.isNotNull() & ~_plain_numbers(F.to_json(here)).isin(*allowed), F.lit(f"{name}: not in enum")))
         for key, bad in (
             ("minLength", lambda x: F.length(text) < x), ("maxLength", lambda x: F.length(text) > x),
             ("minimum", lambda x: number < x), ("maximum", lambda x: number > x),
@@ -55,10 +58,26 @@ def argument_errors(name: Column, args: Column, tools: dict[str, dict]) -> Colum
     return out
 
 
+#: strings, numbers, and what is between them
+TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
+
+
+def _plain_numbers(text: Column) -> Column:
+    """JSON text with one text for each number: whole ones below 10 ** 15 without point or exponent, others without zeros at their end."""
+
+    def plain(t: Column) -> Column:
+        value = t.try_cast("double")
+        whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+        fraction = F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+(?=$|E)", "$1"), r"\.(?=$|E)", "")
+        return F.when(~t.rlike(r"^-?[0-9]+[.eE]"), t).when(whole, value.cast("long").cast("string")).otherwise(fraction)
+
+    return F.when(text.rlike("[0-9][.eE]"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), plain), "")).otherwise(text)
+
+
 def canonical(args: Column) -> Column:
-    """JSON text with sorted keys and no white space; text that is no JSON as a JSON string."""
+    """JSON text with sorted keys, no white space and one text for each number; text that is no JSON as a JSON string."""
     quoted = F.to_json(F.struct(args.alias("x")))
-    return F.coalesce(F.to_json(F.try_parse_json(args)), F.when(args.isNotNull(), F.substr(quoted, F.lit(6), F.length(quoted) - 6)))
+    return F.coalesce(_plain_numbers(F.to_json(F.try_parse_json(args))), F.when(args.isNotNull(), F.substr(quoted, F.lit(6), F.length(quoted) - 6)))
 
 
 def references(args: Column) -> Column:
@@ -85,13 +104,16 @@ def peeled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         reached = open_.join(done, ["k", "a"]).select("k", F.col("b").alias("node"), "anchor")
         reached = reached if waiting is None else reached.unionByName(waiting)
         reached = reached.groupBy("k", "node").agg(F.max("anchor").alias("anchor"))
-        open_ = stored(open_.join(done.select("k", "a"), ["k", "a"], "left_anti"), "edges")
+        past, open_ = open_, stored(open_.join(done.select("k", "a"), ["k", "a"], "left_anti"), "edges")
         left = names("b").hint("shuffle_hash")
         level += 1
         now = stored(reached.join(left, ["k", "node"], "left_anti").select("k", "node", F.lit(level).alias("level"), F.greatest("anchor", at("node")).alias("anchor")), "level")
+        before, waiting = waiting, stored(reached.join(left, ["k", "node"], "left_semi"), "waiting")
+        for old in (past, before):
+            if old is not None:
+                dropped(open_.sparkSession, old)
         if now.isEmpty():
             break
-        waiting = stored(reached.join(left, ["k", "node"], "left_semi"), "waiting")
         levels = levels.unionByName(now)
     return levels, open_.select("k", F.col("b").alias("node")).distinct()
 
@@ -130,14 +152,27 @@ def linked(messages: DataFrame, tools: dict[str, dict], block: int = 64) -> Data
     node = lambda turn, pos, result: F.struct(turn.alias("turn"), pos.alias("pos"), result.alias("result"))
     own, given = node(F.col("turn"), F.col("pos"), F.lit(False)), node(F.col("call.turn"), F.col("call.pos"), F.lit(True))
 
-    uses = calls.select("k", own.alias("b"), F.explode(references(F.col("arguments"))).alias("call_id")).join(both, ["k", "call_id"], "left")
+    # calls that use results, and what these wait for, are peeled; other calls wait for nothing, and their results for them
+    may = F.col("arguments").contains('"$result"') | F.col("arguments").contains("\\u")
+    uses = calls.where(may).select("k", own.alias("b"), F.explode(references(F.col("arguments"))).alias("call_id")).join(both, ["k", "call_id"], "left")
     uses = stored(uses.select("k", "b", "call_id", F.when(F.col("call").isNotNull() & F.col("result").isNotNull(), given).alias("a")), "uses")
-    answers = both.where("call IS NOT NULL AND result IS NOT NULL").select("k", node(F.col("call.turn"), F.col("call.pos"), F.lit(False)).alias("a"), given.alias("b"))
-    levels, stuck = peeled(answers.unionByName(uses.where("a IS NOT NULL").select("k", "a", "b")))
-    unknown = uses.where("a IS NULL").groupBy("k", "b").agg(F.array_sort(F.collect_set("call_id")).alias("unknown"))  # of one call
-    # what is known of a node; calls and results without edges have nothing here
-    notes = levels.select("k", "node", "level", "anchor", F.lit(False).alias("stuck")).unionByName(stuck.select("k", "node", F.lit(True).alias("stuck")), allowMissingColumns=True)
-    notes = notes.join(unknown.withColumnRenamed("b", "node"), ["k", "node"], "full").hint("shuffle_hash")
+    notes = None
+    if not uses.isEmpty():
+        source = node(F.col("a")["turn"], F.col("a")["pos"], F.lit(False))
+        touched = uses.select("k", F.col("b").alias("a")).union(uses.where("a IS NOT NULL").select("k", source.alias("a"))).distinct()
+        answers = both.where("call IS NOT NULL AND result IS NOT NULL").select("k", node(F.col("call.turn"), F.col("call.pos"), F.lit(False)).alias("a"), given.alias("b"))
+        answers = answers.join(touched.hint("shuffle_hash"), ["k", "a"], "left_semi")
+        levels, stuck = peeled(answers.unionByName(uses.where("a IS NOT NULL").select("k", "a", "b")))
+        unknown = uses.where("a IS NULL").groupBy("k", "b").agg(F.array_sort(F.collect_set("call_id")).alias("unknown"))  # of one call
+        # what is known of a node; calls and results without edges have nothing here
+        notes = levels.select("k", "node", "level", "anchor", F.lit(False).alias("stuck")).unionByName(stuck.select("k", "node", F.lit(True).alias("stuck")), allowMissingColumns=True)
+        notes = notes.join(unknown.withColumnRenamed("b", "node"), ["k", "node"], "full").hint("shuffle_hash")
+    nothing = {"level": "int", "anchor": "struct<turn:bigint,pos:bigint>", "stuck": "boolean", "unknown": "array<string>"}
+
+    def noted(df: DataFrame) -> DataFrame:
+        if notes is None:
+            return df.withColumns({name: F.lit(None).cast(kind) for name, kind in nothing.items()})
+        return df.join(notes, (df.k.eqNullSafe(notes.k)) & df.node.eqNullSafe(notes.node), "left").drop(notes.k).drop(notes.node)
 
     def place(turn: Column, pos: Column) -> Column:
         """The key of the order: where the graph puts the row, its round there, and its place in the log."""
@@ -151,7 +186,6 @@ def linked(messages: DataFrame, tools: dict[str, dict], block: int = 64) -> Data
         F.when(F.coalesce("stuck", F.lit(False)), F.array(F.lit("cycle of results"))).otherwise(F.array().cast("array<string>")),
     )
     on = lambda df: df.join(both, ["k", "call_id"], "left")
-    noted = lambda df: df.join(notes, (df.k.eqNullSafe(notes.k)) & df.node.eqNullSafe(notes.node), "left").drop(notes.k).drop(notes.node)
     call_rows = noted(on(calls).withColumn("node", own)).select(
         "conv_id", "turn", F.lit("call").alias("kind"), "call_id",
         F.when(repeated, "duplicate").when(F.col("result").isNotNull(), "answered").otherwise("unanswered").alias("status"),

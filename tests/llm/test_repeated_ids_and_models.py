@@ -1,5 +1,6 @@
 """Ids that repeat with different texts or vectors, and two models in one worker."""
 
+import json
 import logging
 import signal
 from contextlib import contextmanager
@@ -7,7 +8,9 @@ from contextlib import contextmanager
 import numpy as np
 import pytest
 
-from loomspan.llm import embeddings, minhash, sentencepiece
+from pyspark.sql import functions as F
+
+from loomspan.llm import embeddings, minhash, sentencepiece, toolcalls
 
 
 @contextmanager
@@ -85,3 +88,27 @@ def test_two_models_in_one_worker():
             for _ in range(2):
                 for m, v in order:
                     assert {k: ids(v, t) for k, t in texts.items()} == {k: fresh[m, k] for k in texts}
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ('{"b":1.0,"a":1e2,"c":[1.50,-0.0,10000000,1e7,1e30,0.1,12345678901234567890]}', '{"a":100,"b":1,"c":[1.5,0,10000000,10000000,1E30,0.1,12345678901234567890]}'),
+        ('{"x":"a 1.0 \\" 2.50","y":1.0}', '{"x":"a 1.0 \\" 2.50","y":1}'), ("3.0", "3"), ('[true,"1"]', '[true,"1"]'), ("no 1.0", '"no 1.0"'),
+    ],
+)
+def test_equal_numbers_have_one_text(spark, text, expected):
+    assert spark.createDataFrame([(text,)], "a string").select(toolcalls.canonical(F.col("a"))).first()[0] == expected
+
+
+def test_long_texts_with_numbers_are_canonical(spark):
+    text = json.dumps({"t": '\n"3.50' * 100_000, "n": 2.0})
+    got = spark.createDataFrame([(text,)], "a string").select(toolcalls.canonical(F.col("a"))).first()[0]
+    assert json.loads(got) == json.loads(text) and got.startswith('{"n":2,')
+
+
+def test_enum_compares_values(spark):
+    tools = {"t": {"properties": {"v": {"enum": [True, "1", 2, "x", 1.5]}}}}
+    rows = {'{"v":true}': True, '{"v":1}': False, '{"v":"1"}': True, '{"v":2.0}': True, '{"v":"true"}': False, '{"v":"2"}': False, '{"v":1.50}': True, "{}": True}
+    got = spark.createDataFrame([(x,) for x in rows], "a string").select("a", toolcalls.argument_errors(F.lit("t"), F.col("a"), tools).alias("e")).collect()
+    assert {r.a: not r.e for r in got} == rows
