@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,12 +127,35 @@ def aln_stats(aln: DataFrame, ref: str, other: str) -> DataFrame:
     return g.select("block", "length", "ungapped", F.try_divide(F.col("same").cast("double"), F.col("n")).alias("identity"), F.when((x > 0) & (y > 0), -0.5 * F.ln(x) - 0.25 * F.ln(y)).alias("k80"))
 
 
+def average_identity(aln: DataFrame) -> DataFrame:
+    """Per block, the share of equal bases among all pairs of rows in all columns, gaps left out; null without a pair."""
+    n = columns(aln).where("base <> '-'").groupBy("block", "col", "base").agg(F.count(F.lit(1)).alias("n"))
+    c = n.groupBy("block", "col").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("same"), F.sum("n").alias("n"))
+    c = c.groupBy("block").agg(F.sum("same").alias("same"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"))
+    return aln.select("block").distinct().join(c, "block", "left").select("block", F.try_divide(F.col("same").cast("double"), F.col("pairs")).alias("average"))
+
+
+def aln_stats_by_row(aln: DataFrame, ref: str, others: list[str]) -> DataFrame:
+    """``aln_stats`` of the reference and each of several rows (other), with the average identity over all rows of the block."""
+    each = reduce(DataFrame.unionByName, (aln_stats(aln, ref, o).withColumn("other", F.lit(o)) for o in others))
+    return each.join(average_identity(aln), "block")
+
+
 def column_rates(states: DataFrame) -> DataFrame:
-    """Posterior-weighted rate of each column, sum of state * 2 ^ lg_post (block, col, state, lg_post), and that as
-    a share of the block's largest."""
-    r = states.groupBy("block", "col").agg(F.sum(F.col("state") * F.pow(F.lit(2.0), F.col("lg_post"))).alias("rate"))
-    top = r.groupBy("block").agg(F.max("rate").alias("top"))
-    return r.join(top, "block").select("block", "col", "rate", F.try_divide("rate", "top").alias("scaled"))
+    """Posterior-weighted rate of each column, sum of state * 2 ^ lg_post over the block's largest state (block, col, state,
+    lg_post), that as a share of the block's largest rate, and the largest state."""
+    top = states.groupBy("block").agg(F.max("state").alias("states"))
+    r = states.groupBy("block", "col").agg(F.sum(F.col("state") * F.pow(F.lit(2.0), F.col("lg_post"))).alias("rate")).join(top, "block").withColumn("rate", F.try_divide("rate", "states"))
+    return r.join(r.groupBy("block").agg(F.max("rate").alias("top")), "block").select("block", "col", "rate", F.try_divide("rate", "top").alias("scaled"), "states")
+
+
+def rate_score(kind: int = 0, rate: Column | str = "scaled", states: Column | str = "states") -> Column:
+    """One of five scores of a scaled rate: 0 the rate, 1 its complement, 2 what it exceeds the lowest state's rate by, 3 that
+    scaled to reach 1, 4 the complement of that."""
+    r, n = (F.col(x) if isinstance(x, str) else x for x in (rate, states))
+    above = r - F.lit(1.0) / n
+    full = above * F.try_divide(n.cast("double"), n - 1)
+    return [r, 1 - r, above, full, 1 - full][kind]
 
 
 def concat_alignments(aln: DataFrame, expected: list[str], tile: Column | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -58,20 +60,35 @@ def to_gtf_training(cds: DataFrame, transcript: str = "parent") -> DataFrame:
 
 
 def gene_models(rows: DataFrame) -> DataFrame:
-    """Gene, mRNA, exon, CDS and UTR rows of exon and CDS rows (gene, transcript, seqid, type, start, stop, strand).
-
-    A gene spans its transcripts, an mRNA its exons and CDS; a UTR is what an exon has outside
-    its transcript's coding range, five_prime before it along the strand and three_prime after it."""
-    parts = rows.where(F.col("type").isin("exon", "CDS")).select("gene", "transcript", "seqid", "strand", "type", "start", "stop")
+    """Gene, mRNA, exon, CDS and UTR rows of exon and CDS rows (gene, transcript, seqid, type, start, stop, strand), and
+    of start_codon and stop_codon rows where there are any.
+
+    Translation begins with the start codon and ends with the stop codon, or with the CDS where a codon lacks. A
+    transcript with codons has its CDS cut to that range and the codons' bases added to it; a codon may be split over
+    exons. A gene spans its transcripts, an mRNA its exons and CDS as they came; a UTR is what an exon has outside the
+    translated range, five_prime before it along the strand and three_prime after it. A transcript without CDS has neither."""
+    own = ["transcript", "seqid", "strand"]
+    parts = rows.where(F.col("type").isin("exon", "CDS")).select("gene", *own, "type", "start", "stop")
     span = [F.min("start").alias("start"), F.max("stop").alias("stop")]
     genes = parts.groupBy("gene", "seqid", "strand").agg(*span).select("gene", F.lit(None).cast("string").alias("transcript"), "seqid", "strand", F.lit("gene").alias("type"), "start", "stop")
-    mrnas = parts.groupBy("gene", "transcript", "seqid", "strand").agg(*span).select("gene", "transcript", "seqid", "strand", F.lit("mRNA").alias("type"), "start", "stop")
-    coding = parts.where("type = 'CDS'").groupBy("transcript", "seqid", "strand").agg(F.min("start").alias("c_from"), F.max("stop").alias("c_to"))
-    e = parts.where("type = 'exon'").join(coding, ["transcript", "seqid", "strand"])
+    mrnas = parts.groupBy("gene", *own).agg(*span).select("gene", *own, F.lit("mRNA").alias("type"), "start", "stop")
+    of = lambda t, f, c: f(F.when(F.col("type") == t, F.col(c)))
+    range_ = rows.groupBy(*own).agg(
+        of("CDS", F.min, "start").alias("c1"), of("CDS", F.max, "stop").alias("c2"), of("start_codon", F.min, "start").alias("a1"), of("start_codon", F.max, "stop").alias("a2"),
+        of("stop_codon", F.min, "start").alias("z1"), of("stop_codon", F.max, "stop").alias("z2"),
+    ).where("c1 IS NOT NULL")
     plus = F.col("strand") != "-"
-    low = e.where("start < c_from").select("gene", "transcript", "seqid", "strand", F.when(plus, "five_prime_UTR").otherwise("three_prime_UTR").alias("type"), "start", F.least("stop", F.col("c_from") - 1).alias("stop"))
-    high = e.where("stop > c_to").select("gene", "transcript", "seqid", "strand", F.when(plus, "three_prime_UTR").otherwise("five_prime_UTR").alias("type"), F.greatest("start", F.col("c_to") + 1).alias("start"), "stop")
-    return genes.unionByName(mrnas).unionByName(parts).unionByName(low).unionByName(high)
+    low, high = F.when(plus, F.coalesce("a1", "c1")).otherwise(F.coalesce("z1", "c1")), F.when(plus, F.coalesce("z2", "c2")).otherwise(F.coalesce("a2", "c2"))
+    range_ = range_.select(*own, low.alias("c_from"), high.alias("c_to"), (F.col("a1").isNotNull() | F.col("z1").isNotNull()).alias("codons"))
+    cds = parts.where("type = 'CDS'").join(range_, own)
+    cut = rows.where(F.col("type").isin("CDS", "start_codon", "stop_codon")).select("gene", *own, "start", "stop").join(range_.where("codons"), own).where("start <= c_to AND stop >= c_from")
+    cut = merge_intervals(cut.select("gene", *own, F.greatest("start", "c_from").alias("start"), F.least("stop", "c_to").alias("stop")), ["gene", *own], 1)
+    cds = cds.where("NOT codons").select("gene", *own, "start", "stop").unionByName(cut.select("gene", *own, "start", "stop")).withColumn("type", F.lit("CDS"))
+    exons = parts.where("type = 'exon'")
+    e = exons.join(range_, own)
+    low = e.where("start < c_from").select("gene", *own, F.when(plus, "five_prime_UTR").otherwise("three_prime_UTR").alias("type"), "start", F.least("stop", F.col("c_from") - 1).alias("stop"))
+    high = e.where("stop > c_to").select("gene", *own, F.when(plus, "three_prime_UTR").otherwise("five_prime_UTR").alias("type"), F.greatest("start", F.col("c_to") + 1).alias("start"), "stop")
+    return reduce(DataFrame.unionByName, [genes, mrnas, exons, cds, low, high])
 
 
 def fill_down(df: DataFrame, column: str, order: list[str], by: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import iupac
+from loomspan.functions.statistics import two_sample_p
 from loomspan.operators.intervals import earlier
 
 
@@ -134,14 +135,44 @@ def ref_counts(alleles: DataFrame) -> DataFrame:
     return alleles.groupBy("sample").agg(F.sum(F.when(same, 1).otherwise(0)).alias("ref"), F.sum(F.when(~same, 1).otherwise(0)).alias("nonref"), F.sum(F.when(same.isNull(), 1).otherwise(0)).alias("missing"))
 
 
-def pairwise_alleles(alleles: DataFrame) -> DataFrame:
-    """Shared and different alleles of each pair of samples over the sites at which none is missing."""
-    full = alleles.groupBy("chrom", "pos").agg(F.count("allele").alias("c"), F.count(F.lit(1)).alias("n")).where("c = n").select("chrom", "pos")
-    a = alleles.join(full, ["chrom", "pos"], "left_semi")
-    b = a.select("chrom", "pos", F.col("sample").alias("sample_b"), F.col("allele").alias("allele_b"))
-    p = a.join(b, ["chrom", "pos"]).where("sample < sample_b")  # samples are few at each site
-    same = F.col("allele") == F.col("allele_b")
-    return p.groupBy(F.col("sample").alias("sample_a"), "sample_b").agg(F.sum(F.when(same, 1).otherwise(0)).alias("shared"), F.sum(F.when(~same, 1).otherwise(0)).alias("different"))
+def _alleles_of(alleles: DataFrame) -> DataFrame:
+    """chrom, pos, sample and ``gt``, the array of its alleles: that of a column gt, or the one allele. '.' and nulls are missing."""
+    gt = F.col("gt") if "gt" in alleles.columns else F.array("allele")
+    missing = gt.isNull() | (F.size(gt) == 0) | F.exists(F.coalesce(gt, F.array().cast("array<string>")), lambda x: x.isNull() | (x == "."))
+    return alleles.select("chrom", "pos", "sample", *(["ref"] if "ref" in alleles.columns else []), F.array_distinct(gt).alias("gt"), missing.alias("missing"))
+
+
+def reference_alleles(alleles: DataFrame) -> DataFrame:
+    """Per sample (alleles: chrom, pos, sample, ref and gt, an array, or allele): sites at which it is heterozygous, and
+    over the sites at which no sample is missing those at which it has the reference allele, and those at which it hasn't."""
+    a = _alleles_of(alleles)
+    full = a.groupBy("chrom", "pos").agg(F.max("missing").alias("some")).where("NOT some")
+    a = a.join(full, ["chrom", "pos"], "left")
+    whole, has = F.col("some").isNotNull(), F.array_contains("gt", F.col("ref"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return a.groupBy("sample").agg(count(F.size("gt") == 2).alias("het"), count(whole & has).alias("shared_ref"), count(whole & ~has).alias("diff_ref"))
+
+
+def pairwise_alleles(alleles: DataFrame, size: int = 16_384) -> DataFrame:
+    """Shared and different alleles of each pair of samples over the sites at which none is missing (alleles: chrom, pos,
+    sample and gt, an array, or allele): an allele of both is shared, one of either alone different.
+
+    The alleles of the sites of ``size`` positions are numbered, and a sample's are the bits of a few words; pairs compare
+    these by the number of bits that are set in both or in one, so that a row is a pair and a chunk, not a pair and a site."""
+    a = _alleles_of(alleles).withColumn("chunk", F.floor(F.col("pos") / size))
+    sites = a.groupBy("chrom", "chunk", "pos").agg(F.max("missing").alias("some"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("gt")))).alias("kinds")).where("NOT some")
+    w = W.partitionBy("chrom", "chunk").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)  # size positions at most
+    sites = sites.withColumn("first", F.coalesce(F.sum(F.size("kinds")).over(w), F.lit(0)))
+    bits = a.join(sites.select("chrom", "pos", "kinds", "first"), ["chrom", "pos"])
+    bits = bits.select("chrom", "chunk", "sample", F.explode(F.transform("gt", lambda x: F.col("first") + F.array_position("kinds", x) - 1)).alias("bit"))
+    words = bits.groupBy("chrom", "chunk", "sample", F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    maps = words.groupBy("chrom", "chunk", "sample").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+    maps = maps.join(words.groupBy("chrom", "chunk").agg(F.max("word").alias("last")), ["chrom", "chunk"])
+    rows = maps.select("chrom", "chunk", "sample", F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.coalesce(F.try_element_at("bits", k), F.lit(0).cast("long"))).alias("bits"))
+    p = rows.join(rows.select("chrom", "chunk", F.col("sample").alias("sample_b"), F.col("bits").alias("bits_b")), ["chrom", "chunk"]).where("sample < sample_b")
+    count = lambda f: F.aggregate(F.zip_with("bits", "bits_b", lambda x, y: F.bit_count(f(x, y))), F.lit(0).cast("long"), lambda t, n: t + n)
+    p = p.select("sample", "sample_b", count(lambda x, y: x.bitwiseAND(y)).alias("shared"), count(lambda x, y: x.bitwiseXOR(y)).alias("different"))
+    return p.groupBy(F.col("sample").alias("sample_a"), "sample_b").agg(F.sum("shared").alias("shared"), F.sum("different").alias("different"))
 
 
 def indel_matrix(calls: DataFrame, size: int = 100_000) -> DataFrame:
@@ -189,24 +220,39 @@ def values_by_region(points: DataFrame, regions: DataFrame, pad: int = 0) -> Dat
     return overlap_join(p, regions.select("seqid", "start", "stop", "class")).select("seqid", "pos", "value", F.col("class_r").alias("class"))
 
 
-def ks_two_sample(df: DataFrame, value: str, group: str, one: str, two: str) -> DataFrame:
-    """Two-sample comparison of a value: KS statistic, sizes, means, variances and their ratio, and the rank sum of
-    the first group (ties share their mean rank). Sweeps go over the distinct values."""
-    d = df.where(F.col(group).isin(one, two) & F.col(value).isNotNull())
-    a, b = (F.sum(F.when(F.col(group) == g, 1).otherwise(0)) for g in (one, two))
-    v = d.groupBy(F.col(value).cast("double").alias("v")).agg(a.alias("a"), b.alias("b"))
-    n = v.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    bounds = F.array(*map(F.lit, v.approxQuantile("v", [i / 256 for i in range(1, 256)], 0.001) or [0.0]))  # 255 numbers
+def compare_groups(df: DataFrame, value: str, group: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Two-sample comparisons of a value, a row per pair of groups (one, two): KS statistic, sizes, means, variances and
+    their ratio, the rank sum of the first group (ties share their mean rank), and the p of three two-sided tests: Kolmogorov's
+    limit, the rank sum's normal limit with correction for ties and continuity, and the F of the variances. All pairs in
+    one pass; sweeps go over the distinct values of a pair in tiles."""
+    of = F.array(*(F.struct(F.lit(a).alias("one"), F.lit(b).alias("two")) for a, b in pairs))
+    d = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(group).alias("g"))
+    d = d.select("v", "g", F.inline(F.filter(of, lambda p: (p["one"] == F.col("g")) | (p["two"] == F.col("g")))))
+    first, second = F.col("g") == F.col("one"), F.col("g") == F.col("two")
+    keys = ["one", "two"]
+    v = d.groupBy(*keys, "v").agg(F.sum(F.when(first, 1).otherwise(0)).alias("a"), F.sum(F.when(second, 1).otherwise(0)).alias("b"))
+    bounds = F.array(*map(F.lit, d.approxQuantile("v", [i / 256 for i in range(1, 256)], 0.001) or [0.0]))  # 255 numbers
     tile = F.size(F.filter(bounds, lambda x: x < F.col("v")))
-    v = v.withColumn("__k", F.lit(0))
+    stat = lambda f, c: f(F.when(c, F.col("v")))
+    m = d.groupBy(*keys).agg(
+        F.sum(F.when(first, 1).otherwise(0)).alias("n_one"), F.sum(F.when(second, 1).otherwise(0)).alias("n_two"),
+        stat(F.avg, first).alias("mean_one"), stat(F.avg, second).alias("mean_two"), stat(F.var_samp, first).alias("var_one"), stat(F.var_samp, second).alias("var_two"),
+    )
     for c in ("a", "b"):
-        v = earlier(v, ["__k"], ["v"], F.col(c), "sum", tile, inclusive=True).withColumnRenamed("__before", f"c{c}")
-    c = v.join(F.broadcast(n), how="cross")
+        v = earlier(v, keys, ["v"], F.col(c), "sum", tile, inclusive=True).withColumnRenamed("__before", f"c{c}")
+    c = v.join(F.broadcast(m), keys)  # a row per pair
     mean_rank = F.col("ca") + F.col("cb") - (F.col("a") + F.col("b") - 1) / 2
-    t = c.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), F.sum(mean_rank * F.col("a")).alias("rank_sum"), F.max("na").alias("n_one"), F.max("nb").alias("n_two"))
-    stat = lambda f, g: f(F.when(F.col(group) == g, F.col(value).cast("double")))
-    m = d.agg(stat(F.avg, one).alias("mean_one"), stat(F.avg, two).alias("mean_two"), stat(F.var_samp, one).alias("var_one"), stat(F.var_samp, two).alias("var_two"))
-    return t.join(F.broadcast(m), how="cross").withColumn("f_ratio", F.try_divide("var_one", "var_two"))
+    t = (F.col("a") + F.col("b")).cast("double")
+    out = c.groupBy(*keys).agg(F.max(F.abs(F.try_divide(F.col("ca").cast("double"), F.col("n_one")) - F.try_divide(F.col("cb").cast("double"), F.col("n_two")))).alias("ks"), F.sum(mean_rank * F.col("a")).alias("rank_sum"), F.sum(t * t * t - t).alias("ties"))
+    out = out.join(F.broadcast(m), keys).withColumn("f_ratio", F.try_divide("var_one", "var_two"))
+    tests = F.pandas_udf(two_sample_p, "ks_p double, rank_p double, f_p double")
+    out = out.withColumn("p", tests("ks", "rank_sum", "ties", "f_ratio", "n_one", "n_two"))
+    return out.select(*keys, "ks", "rank_sum", "n_one", "n_two", "mean_one", "mean_two", "var_one", "var_two", "f_ratio", "p.*")
+
+
+def ks_two_sample(df: DataFrame, value: str, group: str, one: str, two: str) -> DataFrame:
+    """``compare_groups`` of one pair, a single row."""
+    return compare_groups(df, value, group, [(one, two)]).drop("one", "two")
 
 
 def summary_stats(df: DataFrame, value: str, group: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators.intervals import BIN, overlap_anti, overlap_join, overlap_semi, strand_relation
+from loomspan.operators.sequences import chunked
 
 
 def mapped_totals(reads: DataFrame, lib: str = "lib", weight: str = "weight") -> DataFrame:
@@ -152,10 +155,39 @@ def expression_patterns(df: DataFrame, conditions: list[str], cutoff: float = 1.
     return df.where(F.greatest(*conditions) >= least).withColumn("pattern", F.concat(*signs))
 
 
-def mapability(calls: DataFrame, window: int = 100) -> DataFrame:
-    """Share of uniquely mappable starts per window (calls: seqid, string of one letter per position, '!' is unique)."""
-    p = calls.select("seqid", F.posexplode(F.filter(F.split("calls", ""), lambda c: c != "")).alias("p", "c"))
-    return p.groupBy("seqid", F.floor(F.col("p") / window).alias("window")).agg(F.avg((F.col("c") == "!").cast("double")).alias("unique_share"))
+def mapability(calls: DataFrame, window: int = 100, genome: DataFrame | None = None, read: int = 35, unique: str = "!", chunk: int = 100_000) -> DataFrame:
+    """Share of uniquely mappable starts per window (calls: seqid, calls, a string of one letter per position, ``unique`` is
+    unique). With a genome (seqid, seq) also gc, the mean GC share of the reads of ``read`` bases that begin at these starts,
+    shorter ones at a sequence's end, null where a window has none. Sequences are cut into chunks that reach ``read`` - 1 bases
+    into the next; GC of a read is a difference of prefix sums."""
+    chunk = -(-max(chunk, read, window) // window) * window
+    c = chunked(calls, "seqid", chunk, 0, "calls").select("seqid", "k", F.col("part").alias("calls"))
+    if genome is None:
+        c = c.withColumn("seq", F.lit(""))
+    else:
+        c = c.join(chunked(genome, "seqid", chunk, read - 1).select("seqid", "k", F.col("part").alias("seq")), ["seqid", "k"], "left")
+    kind = dict(calls.dtypes)["seqid"]
+
+    def run(batches):
+        for batch in batches:
+            for seqid, k, text, seq in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                hit = np.frombuffer(text.encode("utf-32-le"), np.uint32) == ord(unique)
+                strong = np.isin(np.frombuffer((seq or "").encode("utf-32-le"), np.uint32), [ord(x) for x in "GCgc"])
+                total = np.concatenate([[0], np.cumsum(strong)])
+                begin = np.minimum(np.arange(len(hit)), len(strong))
+                end = np.minimum(begin + read, len(strong))
+                some = hit & (end > begin)
+                gc = np.where(some, (total[end] - total[begin]) / np.maximum(end - begin, 1), 0.0)
+                edge = np.arange(0, len(hit), window)
+                n, n_gc, sums = (np.add.reduceat(x, edge) for x in (hit.astype(np.int64), some.astype(np.int64), gc))
+                share = n / np.diff(np.append(edge, len(hit)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([seqid] * len(edge), batch.column(0).type), pa.array(k * (chunk // window) + np.arange(len(edge))), pa.array(share), pa.array(sums / np.maximum(n_gc, 1), mask=n_gc == 0)],
+                    ["seqid", "window", "unique_share", "gc"],
+                )
+
+    out = c.select("seqid", "k", "calls", "seq").mapInArrow(run, f"seqid {kind}, window long, unique_share double, gc double")
+    return out.drop("gc") if genome is None else out
 
 
 def reads_weight(name: Column | str) -> Column:

@@ -70,18 +70,30 @@ def quality_histogram(reads: DataFrame, limit: int | None = 10_000) -> DataFrame
     return r.select(F.explode(F.filter(F.split("qual", ""), lambda c: c != "")).alias("c")).groupBy((F.ascii("c") - 33).alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def tile(seqs: DataFrame, size: int, step: int) -> DataFrame:
-    """Windows of ``size`` at every ``step`` (id, start, seq)."""
-    s = seqs.where(F.length("seq") >= size)
-    return s.select("id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - size + 1, F.lit(step))).alias("start")).select("id", "start", F.substr("seq", F.col("start"), F.lit(size)).alias("seq"))
+def chunked(seqs: DataFrame, key: str = "id", chunk: int = 100_000, halo: int = 0, seq: str = "seq") -> DataFrame:
+    """Sequences in chunks: key, k (from 0), ``part``, the chunk with the first ``halo`` letters of the next one (``chunk`` at
+    most), and ``size`` without those. A sequence is cut in one pass; what follows sees chunks only, dealt anew."""
+    c = seqs.select(key, F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
+    parts = F.transform("c", lambda x, i: F.struct(x.alias("own"), F.left(F.coalesce(F.get("c", i + 1), F.lit("")), F.lit(halo)).alias("next")))
+    rows = c.select(key, F.posexplode(parts).alias("k", "p"))
+    return rows.select(key, F.col("k").cast("long").alias("k"), F.concat("p.own", "p.next").alias("part"), F.length("p.own").alias("size")).repartition(key, "k")
+
+
+def tile(seqs: DataFrame, size: int, step: int, chunk: int = 100_000) -> DataFrame:
+    """Windows of ``size`` at every ``step`` (id, start, seq), cut from chunks that reach ``size`` - 1 letters into the next."""
+    chunk = max(chunk, size)
+    c = chunked(seqs, "id", chunk, size - 1).withColumn("at", F.col("k") * chunk)
+    first = F.ceil(F.col("at") / step) * step
+    last = F.col("at") + F.least(F.col("size"), F.length("part") - size + 1) - 1
+    c = c.select("id", "part", "at", first.alias("first"), last.alias("last")).where("first <= last")
+    c = c.select("id", "part", "at", F.explode(F.sequence("first", "last", F.lit(step).cast("long"))).alias("s"))
+    return c.select("id", (F.col("s") + 1).cast("int").alias("start"), F.substr("part", (F.col("s") - F.col("at") + 1).cast("int"), F.lit(size)).alias("seq"))
 
 
 def fetch_seq(features: DataFrame, genome: DataFrame, chunk: int = 100_000) -> DataFrame:
     """``features`` (seqid, start, stop, strand) with their sequence, reverse complement on '-'. The
     genome (seqid, seq) is cut into chunks that features are joined to, so no task needs a whole sequence for each."""
-    n = F.floor((F.length("seq") - 1) / chunk)
-    parts = genome.where("length(seq) > 0").select("seqid", "seq", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("k"))
-    parts = parts.select("seqid", "k", F.substr("seq", (F.col("k") * chunk + 1).cast("int"), F.lit(chunk)).alias("part"))
+    parts = chunked(genome, "seqid", chunk).drop("size")
     keys = features.select("seqid", "start", "stop").distinct().withColumn("k", F.explode(F.sequence(F.floor((F.col("start") - 1) / chunk), F.floor((F.col("stop") - 1) / chunk))))
     low, high = F.greatest("start", F.col("k") * chunk + 1), F.least("stop", (F.col("k") + 1) * chunk)
     bits = keys.join(parts, ["seqid", "k"]).select("seqid", "start", "stop", "k", F.substr("part", (low - F.col("k") * chunk).cast("int"), (high - low + 1).cast("int")).alias("bit"))

@@ -63,10 +63,29 @@ def aln_stats(v):
     return s.withColumns({"identity": F.round("identity", 9), "k80": F.when(F.col("k80") < 12, F.round("k80", 6))})
 
 
-@query("column_rates", "WITH " + CELLS + """, r AS (SELECT block, col, sum(ascii(base) * pow(2.0, -col % 5)) AS rate FROM c GROUP BY ALL) SELECT block, col, round(rate, 6) AS rate, round(rate / max(rate) OVER (PARTITION BY block), 9) AS scaled FROM r""")
+RATES = CELLS + """, r AS (SELECT block, col, sum(ascii(base) * pow(2.0, -col % 5)) / any_value(states) AS rate, any_value(states) AS states FROM c JOIN (SELECT block, max(ascii(base)) AS states FROM c GROUP BY block) m USING (block) GROUP BY ALL), s AS (SELECT *, rate / max(rate) OVER (PARTITION BY block) AS scaled FROM r)"""
+
+
+def _rates(v):
+    return A.column_rates(A.columns(v.aln).select("block", "col", F.ascii("base").alias("state"), (-F.col("col") % 5).alias("lg_post")))
+
+
+@query("column_rates", "WITH " + RATES + " SELECT block, col, round(rate, 6) AS rate, round(scaled, 9) AS scaled FROM s")
 def column_rates(v):
-    c = A.columns(v.aln).select("block", "col", F.ascii("base").alias("state"), (-F.col("col") % 5).alias("lg_post"))
-    return A.column_rates(c).select("block", "col", F.round("rate", 6).alias("rate"), F.round("scaled", 9).alias("scaled"))
+    return _rates(v).select("block", "col", F.round("rate", 6).alias("rate"), F.round("scaled", 9).alias("scaled"))
+
+
+@query("rate_scores", "WITH " + RATES + """ SELECT block, round(sum(scaled), 6) AS s0, round(sum(1 - scaled), 6) AS s1, round(sum(scaled - 1.0::DOUBLE / states), 6) AS s2, round(sum((scaled - 1.0::DOUBLE / states) * (states::DOUBLE / (states - 1))), 6) AS s3, round(sum(1 - (scaled - 1.0::DOUBLE / states) * (states::DOUBLE / (states - 1))), 6) AS s4 FROM s GROUP BY block""")
+def rate_scores(v):
+    """The five scores of each column, summed over the block."""
+    return _rates(v).groupBy("block").agg(*(F.round(F.sum(A.rate_score(k)), 6).alias(f"s{k}") for k in range(5)))
+
+
+@query("aln_stats_by_row", "WITH " + SIDE.format("r0", "r2") + ", g AS (SELECT block, count(*) FILTER (r <> '-' AND o <> '-')::DOUBLE AS n, count(*) FILTER (r = o AND r <> '-')::DOUBLE AS same FROM s GROUP BY 1), " + SIDE.format("r0", "r1").removeprefix(CELLS + ", ").replace("s AS (", "s2 AS (", 1) + """, g2 AS (SELECT block, count(*) FILTER (r <> '-' AND o <> '-')::DOUBLE AS n, count(*) FILTER (r = o AND r <> '-')::DOUBLE AS same FROM s2 GROUP BY 1),
+u AS (SELECT block, 'r2' AS other, n, same FROM g UNION ALL SELECT block, 'r1', n, same FROM g2), p AS (SELECT block, 100.0::DOUBLE * sum(CASE WHEN a.base = b.base THEN 1 ELSE 0 END) / nullif(count(*), 0) AS average FROM c a JOIN c b USING (block, col) WHERE a.row_id < b.row_id AND a.base <> '-' AND b.base <> '-' GROUP BY block)
+SELECT u.block, other, round(same / nullif(n, 0), 9) AS identity, round(average / 100, 9) AS average FROM u LEFT JOIN p ON u.block = p.block""")
+def aln_stats_by_row(v):
+    return A.aln_stats_by_row(v.aln, "r0", ["r1", "r2"]).select("block", "other", F.round("identity", 9).alias("identity"), F.round("average", 9).alias("average"))
 
 
 @query("concat_alignments", """WITH b AS (SELECT block, max(length(aln)) AS n FROM aln GROUP BY 1), s AS (SELECT *, 1 + coalesce(sum(n) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM b)

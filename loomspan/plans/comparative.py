@@ -151,11 +151,11 @@ def _synteny(v):
 def _two(v):
     """The genes of two genomes: what the features of the types gene and CDS span."""
     f = v.features.groupBy("type", "seqid", "parent").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    f = f.select("type", F.concat_ws(":", "seqid", "parent").alias("gene"), "seqid", "start", F.least("stop", F.col("start") + 80).alias("stop"))
+    f = f.select("type", F.concat_ws(":", "seqid", "parent").alias("gene"), "seqid", "start", "stop")
     return f.where("type = 'gene'").drop("type"), f.where("type = 'CDS'").drop("type")
 
 
-SYN = """g0 AS (SELECT type, seqid || ':' || parent AS gene, seqid, min(start) AS start, least(max(stop), min(start) + 80) AS stop FROM features GROUP BY type, seqid, parent),
+SYN = """g0 AS (SELECT type, seqid || ':' || parent AS gene, seqid, min(start) AS start, max(stop) AS stop FROM features GROUP BY type, seqid, parent),
 ga AS (SELECT gene, seqid, start, stop FROM g0 WHERE type = 'gene'), gb AS (SELECT gene, seqid, start, stop FROM g0 WHERE type = 'CDS'), s AS (SELECT seqid, k, k * 1000 + 1 AS a1, k * 1000 + 1000 AS a2, k * 1000 + 501 AS b1, k * 1000 + 1500 AS b2, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS st FROM genome, unnest(range(0, length // 1000 + 1)) t(k) WHERE k % 3 <> 2),
 p AS (SELECT ga.gene, s.seqid, CASE WHEN st <> '-' THEN b1 + greatest(start, a1) - a1 ELSE b2 - (least(stop, a2) - a1) END AS start, CASE WHEN st <> '-' THEN b1 + least(stop, a2) - a1 ELSE b2 - (greatest(start, a1) - a1) END AS stop FROM ga JOIN s ON ga.seqid = s.seqid AND ga.start <= a2 AND a1 <= ga.stop),
 m AS (SELECT p.gene, gb.gene AS match FROM p LEFT JOIN gb ON p.seqid = gb.seqid AND p.start <= gb.stop AND gb.start <= p.stop),
@@ -168,10 +168,18 @@ def annotation_transfer(v):
     return C.annotation_transfer(a, _synteny(v), b, 500)
 
 
-@query("multiway_orthologs", f"WITH {SYN}, n AS (SELECT gene, string_agg(match, ',' ORDER BY match) AS names, count(*) = 1 AS single FROM tr WHERE match NOT IN ('NO_GENES_IN_INTERVAL', 'NO_SYNTENIC_ALIGNMENT') GROUP BY gene) SELECT gene, names AS x_names, single AS x_single, names AS y_names, single AS y_single FROM n")
+#: the same with a third genome, the features of the type exon
+THIRD = """gc AS (SELECT gene, seqid, start, stop FROM g0 WHERE type = 'exon'), m2 AS (SELECT p.gene, gc.gene AS match FROM p LEFT JOIN gc ON p.seqid = gc.seqid AND p.start <= gc.stop AND gc.start <= p.stop),
+n1 AS (SELECT gene, string_agg(match, ',' ORDER BY match) AS names, count(*) = 1 AS single FROM (SELECT DISTINCT gene, match FROM m WHERE match IS NOT NULL) x GROUP BY gene),
+n2 AS (SELECT gene, string_agg(match, ',' ORDER BY match) AS names, count(*) = 1 AS single FROM (SELECT DISTINCT gene, match FROM m2 WHERE match IS NOT NULL) x GROUP BY gene)"""
+
+
+@query("multiway_orthologs", f"WITH {SYN}, {THIRD} SELECT gene, n1.names AS x_names, n1.single AS x_single, n2.names AS y_names, n2.single AS y_single FROM n1 FULL JOIN n2 USING (gene)")
 def multiway_orthologs(v):
-    t = annotation_transfer(v)
-    return C.multiway_orthologs({"x": t, "y": t})
+    a, b = _two(v)
+    f = v.features.where("type = 'exon'").groupBy("seqid", "parent").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    third = f.select(F.concat_ws(":", "seqid", "parent").alias("gene"), "seqid", "start", "stop")
+    return C.multiway_orthologs({"x": C.annotation_transfer(a, _synteny(v), b, 500), "y": C.annotation_transfer(a, _synteny(v), third, 500)})
 
 
 @query("synteny_links", "SELECT a.group_id AS block, a.species AS genome_a, b.species AS genome_b, a.gene AS seqid_a, b.gene AS seqid_b FROM orthogroups a JOIN orthogroups b ON a.group_id = b.group_id AND a.species < b.species")

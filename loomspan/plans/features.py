@@ -72,6 +72,34 @@ def gene_models(v):
     return G.gene_models(v.features.select(gene.alias("gene"), F.col("parent").alias("transcript"), "seqid", "strand", "type", "start", "stop"))
 
 
+#: every transcript with CDS has a start codon that is split over an intron and a stop codon beyond its last CDS
+@query("gene_models_codons", """
+WITH r AS (SELECT 'G' || CAST(substr(parent, 2) AS BIGINT) // 10 AS gene, parent AS transcript, seqid, strand, type, start, stop FROM features WHERE type IN ('exon', 'CDS')),
+c AS (SELECT gene, transcript, seqid, strand, min(start) AS cf, max(stop) AS ct FROM r WHERE type = 'CDS' GROUP BY ALL),
+k AS (SELECT *, CASE WHEN strand <> '-' THEN cf + 4 ELSE cf - 3 END AS lo, CASE WHEN strand <> '-' THEN ct + 3 ELSE ct - 4 END AS hi FROM c),
+p AS (SELECT gene, transcript, seqid, strand, unnest(range(greatest(start, lo), least(stop, hi) + 1)) AS x FROM (SELECT r.*, lo, hi FROM r JOIN k USING (gene, transcript, seqid, strand) WHERE type = 'CDS'
+  UNION ALL SELECT gene, transcript, seqid, strand, 'k', CASE WHEN strand <> '-' THEN cf + 4 ELSE cf - 3 END, CASE WHEN strand <> '-' THEN cf + 4 ELSE cf - 1 END, lo, hi FROM k
+  UNION ALL SELECT gene, transcript, seqid, strand, 'k', CASE WHEN strand <> '-' THEN cf + 9 ELSE ct - 4 END, CASE WHEN strand <> '-' THEN cf + 10 ELSE ct - 4 END, lo, hi FROM k
+  UNION ALL SELECT gene, transcript, seqid, strand, 'k', CASE WHEN strand <> '-' THEN ct + 1 ELSE ct - 9 END, CASE WHEN strand <> '-' THEN ct + 3 ELSE ct - 8 END, lo, hi FROM k) y),
+d AS (SELECT DISTINCT * FROM p), i AS (SELECT *, x - row_number() OVER (PARTITION BY gene, transcript, seqid, strand ORDER BY x) AS isle FROM d), e AS (SELECT r.*, lo, hi FROM r JOIN k USING (gene, transcript, seqid, strand) WHERE type = 'exon')
+SELECT gene, transcript, seqid, strand, 'CDS' AS type, min(x) AS start, max(x) AS stop FROM i GROUP BY gene, transcript, seqid, strand, isle
+UNION ALL SELECT gene, transcript, seqid, strand, CASE WHEN strand <> '-' THEN 'five_prime_UTR' ELSE 'three_prime_UTR' END, start, least(stop, lo - 1) FROM e WHERE start < lo
+UNION ALL SELECT gene, transcript, seqid, strand, CASE WHEN strand <> '-' THEN 'three_prime_UTR' ELSE 'five_prime_UTR' END, greatest(start, hi + 1), stop FROM e WHERE stop > hi""")
+def gene_models_codons(v):
+    gene = F.concat(F.lit("G"), F.floor(F.substr("parent", F.lit(2)).cast("long") / 10).cast("string"))
+    r = v.features.where("type IN ('exon', 'CDS')").select(gene.alias("gene"), F.col("parent").alias("transcript"), "seqid", "strand", "type", "start", "stop")
+    k = r.where("type = 'CDS'").groupBy("gene", "transcript", "seqid", "strand").agg(F.min("start").alias("a"), F.max("stop").alias("b"))
+    plus, a, b = F.col("strand") != "-", F.col("a"), F.col("b")
+    part = lambda kind, one, two, three, four: F.struct(F.lit(kind).alias("type"), F.when(plus, one).otherwise(three).alias("start"), F.when(plus, two).otherwise(four).alias("stop"))
+    codons = F.array(
+        F.when(plus, part("start_codon", a + 4, a + 4, a, a)).otherwise(part("stop_codon", a, a, a - 3, a - 1)),
+        F.struct(F.lit("start_codon").alias("type"), F.when(plus, a + 9).otherwise(b - 4).alias("start"), F.when(plus, a + 10).otherwise(b - 4).alias("stop")),
+        F.when(plus, part("stop_codon", b + 1, b + 3, b, b)).otherwise(part("start_codon", b, b, b - 9, b - 8)),
+    )
+    k = k.select("gene", "transcript", "seqid", "strand", F.inline(codons))
+    return G.gene_models(r.unionByName(k)).where("type = 'CDS' OR type LIKE '%UTR'")
+
+
 @query("fill_down", "SELECT event_id, seqid, max(CASE WHEN event_id % 7 = 0 THEN event_id END) OVER (PARTITION BY seqid ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS last_id FROM reads")
 def fill_down(v):
     r = v.reads.select("event_id", "seqid", F.when(F.col("event_id") % 7 == 0, F.col("event_id")).alias("last_id"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions import feature_name
 from loomspan.operators import comparative as C
 from loomspan.operators import features as G
 from loomspan.plans.views import Views, query
@@ -174,14 +175,19 @@ def read_synteny_map(v):
 BANNER = "/data/a.fa /data/b.fa\nNUCMER\n\n[P1]\t[SUB]\t[SUB]\t[P2]\t[TAGS]\n"
 
 
+def _reports(v, row, name: str) -> str:
+    """A report with its banner for each brand of the parts."""
+    lines = v.table("part").select("p_brand", F.col("p_partkey").alias("n"), row.alias("value"))
+    banners = v.table("part").select("p_brand").distinct().select("p_brand", F.lit(-1).alias("n"), F.lit(BANNER).alias("value"))
+    path = new_folder(v.spark, name)
+    lines.union(banners).repartition("p_brand").sortWithinPartitions("p_brand", "n").select("p_brand", "value").write.partitionBy("p_brand").text(path)
+    return f"{path}/*"
+
+
 @query("read_show_snps", "SELECT p_partkey AS pos, 'A' AS ref_base, CASE WHEN p_size % 4 > 0 THEN 'G' END AS query_base, p_partkey + 3 AS query_pos, p_size AS buff, 5 AS dist, 1 AS ref_frame, -1 AS query_frame, 'r1' AS ref_seqid, 'q' || p_size AS query_seqid FROM part")
 def read_show_snps(v):
     row = tabbed("p_partkey", lit("A"), F.when(F.col("p_size") % 4 > 0, "G").otherwise("."), F.col("p_partkey") + 3, "p_size", lit(5), lit(1), lit(-1), lit("r1"), F.concat(F.lit("q"), text("p_size")))
-    lines = v.table("part").select(F.col("p_partkey").alias("n"), row.alias("value"))
-    lines = lines.union(v.table("region").limit(1).select(F.lit(-1), F.lit(BANNER)))
-    path = new_folder(v.spark, "snps")
-    lines.coalesce(1).sortWithinPartitions("n").select("value").write.text(path)  # the banner is in the one file of a report
-    return R.read_show_snps(v.spark, path)
+    return R.read_show_snps(v.spark, _reports(v, row, "snps"))
 
 
 @query("read_show_coords", "SELECT p_partkey AS start, p_partkey + 99 AS stop, p_size AS query_start, p_size + 89 AS query_stop, 100 AS length, 90 AS query_length, 98.5::DOUBLE AS pid, 'r1' AS ref_seqid, 'q1' AS query_seqid, CASE WHEN p_size % 2 = 0 THEN '-' ELSE '+' END AS strand FROM part")
@@ -189,11 +195,7 @@ def read_show_coords(v):
     a, b = F.col("p_size"), F.col("p_size") + 89
     back = F.col("p_size") % 2 == 0
     row = F.concat(F.lit("  "), F.concat_ws("  |  ", F.concat_ws("   ", text("p_partkey"), text(F.col("p_partkey") + 99)), F.concat_ws("  ", text(F.when(back, b).otherwise(a)), text(F.when(back, a).otherwise(b))), lit("100   90"), lit("98.5"), lit("r1\tq1")))
-    lines = v.table("part").select(F.col("p_partkey").alias("n"), row.alias("value"))
-    lines = lines.union(v.table("region").limit(1).select(F.lit(-1), F.lit(BANNER)))
-    path = new_folder(v.spark, "coords")
-    lines.coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
-    return R.read_show_coords(v.spark, path)
+    return R.read_show_coords(v.spark, _reports(v, row, "coords"))
 
 
 @query("read_table", "SELECT CAST(p_partkey AS VARCHAR) AS test_id, p_brand AS name FROM part")
@@ -393,11 +395,11 @@ def write_chunks(v):
 
 
 def _matrix(v):
-    """A row per sample of the first base of every gene's sites."""
-    return v.alleles.groupBy("sample", "gene").agg(F.min_by(F.coalesce("allele", F.lit("N")), F.struct("chrom", "pos")).alias("b")).groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gene", "b"))), lambda x: x["b"]), "").alias("seq"))
+    """A row per sample of its alleles at all sites."""
+    return v.alleles.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chrom", "pos", F.coalesce("allele", F.lit("N")).alias("b")))), lambda x: x["b"]), "").alias("seq"))
 
 
-MATRIX = "WITH g AS (SELECT sample, gene, arg_min(coalesce(allele, 'N'), chrom * 100000000 + pos) AS b FROM alleles GROUP BY ALL), m AS (SELECT sample, string_agg(b, '' ORDER BY gene) AS seq FROM g GROUP BY sample), s AS (SELECT count(*) AS n, max(length(seq)) AS m FROM m) "
+MATRIX = "WITH m AS (SELECT sample, string_agg(coalesce(allele, 'N'), '' ORDER BY chrom, pos) AS seq FROM alleles GROUP BY sample), s AS (SELECT count(*) AS n, max(length(seq)) AS m FROM m) "
 SPACED = "array_to_string(string_split(seq, ''), '{}')"
 
 
@@ -421,3 +423,34 @@ def split_records(v):
     value = F.concat(F.lit("NAME D"), text(F.col("l_suppkey") % 9), F.lit(" r"), text("l_orderkey"), F.lit("."), text("l_linenumber"))
     S.split_records(v.table("lineitem").select(value.alias("value")), r"^NAME (\S+)", path)
     return v.spark.read.text(path).select("name", "value")
+
+
+@query("write_rsq", """WITH s AS (SELECT chrom, pos, min(ref) AS ref FROM alleles GROUP BY ALL)
+SELECT chrom, count(DISTINCT sample) || ' ' || count(DISTINCT pos) AS line FROM alleles GROUP BY chrom UNION ALL SELECT chrom, string_agg(pos, ' ' ORDER BY pos) FROM s GROUP BY chrom
+UNION ALL SELECT chrom, string_agg(ref, ' ' ORDER BY pos) FROM s GROUP BY chrom UNION ALL SELECT chrom, sample || ' ' || string_agg(coalesce(allele, 'N'), ' ' ORDER BY pos) FROM alleles GROUP BY chrom, sample""")
+def write_rsq(v):
+    path = new_folder(v.spark, "rsq")
+    S.write_rsq(v.alleles, path)
+    return v.spark.read.text(path).select(F.col("chrom").cast("long").alias("chrom"), F.col("value").alias("line"))
+
+
+@query("fastq_records", "SELECT event_id AS index, 'r' || event_id AS id, repeat(base5 || base3, 4) AS seq, CASE WHEN event_id % 3 = 0 THEN '@' ELSE 'I' END || CASE WHEN event_id % 5 = 0 THEN '@+@+@+@' ELSE '+IIII#@' END AS qual FROM reads")
+def fastq_records(v):
+    """Reads in files whose splits are small, qualities that begin with @ among them; numbers go on over the splits."""
+    path = new_folder(v.spark, "fastq-splits")
+    qual = F.concat(F.when(F.col("event_id") % 3 == 0, "@").otherwise("I"), F.when(F.col("event_id") % 5 == 0, "@+@+@+@").otherwise("+IIII#@"))
+    r = v.reads.select("event_id", F.concat(F.lit("r"), text("event_id")).alias("id"), F.repeat(F.concat("base5", "base3"), F.lit(4)).alias("seq"), qual.alias("qual"))
+    S.write_fastq(r.repartitionByRange("event_id").sortWithinPartitions("event_id"), path)
+    got = R.read_fastq(v.spark, path)
+    # a file's reads are a range of ids: its first id and the place in it give the id again
+    own = F.regexp_extract("id", r"(\d+)", 1).cast("long")
+    low = got.groupBy("file").agg(F.min(own).alias("low"))
+    return got.join(low, "file").select((F.col("low") + F.col("index")).alias("index"), "id", "seq", "qual")
+
+
+@query("feature_names", "SELECT parent, start, CASE WHEN start % 3 = 0 THEN 'n' || start WHEN start % 3 = 1 THEN parent WHEN start % 5 = 0 THEN 'note' END AS name FROM features")
+def feature_names(v):
+    """The first of a feature's name, parent and note that there is."""
+    at, none = F.col("start") % 3, F.lit(None).cast("string")
+    attrs = F.map_filter(F.create_map(F.lit("Note"), F.when(F.col("start") % 5 == 0, "note").otherwise(none), F.lit("Name"), F.when(at == 0, F.concat(F.lit("n"), text("start"))).otherwise(none), F.lit("Parent"), F.when(at == 1, F.col("parent")).otherwise(none)), lambda k, x: x.isNotNull())
+    return v.features.select("parent", "start", feature_name(attrs).alias("name"))

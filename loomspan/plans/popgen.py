@@ -106,11 +106,32 @@ def ref_counts(v):
 
 
 @query("pairwise_alleles", """WITH f AS (SELECT chrom, pos FROM alleles WHERE pop = 'CI' GROUP BY ALL HAVING count(allele) = count(*)), a AS (SELECT a.* FROM (SELECT * FROM alleles WHERE pop = 'CI') a JOIN f ON a.chrom = f.chrom AND a.pos = f.pos)
-SELECT x.sample AS sample_a, y.sample AS sample_b, count(*) FILTER (x.allele = y.allele) AS shared, count(*) FILTER (x.allele <> y.allele) AS different FROM a x JOIN a y ON x.chrom = y.chrom AND x.pos = y.pos AND x.sample < y.sample GROUP BY ALL""")
+SELECT x.sample AS sample_a, y.sample AS sample_b, count(*) FILTER (x.allele = y.allele) AS shared, 2 * count(*) FILTER (x.allele <> y.allele) AS different FROM a x JOIN a y ON x.chrom = y.chrom AND x.pos = y.pos AND x.sample < y.sample GROUP BY ALL""")
 def pairwise_alleles(v):
     return P.pairwise_alleles(v.alleles.where("pop = 'CI'"))
 
 
+#: genotypes of two alleles, as the loop over sites and pairs of strains counts them
+@query("pairwise_genotypes", f"""WITH g0 AS (SELECT * FROM {GT} z WHERE sample < 5), f AS (SELECT chrom, pos FROM g0 GROUP BY ALL HAVING count(*) = 5), g AS (SELECT chrom, pos, sample, list_distinct([x, y]) AS s FROM g0 JOIN f USING (chrom, pos))
+SELECT a.sample AS sample_a, b.sample AS sample_b, CAST(sum(len(list_intersect(a.s, b.s))) AS BIGINT) AS shared, CAST(sum(len(a.s) + len(b.s) - 2 * len(list_intersect(a.s, b.s))) AS BIGINT) AS different
+FROM g a JOIN g b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample < b.sample GROUP BY ALL""")
+def pairwise_genotypes(v):
+    return P.pairwise_alleles(_with_gaps(v), 1000)
+
+
+@query("reference_alleles", f"""WITH g0 AS (SELECT * FROM {GT} z WHERE sample < 5), f AS (SELECT chrom, pos FROM g0 GROUP BY ALL HAVING count(*) = 5)
+SELECT sample, CAST(count(*) FILTER (x <> y) AS BIGINT) AS het, CAST(count(*) FILTER (f.pos IS NOT NULL AND (x = ref OR y = ref)) AS BIGINT) AS shared_ref, CAST(count(*) FILTER (f.pos IS NOT NULL AND x <> ref AND y <> ref) AS BIGINT) AS diff_ref FROM g0 LEFT JOIN f USING (chrom, pos) GROUP BY sample""")
+def reference_alleles(v):
+    return P.reference_alleles(_with_gaps(v))
+
+
+def _with_gaps(v):
+    """Genotypes of two alleles of five samples, null where either is missing."""
+    b = v.alleles.select("chrom", "pos", F.pmod(F.col("sample") + 11, F.lit(12)).alias("sample"), F.col("allele").alias("y"))
+    g = v.alleles.join(b, ["chrom", "pos", "sample"]).where("sample < 5")
+    return g.select("chrom", "pos", "sample", "ref", F.when(F.col("allele").isNotNull() & F.col("y").isNotNull(), F.array("allele", "y")).alias("gt"))
+
+
 @query("indel_matrix", "SELECT sample, chrom, pos // 10000 AS chunk, string_agg(CASE WHEN allele <> ref THEN '1' ELSE '0' END, '' ORDER BY pos) AS states FROM alleles GROUP BY ALL")
 def indel_matrix(v):
     return P.indel_matrix(v.alleles.where("allele <> ref").select("chrom", "pos", "sample", F.lit(True).alias("present")).unionByName(v.alleles.where("sample = 0").select("chrom", "pos", "sample", (F.coalesce(F.col("allele") != F.col("ref"), F.lit(False))).alias("present"))), 10_000)
@@ -156,6 +177,23 @@ def ks_two_sample(v):
     return out.select(F.round("ks", 9).alias("ks"), F.round("rank_sum", 1).alias("rank_sum"), "n_one", "n_two", F.round("mean_one", 3).alias("mean_one"), F.round("mean_two", 3).alias("mean_two"), F.round("f_ratio", 6).alias("f_ratio"))
 
 
+#: the series and integrals of the three p: Kolmogorov's, the error function's, and the beta density by Simpson's rule
+@query("compare_groups", """WITH k(one, two) AS (VALUES ('CDS', 'exon'), ('exon', 'gene'), ('gene', 'CDS')), d AS (SELECT k.*, score::DOUBLE AS v, type = one AS first FROM features JOIN k ON type IN (one, two)),
+g AS (SELECT one, two, v, count(*) FILTER (first) AS a, count(*) FILTER (NOT first) AS b FROM d GROUP BY ALL), n AS (SELECT one, two, sum(a)::DOUBLE AS na, sum(b)::DOUBLE AS nb, sum(pow(a + b, 3) - (a + b)) AS ties FROM g GROUP BY ALL),
+c AS (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb FROM g JOIN n USING (one, two) WINDOW w AS (PARTITION BY one, two ORDER BY v)),
+s AS (SELECT one, two, max(abs(ca / na - cb / nb)) AS ks, sum((ca + cb - (a + b - 1) / 2.0) * a)::DOUBLE AS w, any_value(na) AS na, any_value(nb) AS nb, any_value(ties) AS ties FROM c GROUP BY ALL),
+m AS (SELECT one, two, var_samp(v) FILTER (first) / var_samp(v) FILTER (NOT first) AS f FROM d GROUP BY ALL),
+t AS (SELECT *, sqrt(na * nb / (na + nb)) * ks AS lam, w - na * (na + 1) / 2 - na * nb / 2 AS off, na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1))) AS var, (na - 1) / 2 AS p, (nb - 1) / 2 AS q FROM s JOIN m USING (one, two)),
+u AS (SELECT *, abs(CASE WHEN off = 0 THEN 0 ELSE abs(off) - 0.5 END) / sqrt(2 * var) AS z, p * f / (p * f + q) AS x, greatest(0, p / (p + q) - 14 * sqrt(p * q / ((p + q) * (p + q) * (p + q + 1)))) AS x0 FROM t),
+y AS (SELECT *, (x - x0) / 4000 AS h, lgamma(p + q) - lgamma(p) - lgamma(q) AS lb FROM u),
+i AS (SELECT *, list_sum(list_transform(range(0, 4001), lambda k: CASE WHEN x0 + k * h <= 0 THEN 0 ELSE CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(lb + (p - 1) * ln(x0 + k * h) + (q - 1) * ln(1 - x0 - k * h)) END)) * h / 3 AS low FROM y)
+SELECT one, two, round(ks, 9) AS ks, round(CASE WHEN lam < 1 THEN 1 - sqrt(2 * pi()) / lam * list_sum(list_transform(range(1, 40), lambda k: exp(-pow(2 * k - 1, 2) * pi() * pi() / (8 * lam * lam)))) ELSE 2 * list_sum(list_transform(range(1, 40), lambda k: pow(-1, k - 1) * exp(-2 * k * k * lam * lam))) END, 8) AS ks_p,
+  round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda k: pow(-1, k) * exp((2 * k + 1) * ln(greatest(z, 1e-12)) - lgamma(k + 1)) / (2 * k + 1))), 8) AS rank_p, round(least(1, 2 * least(low, 1 - low)), 8) AS f_p FROM i""")
+def compare_groups(v):
+    out = P.compare_groups(v.features, "score", "type", [("CDS", "exon"), ("exon", "gene"), ("gene", "CDS")])
+    return out.select("one", "two", F.round("ks", 9).alias("ks"), *(F.round(c, 8).alias(c) for c in ("ks_p", "rank_p", "f_p")))
+
+
 @query("summary_stats", "SELECT type, count(score) AS n, min(score::DOUBLE) AS min, round(quantile_cont(score::DOUBLE, 0.25), 4) AS q1, round(quantile_cont(score::DOUBLE, 0.5), 4) AS median, round(quantile_cont(score::DOUBLE, 0.75), 4) AS q3, max(score::DOUBLE) AS max FROM features GROUP BY type")
 def summary_stats(v):
     return rounded(P.summary_stats(v.features, "score", "type"), "q1", "median", "q3", digits=4)

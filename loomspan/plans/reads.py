@@ -156,6 +156,13 @@ def expression_patterns(v):
     return R.expression_patterns(v.reads.groupBy("seqid").pivot("lib", libs).agg(F.sum("weight")).fillna(0, libs), libs)
 
 
+@query("mapability_gc", """WITH c AS (SELECT id AS seqid, seq, CAST(i AS BIGINT) - 1 AS p, substr(seq, CAST(i AS BIGINT), 1) = 'A' AS u, substr(seq, CAST(i AS BIGINT), 20) AS r FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM seqs) x)
+SELECT seqid, p // 100 AS "window", round(avg(CASE WHEN u THEN 1.0 ELSE 0 END), 9) AS unique_share, round(avg(CASE WHEN u THEN (length(r) - length(translate(r, 'GC', '')))::DOUBLE / length(r) END), 9) AS gc FROM c GROUP BY ALL""")
+def mapability_gc(v):
+    s = v.seqs.withColumnRenamed("id", "seqid")
+    return rounded(R.mapability(s.select("seqid", F.translate("seq", "A", "!").alias("calls")), genome=s, read=20, chunk=300), "unique_share", "gc", digits=9)
+
+
 @query("mapability", """WITH c AS (SELECT id AS seqid, CAST(i AS BIGINT) - 1 AS p, substr(seq, CAST(i AS BIGINT), 1) AS c FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM seqs) x) SELECT seqid, p // 100 AS "window", round(avg(CASE WHEN c = 'A' THEN 1.0 ELSE 0 END), 9) AS unique_share FROM c GROUP BY ALL""")
 def mapability(v):
     return rounded(R.mapability(v.seqs.select(F.col("id").alias("seqid"), F.translate("seq", "A", "!").alias("calls"))), "unique_share", digits=9)

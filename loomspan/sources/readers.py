@@ -7,6 +7,7 @@ hit, four-line records); those number the lines of each file.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,13 +73,72 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace(head, r"^\S*\s*", "")).alias("desc"), F.coalesce(F.regexp_replace(body, r"\s", ""), F.lit("")).alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Four-line read records: file, index (from 0), id, desc, seq, qual. A record whose first line lacks @ fails the read."""
-    t = lines(spark, path).withColumn("index", F.floor((F.col("line_no") - 1) / 4))
-    at = lambda k: F.max(F.when((F.col("line_no") - 1) % 4 == k, F.col("value")))
-    r = t.groupBy("file", "index").agg(at(0).alias("head"), at(1).alias("seq"), at(3).alias("qual"))
-    head = F.when(F.col("head").startswith("@"), F.substr("head", F.lit(2))).otherwise(F.raise_error(F.concat(F.lit("record out of register: "), "head")))
-    return r.withColumn("head", head).select("file", "index", F.regexp_extract("head", r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace("head", r"^\S*\s*", "")).alias("desc"), "seq", "qual")
+def _fastq_records(batches):
+    """Reads from pieces between line breaks before ``@``, a piece a row. A quality string that begins with @ makes a piece of
+    its own, which is put back; where the two pieces lie in two splits, each goes out as a fragment with the border between."""
+    key, n, waiting = None, 0, None
+    for batch in batches:
+        out = []
+
+        def put(kind, border, head, seq, qual):
+            nonlocal n
+            out.append((*key[:2], n, kind, border, head, seq, qual))
+            n += kind != 2
+
+        for *here, text in zip(*(c.to_pylist() for c in batch.columns)):
+            first = here != key
+            if first:
+                if waiting:
+                    put(1, key[1] + key[2], *waiting, None)
+                key, n, waiting = here, 0, None
+            if first and here[1] == 0:
+                if not text:
+                    continue
+                if not text.startswith("@"):
+                    raise ValueError(f"record out of register: {text[:80]}")
+                text = text[1:]
+            rows = [x.removesuffix("\r") for x in text.split("\n")]
+            if len(rows) in (2, 5) and not rows[-1]:  # the file's last line break
+                rows.pop()
+            if waiting and len(rows) == 1:
+                put(0, None, *waiting, "@" + rows[0])
+                waiting = None
+            elif waiting or len(rows) not in (3, 4) and not (first and len(rows) == 1) or len(rows) > 2 and not rows[2].startswith("+") or len(rows) == 4 and rows[1] and not rows[3]:
+                raise ValueError(f"record out of register: {text[:80]}")
+            elif len(rows) == 1:
+                put(2, here[1], None, None, "@" + rows[0])
+            elif len(rows) == 3:
+                waiting = rows[:2]
+            else:
+                put(0, None, rows[0], rows[1], rows[3])
+        columns = list(zip(*out)) or [()] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FASTQ_TYPES)], FASTQ_NAMES)
+    if waiting:
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*key[:2], n, 1, key[1] + key[2], *waiting, None), FASTQ_TYPES)], FASTQ_NAMES)
+
+
+FASTQ_NAMES = ["file", "block", "inner", "kind", "border", "head", "seq", "qual"]
+FASTQ_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+
+def read_fastq(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
+    """Four-line read records: file, index (from 0), id, desc, seq, qual. A record out of register fails the read.
+
+    Splits of the files are read record by record, so no line is shuffled: only the two halves of a record that a split
+    cuts meet. ``numbered`` counts the records of all splits first, which takes a second look at the files; without it
+    there is no index."""
+    t = spark.read.option("lineSep", "\n@").text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length"), "value")
+    r = t.mapInArrow(_fastq_records, "file string, block long, inner long, kind int, border long, head string, seq string, qual string")
+    halves = r.where("kind > 0").groupBy("file", "border").agg(*(F.max(c).alias(c) for c in ("block", "inner", "head", "seq", "qual")), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("kind") == 1, F.col("block"))).alias("own"))
+    torn = F.raise_error(F.concat(F.lit("record out of register at byte "), F.col("border").cast("string"), F.lit(" of "), F.col("file"))).cast("string")
+    halves = halves.select("file", F.col("own").alias("block"), "inner", F.when((F.col("n") == 2) & F.col("own").isNotNull(), F.col("head")).otherwise(torn).alias("head"), "seq", "qual")
+    r = r.where("kind = 0").select("file", "block", "inner", "head", "seq", "qual").unionByName(halves)
+    kept = [F.regexp_extract("head", r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace("head", r"^\S*\s*", "")).alias("desc"), "seq", "qual"]
+    if not numbered:
+        return r.select("file", *kept)
+    w = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row per split
+    base = r.groupBy("file", "block").agg(F.max("inner").alias("last")).withColumn("base", F.coalesce(F.sum(F.col("last") + 1).over(w), F.lit(0))).drop("last")
+    return r.join(base, ["file", "block"]).select("file", (F.col("base") + F.col("inner")).alias("index"), *kept)
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +147,7 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.text(path).withColumn("file", F.input_file_name())
     heads = t.where(F.col("value").startswith("#CHROM")).select("file", F.slice(F.split("value", "\t"), F.lit(10), F.greatest(F.size(F.split("value", "\t")) - 9, F.lit(0))).alias("names"))
     f = lambda i: F.get("f", F.lit(i))
-    rows = t.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("file", F.split("value", "\t").alias("f")).join(F.broadcast(heads), "file")  # a row per file
+    rows = t.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("file", F.split("value", "\t").alias("f")).join(heads, "file")
     info = F.map_from_entries(F.array_distinct(F.transform(F.split(f(7), ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.substr(x, F.instr(x, F.lit("=")) + 1)).otherwise("1").alias("v")))))
     rows = rows.select(f(0).alias("seqid"), f(1).cast("long").alias("pos"), _known(f(2)).alias("id"), f(3).alias("ref"), _known(f(4)).alias("alt"), _known(f(5)).cast("double").alias("qual"), _known(f(6)).alias("filter"), info.alias("info"), F.arrays_zip("names", F.slice("f", F.lit(10), F.greatest(F.size("f") - 9, F.lit(0))).alias("g")).alias("calls"))
     return rows.select("*", F.explode_outer("calls").alias("c")).select("seqid", "pos", "id", "ref", "alt", "qual", "filter", "info", F.col("c.names").alias("sample"), F.substring_index("c.g", ":", 1).alias("gt"))

@@ -83,13 +83,15 @@ def write_chunks(df: DataFrame, n: int, path: str, format: str = "parquet", mode
 
 
 def write_matrix(df: DataFrame, path: str, fmt: str, mode: str = "error") -> None:
-    """Aligned rows (sample, seq) as ``phylip``, ``nexus`` rows, ``structure`` (a symbol per column) or ``lian`` lines;
-    the header goes into the first line of each file, so that coalesced output is a whole matrix."""
+    """Aligned rows (sample, seq) as ``phylip``, ``nexus`` rows, ``structure`` (a symbol per column) or ``lian`` lines. Rows are
+    dealt to files by sample: the header is the first line of the first file, and the files in the order of their names,
+    one after the other, are the matrix."""
     size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("seq")).alias("m"))
     name = F.col("sample").cast("string")
+    apart = lambda by: F.regexp_replace(F.regexp_replace("seq", "(?s)(.)", f"$1{by}"), f"{by}$", "")
     row = {
         "phylip": F.concat(F.rpad(name, 10, " "), "seq"), "nexus": F.concat_ws("\t", name, "seq"),
-        "structure": F.concat_ws(" ", name, F.array_join(F.filter(F.split("seq", ""), lambda c: c != ""), " ")), "lian": F.concat_ws("\t", name, F.array_join(F.filter(F.split("seq", ""), lambda c: c != ""), "\t")),
+        "structure": F.concat_ws(" ", name, apart(" ")), "lian": F.concat_ws("\t", name, apart("\t")),
     }[fmt]
     rows = df.select(F.lit(1).alias("k"), name.alias("s"), row.alias("value"))
     head = {"phylip": F.format_string(" %d %d", "n", "m"), "nexus": F.format_string("#NEXUS\nbegin data;\ndimensions ntax=%d nchar=%d;\nmatrix", "n", "m")}.get(fmt)
@@ -97,7 +99,21 @@ def write_matrix(df: DataFrame, path: str, fmt: str, mode: str = "error") -> Non
         rows = rows.unionByName(size.select(F.lit(0).alias("k"), F.lit("").alias("s"), head.alias("value")))
     if fmt == "nexus":
         rows = rows.unionByName(size.select(F.lit(2).alias("k"), F.lit("").alias("s"), F.lit(";\nend;").alias("value")))
-    rows.coalesce(1).sortWithinPartitions("k", "s").select("value").write.mode(mode).text(path)  # a row per sample
+    rows.repartitionByRange("k", "s").sortWithinPartitions("k", "s").select("value").write.mode(mode).text(path)
+
+
+def write_rsq(alleles: DataFrame, path: str, mode: str = "error") -> None:
+    """Alleles (chrom, pos, sample, ref, allele) as a folder per chromosome: the numbers of samples and sites, the positions, the
+    reference alleles, and a row per sample; N where there is none. Sites are in the order of their positions."""
+    base = lambda c: F.when(F.col(c).isNull() | F.col(c).isin("", "-"), "N").otherwise(F.col(c))
+    sites = alleles.groupBy("chrom", "pos").agg(F.min(base("ref")).alias("ref")).groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("pos", "ref"))).alias("sites"))
+    rows = alleles.groupBy("chrom", "sample").agg(F.map_from_entries(F.collect_list(F.struct("pos", base("allele").alias("a")))).alias("own"))
+    joined = lambda f: F.array_join(F.transform("sites", f), " ")
+    lines = rows.join(sites, "chrom").select("chrom", F.lit(3).alias("k"), F.col("sample").cast("string").alias("s"), F.concat_ws(" ", F.col("sample").cast("string"), joined(lambda x: F.coalesce(F.try_element_at("own", x["pos"]), F.lit("N")))).alias("value"))
+    n = rows.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
+    heads = F.array(F.format_string("%d %d", "n", F.size("sites")), joined(lambda x: x["pos"].cast("string")), joined(lambda x: x["ref"]))
+    lines = lines.union(sites.join(n, "chrom").select("chrom", F.posexplode(heads).alias("k", "value")).select("chrom", "k", F.lit(""), "value"))
+    lines.repartitionByRange("chrom", "k", "s").sortWithinPartitions("chrom", "k", "s").select("chrom", "value").write.mode(mode).partitionBy("chrom").text(path)
 
 
 def split_records(text: DataFrame, name_pattern: str, path: str, mode: str = "error") -> None:
