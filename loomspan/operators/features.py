@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.operators.intervals import BIN, TILE, beside, earlier, greedy_disjoint, merge_intervals, overlap_anti, tile_of
+from loomspan.sources.scratch import kept
 
 
 def of_type(df: DataFrame, *types: str, column: str = "type") -> DataFrame:
@@ -279,12 +280,14 @@ def gene_order_map(genes: DataFrame, go: DataFrame) -> DataFrame:
 def promoter_windows(genes: DataFrame, genome: DataFrame, steps: int = 4, size: int = 1000, bin_size: int = BIN) -> DataFrame:
     """Windows upstream of each gene, ``size`` bases a step, cut at the sequence's ends. A gene's windows stop at the first
     that touches a gene or a window that another gene has; genes have theirs in order of (start, gene)."""
-    g = genes.select("gene", "seqid", "strand", "start", "stop").join(genome, "seqid")
+    genes = kept(genes.select("gene", "seqid", "strand", "start", "stop"), "genes")  # read several times
+    g = genes.join(genome, "seqid")
     k = g.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     plus = F.col("strand") != "-"
     a = F.when(plus, F.col("start") - F.col("step") * size).otherwise(F.col("stop") + (F.col("step") - 1) * size + 1)
     k = k.select("gene", "seqid", "strand", "step", F.col("start").alias("g_start"), F.greatest(a, F.lit(1)).alias("w1"), F.least(a + size - 1, "length").alias("w2")).where("w1 <= w2")
     k = k.select("gene", "seqid", "strand", "step", "g_start", F.col("w1").alias("start"), F.col("w2").alias("stop"))
+    k = kept(k, "windows")
     free = overlap_anti(k, genes.select("seqid", "start", "stop"), bin_size=bin_size)
     run = free.withColumn("upto", F.row_number().over(W.partitionBy("gene").orderBy("step"))).where("upto = step").drop("upto")
     own = greedy_disjoint(run, "seqid", [F.col("g_start"), F.col("gene"), F.col("step")], chain="gene")

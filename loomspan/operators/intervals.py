@@ -214,8 +214,9 @@ def greedy_disjoint(df: DataFrame, on: str | list[str], order: list[Column], cha
         firsts = at.groupBy(*place).agg(F.min("__rank").alias("__all"), F.min(F.when(F.col("__own"), F.col("__rank"))).alias("__home"))
         ahead = at.join(firsts, place).groupBy("__row").agg(F.min(F.when(F.col("__own"), F.col("__all")).otherwise(F.col("__home"))).alias("__first"))
         best = open_.join(ahead, "__row").where(F.col("__first").isNull() | (F.col("__rank") <= F.col("__first")))
-        if chain:  # the rows of a chain before it are taken or gone
-            best = best.join(open_.groupBy("__chain").agg(F.min("__rank").alias("__next")), "__chain").where(F.col("__rank") == F.col("__next"))
+        if chain:  # the rows of a chain before it are taken too
+            wait = open_.join(best.select("__row"), "__row", "left_anti").groupBy("__chain").agg(F.min("__rank").alias("__wait"))
+            best = best.join(wait, "__chain", "left").where(F.col("__wait").isNull() | (F.col("__rank") < F.col("__wait")))
         best = kept(best.select("__row"), "greedy")
         taken.append(best)
         new = at.join(best, "__row").select(*(F.col(k).alias(f"{k}__t") for k in keys), F.col("__m").alias("__mt"), F.col("__bin").alias("__bint"), F.col("start").alias("__from"), F.col("stop").alias("__to"), F.col("__own").alias("__ownt"))

@@ -18,9 +18,10 @@ from loomspan.sources.scratch import kept
 def ancestors(edges: DataFrame, most: int = 1000) -> DataFrame:
     """All (term, ancestor, distance) of a graph (child, parent), the shortest distance; a term is its own at 0.
     Each step joins the newest pairs alone; cycles end, as known pairs are dropped. A graph of over ``most`` steps is an error."""
-    nodes = edges.select("child").union(edges.select("parent")).distinct()
+    steps = kept(edges.select("child", "parent").distinct(), "edges")  # read in every step
+    nodes = steps.select("child").union(steps.select("parent")).distinct()
     known = nodes.select(F.col("child").alias("term"), F.col("child").alias("ancestor"), F.lit(0).alias("distance"))
-    newest, steps = known, edges.select("child", "parent").distinct()
+    newest = known
     for step in range(1, most + 1):
         next_ = newest.join(steps, newest.ancestor == steps.child).select("term", F.col("parent").alias("ancestor")).distinct()
         fresh = next_.join(known, ["term", "ancestor"], "left_anti").withColumn("distance", F.lit(step))
@@ -42,7 +43,7 @@ def lineage(edges: DataFrame, root: str, most: int = 1000) -> DataFrame:
 def longest_paths(edges: DataFrame, root: str, most: int = 1000) -> DataFrame:
     """``lineage`` with the path as an array. Round k has the terms that a path of k steps leads to, each with one such
     path; the last round that has a term has its longest path, as its parent's is one shorter."""
-    steps = edges.where("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct()
+    steps = kept(edges.where("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct(), "edges")
     newest = steps.where(F.col("parent") == root).select(F.col("parent").alias("term")).distinct().withColumn("up", F.array("term"))
     rounds = []
     for step in range(most + 1):
@@ -72,8 +73,8 @@ def ranked(paths: DataFrame, ranks: DataFrame, wanted: tuple[str, ...] = ("kingd
 def map_to_slim(edges: DataFrame, slim: DataFrame) -> DataFrame:
     """Each term's nearest slim terms (slim: term) by is_a only, where edges have a column rel: itself if it is one;
     else those of its parents that are; only if none is, what all its parents map to."""
-    e = (edges.where("rel = 'is_a'") if "rel" in edges.columns else edges).select("child", "parent").distinct()
-    s = slim.select(F.col("term").alias("parent")).distinct()
+    e = kept((edges.where("rel = 'is_a'") if "rel" in edges.columns else edges).select("child", "parent").distinct(), "is-a")
+    s = kept(slim.select(F.col("term").alias("parent")).distinct(), "slim")
     direct = e.join(s, "parent", "left_semi").select(F.col("child").alias("node"), F.col("parent").alias("slim"))
     own = e.select("child").union(e.select("parent")).distinct().join(s, F.col("child") == s.parent, "left_semi").select(F.col("child").alias("node"))
     # a term with a slim parent, or that is one, stops all its branches

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import revcomp, translate_cds
 from loomspan.operators.intervals import BIN, earlier, merge_intervals, overlap_join, tile_of
 from loomspan.operators.sequences import fetch_seq
+from loomspan.sources.scratch import kept
 
 
 def coding_parts(models: DataFrame) -> DataFrame:
@@ -49,14 +50,15 @@ def variant_effects(variants: DataFrame, models: DataFrame, genome: DataFrame, b
     old, new, old_aa and new_aa are the codons and residues that change; after a frameshift new_aa is read on in the edited
     sequence through its first stop. stop_at is the residue of that new stop, crosses whether bases outside coding exons
     change as well, cds_pos the first coding base that changes (of an insertion, the base before it on the sequence). Repeated
-    variants count once."""
+    variants count once. Writes intermediate tables."""
     v = _trimmed(variants.select("seqid", "pos", "ref", "alt").distinct())
     insertion = F.length("r") == 0
     v = v.withColumns({"start": F.col("p") - insertion.cast("int"), "stop": F.col("p") + F.greatest(F.length("r"), F.lit(1)) - 1 - insertion.cast("int")})
-    spans = models.groupBy("gene", "seqid").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    v, exons = kept(v, "variants"), kept(coding_parts(models), "exons")  # both are read several times
+    spans = exons.groupBy("gene", "seqid").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     key = ["seqid", "pos", "ref", "alt"]
     hit = overlap_join(v, spans, how="left", bin_size=bin_size).select(*key, "p", "r", "a", F.col("gene_r").alias("gene"))
-    parts = overlap_join(v, coding_parts(models), bin_size=bin_size)
+    parts = overlap_join(v, exons, bin_size=bin_size)
     plus = F.col("strand_r") != "-"
     f, t, same = F.greatest("start", "start_r"), F.least("stop", "stop_r"), F.least(F.length("r"), F.length("a"))
     last = F.col("p") + same - 1  # the last base that is replaced

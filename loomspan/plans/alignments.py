@@ -75,10 +75,10 @@ def column_rates(v):
     return _rates(v).select("block", "col", F.round("rate", 6).alias("rate"), F.round("scaled", 9).alias("scaled"))
 
 
-@query("rate_scores", "WITH " + RATES + """ SELECT block, round(sum(scaled), 6) AS s0, round(sum(1 - scaled), 6) AS s1, round(sum(scaled - 1.0::DOUBLE / states), 6) AS s2, round(sum((scaled - 1.0::DOUBLE / states) * (states::DOUBLE / (states - 1))), 6) AS s3, round(sum(1 - (scaled - 1.0::DOUBLE / states) * (states::DOUBLE / (states - 1))), 6) AS s4 FROM s GROUP BY block""")
+@query("rate_scores", "WITH " + RATES + """ SELECT block, round(sum(scaled), 3) AS s0, round(sum(1 - scaled), 3) AS s1, round(sum(scaled - 1.0::DOUBLE / states), 3) AS s2, round(sum((scaled - 1.0::DOUBLE / states) * (states::DOUBLE / (states - 1))), 3) AS s3, round(sum(1 - (scaled - 1.0::DOUBLE / states) * (states::DOUBLE / (states - 1))), 3) AS s4 FROM s GROUP BY block""")
 def rate_scores(v):
     """The five scores of each column, summed over the block."""
-    return _rates(v).groupBy("block").agg(*(F.round(F.sum(A.rate_score(k)), 6).alias(f"s{k}") for k in range(5)))
+    return _rates(v).groupBy("block").agg(*(F.round(F.sum(A.rate_score(k)), 3).alias(f"s{k}") for k in range(5)))
 
 
 @query("aln_stats_by_row", "WITH " + SIDE.format("r0", "r2") + ", g AS (SELECT block, count(*) FILTER (r <> '-' AND o <> '-')::DOUBLE AS n, count(*) FILTER (r = o AND r <> '-')::DOUBLE AS same FROM s GROUP BY 1), " + SIDE.format("r0", "r1").removeprefix(CELLS + ", ").replace("s AS (", "s2 AS (", 1) + """, g2 AS (SELECT block, count(*) FILTER (r <> '-' AND o <> '-')::DOUBLE AS n, count(*) FILTER (r = o AND r <> '-')::DOUBLE AS same FROM s2 GROUP BY 1),
