@@ -220,8 +220,8 @@ def minhash_components(
     wanted = stored(wanted, "wanted")
     # texts are found again by the id of the class's first row, and then by their set
     texts = docs.join(wanted.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets(k), "set_a long, set_b long, grams binary")
-    sets = texts.join(wanted.select("set_a", "set_b", F.col("row").alias("id")), ["set_a", "set_b"]).groupBy("id").agg(F.first("grams").alias("grams"))
-    sets = stored(sets, "sets")
+    sets = texts.groupBy("set_a", "set_b").agg(F.first("grams").alias("grams")).join(wanted.select("set_a", "set_b", F.col("row").alias("id")), ["set_a", "set_b"])
+    sets = stored(sets.select("id", "grams"), "sets")
     signatures = wanted.select(F.col("row").alias("id"), "signature")
 
     least = percent / 100 - 0.15  # over four standard errors below the threshold
