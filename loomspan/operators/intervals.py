@@ -20,6 +20,8 @@ from loomspan.sources.scratch import kept
 BIN, TILE = 2_000, 100_000
 #: bins that an interval fills at most on its level, which is also how many bins one of the next level holds; levels
 FAN, LEVELS = 16, 5
+#: a bin's number leaves room for its level and whose levels meet there
+PLACES = 16
 
 
 def _keys(on: str | list[str]) -> list[str]:
@@ -49,20 +51,32 @@ def _level(size: int) -> Column:
     return sum(((length > FAN * size * FAN**k).cast("int") for k in range(LEVELS - 1)), F.lit(0))
 
 
+def _wide(size: int, level: Column) -> Column:
+    """The size of the bins of a level."""
+    return F.element_at(F.array(*(F.lit(size * FAN**k).cast("long") for k in range(LEVELS))), level + 1)
+
+
 def _dealt(df: DataFrame, other: DataFrame, size: int, right: bool) -> DataFrame:
-    """``df`` with a row per bin: __level, __bin, and __meets, which tells whose levels meet there: 0 equal ones, 1 a left
-    interval and the bins above a shorter right one, 2 a right interval and the bins above a shorter left one."""
-    levels = other.agg(F.coalesce(F.bit_or(F.pow(F.lit(2), _level(size)).cast("int")), F.lit(0)).alias("__levels"))
+    """``df`` with a row per bin: __at is the bin and, in its last ``PLACES`` values, the level and whose levels meet there:
+    0 equal ones, 1 a left interval and the bins above a shorter right one, 2 a right interval and the bins above a shorter
+    left one."""
+    levels = other.agg(F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1), _level(size))), F.lit(0)).alias("__levels"))
     df = df.withColumn("__own", _level(size)).join(F.broadcast(levels), how="cross")  # one row
-    own, there = F.col("__own"), F.col("__levels")
-    places = [
-        F.struct(own.alias("level"), F.lit(0).alias("meets")),
-        F.when(there % F.pow(F.lit(2), own).cast("int") > 0, F.struct(own.alias("level"), F.lit(2 if right else 1).alias("meets"))),
-        *(F.when((own < k) & (there.bitwiseAND(1 << k) > 0), F.struct(F.lit(k).alias("level"), F.lit(1 if right else 2).alias("meets"))) for k in range(1, LEVELS)),
-    ]
-    df = df.withColumn("__at", F.explode(F.array_compact(F.array(*places)))).withColumn("__wide", F.lit(size) * F.pow(F.lit(FAN), F.col("__at.level")).cast("long"))
-    df = df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / F.col("__wide")), F.floor(F.col("stop") / F.col("__wide")))))
-    return df.withColumns({"__level": F.col("__at.level"), "__meets": F.col("__at.meets")}).drop("__own", "__levels", "__at")
+    own, there, none = F.col("__own"), F.col("__levels"), F.array().cast("array<bigint>")
+    mine, above = (2, 1) if right else (1, 2)
+    df = df.withColumn("__wide", _wide(size, own))
+    for c, end in (("__from", "start"), ("__to", "stop")):
+        df = df.withColumn(c, F.floor(F.col(end) / F.col("__wide")) * PLACES + 3 * own)
+    step = F.lit(PLACES).cast("long")
+    home = F.sequence("__from", "__to", step)
+    lower = F.when(there % F.call_function("shiftleft", F.lit(1), own) > 0, F.sequence(F.col("__from") + mine, F.col("__to") + mine, step)).otherwise(none)
+    upper = []
+    for k in range(1, LEVELS):  # one bin or two; nulls go in the join
+        first, last = (F.floor(F.col(c) / (size * FAN**k)) * PLACES + (3 * k + above) for c in ("start", "stop"))
+        seen = (own < k) & (there.bitwiseAND(1 << k) > 0)
+        upper += [F.when(seen, first), F.when(seen & (first < last), last)]
+    places = F.when((own == 0) & (there == 1), home).otherwise(F.concat(home, lower, F.when(there > 1, F.array(*upper)).otherwise(none)))
+    return df.withColumn("__at", F.explode(places)).drop("__own", "__levels", "__wide", "__from", "__to")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: str | list[str] = "seqid", how: str = "inner", bin_size: int = BIN, suffix: str = "_r") -> DataFrame:
@@ -72,13 +86,14 @@ def overlap_join(left: DataFrame, right: DataFrame, on: str | list[str] = "seqid
     An interval is ``FAN`` + 1 rows at most on its own level, and for each higher level of the other side one or two
     more. ``bin_size`` is that of the lowest level. A bin with most of one side's rows is split by adaptive execution."""
     keys = _keys(on)
-    own, places = left.where("start <= stop"), ["__level", "__meets", "__bin"]
+    own = left.where("start <= stop")
     r = right.where("start <= stop")
-    l, r = _dealt(own, r, bin_size, False), _dealt(r, own, bin_size, True).drop("__wide").toDF(*(c + suffix for c in [*right.columns, "__bin", "__level", "__meets"]))
-    both = l.join(r, [F.col(k) == F.col(k + suffix) for k in [*keys, *places]])
+    l, r = _dealt(own, r, bin_size, False), _dealt(r, own, bin_size, True).toDF(*(c + suffix for c in [*right.columns, "__at"]))
+    both = l.join(r, [F.col(k) == F.col(k + suffix) for k in [*keys, "__at"]])
     s, t = F.col("start" + suffix), F.col("stop" + suffix)
-    both = both.where((F.col("start") <= t) & (s <= F.col("stop")) & (F.col("__bin") == F.floor(F.greatest("start", s) / F.col("__wide"))))
-    both = both.drop(*places, "__wide", *(c + suffix for c in places))
+    level = F.floor(F.pmod(F.col("__at"), F.lit(PLACES)) / 3).cast("int")
+    both = both.where((F.col("start") <= t) & (s <= F.col("stop")) & (F.floor(F.col("__at") / PLACES) == F.floor(F.greatest("start", s) / _wide(bin_size, level))))
+    both = both.drop("__at", "__at" + suffix)
     if how == "inner":
         return both
     return both.unionByName(overlap_anti(left, right, on, bin_size), allowMissingColumns=True)
