@@ -258,14 +258,32 @@ def collapse_runs(df: DataFrame, value: str = "value", on: str | list[str] = "se
     return merge_intervals(df.withColumns({"start": F.col(value), "stop": F.col(value)}), on, 1, tile)
 
 
+def _ends(df: DataFrame, on: str, **weights: Column) -> DataFrame:
+    """A step up at the start of each interval and one down behind its stop, in the columns of ``weights``."""
+    up, down = (F.struct(at.cast("long").alias("pos"), *((sign * w).cast("long").alias(n) for n, w in weights.items())) for at, sign in ((F.col("start"), 1), (F.col("stop") + 1, -1)))
+    return df.where("start <= stop").select(on, F.inline(F.array(up, down)))
+
+
+def _runs(steps: DataFrame, on: str, values: list[str], tile: int) -> DataFrame:
+    """Stretches between positions at which a sum of ``values`` over the steps (on, pos) so far changes: key, start, stop,
+    sums. One sweep: a window over the positions of a tile, ``tile`` rows at most, and one over the tiles of a key.
+    Behind the last step stop is null. Steps without a key or position are left out."""
+    steps = steps.groupBy(on, "pos").agg(*(F.sum(v).alias(v) for v in values)).where(" OR ".join(f"{v} <> 0" for v in values)).withColumn("__tile", F.floor(F.col("pos") / tile))
+    w_in, w_out = W.partitionBy(on, "__tile").orderBy("pos"), W.partitionBy(on).orderBy("__tile")
+    tiles = steps.groupBy(on, "__tile").agg(F.min("pos").alias("__first"), *(F.sum(v).alias(v) for v in values))
+    tiles = tiles.select(on, "__tile", F.lead("__first").over(w_out).alias("__next"), *(F.sum(v).over(w_out.rowsBetween(W.unboundedPreceding, -1)).alias(f"__{v}") for v in values))
+    runs = steps.select(on, "__tile", "pos", F.lead("pos").over(w_in).alias("__ahead"), *(F.sum(v).over(w_in.rowsBetween(W.unboundedPreceding, 0)).alias(v) for v in values))
+    sums = ((F.col(v) + F.coalesce(F.col(f"__{v}"), F.lit(0))).alias(v) for v in values)
+    return runs.join(tiles, [on, "__tile"]).select(on, F.col("pos").alias("start"), (F.coalesce("__ahead", "__next") - 1).alias("stop"), *sums)
+
+
 def complement(df: DataFrame, genome: DataFrame, on: str = "seqid", tile: int = TILE) -> DataFrame:
-    """What intervals leave free of each sequence of ``genome`` (seqid, length), sequences without intervals whole."""
-    ends = genome.select(on, (F.col("length") + 1).cast("long").alias("start"), (F.col("length") + 1).cast("long").alias("stop"))
-    isles = merge_intervals(df, on, 1, tile).select(on, "start", "stop").join(genome.select(on), on, "left_semi").unionByName(ends)
-    out = earlier(isles, [on], ["start", "stop"], F.col("stop"), "max", F.floor(F.col("start") / tile))
-    out = out.select(on, (F.coalesce("__before", F.lit(0)) + 1).alias("start"), (F.col("start") - 1).alias("stop"))
-    limits = genome.select(F.col(on), F.col("length"))
-    return out.join(limits, on).withColumn("stop", F.least("stop", "length")).drop("length").where("start <= stop")
+    """What intervals leave free of each sequence of ``genome`` (seqid, length, a row per sequence), sequences without
+    intervals whole."""
+    one, none = F.lit(1), F.lit(0)
+    whole = genome.select(on, F.lit(1).alias("start"), F.col("length").alias("stop"))
+    steps = _ends(df, on, taken=one, inside=none).unionByName(_ends(whole, on, taken=none, inside=one))
+    return _runs(steps, on, ["taken", "inside"], tile).where("taken = 0 AND inside > 0").select(on, "start", "stop")
 
 
 def intergenic(genes: DataFrame, genome: DataFrame, on: str = "seqid", tile: int = TILE) -> DataFrame:
@@ -276,14 +294,8 @@ def intergenic(genes: DataFrame, genome: DataFrame, on: str = "seqid", tile: int
 
 def depth(reads: DataFrame, on: str = "seqid", weight: str | None = None, tile: int = TILE) -> DataFrame:
     """Runs of equal depth above 0: key, start, stop, depth."""
-    w = F.col(weight) if weight else F.lit(1)
-    steps = reads.select(on, F.col("start").alias("pos"), w.cast("long").alias("d")).unionByName(reads.select(on, (F.col("stop") + 1).alias("pos"), (-w).cast("long").alias("d")))
-    steps = steps.groupBy(on, "pos").agg(F.sum("d").alias("d")).where("d <> 0")
-    runs = earlier(steps, [on], ["pos"], F.col("d"), "sum", F.floor(F.col("pos") / tile), inclusive=True).withColumn("t", F.floor(F.col("pos") / tile))
-    w_in, w_out = W.partitionBy(on, "t").orderBy("pos"), W.partitionBy(on).orderBy("t")
-    tiles = runs.groupBy(on, "t").agg(F.min("pos").alias("first")).withColumn("next_first", F.lead("first").over(w_out)).drop("first")
-    runs = runs.withColumn("next", F.lead("pos").over(w_in)).join(tiles, [on, "t"]).withColumn("stop", F.coalesce("next", "next_first") - 1)
-    return runs.where("__before > 0").select(on, F.col("pos").alias("start"), "stop", F.col("__before").alias("depth"))
+    steps = _ends(reads, on, depth=F.col(weight) if weight else F.lit(1))
+    return _runs(steps, on, ["depth"], tile).where("depth > 0").select(on, "start", "stop", "depth")
 
 
 def bases_by_type(features: DataFrame, by: str = "type", genome: DataFrame | None = None, on: str = "seqid") -> DataFrame:
@@ -295,13 +307,14 @@ def bases_by_type(features: DataFrame, by: str = "type", genome: DataFrame | Non
     return out.join(F.broadcast(total), how="cross").select(by, "bases", (100.0 * F.col("bases") / F.col("__total")).alias("percent"))
 
 
-def feature_bits(one: DataFrame, two: DataFrame, genome: DataFrame, on: str = "seqid", by: str | None = None, bin_size: int = BIN) -> DataFrame:
+def feature_bits(one: DataFrame, two: DataFrame, genome: DataFrame, on: str = "seqid", by: str | None = None, tile: int = TILE) -> DataFrame:
     """Percent of the genome in each set and in both, cover = both / one, enrich = (both / two) / (one / genome);
-    a row per value of ``by`` (the key, say), or one for all."""
-    a, b = (merge_intervals(x, on, 1).select(on, "start", "stop") for x in (one, two))
+    a row per value of ``by`` (the key, say), or one for all. Both sets are counted in one sweep."""
+    yes, no = F.lit(1), F.lit(0)
+    runs = _runs(_ends(one, on, one=yes, two=no).unionByName(_ends(two, on, one=no, two=yes)), on, ["one", "two"], tile).where("one > 0 OR two > 0")
     size = F.col("stop") - F.col("start") + 1
-    both = overlap_join(a, b, on, bin_size=bin_size).select(on, (F.least("stop", "stop_r") - F.greatest("start", "start_r") + 1).alias("both"))
-    parts = a.select(on, size.alias("one")).unionByName(b.select(on, size.alias("two")), True).unionByName(both, True).unionByName(genome.select(on, F.col("length").alias("len")), True)
+    parts = runs.select(on, *(F.when(seen, size).alias(c) for c, seen in (("one", F.col("one") > 0), ("two", F.col("two") > 0), ("both", (F.col("one") > 0) & (F.col("two") > 0)))))
+    parts = parts.unionByName(genome.select(on, F.col("length").alias("len")), True)
     out = (parts.groupBy(by) if by else parts.groupBy()).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("one", "two", "both", "len")))
     pc = lambda c: F.try_divide(F.lit(100.0) * F.col(c), F.col("len"))
     cover = F.try_divide(F.col("both").cast("double"), F.col("one"))

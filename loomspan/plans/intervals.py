@@ -141,13 +141,13 @@ SELECT {by} round(100 * one / nullif(len, 0), 6) AS one_pc, round(100 * two / nu
 
 @query("feature_bits", BITS.format(by="", group=""))
 def feature_bits(v):
-    out = I.feature_bits(v.features, v.reads, v.genome, bin_size=SMALL)
+    out = I.feature_bits(v.features, v.reads, v.genome)
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
 @query("feature_bits_by_block", BITS.format(by="seqid,", group="GROUP BY seqid"))
 def feature_bits_by_block(v):
-    out = I.feature_bits(v.features, v.reads, v.genome, by="seqid", bin_size=SMALL)
+    out = I.feature_bits(v.features, v.reads, v.genome, by="seqid")
     return out.select("seqid", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
