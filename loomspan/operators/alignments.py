@@ -67,10 +67,10 @@ def aln_column_classes(aln: DataFrame, target: str) -> DataFrame:
     """Columns as invariant, target_unique (the others agree, the target differs) or mixed."""
     # pieces of rows are brought together before they become cells, which then stay where they are
     c = aln.select("block", (F.col("row_id") != target).alias("other"), F.posexplode(_chunks(F.upper("aln"))).alias("p", "c")).repartition("block", "p")
-    c = c.select("*", F.explode(F.sequence(F.lit(1), F.length("c"))).alias("i")).withColumn("base", F.ascii(F.substr("c", F.col("i"), F.lit(1))))  # numbers, so that the aggregate hashes
+    c = c.select("block", "other", "p", F.posexplode(F.split("c", "")).alias("i", "base")).withColumn("base", F.ascii("base"))  # numbers, so that the aggregate hashes
     other = F.when(F.col("other"), F.col("base"))
     g = c.groupBy("block", "p", "i").agg((F.min("base") == F.max("base")).alias("same"), (F.min(other) == F.max(other)).alias("others"))
-    return g.select("block", (F.col("p") * CHUNK + F.col("i")).alias("col"), F.when(F.col("same"), "invariant").when(F.col("others"), "target_unique").otherwise("mixed").alias("class"))
+    return g.select("block", (F.col("p") * CHUNK + F.col("i") + 1).alias("col"), F.when(F.col("same"), "invariant").when(F.col("others"), "target_unique").otherwise("mixed").alias("class"))
 
 
 def mutation_counts(aln: DataFrame, one: str, two: str, outgroup: str) -> DataFrame:
