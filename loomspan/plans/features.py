@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import features as G
 from loomspan.operators import windows as N
+from loomspan.operators.intervals import touched_blocks
 from loomspan.plans.reads import rounded
 from loomspan.plans.views import query
 
@@ -280,7 +281,7 @@ def normalize_bins(v):
 SELECT t.seqid, t.bin, n, class FROM t JOIN b ON t.seqid = b.seqid AND t.bin * 100 + 50 BETWEEN b.start AND b.stop""")
 def partition_bins(v):
     t = v.features.groupBy("seqid", F.floor(F.col("start") / 100).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    x = v.genome.select("seqid", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / 1500))).alias("x"))
+    x = touched_blocks(t.withColumn("mid", F.col("bin") * 100 + 50), v.genome, 1500, "x", start="mid", stop="mid").where("x BETWEEN 0 AND floor(length / 1500)")
     b = x.select("seqid", (F.col("x") * 1500 + 1).alias("start"), (F.col("x") * 1500 + 1000).alias("stop"), F.when(F.col("x") % 3 == 0, "HOT").when(F.col("x") % 3 == 1, "COLD").otherwise("NEUTRAL").alias("class"))
     return N.partition_bins(t, b, 100)
 
