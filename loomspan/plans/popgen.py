@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.operators import popgen as P
+from loomspan.operators.intervals import touched_blocks
 from loomspan.plans.reads import rounded
 from loomspan.plans.views import query
 
@@ -163,7 +164,7 @@ def consensus_codes(v):
 
 @query("values_by_region", "SELECT f.seqid, f.start AS pos, score AS value, CASE (r.x % 2) WHEN 0 THEN 'HOT' ELSE 'COLD' END AS class FROM features f JOIN (SELECT seqid, x, x * 700 + 1 AS a, x * 700 + 300 AS b FROM genome, unnest(range(0, length // 700 + 1)) t(x)) r ON f.seqid = r.seqid AND f.start BETWEEN a AND b")
 def values_by_region(v):
-    x = v.genome.select("seqid", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / 700))).alias("x"))
+    x = touched_blocks(v.features, v.genome, 700, "x", stop="start").where("x BETWEEN 0 AND floor(length / 700)")
     r = x.select("seqid", (F.col("x") * 700 + 1).alias("start"), (F.col("x") * 700 + 300).alias("stop"), F.when(F.col("x") % 2 == 0, "HOT").otherwise("COLD").alias("class"))
     return P.values_by_region(v.features.select("seqid", F.col("start").alias("pos"), F.col("score").alias("value")), r)
 
