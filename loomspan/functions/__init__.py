@@ -1,9 +1,11 @@
-"""Column functions on sequences, qualities, identifiers and scores. All are built-in expressions."""
+"""Column functions on sequences, qualities, identifiers and scores. All but ``two_digits`` are built-in expressions."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The standard genetic code in the usual order of bases, and what tables 4 and 12 change in it.
 BASES = "TCAG"
@@ -119,10 +121,16 @@ def scaled_evalue(bits: Column | str, qlen: Column | str, dbsize: float) -> Colu
     return F.lit(dbsize) * _col(qlen) / F.pow(F.lit(2.0), _col(bits))
 
 
+@F.pandas_udf(StringType())
+def _two_digits(value: pd.Series) -> pd.Series:
+    return value.map(lambda x: f"{x:.1e}", na_action="ignore")
+
+
 def two_digits(value: Column | str) -> Column:
-    """A number with two significant digits as text; 0 is 0e0."""
+    """A number with two significant digits as text; 0 is 0e0. The number's exact value decides, and in the middle the
+    even digit, as in C and Perl; Spark's own format rounds the shortest text of the number and always up (1.25e8: 1.3e+08)."""
     v = _col(value)
-    return F.when(v == 0, "0e0").otherwise(F.format_string("%.1e", v))
+    return F.when(v == 0, "0e0").otherwise(_two_digits(v.cast("double")))
 
 
 def codon_change(cds: Column | str, pos: Column | str, allele: Column | str) -> Column:
