@@ -73,8 +73,8 @@ def strain_cds(v):
 
 
 @query("mirna_candidates", """WITH w AS (SELECT DISTINCT seqid, w FROM (SELECT seqid, w, lib, sum(weight) AS n FROM (SELECT *, unnest(range((start - 1) // 1000, (stop - 1) // 1000 + 1)) AS w FROM reads) x GROUP BY ALL) y WHERE n > 3),
-r AS (SELECT r.seqid, r.start, r.stop, w.w FROM reads r JOIN w ON r.seqid = w.seqid AND r.start <= (w + 1) * 1000 AND w * 1000 + 1 <= r.stop), m0 AS (SELECT seqid, start, stop, CASE WHEN start > max(stop) OVER (PARTITION BY seqid ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS k FROM r),
-m1 AS (SELECT *, sum(k) OVER (PARTITION BY seqid ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM m0), t AS (SELECT m1.seqid, min(start) AS a, max(stop) AS b, count(*) AS n, any_value(length) AS length FROM m1 JOIN genome ON m1.seqid = genome.seqid GROUP BY m1.seqid, g)
+r AS (SELECT r.seqid, r.start, r.stop, count(*) AS c FROM reads r JOIN w ON r.seqid = w.seqid AND r.start <= (w + 1) * 1000 AND w * 1000 + 1 <= r.stop GROUP BY ALL), m0 AS (SELECT seqid, start, stop, c, CASE WHEN start > max(stop) OVER (PARTITION BY seqid ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS k FROM r),
+m1 AS (SELECT *, sum(k) OVER (PARTITION BY seqid ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM m0), t AS (SELECT m1.seqid, min(start) AS a, max(stop) AS b, CAST(sum(c) AS BIGINT) AS n, any_value(length) AS length FROM m1 JOIN genome ON m1.seqid = genome.seqid GROUP BY m1.seqid, g)
 SELECT seqid, a AS t_start, b AS t_stop, n, 'left' AS side, greatest(a - 160, 1) AS start, least(b + 20, length) AS stop FROM t UNION ALL SELECT seqid, a, b, n, 'right', greatest(a - 20, 1), least(b + 160, length) FROM t""")
 def mirna_candidates(v):
     return V.mirna_candidates(R.window_counts(v.reads), v.reads, v.genome, 3, bin_size=1000)
