@@ -102,17 +102,26 @@ def write_matrix(df: DataFrame, path: str, fmt: str, mode: str = "error") -> Non
     rows.repartitionByRange("k", "s").sortWithinPartitions("k", "s").select("value").write.mode(mode).text(path)
 
 
-def write_rsq(alleles: DataFrame, path: str, mode: str = "error") -> None:
+def write_rsq(alleles: DataFrame, path: str, mode: str = "error", size: int = 100_000) -> None:
     """Alleles (chrom, pos, sample, ref, allele) as a folder per chromosome: the numbers of samples and sites, the positions, the
-    reference alleles, and a row per sample; N where there is none. Sites are in the order of their positions."""
+    reference alleles, and a row per sample; N where there is none. Sites are in the order of their positions. Texts are made of
+    ``size`` positions each and then joined, as the format has a chromosome in one line."""
     base = lambda c: F.when(F.col(c).isNull() | F.col(c).isin("", "-"), "N").otherwise(F.col(c))
-    sites = alleles.groupBy("chrom", "pos").agg(F.min(base("ref")).alias("ref")).groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("pos", "ref"))).alias("sites"))
-    rows = alleles.groupBy("chrom", "sample").agg(F.map_from_entries(F.collect_list(F.struct("pos", base("allele").alias("a")))).alias("own"))
-    joined = lambda f: F.array_join(F.transform("sites", f), " ")
-    lines = rows.join(sites, "chrom").select("chrom", F.lit(3).alias("k"), F.col("sample").cast("string").alias("s"), F.concat_ws(" ", F.col("sample").cast("string"), joined(lambda x: F.coalesce(F.try_element_at("own", x["pos"]), F.lit("N")))).alias("value"))
-    n = rows.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
-    heads = F.array(F.format_string("%d %d", "n", F.size("sites")), joined(lambda x: x["pos"].cast("string")), joined(lambda x: x["ref"]))
-    lines = lines.union(sites.join(n, "chrom").select("chrom", F.posexplode(heads).alias("k", "value")).select("chrom", "k", F.lit(""), "value"))
+    part = F.floor(F.col("pos") / size).alias("part")
+    listed = lambda what: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "a"))), lambda x: x[what].cast("string")), " ")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", c))), lambda x: x[c]), " ")
+    sites = alleles.groupBy("chrom", "pos").agg(F.min(base("ref")).alias("a"))
+    samples = alleles.select("chrom", "sample").distinct()
+    # every site of every sample, where there is no allele null
+    none = sites.select("chrom", "pos").join(samples, "chrom").select("chrom", "pos", "sample", F.lit(None).cast("string").alias("a"))
+    cells = none.unionByName(alleles.select("chrom", "pos", "sample", base("allele").alias("a"))).groupBy("chrom", "pos", "sample").agg(F.coalesce(F.min("a"), F.lit("N")).alias("a"))
+    rows = cells.groupBy("chrom", "sample", part).agg(listed("a").alias("text")).groupBy("chrom", "sample").agg(joined("text").alias("text"))
+    name = F.col("sample").cast("string")
+    lines = rows.select("chrom", F.lit(3).alias("k"), name.alias("s"), F.concat_ws(" ", name, "text").alias("value"))
+    head = sites.groupBy("chrom", part).agg(listed("pos").alias("at"), listed("a").alias("ref"), F.count(F.lit(1)).alias("m"))
+    head = head.groupBy("chrom").agg(joined("at").alias("at"), joined("ref").alias("ref"), F.sum("m").alias("m")).join(samples.groupBy("chrom").agg(F.count(F.lit(1)).alias("n")), "chrom")
+    heads = F.array(F.format_string("%d %d", "n", "m"), F.col("at"), F.col("ref"))
+    lines = lines.union(head.select("chrom", F.posexplode(heads).alias("k", "value")).select("chrom", "k", F.lit(""), "value"))
     lines.repartitionByRange("chrom", "k", "s").sortWithinPartitions("chrom", "k", "s").select("chrom", "value").write.mode(mode).partitionBy("chrom").text(path)
 
 

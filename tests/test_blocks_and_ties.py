@@ -8,6 +8,7 @@ import pytest
 from loomspan import catalog
 from loomspan.functions import two_digits
 from loomspan.operators import features, windows
+from loomspan.sources import sinks
 from tests.conftest import SF
 
 FAR = 10**12  # a part number: its features lie 4 * 10**13 bases from the sequence's start
@@ -85,3 +86,17 @@ def test_lone_promoters_need_no_rounds(spark, monkeypatch):
     assert seen == [6]  # x and the first gene have two or more windows each between them, all others touch none
     assert got[("y", 1)] == (1, 49) and ("y", 2) not in got and got[("x", 1)] == (9201, 9400)
     assert sum(g not in ("x", "y", "g1") for g, _ in got) == 58 * 4
+
+
+def test_rsq_rows_are_joined_site_by_site(spark, tmp_path):
+    rows = [("c", p, s, "A", None if p % 3 == 0 else "ACGT"[(p + s) % 4]) for p in range(1, 4001) for s in range(3) if (p + s) % 5] + [("d", 7, None, "C", "-")]
+    a = table(spark, "chrom string, pos long, sample int, ref string, allele string", rows)
+    sinks.write_rsq(a, str(tmp_path / "rsq"))
+    got = [tuple(r) for r in spark.read.text(str(tmp_path / "rsq")).select("chrom", "value").collect()]
+    own = {(p, s): x or "N" for c, p, s, _, x in rows if c == "c"}
+    want = ["3 4000", " ".join(map(str, range(1, 4001))), " ".join("A" * 4000)] + [" ".join([str(s)] + [own.get((p, s), "N") for p in range(1, 4001)]) for s in range(3)]
+    assert [v for c, v in got if c == "c"] == want
+    assert [v for c, v in got if c == "d"] == ["1 1", "7", "C", "N"]
+    twice = a.where("chrom = 'd'").union(a.where("chrom = 'd'"))
+    sinks.write_rsq(twice, str(tmp_path / "twice"))  # equal rows twice: one site of one sample
+    assert [r[0] for r in spark.read.text(str(tmp_path / "twice")).select("value").collect()] == ["1 1", "7", "C", "N"]
