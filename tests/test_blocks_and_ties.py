@@ -1,13 +1,15 @@
 """Block maps that grow with the intervals and not with the genome, and results that no tie or rounding decides."""
 
+import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from loomspan import catalog
 from loomspan.functions import two_digits
-from loomspan.operators import features, windows
+from loomspan.operators import features, popgen, windows
 from loomspan.sources import sinks
 from tests.conftest import SF
 
@@ -100,3 +102,16 @@ def test_rsq_rows_are_joined_site_by_site(spark, tmp_path):
     twice = a.where("chrom = 'd'").union(a.where("chrom = 'd'"))
     sinks.write_rsq(twice, str(tmp_path / "twice"))  # equal rows twice: one site of one sample
     assert [r[0] for r in spark.read.text(str(tmp_path / "twice")).select("value").collect()] == ["1 1", "7", "C", "N"]
+
+
+def test_quartiles_are_exact_and_read_by_no_one_task(spark):
+    rng = random.Random(5)
+    rows = [("a", rng.choice([rng.random() * 9, float(rng.randint(0, 5)), None])) for _ in range(3001)] + [(None, 4.0), (None, 1.0), ("b", None), ("c", -2.5), ("d", 1.0), ("d", float("inf"))]
+    df = table(spark, "g string, v double", rows)
+    got = {r["g"]: r for r in popgen.summary_stats(df, "v", "g").collect()}
+    assert set(got) == {"a", "b", "c", "d", None} and got["b"]["n"] == 0 and got["b"]["median"] is None
+    assert (got[None]["q1"], got[None]["median"], got["c"]["q3"]) == (1.75, 2.5, -2.5)
+    a = np.array([v for g, v in rows if g == "a" and v is not None])
+    assert np.allclose([got["a"][c] for c in ("min", "q1", "median", "q3", "max")], np.quantile(a, [0, 0.25, 0.5, 0.75, 1]), rtol=0, atol=1e-12)
+    plan = popgen.summary_stats(df, "v", "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan  # its state is all distinct values of a group
