@@ -67,7 +67,7 @@ RATES = CELLS + """, r AS (SELECT block, col, sum(ascii(base) * pow(2.0, -col %
 
 
 def _rates(v):
-    return A.column_rates(A.columns(v.aln).select("block", "col", F.ascii("base").alias("state"), (-F.col("col") % 5).alias("lg_post")))
+    return A.column_rates(v.aln, F.ascii, lambda base, col: -col % 5)
 
 
 @query("column_rates", "WITH " + RATES + " SELECT block, col, round(rate, 6) AS rate, round(scaled, 9) AS scaled FROM s")
@@ -77,8 +77,9 @@ def column_rates(v):
 
 @query("rate_scores", "WITH " + RATES + """ SELECT block, round(sum(scaled), 3) AS s0, round(sum(1 - scaled), 3) AS s1, round(sum(scaled - 1.0::DOUBLE / states), 3) AS s2, round(sum((scaled - 1.0::DOUBLE / states) * (states::DOUBLE / (states - 1))), 3) AS s3, round(sum(1 - (scaled - 1.0::DOUBLE / states) * (states::DOUBLE / (states - 1))), 3) AS s4 FROM s GROUP BY block""")
 def rate_scores(v):
-    """The five scores of each column, summed over the block."""
-    return _rates(v).groupBy("block").agg(*(F.round(F.sum(A.rate_score(k)), 3).alias(f"s{k}") for k in range(5)))
+    """The five scores of each column, summed over the block. Sums in the middle of two thirds digits go up, whatever the order
+    of their terms was: what that leaves in the last places is rounded off first."""
+    return _rates(v).groupBy("block").agg(*(F.round(F.round(F.sum(A.rate_score(k)), 9), 3).alias(f"s{k}") for k in range(5)))
 
 
 @query("aln_stats_by_row", "WITH " + SIDE.format("r0", "r2") + ", g AS (SELECT block, count(*) FILTER (r <> '-' AND o <> '-')::DOUBLE AS n, count(*) FILTER (r = o AND r <> '-')::DOUBLE AS same FROM s GROUP BY 1), " + SIDE.format("r0", "r1").removeprefix(CELLS + ", ").replace("s AS (", "s2 AS (", 1) + """, g2 AS (SELECT block, count(*) FILTER (r <> '-' AND o <> '-')::DOUBLE AS n, count(*) FILTER (r = o AND r <> '-')::DOUBLE AS same FROM s2 GROUP BY 1),
