@@ -7,27 +7,65 @@ hit, four-line records); those number the lines of each file.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.operators.features import fill_down
-
 
 def _known(c: Column, *missing: str) -> Column:
     return F.when(~c.isin("", ".", *missing), c)
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of text files, lines numbered from 1 within each file. Positions come from Spark's
-    ordered partitions: line counts of the partitions before each are added up."""
-    text = spark.read.text(path).select(F.input_file_name().alias("file"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"), "value")
-    text = text.withColumn("inner", F.row_number().over(W.partitionBy("file", "part").orderBy("seq")))
-    counts = text.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("base", before).select("file", "part", "base")
-    return text.join(counts, ["file", "part"]).select("file", (F.col("base") + F.col("inner")).alias("line_no"), "value")
+def _stretches(batches):
+    """(file, block), whether it begins here, rows: stretches of batches that come from one split of a file."""
+    key = None
+    for batch in batches:
+        files, blocks = batch.column("file").dictionary_encode(), batch.column("block").to_numpy()
+        codes = files.indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(codes) != 0) | (np.diff(blocks) != 0)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if low < high:
+                here = (files.dictionary[int(codes[low])].as_py(), int(blocks[low]))
+                yield here, here != key, batch.slice(low, high - low)
+                key = here
+
+
+def _numbered(batches):
+    """Lines with their number in their split, and the last ``carried`` at or above each of them there."""
+    n, last = 0, None
+    for _, first, rows in _stretches(batches):
+        n, last = (0, None) if first else (n, last)
+        carried = rows.column("carried")
+        carried = pc.fill_null_forward(pa.concat_arrays([pa.array([last], carried.type), carried]))[1:]
+        inner = pa.array(np.arange(n + 1, n + rows.num_rows + 1))
+        yield pa.RecordBatch.from_arrays([rows.column("file"), rows.column("block"), inner, rows.column("value"), carried], ["file", "block", "inner", "value", "carried"])
+        n, last = n + rows.num_rows, carried[-1].as_py()
+
+
+def _split_ends(batches):
+    """A row per split: how many lines it has, and its last ``carried``."""
+    found = {}
+    for here, _, rows in _stretches(batches):
+        n, last = found.get(here, (0, None))
+        carried = rows.column("carried").drop_null()
+        found[here] = (n + rows.num_rows, carried[-1].as_py() if len(carried) else last)
+    columns = [[f for f, _ in found], [b for _, b in found], [n for n, _ in found.values()], [c for _, c in found.values()]]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "block", "n", "last"])
+
+
+def lines(spark: SparkSession, path: str, carried: Column | None = None) -> DataFrame:
+    """(file, line_no, value, carried) of text files: lines numbered from 1 within each file, and the last ``carried`` (a text
+    of a line, or null) at or above each line in its file. Splits are read in order and no line is shuffled; the lines of the
+    splits before come from a first look at the files, a row per split."""
+    t = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", (F.lit(None) if carried is None else carried).cast("string").alias("carried"))
+    w = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    ends = t.select("file", "block", "carried").mapInArrow(_split_ends, "file string, block long, n long, last string")
+    ends = ends.select("file", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"), F.last("last", ignorenulls=True).over(w).alias("above"))
+    rows = t.mapInArrow(_numbered, "file string, block long, inner long, value string, carried string")
+    return rows.join(F.broadcast(ends), ["file", "block"]).select("file", (F.col("base") + F.col("inner")).alias("line_no"), "value", F.coalesce("carried", "above").alias("carried"))
 
 
 def _tabbed(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
@@ -182,9 +220,8 @@ HIT = ("query", "hit", "pid", "aln_len", "mismatches", "gaps", "qstart", "qstop"
 
 def read_blast_tab(spark: SparkSession, path: str) -> DataFrame:
     """Twelve-column hits with file, line_no and, where ``# Query:`` comments name a length, qlen."""
-    t = lines(spark, path)
     length = F.nullif(F.regexp_extract("value", r"^#\s*Query:.*?(\d+)\s*(?:nt|aa|letters)?\)?\s*$", 1), F.lit("")).cast("long")
-    t = fill_down(t.withColumn("qlen", F.when(F.col("value").startswith("#"), length)), "qlen", ["line_no"], ["file"])
+    t = lines(spark, path, F.when(F.col("value").startswith("#"), length)).withColumn("qlen", F.col("carried").cast("long"))
     t = t.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split("value", "\t"))
     kinds = ["string", "string", "double", "long", "long", "long", "long", "long", "long", "long", "double", "double"]
     return t.select("file", "line_no", "qlen", *(F.get("f", F.lit(i)).cast(k).alias(n) for i, (n, k) in enumerate(zip(HIT, kinds))))
@@ -192,9 +229,8 @@ def read_blast_tab(spark: SparkSession, path: str) -> DataFrame:
 
 def read_named_fields(spark: SparkSession, path: str, marker: str = "# Fields:") -> DataFrame:
     """Rows of tables that name their columns in a comment, as (file, line_no, fields map)."""
-    t = lines(spark, path)
-    names = F.when(F.col("value").startswith(marker), F.transform(F.split(F.substr("value", F.lit(len(marker) + 1)), r"\t|,"), lambda x: F.trim(x)))
-    t = fill_down(t.withColumn("names", names), "names", ["line_no"], ["file"])
+    t = lines(spark, path, F.when(F.col("value").startswith(marker), F.substr("value", F.lit(len(marker) + 1))))
+    t = t.withColumn("names", F.transform(F.split("carried", r"\t|,"), lambda x: F.trim(x)))
     t = t.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     values = F.split("value", "\t")
     return t.select("file", "line_no", F.map_from_entries(F.filter(F.transform(F.arrays_zip(F.col("names").alias("k"), values.alias("v")), lambda x: F.struct(x["k"], x["v"])), lambda x: x["k"].isNotNull())).alias("fields"))
