@@ -272,7 +272,7 @@ def read_rnaz(v):
 
     even = F.col("l_linenumber") % 2 == 0
     both = F.concat(report("forward", F.when(even, 0.2).otherwise(0.9)), report("reverse", F.when(even, 0.9).otherwise(0.2)))
-    return R.read_rnaz(v.spark, written(v, v.table("lineitem"), both))
+    return R.read_rnaz(v.spark, written(v, v.table("lineitem"), both, compression="gzip", maxRecordsPerFile=100_000))  # a gzip file is one split
 
 
 @query("read_compressed", "SELECT CAST(p_partkey AS VARCHAR) AS gene, p_brand AS name FROM part")

@@ -43,3 +43,12 @@ def test_lengths_are_filled_down_over_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(map(tuple, got), key=lambda r: r[0]) == [(i + 1, i // 90 * 90 or None) for i in range(2000) if i % 90 or not i]
+
+
+def test_reports_are_written_compressed(spark):
+    """The reports are far larger than the rows they are made of."""
+    from loomspan import catalog
+    from tests.conftest import SF
+
+    files = catalog.queries()["read_rnaz"](spark, SF).inputFiles()
+    assert files and all(f.endswith(".gz") for f in files)
