@@ -63,9 +63,10 @@ def popgen_stats(alleles: DataFrame, window: int = 1000, by_pop: bool = True, by
 def mk_counts(alleles: DataFrame) -> DataFrame:
     """McDonald-Kreitman counts per gene: fixed (one allele within each population) and polymorphic sites of both
     classes; sites of more than two alleles go to ``ambiguous``."""
-    s = alleles.where("allele IS NOT NULL").groupBy("gene", "snptype", "chrom", "pos").agg(
-        F.countDistinct("allele").alias("kinds"), *(F.countDistinct(F.when(F.col("pop") == p, F.col("allele"))).alias(p) for p in ("CI", "CP"))
-    )
+    site = ["gene", "snptype", "chrom", "pos"]
+    # each allele of a site once, with the populations that have it: rows are not multiplied by the counts that are taken of them
+    own = alleles.where("allele IS NOT NULL").groupBy(*site, "allele").agg(*(F.max(F.when(F.col("pop") == p, 1).otherwise(0)).alias(p) for p in ("CI", "CP")))
+    s = own.groupBy(*site).agg(F.count(F.lit(1)).alias("kinds"), *(F.sum(p).alias(p) for p in ("CI", "CP")))
     two, fixed, syn = F.col("kinds") <= 2, (F.col("CI") <= 1) & (F.col("CP") <= 1), F.col("snptype") == "Synonymous"
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
     return s.groupBy("gene").agg(n(two & fixed & syn)("fixed_syn"), n(two & fixed & ~syn)("fixed_non"), n(two & ~fixed & syn)("poly_syn"), n(two & ~fixed & ~syn)("poly_non"), n(~two)("ambiguous"))

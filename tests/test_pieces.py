@@ -83,3 +83,13 @@ def test_indels_across_pieces(spark, aln, blocks):
                     want.append((b, run[0][0], run[-1][0], "c", 1000 * b + run[0][1], 1000 * b + run[-1][1], len(run)))
                 run = []
         assert sorted(map(tuple, A.scan_indels(aln, at, "x", 2, 400, least, most).collect())) == sorted(want) != []
+
+
+def test_alleles_are_counted_without_copies_of_rows(spark):
+    from loomspan.operators import popgen
+
+    rows = [("g", "Synonymous", "c", 1, p, a) for p, a in (("CI", "A"), ("CI", "A"), ("CP", "C"), ("XX", "A"), (None, "C"))]
+    rows += [("g", "Non-Synonymous", "c", 2, p, a) for p, a in (("CI", "A"), ("CI", "C"), ("CP", "C"))] + [("g", "Synonymous", "c", 3, p, a) for p, a in (("XX", "A"), ("CI", "C"), ("CP", "G"), ("CP", None))]
+    out = popgen.mk_counts(spark.createDataFrame(rows, "gene string, snptype string, chrom string, pos long, pop string, allele string"))
+    assert [tuple(r) for r in out.collect()] == [("g", 1, 0, 0, 1, 1)]
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
