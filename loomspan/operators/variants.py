@@ -14,6 +14,9 @@ from loomspan.operators.intervals import BIN, earlier, merge_intervals, overlap_
 from loomspan.operators.sequences import fetch_seq
 from loomspan.sources.scratch import kept
 
+#: bases read on after a frameshift before the next stretch is tried; None is all that is left
+READ_ON = (192, 3_072, None)
+
 
 def coding_parts(models: DataFrame) -> DataFrame:
     """CDS exons (gene, seqid, start, stop, strand) with the coding offset of their first base along the strand."""
@@ -23,7 +26,12 @@ def coding_parts(models: DataFrame) -> DataFrame:
 
 def coding_sequences(models: DataFrame, genome: DataFrame, chunk: int = 100_000) -> DataFrame:
     """The coding sequence of each gene (genome: seqid, seq)."""
-    parts = fetch_seq(coding_parts(models), genome, chunk)
+    return _joined(coding_parts(models), genome, chunk)
+
+
+def _joined(exons: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
+    """The sequences of exons with their coding offsets, joined by gene."""
+    parts = fetch_seq(exons, genome, chunk)
     return parts.groupBy("gene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "seq"))), lambda x: x["seq"]), "").alias("cds"))
 
 
@@ -68,7 +76,7 @@ def variant_effects(variants: DataFrame, models: DataFrame, genome: DataFrame, b
     parts = parts.select(*key, F.col("gene_r").alias("gene"), F.col("strand_r").alias("strand"), low.alias("low"), (t - f + 1).alias("size"), F.struct(f.alias("f"), F.when(F.length("r") > 0, piece).otherwise(F.col("a")).alias("piece")).alias("bit"))
     edits = parts.groupBy(*key, "gene", "strand").agg(F.min("low").alias("c1"), F.max(F.col("low") + F.col("size") - 1).alias("c2"), F.sum("size").alias("covered"), F.array_sort(F.collect_list("bit")).alias("bits"))
     edits = edits.withColumn("put", F.array_join(F.transform("bits", lambda x: x["piece"]), "")).drop("bits")
-    full = hit.join(edits, [*key, "gene"], "left").join(coding_sequences(models, genome, chunk), "gene", "left")
+    full = hit.join(edits, [*key, "gene"], "left").join(_joined(exons, genome, chunk), "gene", "left")
     minus = F.col("strand") == "-"
     put = F.when(minus, revcomp("put")).otherwise(F.col("put"))
     anchor = F.substr("cds", F.col("c1").cast("int"), F.lit(1))
@@ -79,8 +87,14 @@ def variant_effects(variants: DataFrame, models: DataFrame, genome: DataFrame, b
     shift = (F.length("put") - (F.col("c2") - F.col("c1") + 1)) % 3 != 0
     old, new = cds(F.col("w0"), F.col("w1")), F.concat(before, F.col("put"), cds(F.col("c2"), F.col("w1")))
     full = full.withColumns({"shift": shift, "old": old, "new": F.when(~shift, new)})
-    beyond = F.when(F.col("shift"), translate_cds(F.concat(before, F.col("put"), cds(F.col("c2"), F.length("cds")))))
-    beyond = F.when(F.instr(beyond, "*") > 0, F.concat(F.substring_index(beyond, "*", 1), F.lit("*"))).otherwise(beyond)
+    # read on after a frameshift: a stretch at first, a longer one where it has no stop, and then all
+    full, done = full.withColumn("beyond", F.lit(None).cast("string")), 0
+    for ahead in READ_ON:
+        upto = F.length("cds") if ahead is None else F.least(F.col("c2") + ahead, F.length("cds"))
+        open_ = F.col("shift") & (F.col("beyond").isNull() | (F.instr("beyond", "*") == 0) & (F.col("c2") + done < F.length("cds")))
+        done = ahead
+        full = full.withColumn("beyond", F.when(open_, translate_cds(F.concat(before, F.col("put"), cds(F.col("c2"), upto)))).otherwise(F.col("beyond")))
+    beyond = F.when(F.instr("beyond", "*") > 0, F.concat(F.substring_index("beyond", "*", 1), F.lit("*"))).otherwise(F.col("beyond"))
     full = full.withColumns({"old_aa": F.when(F.col("c1").isNotNull(), translate_cds("old")), "new_aa": F.when(F.col("shift"), beyond).when(F.col("c1").isNotNull(), translate_cds("new"))})
     at, was = F.instr("new_aa", "*"), F.instr("old_aa", "*")
     gain = (at > 0) & ((was == 0) | (at < was))

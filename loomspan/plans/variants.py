@@ -9,24 +9,25 @@ from loomspan.operators import reads as R
 from loomspan.operators import variants as V
 from loomspan.plans.reads import rounded
 from loomspan.plans.views import query
+from loomspan.sources.scratch import kept
 
 CODE = "map([" + ", ".join(f"'{c}'" for c in codon_table()) + "], [" + ", ".join(f"'{a}'" for a in codon_table().values()) + "])"
 
 
-def _models(v):
+def _models(seqs):
     """Coding exons of 30 bases all along each sequence, from 11 on every 50 bases, on '-' for odd ids."""
-    s = v.seqs.where("length(seq) >= 40")
+    s = seqs.where("length(seq) >= 40")
     e = s.select(F.concat(F.lit("G"), F.col("id").cast("string")).alias("gene"), F.col("id").alias("seqid"), F.when(F.col("id") % 2 == 1, "-").otherwise("+").alias("strand"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("seq") - 40) / 50))).alias("k"))
-    return e.select("gene", "seqid", "strand", (F.col("k") * 50 + 11).alias("start"), (F.col("k") * 50 + 40).alias("stop")), v.seqs.select(F.col("id").alias("seqid"), "seq")
+    return e.select("gene", "seqid", "strand", (F.col("k") * 50 + 11).alias("start"), (F.col("k") * 50 + 40).alias("stop")), seqs.select(F.col("id").alias("seqid"), "seq")
 
 
 #: bases of ref of the five kinds in turn: substitution, insertion, deletion of 13 after an anchor, two bases by two, four by two
 WIDE = (1, 1, 14, 2, 4)
 
 
-def _variants(v):
+def _variants(seqs):
     """A variant every 17 bases from 5 on, of five kinds in turn; those with equal last bases are left out."""
-    s = v.seqs.select(F.col("id").alias("seqid"), "seq", F.explode(F.sequence(F.lit(5).cast("long"), F.greatest(F.length("seq"), F.lit(5)).cast("long"), F.lit(17).cast("long"))).alias("pos")).where("pos <= length(seq)")
+    s = seqs.select(F.col("id").alias("seqid"), "seq", F.explode(F.sequence(F.lit(5).cast("long"), F.greatest(F.length("seq"), F.lit(5)).cast("long"), F.lit(17).cast("long"))).alias("pos")).where("pos <= length(seq)")
     i = ((F.col("pos") - 5) / 17).cast("int") % 5
     wide = F.element_at(F.array(*(F.lit(w) for w in WIDE)), i + 1)
     s = s.select("seqid", "pos", i.alias("i"), F.substr("seq", F.col("pos").cast("int"), wide).alias("ref"))
@@ -60,13 +61,14 @@ SELECT seqid, CAST(pos AS BIGINT) AS pos, ref, alt, CASE WHEN within THEN gene E
   c1 AS cds_pos, CASE WHEN within THEN old END AS old, CASE WHEN within AND NOT shift THEN new END AS new, CASE WHEN within THEN old_aa END AS old_aa, CASE WHEN within THEN new_aa END AS new_aa,
   CASE WHEN c1 IS NOT NULL THEN covered < CASE i WHEN 2 THEN length(ref) - 1 ELSE length(ref) END END AS crosses, CAST(CASE WHEN (shift AND at_ > 0) OR gain THEN w0 // 3 + at_ END AS BIGINT) AS stop_at FROM f5""")
 def variant_effects(v):
-    models, genome = _models(v)
-    return V.variant_effects(_variants(v), models, genome, 200, 1000)
+    seqs = kept(v.seqs.repartition("id"), "seqs")  # read three times; a file of documents may be one task
+    models, genome = _models(seqs)
+    return V.variant_effects(_variants(seqs), models, genome, 200, 1000)
 
 
 @query("strain_cds", f"WITH {CDS}, s AS (SELECT seqid, gene, array_to_string(list_transform(range(1, length(cds) + 1), lambda i: CASE i % 90 WHEN 2 THEN 'A' WHEN 10 THEN 'C' ELSE substr(cds, i, 1) END), '') AS cds FROM m WHERE exons > 0) SELECT gene, 1 AS sample, cds, array_to_string(list_transform(range(1, length(cds) // 3 + 1), lambda i: coalesce({CODE}[substr(cds, CAST(i * 3 - 2 AS BIGINT), 3)], 'X')), '') AS pep FROM s")
 def strain_cds(v):
-    cds = V.coding_sequences(*_models(v), 1000)
+    cds = V.coding_sequences(*_models(v.seqs), 1000)
     at = F.filter(F.sequence(F.lit(1), F.length("cds")), lambda i: (i % 90).isin(2, 10))
     snps = cds.select("gene", F.lit(1).alias("sample"), F.explode(at).alias("cds_pos")).withColumn("allele", F.when(F.col("cds_pos") % 90 == 2, "A").otherwise("C"))
     return V.strain_cds(cds, snps)
