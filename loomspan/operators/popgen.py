@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import iupac
 from loomspan.functions.statistics import two_sample_p
 from loomspan.operators.intervals import earlier
+from loomspan.sources.scratch import kept
 
 
 def _lfact(n):
@@ -221,34 +223,42 @@ def values_by_region(points: DataFrame, regions: DataFrame, pad: int = 0) -> Dat
     return overlap_join(p, regions.select("seqid", "start", "stop", "class")).select("seqid", "pos", "value", F.col("class_r").alias("class"))
 
 
+def _value_tiles(counts: DataFrame, value: str) -> DataFrame:
+    """Distinct values with __tile, which grows with the value; tiles hold about as many rows each. Runs a job over ``counts``."""
+    bounds = sorted({x for x in counts.approxQuantile(value, [i / 256 for i in range(1, 256)], 0.001) if abs(x) < math.inf}) or [0.0]  # 255 numbers
+    return Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=value, outputCol="__tile", handleInvalid="keep").transform(counts)
+
+
 def compare_groups(df: DataFrame, value: str, group: str, pairs: list[tuple[str, str]]) -> DataFrame:
     """Two-sample comparisons of a value, a row per pair of groups (one, two): KS statistic, sizes, means, variances and
     their ratio, the rank sum of the first group (ties share their mean rank), and the p of three two-sided tests: Kolmogorov's
     limit, the rank sum's normal limit with correction for ties and continuity, and the F of the variances. All pairs in
-    one pass; sweeps go over the distinct values of a pair in tiles."""
-    of = F.array(*(F.struct(F.lit(a).alias("one"), F.lit(b).alias("two")) for a, b in pairs))
-    d = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(group).alias("g"))
-    d = d.select("v", "g", F.inline(F.filter(of, lambda p: (p["one"] == F.col("g")) | (p["two"] == F.col("g")))))
-    first, second = F.col("g") == F.col("one"), F.col("g") == F.col("two")
-    keys = ["one", "two"]
-    v = d.groupBy(*keys, "v").agg(F.sum(F.when(first, 1).otherwise(0)).alias("a"), F.sum(F.when(second, 1).otherwise(0)).alias("b"))
-    bounds = F.array(*map(F.lit, d.approxQuantile("v", [i / 256 for i in range(1, 256)], 0.001) or [0.0]))  # 255 numbers
-    tile = F.size(F.filter(bounds, lambda x: x < F.col("v")))
-    stat = lambda f, c: f(F.when(c, F.col("v")))
-    m = d.groupBy(*keys).agg(
-        F.sum(F.when(first, 1).otherwise(0)).alias("n_one"), F.sum(F.when(second, 1).otherwise(0)).alias("n_two"),
-        stat(F.avg, first).alias("mean_one"), stat(F.avg, second).alias("mean_two"), stat(F.var_samp, first).alias("var_one"), stat(F.var_samp, second).alias("var_two"),
-    )
-    for c in ("a", "b"):
-        v = earlier(v, keys, ["v"], F.col(c), "sum", tile, inclusive=True).withColumnRenamed("__before", f"c{c}")
-    c = v.join(F.broadcast(m), keys)  # a row per pair
-    mean_rank = F.col("ca") + F.col("cb") - (F.col("a") + F.col("b") - 1) / 2
-    t = (F.col("a") + F.col("b")).cast("double")
-    out = c.groupBy(*keys).agg(F.max(F.abs(F.try_divide(F.col("ca").cast("double"), F.col("n_one")) - F.try_divide(F.col("cb").cast("double"), F.col("n_two")))).alias("ks"), F.sum(mean_rank * F.col("a")).alias("rank_sum"), F.sum(t * t * t - t).alias("ties"))
-    out = out.join(F.broadcast(m), keys).withColumn("f_ratio", F.try_divide("var_one", "var_two"))
+    one sweep over the distinct values in tiles, each value a row with its number in every group. Writes an intermediate table."""
+    pairs, names = list(dict.fromkeys(pairs)), list(dict.fromkeys(x for p in pairs for x in p))
+    d = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(group).alias("g")).where(F.col("g").isin(names))
+    n = [f"n{i}" for i in range(len(names))]
+    c = _value_tiles(kept(d.groupBy("v").agg(*(F.count(F.when(F.col("g") == x, 1)).alias(k) for x, k in zip(names, n))), "values"), "v")
+    inner, outer = W.partitionBy("__tile").orderBy("v").rowsBetween(W.unboundedPreceding, 0), W.orderBy("__tile").rowsBetween(W.unboundedPreceding, -1)
+    base = c.groupBy("__tile").agg(*(F.sum(k).alias(k) for k in n)).select("__tile", *(F.coalesce(F.sum(k).over(outer), F.lit(0)).alias(f"b_{k}") for k in n))  # 257 rows at most
+    c = c.select("__tile", *n, *(F.sum(k).over(inner).alias(f"c_{k}") for k in n)).join(F.broadcast(base), "__tile")
+    c = c.join(F.broadcast(d.agg(*(F.count(F.when(F.col("g") == x, 1)).alias(f"all_{k}") for x, k in zip(names, n)))), how="cross")  # one row
+    found = []
+    for one, two in pairs:
+        i, j = n[names.index(one)], n[names.index(two)]
+        (ca, cb), t = (F.col(f"c_{k}") + F.col(f"b_{k}") for k in (i, j)), (F.col(i) + F.col(j)).cast("double")
+        part = lambda of, k: F.try_divide(of.cast("double"), F.col(f"all_{k}"))
+        found.append(F.struct(
+            F.lit(one).alias("one"), F.lit(two).alias("two"), F.max(F.abs(part(ca, i) - part(cb, j))).alias("ks"),
+            F.sum((ca + cb - (F.col(i) + F.col(j) - 1) / 2) * F.col(i)).alias("rank_sum"), F.sum(t * t * t - t).alias("ties"),
+        ))
+    out = c.agg(F.array(*found).alias("found")).select(F.inline("found"))  # a row per pair
+    m = d.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("var"))  # a row per group
+    for side in ("one", "two"):
+        out = out.join(F.broadcast(m.select(F.col("g").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("n", "mean", "var")))), side, "left").fillna(0, [f"n_{side}"])
+    out = out.where("n_one + n_two > 0").withColumn("f_ratio", F.try_divide("var_one", "var_two"))
     tests = F.pandas_udf(two_sample_p, "ks_p double, rank_p double, f_p double")
     out = out.withColumn("p", tests("ks", "rank_sum", "ties", "f_ratio", "n_one", "n_two"))
-    return out.select(*keys, "ks", "rank_sum", "n_one", "n_two", "mean_one", "mean_two", "var_one", "var_two", "f_ratio", "p.*")
+    return out.select("one", "two", "ks", "rank_sum", "n_one", "n_two", "mean_one", "mean_two", "var_one", "var_two", "f_ratio", "p.*")
 
 
 def ks_two_sample(df: DataFrame, value: str, group: str, one: str, two: str) -> DataFrame:
@@ -258,13 +268,12 @@ def ks_two_sample(df: DataFrame, value: str, group: str, one: str, two: str) ->
 
 def summary_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """Number, least, quartiles (exact, between two values by distance) and greatest of a value per group. The quartiles are read off
-    the running numbers of the distinct values, in tiles, so that no task holds a group."""
+    the running numbers of the distinct values, in tiles, so that no task holds a group. Writes an intermediate table."""
     v = F.col(value).cast("double")
     out = df.groupBy(F.struct(group).alias("__of")).agg(F.count(value).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"))  # a struct joins where the group is null
     d = df.where(v.isNotNull()).select(F.struct(group).alias("__of"), v.alias("v"))
-    bounds = F.array(*map(F.lit, d.approxQuantile("v", [i / 256 for i in range(1, 256)], 0.001) or [0.0]))  # 255 numbers
-    c = d.groupBy("__of", "v").agg(F.count(F.lit(1)).alias("c"))
-    c = earlier(c, ["__of"], ["v"], F.col("c"), "sum", F.size(F.filter(bounds, lambda x: x < F.col("v"))), inclusive=True)
+    c = _value_tiles(kept(d.groupBy("__of", "v").agg(F.count(F.lit(1)).alias("c")), "values"), "v").withColumnRenamed("__tile", "at")
+    c = earlier(c, ["__of"], ["v"], F.col("c"), "sum", F.col("at"), inclusive=True)
     c = c.join(out.select("__of", "n"), "__of")
     at = lambda i: F.max(F.when((F.col("__before") > i) & (F.col("__before") - F.col("c") <= i), F.col("v")))
     shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}

@@ -1,9 +1,13 @@
 """Steps whose work must grow with the input alone: stretches instead of whole sequences, one reading instead of many."""
 
+import bisect
+import math
+import random
+
 import pytest
 
 from loomspan.functions import codon_table
-from loomspan.operators import variants
+from loomspan.operators import popgen, variants
 
 
 def table(spark, schema, rows):
@@ -28,3 +32,27 @@ def test_frameshifts_are_read_on_in_stretches(spark, monkeypatch, stretches):
         pep, at = (pep[: pep.index("*") + 1], first + pep.index("*") + 1) if "*" in pep else (pep, None)
         assert w == ("frameshift", pep, at)
     assert len(found) == len(cuts) >= 8
+
+
+def test_groups_are_compared_in_one_sweep(spark):
+    """Before, each pair had rows of its own, and the distinct values were grouped anew for each running number."""
+    rng = random.Random(3)
+    rows = [(rng.choice("abcd"), rng.choice([float(rng.randrange(40)), rng.random(), -0.0, math.inf, -math.inf])) for _ in range(3000)] + [("a", None), (None, 1.0)]
+    df = table(spark, "k string, v double", rows)
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "none"), ("none", "a"), ("none", "nil"), ("a", "b")]
+    out = popgen.compare_groups(df, "v", "k", pairs)
+    found = {(r.one, r.two): r for r in out.collect()}
+    assert set(found) == set(pairs) - {("none", "nil")}
+    for (one, two), r in found.items():
+        x, y = ([v for k, v in rows if k == name and v is not None] for name in (one, two))
+        assert (r.n_one, r.n_two) == (len(x), len(y))
+        every = sorted(x + y)
+        rank = {v: (bisect.bisect_left(every, v) + bisect.bisect_right(every, v) + 1) / 2 for v in every}
+        assert r.rank_sum == sum(rank[v] for v in x)
+        if x and y:
+            x, y = sorted(x), sorted(y)
+            assert r.ks == pytest.approx(max(abs(bisect.bisect_right(x, v) / len(x) - bisect.bisect_right(y, v) / len(y)) for v in every), abs=1e-12)
+        else:
+            assert r.ks is None and r.ks_p is None
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2  # the sums in a tile and those over the tiles, of all groups at once
