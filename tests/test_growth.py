@@ -7,7 +7,7 @@ import random
 import pytest
 
 from loomspan.functions import codon_table
-from loomspan.operators import features, popgen, variants, windows
+from loomspan.operators import features, intervals, popgen, variants, windows
 
 
 def table(spark, schema, rows):
@@ -105,3 +105,28 @@ def test_points_go_to_blocks_of_bins(spark, size, step):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     first = next(x for x in reversed(plan.splitlines()) if "Generate explode" in x or "RepartitionByExpression" in x)
     assert "block" in first and "bin#" not in first
+
+
+@pytest.mark.parametrize("tile,gap", [(7, 0), (7, 3), (50, 1), (1000, 0)])
+def test_islands_without_groups_of_rows(spark, tile, gap):
+    """Before, a task held two sorts of its rows and two tables of its islands."""
+    rng = random.Random(tile + gap)
+    rows = [(rng.choice("ab"), p, p + rng.choice([0, 1, 2, 5, 40]), rng.choice([0.1, 1e9, None])) for p in (rng.randrange(-20, 400) for _ in range(90))] + [("a", 9, 3, 1.0)]
+    want = []
+    for key in "ab":
+        for _, s, e, v in sorted((r for r in rows if r[0] == key and r[1] <= r[2]), key=lambda r: r[1:3]):
+            if want and want[-1][0] == key and s <= want[-1][2] + gap:
+                want[-1][2], want[-1][3] = max(want[-1][2], e), want[-1][3] + [v]
+            else:
+                want.append([key, s, e, [v]])
+    df = table(spark, "seqid string, start long, stop long, v double", rows)
+    found = {(r.seqid, r.start, r.stop): (r.n, r.v) for r in intervals.merge_intervals(df, gap=gap, tile=tile, total="v").collect()}
+    assert found.keys() == {tuple(w[:3]) for w in want}
+    for *place, values in want:
+        n, v = found[tuple(place)]
+        some = [x for x in values if x is not None]
+        assert n == len(values) and (v or 0.0) == pytest.approx(sum(some), abs=1e-6)
+    plain = intervals.merge_intervals(df.drop("v"), gap=gap, tile=tile)
+    assert sorted(tuple(r) for r in plain.collect()) == sorted((*w[:3], len(w[3])) for w in want)
+    inner = plain._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+    assert inner.count("Window") >= 3  # no grouping above the windows of the inner islands
