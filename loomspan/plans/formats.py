@@ -4,6 +4,7 @@ SQL gives the rows that were written."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import feature_name
@@ -389,9 +390,10 @@ def write_by_key(v):
 @query("write_chunks", "SELECT event_id, TRUE AS small FROM reads")
 def write_chunks(v):
     path = new_folder(v.spark, "chunks")
-    S.write_chunks(v.reads.select("event_id"), 100, path)
-    rows = v.spark.read.parquet(path).withColumn("file", F.input_file_name())
-    return rows.join(rows.groupBy("file").agg((F.count(F.lit(1)) <= 100).alias("small")), "file").select("event_id", "small")
+    ids = v.reads.select("event_id").repartition(v.spark.sparkContext.defaultParallelism, "event_id")  # a file of events may be one task
+    S.write_chunks(ids, 100, path)
+    rows = v.spark.read.schema("event_id bigint").parquet(path).withColumn("file", F.input_file_name())  # opened once each
+    return rows.select("event_id", (F.count(F.lit(1)).over(W.partitionBy("file")) <= 100).alias("small"))
 
 
 def _matrix(v):

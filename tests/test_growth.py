@@ -6,8 +6,10 @@ import random
 
 import pytest
 
+from loomspan import catalog
 from loomspan.functions import codon_table
 from loomspan.operators import features, intervals, popgen, variants, windows
+from tests.conftest import SF
 
 
 def table(spark, schema, rows):
@@ -130,3 +132,11 @@ def test_islands_without_groups_of_rows(spark, tile, gap):
     assert sorted(tuple(r) for r in plain.collect()) == sorted((*w[:3], len(w[3])) for w in want)
     inner = plain._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
     assert inner.count("Window") >= 3  # no grouping above the windows of the inner islands
+
+
+def test_chunks_are_written_by_all_tasks_and_opened_once(spark):
+    """Before, a file of events was written by one task, and all chunks were read a second time."""
+    out = catalog.queries()["write_chunks"](spark, SF)
+    assert len(out.inputFiles()) >= spark.sparkContext.defaultParallelism
+    assert {f.split("part-")[1][:5] for f in out.inputFiles()} == {f"{i:05d}" for i in range(spark.sparkContext.defaultParallelism)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
