@@ -1,11 +1,13 @@
-"""Pairs of a table with itself in blocks, against all pairs in plain Python."""
+"""Pairs of a table with itself in blocks and greedy islands, against plain Python."""
 
 import random
 
 import pytest
 
-from loomspan.operators import intervals
-from tests.test_graphs_spans_rounds import table
+from pyspark.sql import functions as F
+
+from loomspan.operators import features, intervals
+from tests.test_graphs_spans_rounds import one_by_one, table
 from tests.test_operators import got
 
 
@@ -25,3 +27,37 @@ def test_later_rows_of_a_pair_come_in_blocks(spark, monkeypatch, names):
     df = intervals.self_overlaps(table(spark, f"seqid string, start long, stop long, strand string, id {'string' if names else 'long'}", rows), bin_size=100)
     assert got(df, "seqid", "left_id", "right_id", "start", "stop", "strands") == sorted(want)
     assert "collect_list" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("isle", [3, 128])
+def test_islands_inside_a_tile_need_no_rounds(spark, monkeypatch, isle):
+    seen, rounds = [], intervals._greedy_rounds
+    monkeypatch.setattr(intervals, "_greedy_rounds", lambda df, *a, **k: seen.extend(r[0] for r in df.select("id").collect()) or rounds(df, *a, **k))
+    monkeypatch.setattr(intervals, "ISLE", isle)
+    rng = random.Random(isle)
+    spans = list({(rng.choice("cd"), s, s + int(10 ** rng.uniform(0, 2.3))) for s in (rng.randint(-300, 9000) for _ in range(260))} | {("d", 4990, 6100)})
+    rows = [(*r, i) for i, r in enumerate(spans)]
+    df = table(spark, "seqid string, start long, stop long, id long", [*rows, ("c", 9, 8, -1), (None, 1, 2, -2)]).withColumn("attrs", F.create_map(F.lit("n"), "id"))
+    out = intervals.greedy_disjoint(df, "seqid", [F.col("start") - F.col("stop"), F.col("start"), F.col("stop")], tile=1000)
+    assert got(out, "seqid", "start", "stop", "id") == one_by_one(rows, lambda r: (r[1] - r[2], r[1], r[2]))
+    assert out.columns == df.columns and out.where("attrs['n'] <> id").isEmpty()
+    want = set()  # of islands that are too large or touch two tiles, the rows in tiles where they do
+    for key in "cd":
+        for t in range(-1, 11):
+            isles = []
+            for r in sorted((r for r in rows if r[0] == key and r[1] // 1000 <= t <= r[2] // 1000), key=lambda r: r[1:3]):
+                if isles and r[1] <= max(x[2] for x in isles[-1]):
+                    isles[-1].append(r)
+                else:
+                    isles.append([r])
+            for x in isles:
+                if len(x) > isle or any(r[1] // 1000 != r[2] // 1000 for r in x):
+                    want |= {r[3] for r in x if r[1] // 1000 == t}
+    assert sorted(seen) == sorted(want) and len(seen) < len(rows)
+
+
+def test_copies_of_small_islands_are_settled_at_once(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "_greedy_rounds", None)
+    rows = [("g", "c", i * 500 + a, i * 500 + b) for i in range(1, 60) for a, b in ((0, 99), (50, 200), (201, 260), (90, 170))]
+    out = features.dedupe_overlaps(table(spark, "gene string, seqid string, start long, stop long", rows))
+    assert got(out, "start", "stop", "copy") == [(i * 500 + a, i * 500 + b, 2 * i - 1 + k) for i in range(1, 60) for k, (a, b) in enumerate(((50, 200), (201, 260)))]
