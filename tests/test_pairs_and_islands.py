@@ -13,7 +13,7 @@ from tests.test_operators import got
 
 @pytest.mark.parametrize("names", [False, True])
 def test_later_rows_of_a_pair_come_in_blocks(spark, monkeypatch, names):
-    """A bin's rows were buffered one by one and met all of the bin in both orders: beyond 4,096 of them a pair cost far more."""
+    """A bin's rows were buffered one by one in the join and met all of the bin in both orders."""
     monkeypatch.setattr(intervals, "BLOCK", 4)
     rng = random.Random(3)
     rows = [("c", 1, 5_000_000, "+", 0), ("c", 900, 2, "+", 1), (None, 5, 9, "+", 2), ("c", None, 9, "+", 3), ("c", 70, 90, "+", None)]
