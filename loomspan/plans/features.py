@@ -133,8 +133,8 @@ c AS (SELECT query, seqid, strand, chain, qlen, min(ls) AS start, max(le) AS sto
 SELECT query, seqid, strand, start, stop, exons, qstart, qstop, CAST(qlen AS BIGINT) AS qlen, CAST(100 * (qstop - qstart) // qlen AS BIGINT) AS coverage FROM c WHERE 100 * (qstop - qstart) // qlen >= 5""")
 def chain_est(v):
     at = F.floor(F.col("start") % 400 / 2) * 2
-    h = v.features.select(F.col("type").alias("query"), "seqid", "strand", "start", "stop", at.alias("qstart"), (at + F.col("stop") - F.col("start")).alias("qstop"), F.lit(400).alias("qlen")).distinct()
-    return G.chain_est(h, 60, min_cov=5)
+    h = v.features.select(F.col("type").alias("query"), "seqid", "strand", "start", "stop", at.alias("qstart"), (at + F.col("stop") - F.col("start")).alias("qstop"), F.lit(400).alias("qlen"))
+    return G.chain_est(h, 60, min_cov=5, distinct=True)
 
 
 @query("dedupe_overlaps", """WITH RECURSIVE m AS (SELECT type AS gene, seqid, start, stop, row_number() OVER (PARTITION BY type, seqid ORDER BY start - stop, start, stop) AS r FROM features WHERE stop - start + 1 >= 20),

@@ -1,7 +1,11 @@
-"""Genes in several genomes by maps of their own, against rows worked out by hand."""
+"""Genes in several genomes by maps of their own, and what is read off one shuffle, against plain Python."""
 
-from loomspan.operators import comparative
-from tests.test_graphs_spans_rounds import table
+import random
+
+import pytest
+
+from loomspan.operators import comparative, features
+from tests.test_graphs_spans_rounds import est_twin, table
 from tests.test_operators import got
 
 GENE = "gene string, seqid string, start long, stop long, strand string"
@@ -27,3 +31,40 @@ def test_multiway_orthologs_have_every_gene_and_where_its_partners_lie(spark):
     assert got(comparative.annotation_transfer(genes, table(spark, row, blocks[:3]), table(spark, GENE, x), 100), "gene", "match") == [
         ("bare", "NO_GENES_IN_INTERVAL"), ("off", "NO_SYNTENIC_ALIGNMENT"), ("one", "x1"), ("two", "x3"), ("two", "x4"),
     ]
+
+
+@pytest.mark.parametrize("tile", [40, 500, 100_000])
+def test_est_chains_in_tiles_equal_the_loop(spark, tile):
+    """Every exon was shuffled for its distinct rows, twice for its island, for its walk and for its transcript."""
+    rng = random.Random(tile)
+    rows = []
+    for i in range(400):
+        hs, qs = rng.randint(-200, 9000), rng.randint(1, 300)
+        rows.append((rng.choice("+-"), qs, qs + rng.randint(10, 60), hs, hs + rng.choice([0, 1, rng.randint(5, 60), rng.choice([20, 90, 700])])))
+    rows += [("+", 1, 50, 20_000, 20_049), ("+", 51, 90, 20_048, 20_090), ("+", 91, 99, 20_080, 20_095), ("-", 1, 50, 21_500, 21_550), ("-", 51, 60, 21_400, 21_501)]
+    rows = list(set(rows))
+    cols = "query string, seqid string, strand string, qstart long, qstop long, start long, stop long, qlen int"
+    df = table(spark, cols, [("q", "c", *r, 400) for r in rows] + [(None, "c", *rows[0], 400), ("q", "c", "+", 1, 2, None, 9, 400)])
+    want = est_twin(sorted(rows, key=lambda r: (r[4], r[1], r[2])), 50)
+    out = features.chain_est(df.repartition(3), max_intron=50, min_cov=-1000, tile=tile)
+    assert got(out, "strand", "start", "stop", "exons", "qstart", "qstop") == want
+    twice = features.chain_est(df.union(df).repartition(3), max_intron=50, min_cov=-1000, distinct=True, tile=tile)
+    assert got(twice, "strand", "start", "stop", "exons", "qstart", "qstop") == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = features.chain_est(df, max_intron=50)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Scan ExistingRDD") == 1  # all steps read one shuffle of the exons
+
+
+def test_est_transcripts_keep_lengths_apart_across_batches(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(q, 7, s, 100 + i, 110 + i, at, at + 10, n) for q in "ab" for s in "+-" for i in range(9) for at in [1000 + 20 * (i if s == "+" else 9 - i)] for n in (100, 200)]
+    df = table(spark, "query string, seqid int, strand string, qstart int, qstop int, start int, stop int, qlen int", [r for r in rows if (r[5] // 20) % 2 == r[7] // 100 % 2])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        out = got(features.chain_est(df, 50), "query", "seqid", "strand", "exons", "qlen", "coverage")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert out == sorted((q, 7, s, n, l, c) for q in "ab" for s in "+-" for n, l, c in {"+": [(5, 200, 9), (4, 100, 16)], "-": [(5, 100, 18), (4, 200, 8)]}[s])
