@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomspan.operators import comparative, features
+from loomspan.operators import comparative, features, windows
 from tests.test_graphs_spans_rounds import est_twin, table
 from tests.test_operators import got
 
@@ -68,3 +68,17 @@ def test_est_transcripts_keep_lengths_apart_across_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert out == sorted((q, 7, s, n, l, c) for q in "ab" for s in "+-" for n, l, c in {"+": [(5, 200, 9), (4, 100, 16)], "-": [(5, 100, 18), (4, 200, 8)]}[s])
+
+
+def test_bins_of_many_sequences_come_block_by_block(spark):
+    """Rows came sequence by sequence, so that a written file had too many different bins for a dictionary."""
+    g = table(spark, "seqid string, length long", [(f"s{i:02}", 100 + 37 * i) for i in range(40)])
+    v = table(spark, "seqid string, pos long", [(f"s{i % 50:02}", 1 + i * 7 % 500) for i in range(600)])
+    out = [tuple(r) for r in windows.snps_per_bin(v, g, 10, 8).collect()]
+    assert out == sorted(out, key=lambda r: (r[1] // 8, r[0], r[1]))
+    want = {(f"s{i:02}", b): 0 for i in range(40) for b in range((99 + 37 * i) // 10 + 1)}
+    for i in range(600):
+        at = f"s{i % 50:02}", i * 7 % 500 // 10
+        if at in want:
+            want[at] += 1
+    assert {r[:2]: r[2] for r in out} == want and len(out) == len(want)
