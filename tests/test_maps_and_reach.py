@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomspan.operators import comparative, features, windows
+from loomspan.operators import comparative, features, intervals, windows
 from tests.test_graphs_spans_rounds import est_twin, table
 from tests.test_operators import got
 
@@ -82,3 +82,17 @@ def test_bins_of_many_sequences_come_block_by_block(spark):
         if at in want:
             want[at] += 1
     assert {r[:2]: r[2] for r in out} == want and len(out) == len(want)
+
+
+def test_pairs_of_a_block_of_later_rows_come_together(spark, monkeypatch):
+    """Pairs came by their earlier row, through all blocks of its bin, so that a written file repeated nothing close by."""
+    monkeypatch.setattr(intervals, "BLOCK", 4)
+    rows = [("c", 1 + 5 * i, 900 + 5 * i, "+", (i * 7) % 20) for i in range(20)]
+    out = [tuple(r) for r in intervals.self_overlaps(table(spark, "seqid string, start long, stop long, strand string, id long", rows)).collect()]
+    ids = {r[1]: r[4] for r in rows}
+    assert sorted(out) == sorted(("c", min(a[4], b[4]), max(a[4], b[4]), b[1], a[2], "same") for a in rows for b in rows if a[1] < b[1])
+    places = [((r[3] - 1) // 20, ({r[1], r[2]} - {ids[r[3]]}).pop()) for r in out]  # the later row's block, and the earlier row
+    place = {r[4]: i // 4 for i, r in enumerate(rows)}
+    blocks = [(place[l], b) for b, l in places]
+    runs = [x for i, x in enumerate(blocks) if i == 0 or blocks[i - 1] != x]
+    assert len(runs) == len(set(runs)) == 5 * 6 // 2  # each pair of blocks is written out at once
